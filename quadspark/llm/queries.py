@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .chat_format import ORACLE_OP5, op5_chat_format
 from .language_id import op2_language_id
+from .merkle import op7_merkle_fingerprint
+from .packing import op8_packing
 from .secret_scan import op10_secret_scan
+from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op5_chat_format": op5_chat_format,
+    "op7_merkle_fingerprint": op7_merkle_fingerprint,
+    "op8_packing": op8_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
