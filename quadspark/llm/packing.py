@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_for, load
 
-ROWS_A_SHARD = 50_000
+ROWS_A_SHARD = 10_000
 
 
 def word_count(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import ORACLE_OP5, op5_chat_format
+from .jaccard_join import op4_jaccard_join
 from .language_id import op2_language_id
 from .merkle import op7_merkle_fingerprint
 from .packing import op8_packing
@@ -12,6 +13,7 @@ from .substring_dedup import op1_substring_dedup
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_packing": op8_packing,
