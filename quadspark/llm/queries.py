@@ -7,16 +7,20 @@ from .jaccard_join import op4_jaccard_join
 from .language_id import op2_language_id
 from .merkle import op7_merkle_fingerprint
 from .packing import op8_packing
+from .quality import op6_quality
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op1_substring_dedup
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
