@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import ORACLE_OP5, op5_chat_format
+from .decontaminate import op3_decontamination
 from .jaccard_join import op4_jaccard_join
 from .language_id import op2_language_id
 from .merkle import op7_merkle_fingerprint
@@ -15,6 +16,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
