@@ -14,8 +14,8 @@ The index is broadcast, ``part_words`` words of items at a time: a larger
 benchmark makes more passes instead of a larger broadcast. Documents are never
 shuffled.
 
-Defined results: words are split at ASCII white space and compared in lower case
-without marks at their ends; null or empty texts and items without a word match
+Defined results: words are split at ASCII white space and compared without ASCII
+marks at their ends and with ASCII letters in lower case; null or empty texts and items without a word match
 nothing; an item shorter than five words is one shingle; equal items are separate
 items; each place of an item in a document is one match, by (start, item_id); of
 overlapping places of one item the most similar stays.
@@ -36,18 +36,17 @@ from pyspark.sql import functions as F
 from .common import WordHashes, load, odd_constants, rolling, split_words
 
 WIDTH = 5
-SLICE = 60_000
+SLICE = 12_000  # words at a time: their running sums stay in the cache, and fit 16 bits
 MATCH = "array<struct<item_id:long,start:int,end:int,similarity:double,distance:int>>"
 _SHINGLE = odd_constants(WIDTH, 5)
-_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+_MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 class PlainHashes(WordHashes):
-    """Hashes of words in lower case, without marks at their ends."""
+    """Hashes of words with ASCII letters in lower case, without ASCII marks at their ends."""
 
     def __missing__(self, word: bytes) -> int:
-        plain = word.decode("utf-8", "replace").lower().strip(_MARKS).encode("utf-8", "replace")
-        value = xxhash.xxh3_64_intdigest(plain or word)
+        value = xxhash.xxh3_64_intdigest(word.lower().strip(_MARKS) or word)
         if len(self) >= 400_000:
             self.clear()
         self[word] = value
@@ -73,14 +72,14 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
 
 def simhash(sums: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of the windows at ``places``, from running sums of bits."""
-    bits = (sums[places + length] - sums[places]) * 2 > length
+    bits = (sums[places + length] - sums[places]) > length // 2
     return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def running_bits(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=out[1:])
+    out = np.zeros((len(hashes) + 1, 64), np.int16 if len(hashes) < 32_000 else np.int32)
+    np.cumsum(bits, axis=0, out=out[1:], dtype=out.dtype)
     return out
 
 
@@ -169,14 +168,26 @@ def _shingles_of_width(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int]]]:
     """For each text its matches (item_id, start, end, similarity, distance)."""
-    out: list[dict[tuple[int, int], tuple[float, int, int]]] = [{} for _ in texts]
-    each = [split_words(t) for t in texts]
+    out: list[list[tuple[int, int, int, float, int]]] = []
+    held: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        held.append(split_words(text))
+        size += len(held[-1])
+        if size >= SLICE:  # so that only a few documents' words are in memory at once
+            out += _find(held, items, seen, least)
+            held, size = [], 0
+    return out + _find(held, items, seen, least)
+
+
+def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int]]]:
+    out: list[dict[tuple[int, int], tuple[float, int, int]]] = [{} for _ in each]
     lengths = np.array([len(w) for w in each], np.int64)
     if not items.classes or not lengths.sum():
-        return [[] for _ in texts]
+        return [[] for _ in each]
     starts = np.concatenate([[0], np.cumsum(lengths)])
     hashes = np.concatenate([seen.of(w) for w in each])
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    doc = np.repeat(np.arange(len(each)), lengths)
     pos = np.arange(len(hashes)) - starts[doc]
     left = lengths[doc] - pos
     longest = max(items.classes)
