@@ -283,7 +283,7 @@ def most_specific(store, spark):
 @query
 def lca(store):
     edges = key_pairs(store.pairs(P["parent"])).where("o > 0")
-    return terminology.lowest_common_ancestors(edges, [700, 710, 725])
+    return terminology.lowest_common_ancestors(edges, [700, 710, 725]).select(F.col("s").cast("int").alias("s"))
 
 
 @query
@@ -304,7 +304,7 @@ def term_mapping(store):
 @query
 def reified_annotation(store, spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").where("l_orderkey < 300")
-    node = F.concat(F.lit("_:ax"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    node = F.concat(F.lit("_:ax"), F.concat_ws("-", "l_orderkey", "l_linenumber", F.hex(F.xxhash64(*line.columns))))
     parts = [(v.TYPE, F.lit(v.AXIOM)), (v.SOURCE, iri("order", "l_orderkey")), (v.PROPERTY, F.lit(P["contains"])), (v.TARGET, iri("part", "l_partkey"))]
     objs = None
     for p, o in parts:
@@ -415,7 +415,7 @@ def swrl_arith(store, spark, sf_dir):
     rule = rules.Rule([rules.Data(P["totalprice"], "?x", "?e"), rules.Data(P["quantity"], "?x", "?q"), rules.Builtin("divide", "?u", "?e", "?q")], [rules.Data(P["unit_price"], "?x", "?u")])
     _, datas = rules.consequences(QuadStore(store.objs, lines), rule)
     parts = F.split("s", "/")
-    return datas.select(parts[4].cast("bigint").alias("s"), F.substring_index("s", "-", -1).cast("int").alias("ln"), F.round("num", 4).alias("unit_price"))
+    return datas.select(parts[4].cast("bigint").alias("s"), F.substring_index("s", "-", -1).cast("int").alias("ln"), (F.round(F.col("num") * 10_000) / 10_000).alias("unit_price"))
 
 
 @query

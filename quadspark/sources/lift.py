@@ -33,8 +33,8 @@ def iri(table: str, *keys: Column | str) -> Column:
 
 
 def key(x: Column | str = "s") -> Column:
-    """The number that ends an IRI made by ``iri``."""
-    return F.substring_index(x, "/", -1).cast("bigint")
+    """The number that ends an IRI made by ``iri``; null where none does."""
+    return F.substring_index(x, "/", -1).try_cast("bigint")
 
 
 def _objs(rows: DataFrame, p: str, s: Column, o: Column) -> DataFrame:
