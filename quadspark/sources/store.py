@@ -38,7 +38,7 @@ class QuadStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuadStore:
-        read = lambda kind, shape: spark.read.schema(shape).parquet(f"{path}/{kind}")
+        read = lambda kind, shape: spark.read.schema(shape).parquet(f"{path}/{kind}").select(*(x.split()[0] for x in shape.split(", ")))
         store = cls(read("objs", QUAD_OBJ), read("datas", QUAD_DATA))
         return replace(store, inverses=store.declared_inverses())
 
