@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+from ..operators.closure import checkpointed  # noqa: F401
+
 _CACHE_LIMIT = 400_000
 
 
@@ -23,26 +24,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, with its lineage cut.
-
-    A folder is set here only where the session has none (tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string")) % modulus

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import components
 from .common import WordHashes, blocks_for, checkpointed, load, mix64, odd_constants, shingle_set, split_words
-from .components import components
 
 BANDS, ROWS, STEP = 20, 4, 16
 CHUNK = 256
@@ -223,7 +223,7 @@ def jaccard_join(
         return pd.DataFrame(out, columns=["rep", "links", "root"]).astype("int64")
 
     linked = checkpointed(full.groupBy("unit").applyInPandas(verify, "rep long, links long, root long"))
-    parts = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    parts = components(linked.select(F.col("rep").alias("s"), F.col("root").alias("o")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     by_class = (
         classes.select("class", "rep", "copies").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
