@@ -132,9 +132,8 @@ def _relation(store: QuadStore, atom: object) -> DataFrame:
     named = [(c, x[1:]) for c, x in args if is_var(x)]
     if len(named) == 2 and named[0][1] == named[1][1]:
         rows, named = rows.where("s = o").drop("o"), named[:1]
-    for column, name in named:
-        rows = rows.withColumnRenamed(column, name)
-    return rows
+    kept = [c for c in rows.columns if "#" in c]
+    return rows.select(*(F.col(column).alias(name) for column, name in named), *(F.col(f"`{c}`") for c in kept))
 
 
 def _argument(x: object, rows: DataFrame, numeric: bool) -> Column:

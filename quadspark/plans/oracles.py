@@ -13,7 +13,7 @@ SELECT c_custkey AS s FROM customer WHERE c_mktsegment='BUILDING'
 SELECT 'mktsegment' AS p, count(*) AS n FROM customer UNION ALL SELECT 'orderstatus', count(*) FROM orders UNION ALL SELECT 'retailprice', count(*) FROM part
 """,
     "pat_inverse_union": r"""
-SELECT o_custkey AS s, o_orderkey AS o FROM orders WHERE o_custkey<50
+SELECT o_custkey AS s, o_orderkey AS o FROM orders
 """,
     "pat_punned": r"""
 SELECT DISTINCT s_nationkey AS s FROM supplier INTERSECT SELECT DISTINCT c_nationkey FROM customer
@@ -28,7 +28,7 @@ SELECT DISTINCT p_type||'/'||p_brand AS s FROM part WHERE p_type='ECONOMY' UNION
 SELECT 'ECONOMY' AS s UNION SELECT p_type||'/'||p_brand FROM part WHERE p_type='ECONOMY' UNION SELECT 'part/'||p_partkey FROM part WHERE p_type='ECONOMY'
 """,
     "search_subproperty": r"""
-SELECT 'orders' AS src, o_orderkey AS s, o_orderdate AS d FROM orders WHERE o_orderkey<100 UNION ALL SELECT 'lineitem', l_orderkey, l_shipdate FROM lineitem WHERE l_orderkey<100
+SELECT 'orders' AS src, o_orderkey AS s, o_orderdate AS d FROM orders UNION ALL SELECT 'lineitem', l_orderkey, l_shipdate FROM lineitem
 """,
     "search_or_class": r"""
 SELECT p_partkey AS s FROM part WHERE p_type IN ('ECONOMY','PROMO')
@@ -94,7 +94,7 @@ WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey//2 AS o FROM customer WHER
 WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey//2 AS o FROM customer WHERE c_custkey>0), t AS (SELECT s,1 AS depth FROM e WHERE o=3 UNION ALL SELECT e.s, depth+1 FROM t JOIN e ON e.o=t.s) SELECT s, depth FROM t
 """,
     "closure_cyclic": r"""
-WITH RECURSIVE e AS (SELECT c_custkey AS s, (c_custkey*7+1)%60 AS o FROM customer WHERE c_custkey<60), t AS (SELECT s,o FROM e UNION SELECT t.s, e.o FROM t JOIN e ON t.o=e.s) SELECT s,o FROM t
+WITH RECURSIVE e AS (SELECT c_custkey AS s, (c_custkey//60)*60+(c_custkey*7+1)%60 AS o FROM customer), t AS (SELECT s,o FROM e UNION SELECT t.s, e.o FROM t JOIN e ON t.o=e.s) SELECT s,o FROM t
 """,
     "closure_equivalence": r"""
 SELECT doc_id AS s, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents
@@ -103,7 +103,7 @@ SELECT doc_id AS s, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents
 SELECT c_custkey AS s, 'nation/'||c_nationkey AS o FROM customer UNION ALL SELECT c_custkey, 'region/'||n_regionkey FROM customer JOIN nation ON c_nationkey=n_nationkey
 """,
     "rdf_list_order": r"""
-SELECT l_orderkey AS lst, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_partkey AS item FROM lineitem WHERE l_orderkey<200
+SELECT l_orderkey AS lst, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_partkey AS item FROM lineitem
 """,
     "root_classes": r"""
 SELECT DISTINCT p_type AS s FROM part
@@ -118,16 +118,16 @@ WITH RECURSIVE a AS (SELECT k AS start, k AS x FROM (VALUES (700),(710),(725)) v
 SELECT p_type AS parent FROM (SELECT DISTINCT p_type,p_brand FROM part) GROUP BY 1 HAVING count(*)=25
 """,
     "term_mapping": r"""
-SELECT DISTINCT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON a.text=b.text AND a.source<>b.source
+SELECT DISTINCT a.doc_id AS src, b.source AS dst FROM documents a JOIN documents b ON a.text=b.text AND a.source<>b.source
 """,
     "reified_annotation": r"""
-SELECT l_orderkey AS s, l_partkey AS o, l_quantity AS qty FROM lineitem WHERE l_orderkey<300
+SELECT l_orderkey AS s, l_partkey AS o, l_quantity AS qty FROM lineitem
 """,
     "indirect_values": r"""
-SELECT DISTINCT o_custkey AS s, l_partkey AS o FROM orders JOIN lineitem ON o_orderkey=l_orderkey WHERE o_custkey<40
+SELECT DISTINCT o_custkey AS s, l_partkey AS o FROM orders JOIN lineitem ON o_orderkey=l_orderkey
 """,
     "property_chain": r"""
-SELECT DISTINCT l_suppkey AS s, o_custkey AS o FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_suppkey<10
+SELECT DISTINCT l_suppkey AS s, o_custkey AS o FROM lineitem JOIN orders ON l_orderkey=o_orderkey
 """,
     "restr_some": r"""
 SELECT DISTINCT l_orderkey AS s FROM lineitem JOIN part ON l_partkey=p_partkey WHERE p_type='PROMO'
@@ -148,25 +148,25 @@ SELECT p_partkey AS s FROM part WHERE (p_type='PROMO' OR p_size<5) AND NOT (p_br
 SELECT p_partkey AS s FROM part WHERE length(p_name)<=9 AND regexp_full_match(p_name,'[a-z]+ [a-z]+') AND p_retailprice>=950 AND p_retailprice<1200
 """,
     "close_world": r"""
-SELECT l_orderkey AS s, string_agg(k,',' ORDER BY k) AS fillers FROM (SELECT DISTINCT l_orderkey, l_partkey::VARCHAR AS k FROM lineitem WHERE l_orderkey<500) GROUP BY 1
+SELECT l_orderkey AS s, string_agg(k,',' ORDER BY k) AS fillers FROM (SELECT DISTINCT l_orderkey, l_partkey::VARCHAR AS k FROM lineitem) GROUP BY 1
 """,
     "infer_domain_range": r"""
 SELECT DISTINCT 'Orderer' AS cls, o_custkey AS s FROM orders UNION SELECT DISTINCT 'Supplied', l_partkey FROM lineitem
 """,
     "infer_new_relations": r"""
-SELECT DISTINCT c_custkey AS s, s_suppkey AS o FROM customer JOIN supplier ON c_nationkey=s_nationkey WHERE c_custkey<100
+SELECT DISTINCT o_custkey AS s, l_suppkey AS o FROM orders JOIN lineitem ON o_orderkey=l_orderkey
 """,
     "violations": r"""
 SELECT doc_id AS s FROM labels WHERE quality=1 AND toxic=1
 """,
     "swrl_arith": r"""
-SELECT l_orderkey AS s, l_linenumber AS ln, round(l_extendedprice/l_quantity,4) AS unit_price FROM lineitem WHERE l_orderkey<1000
+SELECT l_orderkey AS s, l_linenumber AS ln, round(l_extendedprice/l_quantity,4) AS unit_price FROM lineitem
 """,
     "swrl_matches": r"""
 SELECT p_partkey AS s FROM part WHERE regexp_full_match(p_name,'re.*')
 """,
     "swrl_dates": r"""
-SELECT o_orderkey AS s, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, (o_orderdate + INTERVAL 1 MONTH)::DATE AS due FROM orders WHERE o_orderkey<500
+SELECT o_orderkey AS s, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, (o_orderdate + INTERVAL 1 MONTH)::DATE AS due FROM orders
 """,
     "sparql_bgp": r"""
 SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal>9000
@@ -187,7 +187,7 @@ SELECT DISTINCT user_id AS s, event_type AS p, value AS o FROM events
 SELECT user_id AS s, event_type AS p, arg_max(value, event_id) AS o FROM events GROUP BY 1,2
 """,
     "mut_delete": r"""
-SELECT l_orderkey AS s, l_partkey AS o, l_suppkey AS c FROM lineitem WHERE NOT (l_returnflag='R') AND l_orderkey<2000
+SELECT l_orderkey AS s, l_partkey AS o, l_suppkey AS c FROM lineitem WHERE NOT (l_returnflag='R')
 """,
     "mut_destroy": r"""
 SELECT o_orderkey AS s, o_custkey AS o FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey=3)
@@ -196,7 +196,7 @@ SELECT o_orderkey AS s, o_custkey AS o FROM orders WHERE o_custkey NOT IN (SELEC
 SELECT n_nationkey AS s, replace(n_name,'NATION_','COUNTRY_') AS iri FROM nation
 """,
     "observe_immediate": r"""
-SELECT event_id AS seq, user_id AS s, event_type AS p FROM events WHERE user_id<20
+SELECT event_id AS seq, user_id AS s, event_type AS p FROM events
 """,
     "observe_collapsed": r"""
 SELECT date_trunc('hour', ts) AS scan, user_id AS s, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS preds FROM events GROUP BY 1,2
