@@ -251,4 +251,5 @@ def _finder(held, least: float):
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, load(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    # The outer form: a plain explode would infer a filter on the matches, and they would be searched twice.
+    return found.select("doc_id", F.explode_outer("matches").alias("m")).where("m IS NOT NULL").select("doc_id", "m.*")
