@@ -128,6 +128,11 @@ class Hierarchy:
                     todo.append(x)
         return seen
 
+    def names_below(self, names: list[str], most: int = 500) -> list[str] | None:
+        """The names and all beneath them, where they are few enough to stand in a filter."""
+        found = self._walk(self.down, names) if self.down is not None else None
+        return sorted(found) if found is not None and len(found) <= most else None
+
     def below(self, spark: SparkSession, names: list[str]) -> DataFrame:
         """(cls): the names and all beneath them."""
         if self.down is not None:

@@ -167,6 +167,9 @@ class Evaluator:
         if isinstance(x, Named):
             if x.iri == v.THING:
                 return self.domain
+            few = self.hierarchy.names_below([x.iri])
+            if few is not None:
+                return self.store.scan("objs", p=v.TYPE, o=few).select("s").distinct()
             below = self.hierarchy.below(self.spark, [x.iri]).select(F.col("cls").alias("o"))
             return self.store.scan("objs", p=v.TYPE).join(below, "o", "left_semi").select("s").distinct()
         if isinstance(x, Not):

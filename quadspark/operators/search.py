@@ -62,8 +62,12 @@ def _hierarchy_criterion(store: QuadStore, key: str, value: object, cache: dict)
     edge = v.SUBPROPERTY if key == "subproperty_of" else v.SUBCLASS
     if edge not in cache:
         cache[edge] = Hierarchy(store.scan("objs", p=edge))
+    few = cache[edge].names_below(names)
     below = cache[edge].below(spark, names)
-    instances = store.scan("objs", p=v.TYPE).join(below.select(F.col("cls").alias("o")), "o", "left_semi").select("s")
+    if few is not None:  # a filter on constants prunes the branches and files that cannot hold them
+        instances = store.scan("objs", p=v.TYPE, o=few).select("s")
+    else:
+        instances = store.scan("objs", p=v.TYPE).join(below.select(F.col("cls").alias("o")), "o", "left_semi").select("s")
     if key == "type":
         return instances
     named = below.select(F.col("cls").alias("s"))

@@ -282,7 +282,7 @@ def most_specific(store, spark):
 @query
 def lca(store):
     edges = key_pairs(store.pairs(P["parent"])).where("o > 0")
-    return terminology.lowest_common_ancestors(edges, [700, 710, 725]).select(F.col("s").cast("int").alias("s"))
+    return terminology.lowest_common_ancestors(edges, [70, 71, 145]).select(F.col("s").cast("int").alias("s"))
 
 
 @query

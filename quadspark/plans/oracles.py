@@ -112,7 +112,7 @@ SELECT DISTINCT p_type AS s FROM part
 SELECT p_partkey AS s, p_type||'/'||p_brand AS cls FROM part
 """,
     "lca": r"""
-WITH RECURSIVE a AS (SELECT k AS start, k AS x FROM (VALUES (700),(710),(725)) v(k) UNION SELECT start, x//2 FROM a WHERE x>1), c AS (SELECT x FROM a GROUP BY x HAVING count(DISTINCT start)=3) SELECT max(x) AS s FROM c
+WITH RECURSIVE a AS (SELECT k AS start, k AS x FROM (VALUES (70),(71),(145)) v(k) UNION SELECT start, x//2 FROM a WHERE x>1), c AS (SELECT x FROM a GROUP BY x HAVING count(DISTINCT start)=3) SELECT max(x) AS s FROM c
 """,
     "complete_families": r"""
 SELECT p_type AS parent FROM (SELECT DISTINCT p_type,p_brand FROM part) GROUP BY 1 HAVING count(*)=25

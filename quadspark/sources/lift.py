@@ -50,6 +50,10 @@ def _datas(rows: DataFrame, p: str, s: Column, x: str, d: str, lang: Column | No
     )
 
 
+def _branch(make, rows: DataFrame, p: str, *more) -> tuple[str, DataFrame]:
+    return p, make(rows, p, *more)
+
+
 def lift(spark: SparkSession, sf_dir: str) -> QuadStore:
     """All tables as one store."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,53 +67,56 @@ def lift(spark: SparkSession, sf_dir: str) -> QuadStore:
     even, odd = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
     cls = lambda name: F.lit(f"{T}class/{name}")
     objs = [
-        _objs(customer, P["in_nation"], cust, iri("nation", "c_nationkey")),
-        _objs(supplier, P["in_nation"], supp, iri("nation", "s_nationkey")),
-        _objs(nation, P["in_region"], nat, iri("region", "n_regionkey")),
-        _objs(customer.where("c_custkey > 0"), P["parent"], cust, iri("customer", F.expr("c_custkey div 2"))),
-        _objs(even, P["placed_by"], order, iri("customer", "o_custkey")),
-        _objs(odd, P["has_order"], iri("customer", "o_custkey"), order),
-        _objs(lineitem, P["contains"], line_order, iri("part", "l_partkey")),
-        _objs(lineitem, P["supplied_by"], line_order, iri("supplier", "l_suppkey")),
-        _objs(customer, v.TYPE, cust, cls("Customer")),
-        _objs(supplier, v.TYPE, supp, cls("Supplier")),
-        _objs(orders, v.TYPE, order, cls("Order")),
-        _objs(nation, v.TYPE, nat, cls("Nation")),
-        _objs(region, v.TYPE, iri("region", "r_regionkey"), cls("Region")),
-        _objs(part, v.TYPE, prt, brand),
-        _objs(labels.where("quality = 1"), v.TYPE, doc, cls("Good")),
-        _objs(labels.where("toxic = 1"), v.TYPE, doc, cls("Toxic")),
-        _objs(documents, v.TYPE, doc, cls("Document")),
-        _objs(kinds, v.SUBCLASS, brand, kind),
-        _objs(kinds.select("p_type").distinct(), v.SUBCLASS, kind, cls("Part")),
-        _objs(documents.join(documents.groupBy("text").agg(F.min("doc_id").alias("rep")), "text"), v.SAME_AS, doc, iri("document", "rep")),
+        _branch(_objs, customer, P["in_nation"], cust, iri("nation", "c_nationkey")),
+        _branch(_objs, supplier, P["in_nation"], supp, iri("nation", "s_nationkey")),
+        _branch(_objs, nation, P["in_region"], nat, iri("region", "n_regionkey")),
+        _branch(_objs, customer.where("c_custkey > 0"), P["parent"], cust, iri("customer", F.expr("c_custkey div 2"))),
+        _branch(_objs, even, P["placed_by"], order, iri("customer", "o_custkey")),
+        _branch(_objs, odd, P["has_order"], iri("customer", "o_custkey"), order),
+        _branch(_objs, lineitem, P["contains"], line_order, iri("part", "l_partkey")),
+        _branch(_objs, lineitem, P["supplied_by"], line_order, iri("supplier", "l_suppkey")),
+        _branch(_objs, customer, v.TYPE, cust, cls("Customer")),
+        _branch(_objs, supplier, v.TYPE, supp, cls("Supplier")),
+        _branch(_objs, orders, v.TYPE, order, cls("Order")),
+        _branch(_objs, nation, v.TYPE, nat, cls("Nation")),
+        _branch(_objs, region, v.TYPE, iri("region", "r_regionkey"), cls("Region")),
+        _branch(_objs, part, v.TYPE, prt, brand),
+        _branch(_objs, labels.where("quality = 1"), v.TYPE, doc, cls("Good")),
+        _branch(_objs, labels.where("toxic = 1"), v.TYPE, doc, cls("Toxic")),
+        _branch(_objs, documents, v.TYPE, doc, cls("Document")),
+        _branch(_objs, kinds, v.SUBCLASS, brand, kind),
+        _branch(_objs, kinds.select("p_type").distinct(), v.SUBCLASS, kind, cls("Part")),
+        _branch(_objs, documents.join(documents.groupBy("text").agg(F.min("doc_id").alias("rep")), "text"), v.SAME_AS, doc, iri("document", "rep")),
     ]
     axioms = [
         ("lift", P["orderdate"], v.SUBPROPERTY, P["has_date"]), ("lift", P["shipdate"], v.SUBPROPERTY, P["has_date"]),
         ("lift", P["placed_by"], v.INVERSE_OF, P["has_order"]), ("lift", f"{T}class/Good", v.DISJOINT_WITH, f"{T}class/Toxic"),
         ("lift", P["placed_by"], v.RANGE, f"{T}class/Orderer"), ("lift", P["contains"], v.RANGE, f"{T}class/Supplied"),
     ]
-    objs.append(spark.createDataFrame(axioms, "c string, s string, p string, o string"))
+    for p in sorted({a[2] for a in axioms}):
+        objs.append((p, spark.createDataFrame([a for a in axioms if a[2] == p], "c string, s string, p string, o string")))
     datas = [
-        _datas(customer, P["mktsegment"], cust, "c_mktsegment", v.STRING),
-        _datas(customer, P["acctbal"], cust, "c_acctbal", v.DOUBLE),
-        _datas(supplier, P["acctbal"], supp, "s_acctbal", v.DOUBLE),
-        _datas(customer, P["name"], cust, "c_name", v.STRING),
-        _datas(nation, P["name"], nat, "n_name", v.STRING),
-        _datas(region, P["name"], iri("region", "r_regionkey"), "r_name", v.STRING),
-        _datas(part, P["name"], prt, "p_name", v.STRING),
-        _datas(part, P["size"], prt, "p_size", v.INTEGER),
-        _datas(part, P["retailprice"], prt, "p_retailprice", v.DOUBLE),
-        _datas(orders, P["orderstatus"], order, "o_orderstatus", v.STRING),
-        _datas(orders, P["totalprice"], order, "o_totalprice", v.DOUBLE),
-        _datas(orders, P["orderpriority"], order, "o_orderpriority", v.STRING),
-        _datas(orders, P["orderdate"], order, "o_orderdate", v.DATETIME),
-        _datas(lineitem, P["shipdate"], iri("line", "l_orderkey", "l_linenumber"), "l_shipdate", v.DATETIME),
-        _datas(documents, P["text"], doc, "text", v.PLAIN, F.col("lang")),
-        _datas(documents, P["source"], doc, "source", v.STRING),
-        _datas(documents, P["n_chars"], doc, "n_chars", v.INTEGER),
-        _datas(labels, P["quality"], doc, "quality", v.INTEGER),
-        _datas(labels, P["toxic"], doc, "toxic", v.INTEGER),
+        _branch(_datas, customer, P["mktsegment"], cust, "c_mktsegment", v.STRING),
+        _branch(_datas, customer, P["acctbal"], cust, "c_acctbal", v.DOUBLE),
+        _branch(_datas, supplier, P["acctbal"], supp, "s_acctbal", v.DOUBLE),
+        _branch(_datas, customer, P["name"], cust, "c_name", v.STRING),
+        _branch(_datas, nation, P["name"], nat, "n_name", v.STRING),
+        _branch(_datas, region, P["name"], iri("region", "r_regionkey"), "r_name", v.STRING),
+        _branch(_datas, part, P["name"], prt, "p_name", v.STRING),
+        _branch(_datas, part, P["size"], prt, "p_size", v.INTEGER),
+        _branch(_datas, part, P["retailprice"], prt, "p_retailprice", v.DOUBLE),
+        _branch(_datas, orders, P["orderstatus"], order, "o_orderstatus", v.STRING),
+        _branch(_datas, orders, P["totalprice"], order, "o_totalprice", v.DOUBLE),
+        _branch(_datas, orders, P["orderpriority"], order, "o_orderpriority", v.STRING),
+        _branch(_datas, orders, P["orderdate"], order, "o_orderdate", v.DATETIME),
+        _branch(_datas, lineitem, P["shipdate"], iri("line", "l_orderkey", "l_linenumber"), "l_shipdate", v.DATETIME),
+        _branch(_datas, documents, P["text"], doc, "text", v.PLAIN, F.col("lang")),
+        _branch(_datas, documents, P["source"], doc, "source", v.STRING),
+        _branch(_datas, documents, P["n_chars"], doc, "n_chars", v.INTEGER),
+        _branch(_datas, labels, P["quality"], doc, "quality", v.INTEGER),
+        _branch(_datas, labels, P["toxic"], doc, "toxic", v.INTEGER),
     ]
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    return QuadStore(union(objs), union(datas), INVERSES)
+    all_objs, all_datas = union([f for _, f in objs]), union([f for _, f in datas])
+    group = lambda frames: {p: [f for q, f in frames if q == p] for p, _ in frames}
+    return QuadStore(all_objs, all_datas, INVERSES, {"objs": (all_objs, group(objs)), "datas": (all_datas, group(datas))})

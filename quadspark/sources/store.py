@@ -9,6 +9,7 @@ by predicate so that a pattern with a bound predicate reads its files only.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ class QuadStore:
     datas: DataFrame
     #: Property metadata, which is small: property -> its inverse, both ways.
     inverses: dict[str, str] = field(default_factory=dict)
+    #: For a frame that is a union of single-predicate branches: kind -> (that frame, predicate -> branches). A pattern
+    #: with bound predicates is then built from their branches alone; it holds only while the frame is the same.
+    parts: dict[str, tuple[DataFrame, dict[str, list[DataFrame]]]] = field(default_factory=dict)
 
     # ---- sources -------------------------------------------------------------
     @classmethod
@@ -64,6 +68,12 @@ class QuadStore:
     def scan(self, kind: str = "quads", **bound: object) -> DataFrame:
         """Rows of ``objs``, ``datas`` or ``quads`` whose columns equal what is bound; None leaves a column free."""
         frame = getattr(self, kind)
+        p = bound.get("p")
+        if p is not None and kind == "quads":
+            return replace(self, objs=self.scan("objs", p=p), datas=self.scan("datas", p=p)).scan("quads", **{k: x for k, x in bound.items() if k != "p"})
+        if p is not None and kind in self.parts and self.parts[kind][0] is frame:
+            chosen = [f for x in ([p] if isinstance(p, str) else p) for f in self.parts[kind][1].get(x, ())]
+            frame = reduce(lambda a, b: a.unionByName(b), chosen) if chosen else frame.where("false")
         for name, value in bound.items():
             if value is not None:
                 frame = frame.where(F.col(name).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(name) == value)
