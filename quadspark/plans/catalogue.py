@@ -21,10 +21,22 @@ from .oracles import ORACLE_SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_held: dict[tuple[str, str], QuadStore] = {}
+
+
+def lifted(spark: SparkSession, sf_dir: str) -> QuadStore:
+    """The tables as a store: a plan of some forty branches, kept for the session's last folder as its analysis takes seconds."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _held:
+        _held.clear()
+        _held[at] = lift(spark, sf_dir)
+    return _held[at]
+
+
 def query(f: Callable) -> Callable:
     """Registers f(store), f(store, spark, sf_dir) under its name."""
     n = f.__code__.co_argcount
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(*(lift(spark, sf_dir), spark, sf_dir)[:n])
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(*(lifted(spark, sf_dir), spark, sf_dir)[:n])
     return f
 
 
