@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,8 +73,8 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "://" in text:
         out += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
-    free = lambda s, e: (i := bisect_left(starts, e)) == 0 or max(x[1] for x in taken[max(0, i - 3) : i]) <= s
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    free = lambda s, e: (i := bisect_left(starts, e)) == 0 or reach[i - 1] <= s
     return [x for x in out if free(x[1], x[2])]
 
 

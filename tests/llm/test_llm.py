@@ -330,6 +330,9 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds(f"value {token} here") == [] and kinds("see https://host/path") == [] and kinds("username: ann") == []
     assert kinds(f"username: ann value {token} at https://host/path") == ["user", "opaque", "endpoint"]
     assert kinds(f"username: ann {'pad ' * 200} {token}") == [] and kinds(f"username: ann {'pad ' * 200} {token}", scope_chars=2000) == ["user", "opaque"]
+    runs = ".".join(c * 24 for c in "abc")
+    inside = f"user=ann token={runs}.Zq8Xw3Lk9Pv2Tn7Rb5Yd"  # an opaque part within a base span is no part of its own
+    assert kinds(inside) == ["user", "assign", "hex", "hex", "hex"]
     rows = frame(spark, [None, "", f"username: ann value {token}", "token = abcdef123456 end"], findings=1)
     assert [r.text for r in secret_scan.redact_secrets(rows).orderBy("doc_id").collect()] == [None, "", "<USER> value <OPAQUE>", "<ASSIGN> end"]
 
