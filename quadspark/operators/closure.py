@@ -6,7 +6,7 @@ folder and ends when a round finds nothing new, so cycles are safe.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
@@ -161,24 +161,34 @@ def roots(edges: DataFrame) -> DataFrame:
 def list_items(first: DataFrame, rest: DataFrame, heads: DataFrame) -> DataFrame:
     """(lst, pos, item) of RDF lists: ``first`` (s, o), ``rest`` (s, o), ``heads`` (lst, node).
 
-    Cells are ranked by pointer doubling on the distance to the list's end, so a
-    list of n cells takes log2(n) rounds rather than n.
+    Cells learn their list's last cell and the distance to it by pointer
+    doubling, so a list of n cells takes log2(n) rounds rather than n, and only
+    cells that are not there yet take part in a round. A position is the
+    difference of two distances, so no list is ever gathered in one task. A chain
+    that breaks off ends there; cells on a cycle or before one have no position
+    and are left out. Different lists share no cell.
     """
-    nil = v.NIL
-    hop = rest.select(F.col("s").alias("node"), F.col("o").alias("to"), F.when(F.col("o") == nil, 0).otherwise(1).alias("far"))
-    hop = checkpointed(hop)
-    while not hop.where(F.col("to") != nil).isEmpty():
-        nxt = hop.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
-        joined = hop.join(nxt, "to", "left")
-        step = joined.select(
-            "node", F.when(F.col("to") == nil, F.lit(nil)).otherwise(F.coalesce("to2", F.lit(nil))).alias("to"),
-            (F.col("far") + F.when(F.col("to") == nil, 0).otherwise(F.coalesce("far2", F.lit(0)))).alias("far"),
+    at_end = F.col("o") == v.NIL
+    hop = checkpointed(
+        rest.select(
+            F.col("s").alias("node"), F.when(at_end, F.col("s")).otherwise(F.col("o")).alias("last"),
+            F.when(at_end, 0).otherwise(1).cast("long").alias("far"), at_end.alias("done"),
+        )
+    )
+    closed, going = hop.where("done"), hop.where("NOT done")
+    left, before = going.count(), -1
+    while left and left != before:  # the nearest cell that is not done gets done in each round, unless all that are left run into cycles
+        known = closed.unionByName(going).select(F.col("node").alias("last"), F.col("last").alias("last2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        step = checkpointed(
+            going.join(known, "last", "left").select(
+                "node", F.coalesce("last2", "last").alias("last"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
+                F.coalesce("done2", F.lit(True)).alias("done"),
+            )
         )
-        hop = checkpointed(step)
-    owner = components(rest.where(F.col("o") != nil))
-    single = heads.join(owner, heads["node"] == owner["node"], "left_anti").select(F.col("lst"), F.col("node").alias("cell"))
-    linked = heads.join(owner.withColumnRenamed("node", "head"), F.col("node") == F.col("head")).select("lst", F.col("component").alias("part"))
-    cells = linked.join(owner, F.col("part") == F.col("component")).select("lst", F.col("node").alias("cell")).unionByName(single)
-    placed = cells.join(hop, F.col("cell") == F.col("node")).select("lst", "cell", "far")
-    pos = F.row_number().over(Window.partitionBy("lst").orderBy(F.desc("far")))
-    return placed.join(first.select(F.col("s").alias("cell"), F.col("o").alias("item")), "cell").select("lst", pos.cast("long").alias("pos"), "item")
+        closed, going = closed.unionByName(step.where("done")), step.where("NOT done")
+        left, before = going.count(), left
+    ends = closed.select("node", "last", "far")
+    starts = heads.join(ends, "node").select("lst", "last", F.col("far").alias("whole"))
+    cells = starts.join(ends.withColumnRenamed("node", "cell"), "last").where("far <= whole")
+    items = first.select(F.col("s").alias("cell"), F.col("o").alias("item"))
+    return cells.join(items, "cell").select("lst", (F.col("whole") - F.col("far") + 1).alias("pos"), "item")

@@ -1,7 +1,8 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quadspark.operators.closure import Hierarchy, closure_pairs, components, reachable, roots
+from quadspark.functions import vocab as v
+from quadspark.operators.closure import Hierarchy, closure_pairs, components, list_items, reachable, roots
 
 EDGES = st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=12)
 SOME = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -40,3 +41,17 @@ def test_hierarchy(spark):
     assert {r[0] for r in h.below(spark, ["c"]).collect()} == {"a", "b", "c", "d"}
     assert {r[0] for r in h.above(spark, ["d"]).collect()} == {"a", "b", "c", "d"}
     assert [r[0] for r in roots(spark.createDataFrame([("b", "a"), ("c", "b")], "s string, o string")).collect()] == ["a"]
+
+
+def test_list_items(spark):
+    lists = {f"l{n}": [f"l{n}.{i}" for i in range(n)] for n in (1, 2, 3, 4, 7, 8, 9)}
+    rest = [(a, b) for cells in lists.values() for a, b in zip(cells, [*cells[1:], v.NIL], strict=True)]
+    broken = [("b0", "b1"), ("b1", "gone")]
+    cyclic = [("c0", "c1"), ("c1", "c2"), ("c2", "c1"), ("d0", "d0")]
+    cells = [a for a, _ in rest + broken + cyclic]
+    heads = [(k, x[0]) for k, x in lists.items()] + [("b", "b0"), ("c", "c0"), ("d", "d0")]
+    pair = lambda rows: spark.createDataFrame(rows, "s string, o string")
+    run = lambda r: {(x.lst, x.pos, x.item) for x in list_items(pair([(c, f"of {c}") for c in cells]), r, spark.createDataFrame(heads, "lst string, node string")).collect()}
+    want = {(k, i + 1, f"of {c}") for k, x in lists.items() for i, c in enumerate(x)}
+    assert run(pair(rest + broken + cyclic)) == want | {("b", 1, "of b0"), ("b", 2, "of b1")}
+    assert run(pair([])) == set()
