@@ -1,14 +1,18 @@
-"""Benchmark decontamination by SimHash windows and a multi-index.
-
-Each benchmark item takes the largest window length of a geometric scale that
-still leaves a grid position of a document inside any copy of the item, and
-gives the 64-bit SimHash of each of its windows of that length. Documents are
-read once: windows of every length in use are hashed on that length's grid, from
-running sums of the words' bits. The fingerprints are cut into ``radius`` + 1
-blocks; two that differ in at most ``radius`` bits agree in a block, so looking
-up every block finds all of them. A hit places the item in the document, and the
-share of the item's five-word shingles (weighted by rarity among the items) that
-this stretch holds is then computed exactly.
+"""Benchmark decontamination by rare shingles, with SimHash distances.
+
+Each benchmark item gives its five-word shingles, weighted by rarity among the
+items. A stretch of a document that holds ``least`` of an item's weight misses at
+most the rest, so it holds one of any set of shingles that weigh more than the
+rest: the item's rarest such set, its seeds, is looked up at every word of every
+document, and no copy is lost. Around a seed the stretches of at most 5/4 of the
+item's words are weighed exactly.
+
+In a document with a match the SimHash windows say how far the copy is: each item
+takes the largest window length of a geometric scale that still leaves a grid
+position of a document inside any copy of the item, and gives the 64-bit SimHash
+of each of its windows of that length. The fingerprints are cut into ``radius`` +
+1 blocks; two that differ in at most ``radius`` bits agree in a block, so looking
+up every block finds all of them.
 
 The index is broadcast, ``part_words`` words of items at a time: a larger
 benchmark makes more passes instead of a larger broadcast. Documents are never
@@ -17,13 +21,16 @@ shuffled.
 Defined results: words are split at ASCII white space and compared without ASCII
 marks at their ends and with ASCII letters in lower case; null or empty texts and items without a word match
 nothing; an item shorter than five words is one shingle; equal items are separate
-items; each place of an item in a document is one match, by (start, item_id); of
-overlapping places of one item the most similar stays.
+items; each place of an item in a document is one match, by (start, item_id), from
+where the item's first word would be to where its last would be; of overlapping
+places of one item the most similar stays; ``distance`` is that of the nearest
+window on the grid, null where none is within the radius.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, load, odd_constants, rolling, split_words
 
 WIDTH = 5
+SLACK = 1e-9  # for rounding in sums of weights
 SLICE = 12_000  # words at a time: their running sums stay in the cache, and fit 16 bits
 MATCH = "array<struct<item_id:long,start:int,end:int,similarity:double,distance:int>>"
 _SHINGLE = odd_constants(WIDTH, 5)
@@ -121,54 +129,119 @@ class MultiIndex:
         return q[once], p[once], d[once]
 
 
+class Seeds:
+    """Items by the shingle hashes that a copy cannot miss all of."""
+
+    def __init__(self, values: np.ndarray, owners: np.ndarray):
+        order = np.lexsort((owners, values))
+        self.values, first = np.unique(values[order], return_index=True)
+        self.owners, self.begins = owners[order], np.append(first, len(values))
+        self.mask = np.uint64((1 << max(10, (8 * len(self.values)).bit_length())) - 1)
+        self.marked = np.zeros(int(self.mask) + 1, bool)
+        self.marked[(self.values & self.mask).astype(np.int64)] = True
+
+    def within(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``shingles`` and the items whose seeds stand there."""
+        place = np.flatnonzero(self.marked[(shingles & self.mask).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.values, shingles[place]), len(self.values) - 1)
+        same = self.values[at] == shingles[place]
+        place, at = place[same], at[same]
+        n = self.begins[at + 1] - self.begins[at]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(place, n), self.owners[np.repeat(self.begins[at], n) + inner]
+
+
+class Shingles:
+    """An item's distinct shingles, their numbers and weights, and the offsets at which each is first and last."""
+
+    def __init__(self, values: np.ndarray, weight: dict[int, float]):
+        self.values, self.first, self.number = np.unique(values, return_index=True, return_counts=True)
+        self.last = len(values) - 1 - np.unique(values[::-1], return_index=True)[1]
+        self.weight = np.array([weight[x] for x in self.values.tolist()])
+        self.total = float((self.weight * self.number).sum())
+
+    def seeds(self, least: float) -> np.ndarray:
+        """The rarest shingles that weigh more than what a match may miss."""
+        order = np.lexsort((self.values, -self.weight))
+        weighed = np.cumsum((self.weight * self.number)[order])
+        return self.values[order[: int(np.searchsorted(weighed, (1 - least + SLACK) * self.total, side="right")) + 1]]
+
+
 @dataclass
 class Items:
     """A part of the benchmark, ready to look up."""
 
     ids: list[int]
-    shingles: list[np.ndarray]
+    shingles: list[Shingles]
     lengths: list[int]
-    weight: dict[int, float]
+    seeds: dict[int, Seeds]  # by words in a shingle
     classes: dict[int, tuple[MultiIndex, np.ndarray, np.ndarray]]  # window length -> index, item and offset of each print
 
+    def reach(self, item: int) -> int:
+        return self.lengths[item] + self.lengths[item] // 4
+
 
-def build_items(rows: list[tuple[int, str | None]], radius: int) -> Items:
+def build_items(rows: list[tuple[int, str | None]], radius: int, least: float = 0.8) -> Items:
     seen, kept = PlainHashes(), []
     for item_id, text in rows:
         words = split_words(text)
         if words:
             kept.append((item_id, seen.of(words)))
-    shingles = [_shingles(h) for _, h in kept]
-    frequency = Counter(x for s in shingles for x in set(s.tolist()))
+    values = [_shingles(h) for _, h in kept]
+    frequency = Counter(x for s in values for x in set(s.tolist()))
     weight = {x: math.log(1.0 + len(kept) / n) for x, n in frequency.items()}
+    shingles = [Shingles(s, weight) for s in values]
+    by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
     by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
     for i, (_, h) in enumerate(kept):
+        by_width.setdefault(min(WIDTH, len(h)), []).append((shingles[i].seeds(least), i))
         w = window_length(len(h))
         by_length.setdefault(w, []).append((simhash(running_bits(h), np.arange(len(h) - w + 1), w), i))
+    owned = lambda each: (np.concatenate([p for p, _ in each]), np.concatenate([np.full(len(p), i) for p, i in each]))
     classes = {}
     for w, each in by_length.items():
-        prints = np.concatenate([p for p, _ in each])
-        owner = np.concatenate([np.full(len(p), i) for p, i in each])
+        prints, owner = owned(each)
         offset = np.concatenate([np.arange(len(p)) for p, _ in each])
         classes[w] = MultiIndex(prints, radius), owner, offset
-    return Items([i for i, _ in kept], shingles, [len(h) for _, h in kept], weight, classes)
-
-
-def covered(items: Items, item: int, stretch: np.ndarray) -> float:
-    """Weighted share of the item's shingles that the stretch of word hashes holds, with multiplicity."""
-    want = Counter(items.shingles[item].tolist())
-    have = Counter(_shingles_of_width(stretch, min(WIDTH, items.lengths[item])).tolist())
-    total = sum(items.weight[x] * n for x, n in want.items())
-    return sum(items.weight[x] * min(n, have[x]) for x, n in want.items()) / total
-
-
-def _shingles_of_width(hashes: np.ndarray, width: int) -> np.ndarray:
-    return rolling(hashes, width, _SHINGLE)
+    return Items([i for i, _ in kept], shingles, [len(h) for _, h in kept], {w: Seeds(*owned(each)) for w, each in by_width.items()}, classes)
+
+
+def places(items: Items, item: int, hashes: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(start, end, share) of stretches of ``hashes`` that hold ``least`` or more of the item's weight, with multiplicity.
+
+    Of the stretches from one shingle on, the shortest of the greatest share.
+    """
+    own, length, reach = items.shingles[item], items.lengths[item], items.reach(item)
+    width = min(WIDTH, length)
+    found = rolling(hashes, width, _SHINGLE)
+    known = np.minimum(np.searchsorted(own.values, found), len(own.values) - 1)
+    hit = np.flatnonzero(own.values[known] == found)
+    bound = (least - SLACK) * own.total
+    if own.weight[known[hit]].sum() < bound:
+        return []
+    pos, what, number, weight = hit.tolist(), known[hit].tolist(), own.number.tolist(), own.weight.tolist()
+    have, got, end, out = [0] * len(number), 0.0, 0, []
+    for begin, x in enumerate(what):
+        while end < len(pos) and pos[end] + width - pos[begin] <= reach:
+            y = what[end]
+            have[y] += 1
+            got += weight[y] if have[y] <= number[y] else 0.0
+            end += 1
+        if got >= bound and have[x] <= number[x]:
+            share = float((own.weight * np.minimum(own.number, have)).sum()) / own.total
+            last, spare = end - 1, Counter()
+            while have[what[last]] - spare[what[last]] > number[what[last]]:
+                spare[what[last]] += 1
+                last -= 1
+            out.append((pos[begin] - int(own.first[x]), pos[last] + length - int(own.last[what[last]]), share))
+        got -= weight[x] if have[x] <= number[x] else 0.0
+        have[x] -= 1
+    return out
 
 
-def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int]]]:
+def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int | None]]]:
     """For each text its matches (item_id, start, end, similarity, distance)."""
-    out: list[list[tuple[int, int, int, float, int]]] = []
+    out: list[list[tuple[int, int, int, float, int | None]]] = []
     held: list[list[bytes]] = []
     size = 0
     for text in texts:
@@ -180,41 +253,74 @@ def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least:
     return out + _find(held, items, seen, least)
 
 
-def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int]]]:
-    out: list[dict[tuple[int, int], tuple[float, int, int]]] = [{} for _ in each]
+def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int | None]]]:
+    out: list[list[tuple[int, int, int, float, int | None]]] = [[] for _ in each]
     lengths = np.array([len(w) for w in each], np.int64)
     if not items.classes or not lengths.sum():
-        return [[] for _ in each]
+        return out
     starts = np.concatenate([[0], np.cumsum(lengths)])
     hashes = np.concatenate([seen.of(w) for w in each])
     doc = np.repeat(np.arange(len(each)), lengths)
-    pos = np.arange(len(hashes)) - starts[doc]
-    left = lengths[doc] - pos
-    longest = max(items.classes)
+    left = starts[doc + 1] - np.arange(len(hashes))
+    met: dict[int, dict[int, list[tuple[int, int, float]]]] = {}
+    for width, seeds in items.seeds.items():
+        at, item = seeds.within(rolling(hashes, width, _SHINGLE))
+        whole = left[at] >= width
+        at, item = at[whole], item[whole]
+        order = np.lexsort((at, item, doc[at]))
+        at, item = at[order], item[order]
+        reach = np.array([items.reach(i) for i in item.tolist()], np.int64)
+        parted = (np.diff(item) != 0) | (np.diff(doc[at]) != 0) | (np.diff(at) > 2 * reach[1:])
+        cuts = np.concatenate([[0], np.flatnonzero(parted) + 1, [len(at)]]).tolist() if len(at) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, which, far = int(doc[at[a]]), int(item[a]), int(reach[a])
+            begin, end = max(int(starts[i]), int(at[a]) - far), min(int(starts[i + 1]), int(at[b - 1]) + far)
+            first, n = begin - int(starts[i]), int(lengths[i])
+            for s, e, share in places(items, which, hashes[begin:end], least):
+                met.setdefault(i, {}).setdefault(which, []).append((max(0, first + s), min(n, first + e), share))
+    for i, by_item in met.items():
+        near = _distances(hashes[starts[i] : starts[i + 1]], items, by_item)
+        each_one = []
+        for which, found in by_item.items():
+            for s, e, share in found:
+                d = min((x for a, b, x in near.get(which, ()) if a < e and s < b), default=None)
+                each_one.append((items.ids[which], s, e, share, d))
+        out[i] = apart(each_one)
+    return out
+
+
+def _distances(hashes: np.ndarray, items: Items, wanted: dict[int, list]) -> dict[int, list[tuple[int, int, int]]]:
+    """(start, end, distance) of the wanted items where a window of the document's grid is within the radius."""
+    out: dict[int, dict[int, int]] = {}
+    lengths = {window_length(items.lengths[i]) for i in wanted}
+    mine = np.zeros(len(items.ids), bool)
+    mine[list(wanted)] = True
     for a in range(0, len(hashes), SLICE):
         b = min(len(hashes), a + SLICE)
-        sums = running_bits(hashes[a : min(len(hashes), b + longest)])
-        for w, (index, owner, offset) in items.classes.items():
-            places = np.flatnonzero((pos[a:b] % stride(w) == 0) & (left[a:b] >= w))
-            q, p, d = index.within(simhash(sums, places, w))
-            for at, print_, distance in zip((places[q] + a).tolist(), p.tolist(), d.tolist(), strict=True):
-                i, item = int(doc[at]), int(owner[print_])
-                start = max(0, int(pos[at]) - int(offset[print_]))
-                end = min(int(lengths[i]), int(pos[at]) - int(offset[print_]) + items.lengths[item])
-                old = out[i].get((item, start))
-                if old is not None:
-                    if distance < old[1]:
-                        out[i][item, start] = (old[0], distance, end)
-                    continue
-                out[i][item, start] = (covered(items, item, hashes[starts[i] + start : starts[i] + end]), distance, end)
-    return [apart([(items.ids[item], start, e, share, d) for (item, start), (share, d, e) in found.items() if share >= least]) for found in out]
-
-
-def apart(matches: list[tuple[int, int, int, float, int]]) -> list[tuple[int, int, int, float, int]]:
+        sums = running_bits(hashes[a : min(len(hashes), b + max(lengths))])
+        for w in lengths:
+            index, owner, offset = items.classes[w]
+            first = -a % stride(w)
+            at = np.arange(first, min(b, len(hashes) - w + 1) - a, stride(w))
+            q, p, d = index.within(simhash(sums, at, w))
+            own = mine[owner[p]]
+            for place, print_, distance in zip((at[q[own]] + a).tolist(), p[own].tolist(), d[own].tolist(), strict=True):
+                item = int(owner[print_])
+                starts = out.setdefault(item, {})
+                start = place - int(offset[print_])
+                starts[start] = min(distance, starts.get(start, distance))
+    return {item: [(s, s + items.lengths[item], d) for s, d in starts.items()] for item, starts in out.items()}
+
+
+def apart(matches: list[tuple[int, int, int, float, int | None]]) -> list[tuple[int, int, int, float, int | None]]:
     """Of matches of one item that overlap, the one of greatest similarity, then least distance, then first."""
-    kept: list[tuple[int, int, int, float, int]] = []
-    for m in sorted(matches, key=lambda x: (x[0], -x[3], x[4], x[1])):
-        if all(m[0] != k[0] or m[2] <= k[1] or k[2] <= m[1] for k in kept):
+    kept: list[tuple[int, int, int, float, int | None]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for m in sorted(matches, key=lambda x: (-x[3], 65 if x[4] is None else x[4], x[1])):
+        spans = taken.setdefault(m[0], [])
+        at = bisect_left(spans, (m[1], m[2]))
+        if (at == len(spans) or m[2] <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= m[1]):
+            spans.insert(at, (m[1], m[2]))
             kept.append(m)
     return sorted(kept, key=lambda x: (x[1], x[0]))
 
@@ -230,7 +336,7 @@ def find_contamination(
     out = df.withColumn(output, F.array().cast(MATCH))
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about part_words words
-        held = df.sparkSession.sparkContext.broadcast(build_items(sorted((r[0], r[1] or "") for r in mine), radius))
+        held = df.sparkSession.sparkContext.broadcast(build_items(sorted((r[0], r[1] or "") for r in mine), radius, least))
         out = out.withColumn(output, F.concat(output, _finder(held, least)(F.col(text))))
     order = lambda x, y: F.when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["item_id"] < y["item_id"])), -1).otherwise(1)
     return out if parts == 1 else out.withColumn(output, F.array_sort(output, order))

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small fixtures with nulls, empty and long texts, ties and repeats."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -138,6 +139,47 @@ def test_contamination(spark):
     assert decontaminate.find_contamination(frame(spark, texts[:3]), bench.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_contamination_finds_every_near_copy():
+    """Substitutions, insertions and truncations against the best of all stretches, by brute force."""
+    rng = random.Random(11)
+    texts = [words(rng, n, 3000).split() for n in (6, 15, 19, 23, 36, 38, 51, 59)]
+    texts += [texts[4][:20] + words(rng, 18, 3000).split(), ["a", "b", "c", "d", "e"] * 4 + words(rng, 20, 3000).split()]
+    items = decontaminate.build_items([(i, " ".join(t)) for i, t in enumerate(texts)], 5)
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    df = collections.Counter(g for t in texts for g in set(grams(t)))
+    weight = {g: math.log(1 + len(texts) / n) for g, n in df.items()}
+
+    def best(item, doc):
+        want, reach = collections.Counter(grams(item)), len(item) + len(item) // 4
+        total = sum(weight[g] * n for g, n in want.items())
+        stretches = (collections.Counter(grams(doc[a : a + reach])) for a in range(len(doc)))
+        return max(sum(weight[g] * min(n, have[g]) for g, n in want.items()) for have in stretches) / total
+
+    docs = []
+    for t in texts:
+        for k in range(24):
+            w = list(t)
+            for _ in range(1 + k % 3):
+                at = rng.randrange(len(w))
+                if k % 4 == 0:
+                    w[at] = "changed"
+                elif k % 4 == 1:
+                    w.insert(at, "more")
+                elif k % 4 == 2:
+                    w[at:at] = ["three", "words", "more"]
+                else:
+                    w = w[: -max(1, len(w) // 15)] if k < 12 else w[max(1, len(w) // 15) :]
+            docs.append(words(rng, rng.randrange(40), 3000).split() + w + words(rng, 30, 3000).split())
+    got = decontaminate.find_items([" ".join(d) for d in docs], items, decontaminate.PlainHashes(), 0.8)
+    n = 0
+    for d, found in zip(docs, got):
+        share = {i: best(t, d) for i, t in enumerate(texts)}
+        assert {m[0] for m in found} == {i for i, x in share.items() if x >= 0.8}
+        assert all(abs(max(m[3] for m in found if m[0] == i) - share[i]) < 1e-9 for i in {m[0] for m in found})
+        n += len(found)
+    assert 60 < n < len(docs)
+
+
 # ---- 4 Jaccard join --------------------------------------------------------------------
 @pytest.mark.parametrize("chunk", [256, 3])
 def test_jaccard_join(spark, texts, monkeypatch, chunk):
