@@ -21,7 +21,7 @@ shuffled.
 Defined results: words are split at ASCII white space and compared without ASCII
 marks at their ends and with ASCII letters in lower case; null or empty texts and items without a word match
 nothing; an item shorter than five words is one shingle; equal items are separate
-items; each place of an item in a document is one match, by (start, item_id), from
+items, and so are those without an item_id, which match with a null one; each place of an item in a document is one match, by (start, item_id), from
 where the item's first word would be to where its last would be; of overlapping
 places of one item the most similar stays; ``distance`` is that of the nearest
 window on the grid, null where none is within the radius.
@@ -171,7 +171,7 @@ class Shingles:
 class Items:
     """A part of the benchmark, ready to look up."""
 
-    ids: list[int]
+    ids: list[int | None]
     shingles: list[Shingles]
     lengths: list[int]
     seeds: dict[int, Seeds]  # by words in a shingle
@@ -181,7 +181,7 @@ class Items:
         return self.lengths[item] + self.lengths[item] // 4
 
 
-def build_items(rows: list[tuple[int, str | None]], radius: int, least: float = 0.8) -> Items:
+def build_items(rows: list[tuple[int | None, str | None]], radius: int, least: float = 0.8) -> Items:
     seen, kept = PlainHashes(), []
     for item_id, text in rows:
         words = split_words(text)
@@ -239,9 +239,9 @@ def places(items: Items, item: int, hashes: np.ndarray, least: float) -> list[tu
     return out
 
 
-def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int | None]]]:
+def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int | None, int, int, float, int | None]]]:
     """For each text its matches (item_id, start, end, similarity, distance)."""
-    out: list[list[tuple[int, int, int, float, int | None]]] = []
+    out: list[list[tuple[int | None, int, int, float, int | None]]] = []
     held: list[list[bytes]] = []
     size = 0
     for text in texts:
@@ -253,8 +253,8 @@ def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least:
     return out + _find(held, items, seen, least)
 
 
-def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int, int, int, float, int | None]]]:
-    out: list[list[tuple[int, int, int, float, int | None]]] = [[] for _ in each]
+def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int | None, int, int, float, int | None]]]:
+    out: list[list[tuple[int | None, int, int, float, int | None]]] = [[] for _ in each]
     lengths = np.array([len(w) for w in each], np.int64)
     if not items.classes or not lengths.sum():
         return out
@@ -280,12 +280,14 @@ def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float
                 met.setdefault(i, {}).setdefault(which, []).append((max(0, first + s), min(n, first + e), share))
     for i, by_item in met.items():
         near = _distances(hashes[starts[i] : starts[i + 1]], items, by_item)
-        each_one = []
+        named: dict[tuple[bool, int], list[tuple[int | None, int, int, float, int | None]]] = {}
         for which, found in by_item.items():
+            name = items.ids[which]
+            mine = named.setdefault((False, which) if name is None else (True, name), [])
             for s, e, share in found:
                 d = min((x for a, b, x in near.get(which, ()) if a < e and s < b), default=None)
-                each_one.append((items.ids[which], s, e, share, d))
-        out[i] = apart(each_one)
+                mine.append((name, s, e, share, d))
+        out[i] = sorted((m for mine in named.values() for m in apart(mine)), key=lambda m: (m[1], m[0] is None, m[0] or 0, m[2], m[3]))
     return out
 
 
@@ -312,17 +314,16 @@ def _distances(hashes: np.ndarray, items: Items, wanted: dict[int, list]) -> dic
     return {item: [(s, s + items.lengths[item], d) for s, d in starts.items()] for item, starts in out.items()}
 
 
-def apart(matches: list[tuple[int, int, int, float, int | None]]) -> list[tuple[int, int, int, float, int | None]]:
-    """Of matches of one item that overlap, the one of greatest similarity, then least distance, then first."""
-    kept: list[tuple[int, int, int, float, int | None]] = []
-    taken: dict[int, list[tuple[int, int]]] = {}
+def apart(matches: list[tuple[int | None, int, int, float, int | None]]) -> list[tuple[int | None, int, int, float, int | None]]:
+    """Of one item's matches that overlap, the one of greatest similarity, then least distance, then first."""
+    kept: list[tuple[int | None, int, int, float, int | None]] = []
+    spans: list[tuple[int, int]] = []
     for m in sorted(matches, key=lambda x: (-x[3], 65 if x[4] is None else x[4], x[1])):
-        spans = taken.setdefault(m[0], [])
         at = bisect_left(spans, (m[1], m[2]))
         if (at == len(spans) or m[2] <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= m[1]):
             spans.insert(at, (m[1], m[2]))
             kept.append(m)
-    return sorted(kept, key=lambda x: (x[1], x[0]))
+    return kept
 
 
 def find_contamination(
@@ -330,15 +331,16 @@ def find_contamination(
     radius: int = 5, least: float = 0.8, part_words: int = 2_000_000, output: str = "matches",
 ) -> DataFrame:
     """``df`` with ``output``: array of (item_id, start, end, similarity, distance), word positions, end exclusive."""
-    rows = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull())
+    rows = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     words = rows.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
     parts = max(1, math.ceil(words / part_words))
     out = df.withColumn(output, F.array().cast(MATCH))
     for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about part_words words
-        held = df.sparkSession.sparkContext.broadcast(build_items(sorted((r[0], r[1] or "") for r in mine), radius, least))
+        mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # about part_words words
+        held = df.sparkSession.sparkContext.broadcast(build_items(sorted(((r[0], r[1] or "") for r in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1])), radius, least))
         out = out.withColumn(output, F.concat(output, _finder(held, least)(F.col(text))))
-    order = lambda x, y: F.when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["item_id"] < y["item_id"])), -1).otherwise(1)
+    key = lambda m: F.struct(m["start"], m["item_id"].isNull(), F.coalesce(m["item_id"], F.lit(0)), m["end"], m["similarity"])
+    order = lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
     return out if parts == 1 else out.withColumn(output, F.array_sort(output, order))
 
 

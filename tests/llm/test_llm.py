@@ -180,6 +180,17 @@ def test_contamination_finds_every_near_copy():
     assert 60 < n < len(docs)
 
 
+def test_contamination_by_items_without_an_id(spark):
+    rng = random.Random(4)
+    one, two, three = (words(rng, 20, 5000) for _ in range(3))
+    bench = spark.createDataFrame([(None, one), (None, two), (0, three)], "item_id long, text string")
+    docs = frame(spark, [f"x {one} y {two}", f"{three} z", "x y z", f"{two} {three}"])
+    for part_words in (2_000_000, 20):
+        found = decontaminate.find_contamination(docs, bench, part_words=part_words).select("doc_id", F.explode("matches").alias("m"))
+        got = [(r.doc_id, r.m.item_id, r.m.start, r.m.end) for r in found.collect()]
+        assert sorted(got, key=lambda x: (x[0], x[2])) == [(0, None, 1, 21), (0, None, 22, 42), (1, 0, 0, 20), (3, None, 0, 20), (3, 0, 20, 40)]
+
+
 # ---- 4 Jaccard join --------------------------------------------------------------------
 @pytest.mark.parametrize("chunk", [256, 3])
 def test_jaccard_join(spark, texts, monkeypatch, chunk):
