@@ -4,7 +4,8 @@
    form a class, whose least doc_id stands for it; copies go no further.
 2. MinHash values in bands: classes that share a band are candidates. Classes in
    a band's bucket are dealt into tiles of two chunks each, so that a bucket of
-   any size is spread over tasks and no pair is ever a row.
+   any size is spread over tasks and no pair is ever a row. The rows dealt, and
+   then the bytes of the sets, give the number of units that tiles are put in.
 3. In a tile, pairs are compared by their MinHash values step by step. A pair
    leaves when the posterior probability (uniform prior) that its similarity
    reaches the threshold falls under ``tolerance``. A pair belongs to the first
@@ -35,7 +36,7 @@ from .common import WordHashes, blocks_for, checkpointed, load, mix64, odd_const
 BANDS, ROWS, STEP = 20, 4, 16
 CHUNK = 256
 PAIRS_AT_ONCE = 40_000
-MEMBERS_A_UNIT = 4_000
+ROWS_A_UNIT, BYTES_A_UNIT = 2_000, 1 << 20
 _MULTIPLIERS = odd_constants(BANDS * ROWS, 21)
 
 
@@ -159,7 +160,7 @@ def jaccard_join(
     documents with a similarity of ``threshold`` or more.
     """
     docs = checkpointed(shingled(df, text, key, width))
-    classes = docs.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = docs.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     # A class needs a doc_id of its own to be named by; without one it has no links but its copies.
     named = checkpointed(classes.where("rep IS NOT NULL").withColumn("id", F.xxhash64("class")))
     fewest = least_matches(threshold, tolerance, [STEP * (i + 1) for i in range(BANDS * ROWS // STEP)])
@@ -167,9 +168,9 @@ def jaccard_join(
     size = 4 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * size + 1, size)).alias("bucket")))
     members = named.select("class", "id", F.explode(keys).alias("at")).select("class", "id", "at.*")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    units = blocks_for(named.count() * BANDS, 8 * MEMBERS_A_UNIT)
+    buckets = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    unit = lambda size, per_unit: F.pmod(F.xxhash64("bucket", "tile"), F.lit(blocks_for(size, per_unit))).cast("int")
     chunk = F.pmod(F.xxhash64("id", F.lit(9)), chunks).cast("int")
     # A member of chunk c goes to the tiles (c, c), (c, d) for later d and (d, c) for earlier d.
     tiles = F.transform(
@@ -181,9 +182,9 @@ def jaccard_join(
         .select("class", "id", "band", "bucket", chunks.alias("chunks"), chunk.alias("chunk"))
         .select("class", "id", "band", "bucket", F.explode(tiles).alias("at"))
         .select("class", "id", "band", "bucket", "at.*")
-        .withColumn("unit", F.pmod(F.xxhash64("bucket", "tile"), F.lit(units)).cast("int"))
+        .withColumn("unit", unit(buckets.agg(F.sum(F.col("n") * chunks)).first()[0] or 0, ROWS_A_UNIT))
     )
-    with_sig = dealt.join(named.select("class", "sig", "rep", "copies"), "class")
+    with_sig = dealt.join(named.select("class", "sig", "rep", "copies", "n_shingles"), "class")
 
     def candidates(rows: pd.DataFrame) -> pd.DataFrame:
         sig, keep = _signatures(rows), np.zeros(len(rows), bool)
@@ -191,10 +192,11 @@ def jaccard_join(
             alive = _surviving(sig, a, b, band, fewest)
             keep[a[alive]] = True
             keep[b[alive]] = True
-        return rows.loc[keep, ["class", "id", "band", "bucket", "tile", "side", "unit", "sig", "rep", "copies"]]
+        return rows.loc[keep, ["class", "id", "band", "bucket", "tile", "side", "unit", "sig", "rep", "copies", "n_shingles"]]
 
-    shape = "class binary, id long, band int, bucket long, tile long, side int, unit int, sig binary, rep long, copies long"
+    shape = "class binary, id long, band int, bucket long, tile long, side int, unit int, sig binary, rep long, copies long, n_shingles int"
     survivors = checkpointed(with_sig.groupBy("unit").applyInPandas(candidates, shape))
+    size_of_sets = survivors.agg(F.sum(F.col("n_shingles").cast("long") * 8 + F.lit(BANDS * ROWS * 4))).first()[0] or 0
 
     wanted = survivors.select("rep").distinct()
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
@@ -205,7 +207,7 @@ def jaccard_join(
             made = [shingle_set(seen.of(split_words(t)), width).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"class": [xxhash.xxh3_128_digest(x) for x in made], "shingles": made})
 
-    full = survivors.join(texts.mapInPandas(sets, "class binary, shingles binary").dropDuplicates(["class"]), "class")
+    full = survivors.withColumn("unit", unit(size_of_sets, BYTES_A_UNIT)).join(texts.mapInPandas(sets, "class binary, shingles binary").dropDuplicates(["class"]), "class")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         sig = _signatures(rows)

@@ -215,6 +215,19 @@ def test_jaccard_join_of_nothing_and_repeated_rows(spark, texts):
     assert sorted((r.doc_id or -1, r.class_id, r.n_links) for r in got) == [(-1, 7, 2), (7, 7, 2), (7, 7, 2)]
 
 
+def test_jaccard_join_of_one_large_group_in_small_units(spark, monkeypatch):
+    """Near copies that share their buckets make rows by the square of their number; the units follow the rows."""
+    rng, base, seen = random.Random(9), words(random.Random(8), 300).split(), []
+    near = [" ".join([*base[: (at := rng.randrange(300))], f"edit{k}", *base[at + 1 :]]) for k in range(160)]
+    keep = jaccard_join.checkpointed
+    monkeypatch.setattr(jaccard_join, "checkpointed", lambda df: seen.append(keep(df)) or seen[-1])
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    got = jaccard_join.jaccard_join(frame(spark, near)).collect()
+    assert len(got) == 160 and {(r.class_id, r.n_links) for r in got} == {(0, 159)}
+    (rows,) = (df.groupBy("unit").count().select("count").collect() for df in seen if "unit" in df.columns)
+    assert sum(r[0] for r in rows) > 4_000 and max(r[0] for r in rows) < 2_000
+
+
 def test_pruning_keeps_likely_pairs():
     fewest = jaccard_join.least_matches(0.8, 1e-6, [16, 32, 48, 64, 80])
     assert fewest == sorted(fewest) and 0 < fewest[0] < 0.8 * 16 and fewest[-1] < 0.8 * 80
