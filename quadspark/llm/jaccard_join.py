@@ -16,7 +16,7 @@
    instead of all pairs.
 
 Defined results: a text of fewer words than ``width`` is one shingle; null texts
-and those without a word are in no group; repeated rows are copies; a repeated
+and those without a word are in no group, and the query gives each a class of its own; repeated rows are copies; a repeated
 doc_id is one document for each row; other columns are ignored.
 """
 
@@ -234,5 +234,14 @@ def jaccard_join(
     return docs.select("doc_id", "class").join(by_class, "class").select("doc_id", "exact_id", "class_id", "n_links")
 
 
+def with_wordless(classes: DataFrame, df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``classes`` and a row for each document of ``df`` without a word: a class of its own, without links."""
+    own = F.col(key).cast("long")
+    wordless = df.where(~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return classes.unionByName(wordless.select(own.alias("doc_id"), own.alias("exact_id"), own.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(load(spark, sf_dir, "documents"))
+    """One row for each document."""
+    docs = load(spark, sf_dir, "documents")
+    return with_wordless(jaccard_join(docs), docs)

@@ -215,6 +215,13 @@ def test_jaccard_join_of_nothing_and_repeated_rows(spark, texts):
     assert sorted((r.doc_id or -1, r.class_id, r.n_links) for r in got) == [(-1, 7, 2), (7, 7, 2), (7, 7, 2)]
 
 
+def test_jaccard_query_has_a_row_for_each_document(spark, tmp_path):
+    frame(spark, [None, "", " \t\n\v\f\r", "a b", "a b", "\u00a0", "\x1c"], [5, 6, None, 7, 8, 9, 10]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = jaccard_join.op4_jaccard_join(spark, str(tmp_path)).collect()
+    want = [(None, None, None, 0), (5, 5, 5, 0), (6, 6, 6, 0), (7, 7, 7, 1), (8, 7, 7, 1), (9, 9, 9, 0), (10, 10, 10, 0)]
+    assert sorted(map(tuple, got), key=lambda r: r[0] or 0) == want
+
+
 def test_jaccard_join_of_one_large_group_in_small_units(spark, monkeypatch):
     """Near copies that share their buckets make rows by the square of their number; the units follow the rows."""
     rng, base, seen = random.Random(9), words(random.Random(8), 300).split(), []
