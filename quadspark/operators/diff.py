@@ -7,6 +7,8 @@ compared with multiplicity, both ways.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +27,38 @@ def _rows(store: QuadStore) -> DataFrame:
     return rows.select(F.when(turn, F.col("o")).otherwise(F.col("s")).alias("s"), "p", F.when(turn, F.col("s")).otherwise(F.col("o")).alias("o"))
 
 
-def canonical(store: QuadStore, rounds: int = 4) -> DataFrame:
-    """(s, p, o) with blank nodes named by ``rounds`` of hashing; deeper structures need more rounds."""
+def canonical(*stores: QuadStore) -> list[DataFrame]:
+    """(s, p, o) of each store with blank nodes named by hashing in rounds until no label of all the stores splits any more.
+
+    The stores are labelled together, so that equal structures in them get equal
+    names. A chain of n blank nodes may take n rounds.
+    """
     from .closure import checkpointed
 
-    rows = checkpointed(_rows(store))
+    tagged = [_rows(store).withColumn("g", F.lit(i)) for i, store in enumerate(stores)]
+    rows = checkpointed(functools.reduce(DataFrame.unionByName, tagged))
     blank = lambda x: F.startswith(x, F.lit("_:"))
-    nodes = rows.select("s").unionByName(rows.select(F.col("o").alias("s"))).where(blank(F.col("s"))).distinct()
+    each = lambda frame: [frame.where(F.col("g") == i).select("s", "p", "o") for i in range(len(stores))]
+    nodes = rows.select("g", "s").unionByName(rows.select("g", F.col("o").alias("s"))).where(blank(F.col("s"))).distinct()
     if nodes.isEmpty():
-        return rows
-    labels = nodes.select(F.col("s").alias("n"), F.lit(0).cast("long").alias("h"))
-    for _ in range(rounds):
-        a, b = labels.select(F.col("n").alias("s"), F.col("h").alias("hs")), labels.select(F.col("n").alias("o"), F.col("h").alias("ho"))
-        both = rows.join(a, "s", "left").join(b, "o", "left")
-        out = both.where("hs IS NOT NULL").groupBy(F.col("s").alias("n")).agg(F.sum(F.xxhash64(F.lit("out"), "p", F.coalesce(F.col("ho").cast("string"), F.col("o"))).cast("decimal(38,0)")).alias("x"))
-        into = both.where("ho IS NOT NULL").groupBy(F.col("o").alias("n")).agg(F.sum(F.xxhash64(F.lit("in"), "p", F.coalesce(F.col("hs").cast("string"), F.col("s"))).cast("decimal(38,0)")).alias("y"))
-        labels = checkpointed(labels.join(out, "n", "left").join(into, "n", "left").select("n", F.xxhash64("h", F.coalesce("x", F.lit(0).cast("decimal(38,0)")), F.coalesce("y", F.lit(0).cast("decimal(38,0)"))).alias("h")))
+        return each(rows)
+    labels = nodes.select("g", F.col("s").alias("n"), F.lit(0).cast("long").alias("h"))
+    known, before = 1, 0
+    while known > before:
+        a, b = labels.select("g", F.col("n").alias("s"), F.col("h").alias("hs")), labels.select("g", F.col("n").alias("o"), F.col("h").alias("ho"))
+        both = rows.join(a, ["g", "s"], "left").join(b, ["g", "o"], "left")
+        out = both.where("hs IS NOT NULL").groupBy("g", F.col("s").alias("n")).agg(F.sum(F.xxhash64(F.lit("out"), "p", F.coalesce(F.col("ho").cast("string"), F.col("o"))).cast("decimal(38,0)")).alias("x"))
+        into = both.where("ho IS NOT NULL").groupBy("g", F.col("o").alias("n")).agg(F.sum(F.xxhash64(F.lit("in"), "p", F.coalesce(F.col("hs").cast("string"), F.col("s"))).cast("decimal(38,0)")).alias("y"))
+        labels = checkpointed(labels.join(out, ["g", "n"], "left").join(into, ["g", "n"], "left").select("g", "n", F.xxhash64("h", F.coalesce("x", F.lit(0).cast("decimal(38,0)")), F.coalesce("y", F.lit(0).cast("decimal(38,0)"))).alias("h")))
+        known, before = labels.select("h").distinct().count(), known
     name = lambda c: F.coalesce(F.concat(F.lit("_:"), F.hex(F.col("h"))), F.col(c))
-    out = rows.join(labels.withColumnRenamed("n", "s"), "s", "left").select(name("s").alias("s"), "p", "o")
-    return out.join(labels.withColumnRenamed("n", "o"), "o", "left").select("s", "p", name("o").alias("o"))
+    out = rows.join(labels.withColumnRenamed("n", "s"), ["g", "s"], "left").select("g", name("s").alias("s"), "p", "o")
+    return each(out.join(labels.withColumnRenamed("n", "o"), ["g", "o"], "left").select("g", "s", "p", name("o").alias("o")))
 
 
-def diff(old: QuadStore, new: QuadStore, rounds: int = 4) -> DataFrame:
+def diff(old: QuadStore, new: QuadStore) -> DataFrame:
     """(side, s, p, o): rows that only one of the graphs has."""
-    return diff_rows(canonical(old, rounds), canonical(new, rounds))
+    return diff_rows(*canonical(old, new))
 
 
 def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -212,6 +212,19 @@ def test_diff_ignores_names_of_blank_nodes(spark):
     assert diff.diff(graph("a", "D"), graph("b", "F")).count() > 0
 
 
+def test_diff_of_long_lists_with_swapped_tails(spark):
+    def graph(prefix, *lists):
+        rows = []
+        for k, items in enumerate(lists):
+            cell = lambda i: f"_:{prefix}{k}_{i}" if i < len(items) else v.NIL  # noqa: B023, E731
+            rows += [t for i, x in enumerate(items) for t in (("g", cell(i), v.FIRST, e(x)), ("g", cell(i), v.REST, cell(i + 1)))]
+        return QuadStore.of_rows(spark, rows, [])
+
+    one, two, same = [*"ab", *"x" * 9, *"cd"], [*"ef", *"x" * 9, *"gh"], graph("p", [*"ab", *"x" * 9, *"cd"], [*"ef", *"x" * 9, *"gh"])
+    assert diff.diff(same, graph("q", two, one)).count() == 0
+    assert diff.diff(same, graph("r", one[:-2] + two[-2:], two[:-2] + one[-2:])).count() > 0
+
+
 def test_terminology(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("e", "b")], "s string, o string")
     codes = lambda *x: spark.createDataFrame([(y,) for y in x], "s string")
