@@ -1,30 +1,39 @@
-"""Benchmark decontamination by rare shingles, with SimHash distances.
-
-Each benchmark item gives its five-word shingles, weighted by rarity among the
-items. A stretch of a document that holds ``least`` of an item's weight misses at
-most the rest, so it holds one of any set of shingles that weigh more than the
-rest: the item's rarest such set, its seeds, is looked up at every word of every
-document, and no copy is lost. Around a seed the stretches of at most 5/4 of the
-item's words are weighed exactly.
-
-In a document with a match the SimHash windows say how far the copy is: each item
-takes the largest window length of a geometric scale that still leaves a grid
-position of a document inside any copy of the item, and gives the 64-bit SimHash
-of each of its windows of that length. The fingerprints are cut into ``radius`` +
-1 blocks; two that differ in at most ``radius`` bits agree in a block, so looking
-up every block finds all of them.
+"""Benchmark decontamination by SimHash windows of item size.
+
+Each benchmark item gives 64-bit SimHashes of windows of its own words: of about
+its whole length (the longest length of a geometric scale that fits, so five
+sixths or more of it) and of about half of it, or of the shortest run that holds
+half of its weight where that is shorter. An edit that is spread over a copy
+moves few bits of the whole window; one that is in one place leaves a half as it
+was. A document gives, for each length in use, the SimHashes of its windows at a
+stride of an eighth of it (at every word up to 15), from running sums of bits;
+an item gives as many windows next to each other, so no alignment is left out.
+
+Two fingerprints that differ in at most ``radius`` bits differ in at most
+``radius // BLOCKS`` bits of one of BLOCKS equal blocks. The index holds every
+stored block under all values so near, so one look-up for each block finds all
+fingerprints within the radius.
+
+Around each find the exact similarity decides: the share of an item's five-word
+shingles, weighted by rarity over the whole benchmark, in a stretch of at most
+5/4 of the item's words; ``least`` or more is a match. The radius was chosen by
+recall against brute force (see the README).
 
 The index is broadcast, ``part_words`` words of items at a time: a larger
-benchmark makes more passes instead of a larger broadcast. Documents are never
-shuffled.
+benchmark makes more passes, with a checkpoint between them, instead of a larger
+broadcast. Weights are those of the whole benchmark whatever the parts.
+Documents are never shuffled.
 
 Defined results: words are split at ASCII white space and compared without ASCII
-marks at their ends and with ASCII letters in lower case; null or empty texts and items without a word match
-nothing; an item shorter than five words is one shingle; equal items are separate
-items, and so are those without an item_id, which match with a null one; each place of an item in a document is one match, by (start, item_id), from
-where the item's first word would be to where its last would be; of overlapping
-places of one item the most similar stays; ``distance`` is that of the nearest
-window on the grid, null where none is within the radius.
+marks at their ends and with ASCII letters in lower case; null or empty texts and
+items without a word match nothing; an item shorter than five words is one
+shingle; equal items are separate items, and so are those without an item_id,
+which match with a null one; rows of documents are independent, so ties, repeated
+rows, null ids and other columns change nothing, and a column of the output's
+name is replaced; each place of an item in a document is one match, by (start,
+item_id), from where the item's first word would be to where its last would be;
+of overlapping places of one item the most similar stays; ``distance`` is the
+least of the windows that led to the match.
 """
 
 from __future__ import annotations
@@ -32,7 +41,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,12 +51,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, load, odd_constants, rolling, split_words
+from .common import WordHashes, checkpointed, load, odd_constants, rolling, split_words
 
-WIDTH = 5
+WIDTH, BLOCKS = 5, 4
 SLACK = 1e-9  # for rounding in sums of weights
 SLICE = 12_000  # words at a time: their running sums stay in the cache, and fit 16 bits
 MATCH = "array<struct<item_id:long,start:int,end:int,similarity:double,distance:int>>"
+Match = tuple  # (item_id, start, end, similarity, distance)
 _SHINGLE = odd_constants(WIDTH, 5)
 _MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
@@ -61,16 +73,11 @@ class PlainHashes(WordHashes):
         return value
 
 
-def stride(length: int) -> int:
-    return max(1, length // 4)
-
-
 def window_length(words: int) -> int:
-    """The largest length of the scale 1, 2, 3, 5, 7, 10, ... with a whole grid window in any run of ``words``."""
-    best, size = 1, 1
-    while size + stride(size) - 1 <= words:
+    """The longest length of the scale 1, 2, ... 8, 9, 10, 12, 14, ... within ``words``; each is at most 6/5 of the one before, and one more."""
+    best = 1
+    while (size := max(best + 1, best * 6 // 5)) <= words:
         best = size
-        size = max(size + 1, int(size * 1.4))
     return best
 
 
@@ -78,12 +85,6 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return rolling(hashes, min(WIDTH, len(hashes)), _SHINGLE)
 
 
-def simhash(sums: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the windows at ``places``, from running sums of bits."""
-    bits = (sums[places + length] - sums[places]) > length // 2
-    return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
-
-
 def running_bits(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     out = np.zeros((len(hashes) + 1, 64), np.int16 if len(hashes) < 32_000 else np.int32)
@@ -91,66 +92,58 @@ def running_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def stride(length: int) -> int:
+    """Documents take a window at every so many words; items, at that many places in a row, so that all alignments occur."""
+    return max(1, length // 8)
+
+
+def simhashes(sums: np.ndarray, length: int, step: int = 1) -> np.ndarray:
+    """Fingerprints of the windows of ``length`` words at every ``step``-th place, from running sums of bits."""
+    bits = (sums[length::step] - sums[: len(sums) - length : step]) > length // 2
+    return np.packbits(bits.reshape(-1)).view(np.uint64)
+
+
 class MultiIndex:
-    """All stored fingerprints within ``radius`` bits of a query, through radius + 1 blocks."""
+    """All stored fingerprints within ``radius`` bits of a query, through BLOCKS blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
+        width = 64 // BLOCKS
+        near = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(width), n)]
+        masks = np.array(near, np.int64)
         self.blocks = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            value = self._cut(prints, a, b)
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((a, b, order, np.searchsorted(value[order], np.arange((1 << (b - a)) + 1))))
+        for value in self._cut(prints).T:
+            spread = (value.astype(np.int64)[:, None] ^ masks).ravel()
+            order = np.argsort(spread, kind="stable")
+            begins = np.searchsorted(spread[order], np.arange((1 << width) + 1))
+            self.blocks.append(((order // len(masks)).astype(np.int32), begins.astype(np.int32), np.diff(begins) > 0))
 
     @staticmethod
-    def _cut(x: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+    def _cut(prints: np.ndarray) -> np.ndarray:
+        return prints.view(np.uint16).reshape(-1, BLOCKS)
 
     def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indices of queries and stored prints, and distances, each pair once."""
-        found = []
-        for a, b, order, begins in self.blocks:
-            value = self._cut(queries, a, b)
-            first, n = begins[value], begins[value + 1] - begins[value]
-            hit = np.flatnonzero(n)
-            for at in range(0, len(hit), 100_000):
-                some = hit[at : at + 100_000]
-                q = np.repeat(some, n[some])
-                inner = np.arange(len(q)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-                p = order[first[q] + inner]
-                d = np.bitwise_count(queries[q] ^ self.prints[p])
-                near = d <= self.radius
-                found.append(np.stack([q[near], p[near], d[near].astype(np.int64)]))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
+        found = [np.empty((3, 0), np.int64)]
+        values = self._cut(queries).astype(np.intp)
+        for k, (owner, begins, used) in enumerate(self.blocks):
+            hit = np.flatnonzero(used.take(values[:, k]))
+            for at in range(0, len(hit), 50_000):
+                some = hit[at : at + 50_000]
+                value = values[some, k]
+                first = begins.take(value)
+                n = begins.take(value + 1) - first
+                q = np.repeat(some, n)
+                p = owner.take(np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(q)))
+                d = np.bitwise_count(queries.take(q) ^ self.prints.take(p))
+                close = np.flatnonzero(d <= self.radius)
+                if len(close):
+                    found.append(np.stack([q[close], p[close], d[close].astype(np.int64)]))
         q, p, d = np.concatenate(found, axis=1)
         _, once = np.unique(q * max(1, len(self.prints)) + p, return_index=True)
         return q[once], p[once], d[once]
 
 
-class Seeds:
-    """Items by the shingle hashes that a copy cannot miss all of."""
-
-    def __init__(self, values: np.ndarray, owners: np.ndarray):
-        order = np.lexsort((owners, values))
-        self.values, first = np.unique(values[order], return_index=True)
-        self.owners, self.begins = owners[order], np.append(first, len(values))
-        self.mask = np.uint64((1 << max(10, (8 * len(self.values)).bit_length())) - 1)
-        self.marked = np.zeros(int(self.mask) + 1, bool)
-        self.marked[(self.values & self.mask).astype(np.int64)] = True
-
-    def within(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``shingles`` and the items whose seeds stand there."""
-        place = np.flatnonzero(self.marked[(shingles & self.mask).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.values, shingles[place]), len(self.values) - 1)
-        same = self.values[at] == shingles[place]
-        place, at = place[same], at[same]
-        n = self.begins[at + 1] - self.begins[at]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(place, n), self.owners[np.repeat(self.begins[at], n) + inner]
-
-
 class Shingles:
     """An item's distinct shingles, their numbers and weights, and the offsets at which each is first and last."""
 
@@ -159,12 +152,10 @@ class Shingles:
         self.last = len(values) - 1 - np.unique(values[::-1], return_index=True)[1]
         self.weight = np.array([weight[x] for x in self.values.tolist()])
         self.total = float((self.weight * self.number).sum())
-
-    def seeds(self, least: float) -> np.ndarray:
-        """The rarest shingles that weigh more than what a match may miss."""
-        order = np.lexsort((self.values, -self.weight))
-        weighed = np.cumsum((self.weight * self.number)[order])
-        return self.values[order[: int(np.searchsorted(weighed, (1 - least + SLACK) * self.total, side="right")) + 1]]
+        running = np.concatenate([[0.0], np.cumsum([weight[x] for x in values.tolist()])])
+        ends = np.searchsorted(running, running[:-1] + self.total / 2 - SLACK)
+        #: The fewest shingles in a row that hold half of the weight.
+        self.core = int((ends - np.arange(len(values)))[ends < len(running)].min())
 
 
 @dataclass
@@ -174,36 +165,39 @@ class Items:
     ids: list[int | None]
     shingles: list[Shingles]
     lengths: list[int]
-    seeds: dict[int, Seeds]  # by words in a shingle
-    classes: dict[int, tuple[MultiIndex, np.ndarray, np.ndarray]]  # window length -> index, item and offset of each print
+    classes: dict[int, tuple[MultiIndex, np.ndarray]]  # window length -> index, and the item of each print
 
     def reach(self, item: int) -> int:
         return self.lengths[item] + self.lengths[item] // 4
 
 
-def build_items(rows: list[tuple[int | None, str | None]], radius: int, least: float = 0.8) -> Items:
-    seen, kept = PlainHashes(), []
-    for item_id, text in rows:
-        words = split_words(text)
-        if words:
-            kept.append((item_id, seen.of(words)))
+def item_hashes(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, np.ndarray]]:
+    """(item_id, word hashes) of the items that have a word."""
+    seen = PlainHashes()
+    return [(item_id, seen.of(words)) for item_id, text in rows if (words := split_words(text))]
+
+
+def build_items(rows: list[tuple[int | None, str | None]], radius: int, shared: dict[int, int] | None = None, total: int | None = None) -> Items:
+    """``shared`` has the number of items of each shingle that is in several of the ``total`` items; by default these are ``rows``."""
+    kept = item_hashes(rows)
     values = [_shingles(h) for _, h in kept]
-    frequency = Counter(x for s in values for x in set(s.tolist()))
-    weight = {x: math.log(1.0 + len(kept) / n) for x, n in frequency.items()}
-    shingles = [Shingles(s, weight) for s in values]
-    by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
+    if shared is None:
+        shared, total = Counter(x for s in values for x in set(s.tolist())), len(kept)
+    shingles = []
     by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for i, (_, h) in enumerate(kept):
-        by_width.setdefault(min(WIDTH, len(h)), []).append((shingles[i].seeds(least), i))
-        w = window_length(len(h))
-        by_length.setdefault(w, []).append((simhash(running_bits(h), np.arange(len(h) - w + 1), w), i))
-    owned = lambda each: (np.concatenate([p for p, _ in each]), np.concatenate([np.full(len(p), i) for p, i in each]))
+    for i, (s, (_, h)) in enumerate(zip(values, kept, strict=True)):
+        shingles.append(Shingles(s, {x: math.log(1.0 + total / shared.get(x, 1)) for x in set(s.tolist())}))
+        n = len(h)
+        half = min(n // 2, shingles[i].core + WIDTH - 1)
+        sums = running_bits(h)
+        for w in {window_length(n), window_length(half) if half >= WIDTH else window_length(n)}:
+            offsets = np.unique(np.append(np.arange(0, n - w + 1, max(1, w // 4)), n - w)[:, None] + np.arange(stride(w)))
+            offsets = offsets[offsets <= n - w]
+            by_length.setdefault(w, []).append((simhashes(sums, w)[offsets], i))
     classes = {}
     for w, each in by_length.items():
-        prints, owner = owned(each)
-        offset = np.concatenate([np.arange(len(p)) for p, _ in each])
-        classes[w] = MultiIndex(prints, radius), owner, offset
-    return Items([i for i, _ in kept], shingles, [len(h) for _, h in kept], {w: Seeds(*owned(each)) for w, each in by_width.items()}, classes)
+        classes[w] = MultiIndex(np.concatenate([p for p, _ in each]), radius), np.concatenate([np.full(len(p), i) for p, i in each])
+    return Items([i for i, _ in kept], shingles, [len(h) for _, h in kept], classes)
 
 
 def places(items: Items, item: int, hashes: np.ndarray, least: float) -> list[tuple[int, int, float]]:
@@ -239,9 +233,9 @@ def places(items: Items, item: int, hashes: np.ndarray, least: float) -> list[tu
     return out
 
 
-def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int | None, int, int, float, int | None]]]:
-    """For each text its matches (item_id, start, end, similarity, distance)."""
-    out: list[list[tuple[int | None, int, int, float, int | None]]] = []
+def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least: float) -> list[list[Match]]:
+    """For each text its matches."""
+    out: list[list[Match]] = []
     held: list[list[bytes]] = []
     size = 0
     for text in texts:
@@ -253,70 +247,57 @@ def find_items(texts: list[str | None], items: Items, seen: PlainHashes, least:
     return out + _find(held, items, seen, least)
 
 
-def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[tuple[int | None, int, int, float, int | None]]]:
-    out: list[list[tuple[int | None, int, int, float, int | None]]] = [[] for _ in each]
+def near_windows(hashes: np.ndarray, left: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, items and distances of all windows within the radius; ``left`` counts the words to each document's end."""
+    found = [np.empty((3, 0), np.int64)]
+    longest = max(items.classes)
+    for a in range(0, len(hashes), SLICE):
+        b = min(len(hashes), a + SLICE)
+        sums = running_bits(hashes[a : b + longest - 1])
+        for w, (index, owner) in items.classes.items():
+            if len(sums) <= w:
+                continue
+            q, p, d = index.within(simhashes(sums[: b - a + w], w, stride(w)))
+            at = a + q * stride(w)
+            inside = left[at] >= w
+            found.append(np.stack([at, owner[p], d])[:, inside])
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _find(each: list[list[bytes]], items: Items, seen: PlainHashes, least: float) -> list[list[Match]]:
+    out: list[list[Match]] = [[] for _ in each]
     lengths = np.array([len(w) for w in each], np.int64)
     if not items.classes or not lengths.sum():
         return out
     starts = np.concatenate([[0], np.cumsum(lengths)])
     hashes = np.concatenate([seen.of(w) for w in each])
     doc = np.repeat(np.arange(len(each)), lengths)
-    left = starts[doc + 1] - np.arange(len(hashes))
-    met: dict[int, dict[int, list[tuple[int, int, float]]]] = {}
-    for width, seeds in items.seeds.items():
-        at, item = seeds.within(rolling(hashes, width, _SHINGLE))
-        whole = left[at] >= width
-        at, item = at[whole], item[whole]
-        order = np.lexsort((at, item, doc[at]))
-        at, item = at[order], item[order]
-        reach = np.array([items.reach(i) for i in item.tolist()], np.int64)
-        parted = (np.diff(item) != 0) | (np.diff(doc[at]) != 0) | (np.diff(at) > 2 * reach[1:])
-        cuts = np.concatenate([[0], np.flatnonzero(parted) + 1, [len(at)]]).tolist() if len(at) else []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            i, which, far = int(doc[at[a]]), int(item[a]), int(reach[a])
-            begin, end = max(int(starts[i]), int(at[a]) - far), min(int(starts[i + 1]), int(at[b - 1]) + far)
-            first, n = begin - int(starts[i]), int(lengths[i])
-            for s, e, share in places(items, which, hashes[begin:end], least):
-                met.setdefault(i, {}).setdefault(which, []).append((max(0, first + s), min(n, first + e), share))
-    for i, by_item in met.items():
-        near = _distances(hashes[starts[i] : starts[i + 1]], items, by_item)
-        named: dict[tuple[bool, int], list[tuple[int | None, int, int, float, int | None]]] = {}
-        for which, found in by_item.items():
-            name = items.ids[which]
-            mine = named.setdefault((False, which) if name is None else (True, name), [])
-            for s, e, share in found:
-                d = min((x for a, b, x in near.get(which, ()) if a < e and s < b), default=None)
-                mine.append((name, s, e, share, d))
+    at, item, distance = near_windows(hashes, starts[doc + 1] - np.arange(len(hashes)), items)
+    if not len(at):
+        return out
+    order = np.lexsort((at, item, doc[at]))
+    at, item, distance = at[order], item[order], distance[order]
+    reach = np.array(items.lengths)[item] * 5 // 4
+    parted = (np.diff(item) != 0) | (np.diff(doc[at]) != 0) | (np.diff(at) > 2 * reach[1:])
+    cuts = [0, *(np.flatnonzero(parted) + 1).tolist(), len(at)]
+    met: dict[int, dict[tuple[bool, int], list[Match]]] = {}
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        i, which, far = int(doc[at[a]]), int(item[a]), int(reach[a])
+        begin, end = max(int(starts[i]), int(at[a]) - far), min(int(starts[i + 1]), int(at[b - 1]) + far)
+        first, n, name = begin - int(starts[i]), int(lengths[i]), items.ids[which]
+        for s, e, share in places(items, which, hashes[begin:end], least):
+            s, e = max(0, first + s), min(n, first + e)
+            near = distance[a:b][(at[a:b] - starts[i] < e) & (at[a:b] - starts[i] + far > s)]
+            mine = met.setdefault(i, {}).setdefault((False, which) if name is None else (True, name), [])
+            mine.append((name, s, e, share, int(near.min()) if len(near) else None))
+    for i, named in met.items():
         out[i] = sorted((m for mine in named.values() for m in apart(mine)), key=lambda m: (m[1], m[0] is None, m[0] or 0, m[2], m[3]))
     return out
 
 
-def _distances(hashes: np.ndarray, items: Items, wanted: dict[int, list]) -> dict[int, list[tuple[int, int, int]]]:
-    """(start, end, distance) of the wanted items where a window of the document's grid is within the radius."""
-    out: dict[int, dict[int, int]] = {}
-    lengths = {window_length(items.lengths[i]) for i in wanted}
-    mine = np.zeros(len(items.ids), bool)
-    mine[list(wanted)] = True
-    for a in range(0, len(hashes), SLICE):
-        b = min(len(hashes), a + SLICE)
-        sums = running_bits(hashes[a : min(len(hashes), b + max(lengths))])
-        for w in lengths:
-            index, owner, offset = items.classes[w]
-            first = -a % stride(w)
-            at = np.arange(first, min(b, len(hashes) - w + 1) - a, stride(w))
-            q, p, d = index.within(simhash(sums, at, w))
-            own = mine[owner[p]]
-            for place, print_, distance in zip((at[q[own]] + a).tolist(), p[own].tolist(), d[own].tolist(), strict=True):
-                item = int(owner[print_])
-                starts = out.setdefault(item, {})
-                start = place - int(offset[print_])
-                starts[start] = min(distance, starts.get(start, distance))
-    return {item: [(s, s + items.lengths[item], d) for s, d in starts.items()] for item, starts in out.items()}
-
-
-def apart(matches: list[tuple[int | None, int, int, float, int | None]]) -> list[tuple[int | None, int, int, float, int | None]]:
+def apart(matches: list[Match]) -> list[Match]:
     """Of one item's matches that overlap, the one of greatest similarity, then least distance, then first."""
-    kept: list[tuple[int | None, int, int, float, int | None]] = []
+    kept: list[Match] = []
     spans: list[tuple[int, int]] = []
     for m in sorted(matches, key=lambda x: (-x[3], 65 if x[4] is None else x[4], x[1])):
         at = bisect_left(spans, (m[1], m[2]))
@@ -326,19 +307,42 @@ def apart(matches: list[tuple[int | None, int, int, float, int | None]]) -> list
     return kept
 
 
+def shared_shingles(rows: DataFrame) -> DataFrame:
+    """(shingle, n): the shingles that several rows of (item_id, text, part) have, and (null, number of items)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(_shingles(h)).view(np.int64) for _, h in item_hashes([(None, t) for t in batch["text"]])]
+            yield pd.DataFrame({"shingle": pd.array([x for s in sets for x in (*s.tolist(), None)], "Int64")})
+
+    counted = rows.select("text").mapInPandas(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    return counted.where("n > 1 OR shingle IS NULL")
+
+
 def find_contamination(
     df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    radius: int = 5, least: float = 0.8, part_words: int = 2_000_000, output: str = "matches",
+    radius: int = 7, least: float = 0.8, part_words: int = 400_000, output: str = "matches",
 ) -> DataFrame:
     """``df`` with ``output``: array of (item_id, start, end, similarity, distance), word positions, end exclusive."""
     rows = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     words = rows.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
     parts = max(1, math.ceil(words / part_words))
+    counts = shared_shingles(rows) if parts == 1 else checkpointed(shared_shingles(rows))
+    spark = df.sparkSession
     out = df.withColumn(output, F.array().cast(MATCH))
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # about part_words words
-        held = df.sparkSession.sparkContext.broadcast(build_items(sorted(((r[0], r[1] or "") for r in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1])), radius, least))
+        own = {x for _, h in item_hashes([tuple(r) for r in mine]) for x in _shingles(h).view(np.int64).tolist()}
+        wanted = counts
+        if parts > 1:  # the frequencies of this part's shingles, no others
+            wanted = counts.join(F.broadcast(spark.createDataFrame([(x,) for x in own], "shingle long")), "shingle", "left_semi").unionByName(counts.where("shingle IS NULL"))
+        shared = {r[0] if r[0] is None else r[0] % (1 << 64): r[1] for r in wanted.collect()}
+        total = shared.pop(None, 0)
+        held = spark.sparkContext.broadcast(build_items(sorted(((r[0], r[1] or "") for r in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1])), radius, shared, total))
         out = out.withColumn(output, F.concat(output, _finder(held, least)(F.col(text))))
+        if part < parts - 1:
+            out = checkpointed(out)  # a pass of its own, so that a worker holds one part at a time
+            held.unpersist()
     key = lambda m: F.struct(m["start"], m["item_id"].isNull(), F.coalesce(m["item_id"], F.lit(0)), m["end"], m["similarity"])
     order = lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
     return out if parts == 1 else out.withColumn(output, F.array_sort(output, order))

@@ -113,10 +113,10 @@ def test_language_of_smallest_encoding():
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     stored = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    queries = np.concatenate([stored[:100] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 8, replace=False)) for k in range(100)], np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)])
-    q, p, d = decontaminate.MultiIndex(stored, 5).within(queries)
+    queries = np.concatenate([stored[:100] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 10, replace=False)) for k in range(100)], np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)])
+    q, p, d = decontaminate.MultiIndex(stored, 7).within(queries)
     distance = np.bitwise_count(queries[:, None] ^ stored[None, :])
-    assert {(a, b): c for a, b, c in zip(q, p, d)} == {(a, b): distance[a, b] for a, b in np.argwhere(distance <= 5)}
+    assert {(a, b): c for a, b, c in zip(q, p, d)} == {(a, b): distance[a, b] for a, b in np.argwhere(distance <= 7)}
 
 
 def test_contamination(spark):
@@ -131,20 +131,66 @@ def test_contamination(spark):
     changed = items[7].split()
     changed[44] = "changed"
     texts.append(f"x y {' '.join(changed).upper()}, z")
+    items.append(items[7].replace("w", "v", 30))  # shares shingles with another item: weights must be those of the whole benchmark
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    every = []
     for part_words in (2_000_000, 60):
         found = decontaminate.find_contamination(frame(spark, texts, matches="old"), bench, part_words=part_words)
-        got = {(r.doc_id, r.m.item_id, r.m.start, r.m.end) for r in found.select("doc_id", F.explode("matches").alias("m")).collect()}
+        every.append({(r.doc_id, *r.m) for r in found.select("doc_id", F.explode("matches").alias("m")).collect()})
+        got = {x[:4] for x in every[-1]}
         assert want <= got and all(i >= 3 for i, *_ in got)
         assert (len(texts) - 1, 7) in {x[:2] for x in got}
+    assert every[0] == every[1]  # similarity and distance too
     assert decontaminate.find_contamination(frame(spark, texts[:3]), bench.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_contamination_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(2)
+    item = words(rng, 30, 5000)
+    docs = frame(spark, [f"a b {item}", f"a b {item}", f"a b {item}", None, "x " * 40_000 + item], [1, 1, None, None, 5], item_id=3, start=1)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, None)], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench).select("doc_id", "start", "matches").collect()
+    at = {(r.doc_id, r.start, tuple((m.item_id, m.start, m.end, m.similarity, m.distance) for m in r.matches)) for r in found}
+    assert at == {(1, 1, ((1, 2, 32, 1.0, 0), (2, 2, 32, 1.0, 0))), (None, 1, ((1, 2, 32, 1.0, 0), (2, 2, 32, 1.0, 0))), (None, 1, ()), (5, 1, ((1, 40_000, 40_030, 1.0, 0), (2, 40_000, 40_030, 1.0, 0)))}
+
+
+def test_contamination_recall_by_size_and_edit():
+    """Of the copies whose exact similarity is 0.8 or more, the share that the windows find: 0.99 or more at every size."""
+    rng = random.Random(21)
+    new = lambda: f"z{rng.random()}"
+    for size in (10, 15, 23, 36, 51, 80, 150):
+        texts = [words(rng, size, 20_000).split() for _ in range(4)]
+        items = decontaminate.build_items([(i, " ".join(t)) for i, t in enumerate(texts)], 7)
+        near, found = 0, 0
+        for i, t in enumerate(texts):
+            grams = {tuple(t[k : k + 5]) for k in range(size - 4)}
+            for n in range(1, max(2, size // 4)):
+                for kind in range(5):
+                    w = list(t)
+                    at = rng.randrange(size - n)
+                    if kind == 0:
+                        w = [new() if k % (size // n) == size // n // 2 else x for k, x in enumerate(w)]
+                    elif kind == 1:
+                        w = w[n:] if at % 2 else w[:-n]
+                    elif kind == 2:
+                        w[at : at + n] = [new() for _ in range(n)]
+                    elif kind == 3:
+                        w[at:at] = [new() for _ in range(n)]
+                    else:
+                        del w[at : at + n]
+                    if len(grams & {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) / len(grams) >= 0.8 and len(w) <= size * 5 // 4:
+                        near += 1
+                        doc = " ".join([*(new() for _ in range(20)), *w, *(new() for _ in range(20))])
+                        found += any(m[0] == i for m in decontaminate.find_items([doc], items, decontaminate.PlainHashes(), 0.8)[0])
+        assert near >= 5 and found >= 0.99 * near, (size, near, found)
+
+
 def test_contamination_finds_every_near_copy():
     """Substitutions, insertions and truncations against the best of all stretches, by brute force."""
     rng = random.Random(11)
     texts = [words(rng, n, 3000).split() for n in (6, 15, 19, 23, 36, 38, 51, 59)]
     texts += [texts[4][:20] + words(rng, 18, 3000).split(), ["a", "b", "c", "d", "e"] * 4 + words(rng, 20, 3000).split()]
-    items = decontaminate.build_items([(i, " ".join(t)) for i, t in enumerate(texts)], 5)
+    items = decontaminate.build_items([(i, " ".join(t)) for i, t in enumerate(texts)], 7)
     grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
     df = collections.Counter(g for t in texts for g in set(grams(t)))
     weight = {g: math.log(1 + len(texts) / n) for g, n in df.items()}

@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     assert all(any(like(i, j) >= 0.8 for j in before if j != i) for i in set(before) - set(after))
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = lambda t: any(re.search(r"(^|\s)" + re.escape(b) + r"(\s|$)", t) for b in bench)
-    items = decontaminate.build_items(list(enumerate(bench)), 5)
+    items = decontaminate.build_items(list(enumerate(bench)), 7)
     assert not any(holds(t) for t in text(clean).values())
     gone = [t for i, t in after.items() if i not in text(clean)]
     assert all(decontaminate.find_items([t], items, decontaminate.PlainHashes(), 0.8)[0] for t in gone)
