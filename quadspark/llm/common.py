@@ -29,9 +29,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def share(doc_id: Column, seed: int) -> Column:
-    """A value in [0, 1) fixed by the id: keeps a bounded share of rows."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether the fold is ``remainder``; a row without an id has no fold and counts as held out."""
+    return F.coalesce(fold(doc_id, modulus) == remainder, F.lit(True))
+
+
+def share(value: Column, seed: int) -> Column:
+    """A number in [0, 1) fixed by the value: keeps a bounded share of rows."""
+    return F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def split_words(text: str | None) -> list[bytes]:

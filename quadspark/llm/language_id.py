@@ -1,30 +1,33 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of its training
+Each language has a zstandard raw-content dictionary made of whole training
 texts. A text is cut into chunks, every chunk is encoded against every
 dictionary, and the language with the fewest bytes in all wins; a narrow margin
 marks the row as rejected. The whole text is encoded, in one pass without any
-shuffle; only the dictionaries (languages x ``dict_bytes``) are broadcast.
+shuffle.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-equal texts get equal results; with nothing to learn from, every row is ``und``;
-equal byte counts go to the dictionary that holds more of the text as whole
-words, then to the language that is first in name.
+Only the dictionaries are broadcast: ``dict_bytes`` for each distinct language,
+of which there may be ``most_languages``; more are an error, not a cut.
+
+Defined results: a null text, or one without a letter (Unicode category L), is
+``und`` with score 0; equal texts get equal results; with nothing to learn from,
+every row is ``und``; equal byte counts are decided by the bytes of each distinct
+word encoded by itself, then by the longest words that a dictionary holds whole,
+then by name; repeated rows, null ids and other columns change nothing, copies of
+a text are learned once, and a column of the output's name is replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, load, sample_rates, share
+from .common import is_held_out, load, sample_rates, share
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter becomes a space; bytes of other characters stay.
 _LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -38,25 +41,30 @@ RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def fit_dictionaries(
-    df: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    dict_bytes: int = 112_000, sample_rows: int = 400, excerpt_chars: int = 4_000,
-) -> dict[str, bytes]:
-    """A raw dictionary for each language, from about ``sample_rows`` labelled rows of each.
+    df: DataFrame, train: Column, text: str = "text", lang: str = "lang", dict_bytes: int = 112_000, sample_rows: int = 800, most_languages: int = 256
+) -> dict[str, bytes]:
+    """A raw dictionary for each language, from whole texts of at most ``dict_bytes`` bytes in all.
 
-    The fit is on a bounded sample: ``sample_rows`` rows chosen by a hash of
-    ``key``, of each at most ``excerpt_chars`` characters.
+    The fit is on a bounded sample: of about ``sample_rows`` rows of a language,
+    chosen by a hash of the text, those of at most an eighth of ``dict_bytes``
+    come in the order of that hash until the next does not fit.
     """
-    labelled = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rates = sample_rates(((r[0], r[1]) for r in labelled.groupBy(lang).count().collect()), sample_rows)
-    if not rates:
+    known = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    small = known.where(F.octet_length("text") <= dict_bytes // 8)
+    counts = {r[0]: r[1] for r in small.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
         return {}
-    rate = F.element_at(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)), F.col(lang))
-    rows = labelled.where(share(F.col(key), 17) < rate).select(lang, key, F.substring(text, 1, excerpt_chars).alias("part")).collect()
+    rates = sample_rates(counts.items(), sample_rows)
+    rate = F.element_at(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)), F.col("lang"))
+    chosen = small.withColumn("at", share(F.col("text"), 17)).where(F.col("at") < rate).dropDuplicates(["lang", "text"])
+    running = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("at", "text"))
+    rows = chosen.withColumn("size", running).where(F.col("size") <= dict_bytes).select("lang", "at", "text").collect()
     out: dict[str, bytes] = {}
-    for name in sorted(rates):
-        parts = [x[2] for x in sorted((r for r in rows if r[0] == name), key=lambda r: (str(r[1]), r[2]))]
-        body = b"\n".join(letters(p) for p in parts)
-        out[name] = body[-dict_bytes:] or b" "
+    for name in sorted(counts):
+        texts = [r[2] for r in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], r[2]))]
+        out[name] = b"\n".join(map(letters, texts)) or b" "
     return out
 
 
@@ -77,15 +85,20 @@ class Classifier:
         chunks = [b" " + data[i : i + self.chunk] for i in range(0, max(1, len(data)), self.chunk)]
         return [sum(len(c.compress(x)) for x in chunks) for c in self.coders]
 
+    def _alone(self, i: int, data: bytes) -> tuple[int, int]:
+        """Bytes of the distinct words by themselves under one dictionary, and the letters of those it has whole, negative."""
+        words = {b" " + w + b" " for w in data.split()}
+        return sum(len(self.coders[i].compress(w)) for w in words), -sum(len(w) for w in words if w in self.bodies[i])
+
     def classify(self, text: str | None, temperature: float, least_margin: float) -> tuple[str, float, float, bool]:
-        if not self.names or not text or not _LETTER.search(text):
+        if not self.names or not text or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, True
         data = letters(text)
         got = self.sizes(data)
         tied = [i for i, x in enumerate(got) if x == min(got)]
-        if len(tied) > 1:  # too short for a byte's difference: the dictionary that holds more of it as whole words
-            known = {i: sum(len(w) for w in set(data.split()) if b" " + w + b" " in self.bodies[i]) for i in tied}
-            tied.sort(key=lambda i: (-known[i], i))
+        if len(tied) > 1:  # too short for a byte's difference
+            own = {i: self._alone(i, data) for i in tied}
+            tied.sort(key=lambda i: (own[i], i))
         best = tied[0]
         others = sorted(x for i, x in enumerate(got) if i != best)
         margin = (others[0] - got[best]) / max(got[best], 1) if others else 1.0
@@ -112,6 +125,6 @@ def identify_language(
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = is_held_out(F.col("doc_id"), 5, 0)
     out = identify_language(docs, fit_dictionaries(docs, ~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.margin", "language.rejected")

@@ -2,25 +2,30 @@
 
 Terms are words and the first four and five letters of longer words, and again
 with a mark where one occurs twice, three or five times in the text. A bounded
-sample of labelled rows of either class gives the examples; the terms kept are
+sample of labelled rows of either class gives the examples; the terms are all
 those whose chi-squared association with the label is significant for the number
 of terms tried. Document frequencies are counted over all documents.
 
-The examples' inverted index keeps, for each term, the greatest weight in each
-block of 64 examples. A document adds these up to an upper bound for each block,
-evaluates the best blocks, and then only blocks whose bound reaches the k-th
-similarity found: the k nearest are exact. Their votes, weighted by squared
-similarity, become a probability through a logistic curve fitted to the
-examples' leave-one-out votes, weighted to the classes' shares of all training
-labels. The nearest examples are returned as evidence.
+The examples stand in the order of their heaviest term, in blocks of BLOCK. The
+inverted index keeps the postings of each (term, block) and the greatest weight
+among them. A document adds these maxima up to an upper bound for each block and
+reads the postings of the best blocks, then only those of blocks whose bound
+reaches the k-th similarity found: the k nearest are exact, and the postings of
+the other blocks are never read. The votes, weighted by squared similarity,
+become a probability through a logistic curve fitted to the examples'
+leave-one-out votes, weighted to the classes' shares of all training labels. The
+nearest examples are returned as evidence.
 
-The index is broadcast: its size is bounded by the number of examples and terms,
-not by the corpus. Documents are scored where they are read, without a shuffle.
+The index is broadcast: its size is bounded by the number of examples and their
+terms, not by the corpus. Documents are scored where they are read, without a
+shuffle; a fit reads them twice, for the sample and for the document frequencies.
 
 Defined results: a null text is an empty text; a text without a kept term has no
 neighbours and gets the (smoothed) share of toxic labels among such examples;
-ties in similarity go to the earlier example; equal texts get equal scores; with
-no labels to learn from every score is 0.
+ties in similarity go to the lesser doc_id; equal texts get equal scores; of the
+rows of a labelled doc_id the least text is the example; a null doc_id has no label; with no
+labels to learn from every score is 0; other columns change nothing, whatever
+their names, and a column of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -29,17 +34,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, load, sample_rates, share
+from .common import checkpointed, is_held_out, load, sample_rates, share
 
 _WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK = 16
 TIMES = (2, 3, 5)
 _KNOWN_LIMIT = 300_000
 RESULT = "score double, predicted int, n_neighbors int, evidence array<struct<doc_id:long,similarity:double,label:int>>"
@@ -86,18 +91,20 @@ class TermIds:
 
 @dataclass
 class Index:
-    """Examples by term, with block maxima; ``curve`` is (intercept, slope, score without neighbours)."""
+    """Postings by (term, block) with block maxima; ``curve`` is (intercept, slope, score without neighbours)."""
 
     terms: list[str]
     idf: np.ndarray
-    begins: np.ndarray
-    examples: np.ndarray
-    weights: np.ndarray
-    maxima: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     k: int
+    examples: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # of the postings, by term and then example
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    begins: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int32))  # term, block -> its first posting
+    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    blocks_met: int = 0
+    blocks_read: int = 0
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
@@ -105,36 +112,34 @@ class Index:
         norm = math.sqrt(float(w @ w))
         return at, w / norm if norm else w
 
+    def _read(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, sims: np.ndarray) -> None:
+        """Add the postings of these terms in these blocks to ``sims``."""
+        first = self.begins[at][:, blocks]
+        n = (self.begins[at][:, blocks + 1] - first).ravel()
+        places = np.repeat(first.ravel() - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        value = self.weights[places] * np.repeat(np.repeat(w, len(blocks)), n)
+        sims += np.bincount(self.examples[places], value, len(sims))
+        self.blocks_read += len(blocks)
+
     def nearest(self, counts: dict[int, int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest positive cosine, best first, and the cosines."""
         if not counts or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
         at, w = self.vector(counts)
         bounds = w @ self.maxima[at]
-        places = np.concatenate([np.arange(self.begins[t], self.begins[t + 1]) for t in at.tolist()])
-        owner = self.examples[places]
-        value = self.weights[places] * np.repeat(w, self.begins[at + 1] - self.begins[at])
-        block = owner // BLOCK
-        order = np.argsort(-bounds, kind="stable")
-        done = np.zeros(len(bounds), bool)
-        sims = np.zeros(len(self.ids))
-
-        def evaluate(chosen: np.ndarray) -> float:
-            mask = np.zeros(len(bounds), bool)
-            mask[chosen] = True
-            inside = mask[block]
-            sims[:] += np.bincount(owner[inside], value[inside], len(sims))
-            done[chosen] = True
+        order = np.argsort(-bounds, kind="stable")[: int((bounds > 0).sum())]
+        self.blocks_met += len(bounds)
+        sims, least, done = np.zeros(len(self.ids)), 0.0, 0
+        step = max(2, self.k // 4)
+        while done < len(order) and bounds[order[done]] >= least * (1 - 1e-9):
+            some = order[done : done + step]
+            self._read(at, w, some[bounds[some] >= least * (1 - 1e-9)], sims)
             if skip >= 0:
                 sims[skip] = 0.0
-            return float(np.partition(sims, -self.k)[-self.k]) if len(sims) > self.k else 0.0
-
-        least = evaluate(order[: max(2, self.k // 8)])
-        rest = np.flatnonzero(~done & (bounds > 0) & (bounds >= least * (1 - 1e-9)))
-        if len(rest):
-            evaluate(rest)
+            least = float(np.partition(sims, -self.k)[-self.k]) if len(sims) > self.k else 0.0
+            done, step = done + len(some), step * 2
         hit = np.flatnonzero(sims > 0)
-        best = hit[np.lexsort((hit, -np.round(sims[hit], 12)))][: self.k]
+        best = hit[np.lexsort((hit, self.ids[hit], -np.round(sims[hit], 12)))][: self.k]
         return best, sims[best]
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
@@ -147,22 +152,29 @@ class Index:
 
 
 def build_index(terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]], k: int) -> Index:
-    """From (doc_id, label, counts by term id)."""
-    index = Index(terms, idf, np.zeros(len(terms) + 1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(terms), 1)), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), k)
-    triples: list[tuple[int, int, float]] = []
-    for e, (_, _, counts) in enumerate(rows):
-        if counts:
-            at, w = index.vector(counts)
-            triples += zip(at.tolist(), [e] * len(at), w.tolist(), strict=True)
-    triples.sort()
-    t = np.array([x[0] for x in triples], np.int64)
-    index.examples, index.weights = np.array([x[1] for x in triples], np.int64), np.array([x[2] for x in triples], np.float64)
-    index.begins = np.searchsorted(t, np.arange(len(terms) + 1))
-    index.maxima = np.zeros((len(terms), max(1, -(-len(rows) // BLOCK))))
+    """From (doc_id, label, counts by term id), in the order that the index keeps."""
+    index = Index(terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), k)
+    made = [index.vector(counts) for _, _, counts in rows]
+    t = np.concatenate([np.empty(0, np.int64), *(at for at, _ in made)])
+    e = np.repeat(np.arange(len(rows)), [len(at) for at, _ in made])
+    w = np.concatenate([np.empty(0), *(w for _, w in made)])
+    order = np.lexsort((e, t))
+    t, index.examples, index.weights = t[order], e[order].astype(np.int32), w[order]
+    blocks = max(1, -(-len(rows) // BLOCK))
+    # The postings are in order of term * (blocks + 1) + block; the extra block of each term is empty and ends it.
+    place = t * (blocks + 1) + index.examples // BLOCK
+    index.begins = np.searchsorted(place, np.arange(len(terms) * (blocks + 1))).astype(np.int32).reshape(len(terms), blocks + 1)
+    index.maxima = np.zeros((len(terms), blocks))
     np.maximum.at(index.maxima, (t, index.examples // BLOCK), index.weights)
     return index
 
 
+def in_blocks(rows: list[tuple[int, int, dict[int, int]]], idf: np.ndarray) -> list[tuple[int, int, dict[int, int]]]:
+    """Examples in the order of their heaviest terms, so that a block holds like ones and its maxima are close to its members."""
+    heavy = lambda counts: sorted(counts, key=lambda i: (-(1.0 + math.log(counts[i])) * idf[i], i))[:3]
+    return sorted(rows, key=lambda r: (heavy(r[2]), r[0], r[1]))
+
+
 def calibrate(index: Index, rows: list[tuple[int, int, dict[int, int]]], shares: dict[int, float]) -> tuple[float, float, float]:
     """A logistic curve through the examples' leave-one-out votes, with the classes weighted to ``shares``."""
     votes = np.array([index.vote(*index.nearest(c, skip=e)) for e, (_, _, c) in enumerate(rows)])
@@ -188,19 +200,21 @@ def calibrate(index: Index, rows: list[tuple[int, int, dict[int, int]]], shares:
 
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    examples: int = 1_500, max_terms: int = 4_096, least_count: int = 4, level: float = 0.01, k: int = 9,
+    examples: int = 1_500, least_count: int = 4, level: float = 0.01, k: int = 9,
 ) -> Index:
     """An index of about ``examples`` labelled rows of either class, chosen by a hash of ``key``.
 
     A doc_id with several labels counts as toxic where their mean is a half or more.
     """
-    known = labels.where(train & F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    known = labels.where(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     rates = sample_rates(counts.items(), examples)
     rate = F.when(F.col("label") == 1, rates.get(1, 0.0)).otherwise(rates.get(0, 0.0))
-    chosen = F.broadcast(known.where(share(F.col(key), 31) < rate).withColumnRenamed(key, "chosen_id"))  # about 2 * examples rows
-    sample = docs.join(chosen, F.col(key) == F.col("chosen_id")).select(F.col("chosen_id").alias("doc_id"), "label", F.col(text).alias("text"))
+    chosen = F.broadcast(known.where(share(F.col("doc_id"), 31) < rate))  # about 2 * examples rows
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    least = F.min(F.coalesce("text", F.lit(""))).alias("text")  # one example for each doc_id, however many rows have it
+    sample = checkpointed(texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(least))  # read three times below
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,6 +224,7 @@ def fit(
     per_term = sample.mapInPandas(explode, "label int, term string").groupBy("term").agg(
         F.sum(F.col("label")).cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")
     )
+    per_term = checkpointed(per_term)
     sizes = {r[0]: float(r[1]) for r in sample.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0.0), sizes.get(0, 0.0)
     frequent = per_term.where(F.col("a") + F.col("b") >= least_count)
@@ -220,7 +235,7 @@ def fit(
         gap = F.greatest(F.abs(F.col("a") * d - F.col("b") * c) - (n1 + n0) / 2, F.lit(0.0))
         chi = gap * gap * (n1 + n0) / ((F.col("a") + F.col("b")) * (c + d) * n1 * n0)
         kept = frequent.withColumn("chi", F.coalesce(chi, F.lit(0.0))).where(F.col("chi") >= 2 * math.log(tried / level))
-        terms = sorted(r[0] for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect())
+        terms = sorted(r[0] for r in kept.select("term").collect())  # of the examples' terms, those that tell
 
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, seen = TermIds(terms), np.zeros(len(terms), np.int64)
@@ -234,7 +249,7 @@ def fit(
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(seen[at], rows)})
 
-    frequency = docs.select(F.col(text).alias("text")).mapInPandas(count_terms, "term long, n long")
+    frequency = texts.select("text").mapInPandas(count_terms, "term long, n long")
     found = {r[0]: r[1] for r in frequency.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([math.log(1.0 + found.get(-1, 0) / (1.0 + found.get(i, 0))) for i in range(len(terms))])
 
@@ -245,7 +260,7 @@ def fit(
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [list(g) for g in got], "counts": [list(g.values()) for g in got]})
 
     made = sample.mapInPandas(vectors, "doc_id long, label int, terms array<int>, counts array<int>").collect()
-    rows = sorted((r[0], r[1], dict(zip(r[2], r[3], strict=True))) for r in made) if made else []
+    rows = in_blocks([(r[0], r[1], dict(zip(r[2], r[3], strict=True))) for r in made], idf)
     index = build_index(terms, idf, rows, k)
     if rows:
         index.curve = calibrate(index, rows, {y: n / total for y, n in counts.items()})
@@ -275,7 +290,7 @@ def score_toxicity(df: DataFrame, index: Index, text: str = "text", output: str
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = is_held_out(F.col("doc_id"), 5, 0)
     index = fit(docs, load(spark, sf_dir, "labels"), ~held_out)
     near = F.array_join(F.transform("toxicity.evidence", lambda x: x["doc_id"].cast("string")), ",")
     return score_toxicity(docs, index).select("doc_id", held_out.alias("held_out"), "toxicity.score", "toxicity.predicted", near.alias("evidence"))

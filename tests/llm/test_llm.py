@@ -100,10 +100,42 @@ def test_language_accuracy_and_edges(spark):
     odd = language_id.identify_language(frame(spark, [None, "", " 12 !", "б", "the " * 50_000]), dictionaries).select("doc_id", "language.*").orderBy("doc_id").collect()
     assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and odd[0].score == 0 and odd[3].lang_pred != "und" and odd[4].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in odd)
+    again = language_id.identify_language(frame(spark, ["\u00b2 \u00bd", "\u2167", "la casa", "la casa"], [None, 1, None, 1], language=1, lang_pred="x"), dictionaries).select("language.*").collect()
+    assert [r.lang_pred for r in again[:2]] == ["und"] * 2 and again[2] == again[3]  # a fraction and a numeral are no letters
+    with pytest.raises(ValueError):
+        language_id.fit_dictionaries(docs, ~held, most_languages=1)
     none = language_id.identify_language(frame(spark, ["abc"]), language_id.fit_dictionaries(docs.limit(0), F.lit(True)))
     assert none.select("language.lang_pred").first()[0] == "und"
 
 
+def test_language_query_by_brute_force(spark, tmp_path):
+    """The query against its definition: bytes of every chunk under raw dictionaries of the training texts."""
+    import zstandard
+
+    rng = random.Random(5)
+    own = {"aa": "lorem ipsum dolor sit amet consectetur".split(), "bb": "quick brown fox jumps over lazy dog".split()}
+    texts = [(i, " ".join(rng.choices(own[lang], k=rng.randint(3, 900))), lang) for i, lang in enumerate(["aa", "bb"] * 30)]
+    texts += [(60, None, "aa"), (61, "12 \u00bd", "bb"), (62, "", None), (None, "quick fox", "bb"), (7, texts[7][1], "bb")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = language_id.op2_language_id(spark, str(tmp_path)).collect()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    known = {lang: {t for i, t, x in texts if x == lang and t and not held(i)} for lang in own}
+    dictionaries = language_id.fit_dictionaries(docs, ~language_id.is_held_out(F.col("doc_id"), 5, 0))
+    for lang, body in dictionaries.items():  # whole texts, each once
+        assert sorted(body.decode().split("\n")) == sorted(language_id.letters(t).decode() for t in known[lang])
+    coders = {lang: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for lang, body in dictionaries.items()}
+    want = []
+    for i, t, _ in texts:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((i, held(i), "und"))
+            continue
+        size = {lang: sum(len(c.compress(b" " + t.encode()[k : k + 2000])) for k in range(0, len(t), 2000)) for lang, c in coders.items()}
+        assert size["aa"] != size["bb"]
+        want.append((i, held(i), min(size, key=size.get)))
+    assert sorted(map(str, ((r.doc_id, r.held_out, r.lang_pred) for r in got))) == sorted(map(str, want))
+
+
 def test_language_of_smallest_encoding():
     c = language_id.Classifier({"a": b"alpha beta gamma delta epsilon zeta", "b": b"uno dos tres cuatro cinco seis siete"})
     assert c.classify("alpha beta gamma delta", 4.0, 0.01)[0] == "a" and c.classify("cuatro cinco seis siete", 4.0, 0.01)[0] == "b"
@@ -306,11 +338,42 @@ def test_quality_held_out(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.97
 
 
+def test_quality_query_by_hand(spark, tmp_path):
+    """The query against the same steps in one process: features, weights, and the cut over all training rows."""
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    odd = spark.createDataFrame([(None, "some words", "en", "s", 1), (900_001, None, None, None, None), (900_001, "", "en", "s", 0)], docs.schema)
+    docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op6_quality(spark, str(tmp_path)).collect()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 3 == 1
+    texts = [(r.doc_id, r.text or "") for r in docs.unionByName(odd).collect()]
+    known = {r.doc_id: r.quality for r in labels.collect() if not held(r.doc_id)}
+    seen = quality.WordHashes()
+    x = {(i, t): quality.features(t, seen) for i, t in texts}
+    sample = sorted((i, known[i], t) for i, t in texts if i in known)
+    ranking = quality.rank(np.array([x[i, t] for i, _, t in sample]), np.array([y for _, y, _ in sample]))
+    strength = dict(zip(x, ranking.strength(np.array(list(x.values())))))
+    ordered = sorted(strength[i, t] for i, _, t in sample)
+    low = sum(1 - y for _, y, _ in sample)
+    assert len(got) == len(texts) and all(r.held_out == held(r.doc_id) for r in got)
+    cut = (ordered[low - 2] + ordered[low]) / 2
+    want = sorted((str(i), round(1 / (1 + math.exp(-max(-50, min(50, strength[i, t] - cut)))), 6)) for i, t in texts)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+
+
 def test_quality_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ranking = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
     out = quality.score_quality(frame(spark, [None, "", "a", "a", "b " * 100_000], score=3), ranking).select("doc_id", "quality.*").orderBy("doc_id").collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out) and out[0].score == out[1].score and out[2].score == out[3].score
+    empty = frame(spark, [])
+    assert quality.score_quality(empty, ranking).count() == 0
+    clash = docs.withColumns({"label": F.lit(1), "quality": F.lit(2), "chosen_id": F.lit(3), "strength": F.lit(4.0)})
+    again = quality.fit(clash, spark.read.parquet(f"{SF}/labels.parquet").withColumns({"text": F.lit("x"), "label": F.lit(9)}), F.lit(True))
+    assert again.cut == ranking.cut and (again.weights == ranking.weights).all()
+    lost = quality.fit(frame(spark, ["a b c", None], [None, None]), spark.createDataFrame([(None, 1), (None, 0)], "doc_id long, quality int"), F.lit(True))
+    assert lost.cut == 0 and not lost.weights.any()
     nothing = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").limit(0), F.lit(True))
     assert [r[0] for r in quality.score_quality(frame(spark, ["x"]), nothing).select("quality.score").collect()] == [0.5]
 
@@ -391,6 +454,8 @@ def test_nearest_examples_are_exact():
     terms = [f"t{i:03}" for i in range(60)]
     idf = np.array([0.2 + (i % 7) for i in range(60)])
     rows = [(e, e % 2, {rng.randrange(60): rng.randint(1, 4) for _ in range(rng.randint(0, 8))}) for e in range(500)]
+    rows = toxicity.in_blocks(rows, idf)
+    ids = [r[0] for r in rows]
     index = toxicity.build_index(terms, idf, rows, 9)
     dense = np.zeros((500, 60))
     for e, (_, _, c) in enumerate(rows):
@@ -401,9 +466,10 @@ def test_nearest_examples_are_exact():
         q = {rng.randrange(60): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
         at, w = index.vector(q)
         sims = dense[:, at] @ w
-        want = sorted((e for e in range(500) if sims[e] > 1e-15), key=lambda e: (-round(sims[e], 12), e))[:9]
+        want = sorted((e for e in range(500) if sims[e] > 1e-15), key=lambda e: (-round(sims[e], 12), ids[e]))[:9]
         best, got = index.nearest(q)
         assert best.tolist() == want and np.allclose(got, sims[want])
+    assert 0 < index.blocks_read < 0.7 * index.blocks_met  # the postings of the other blocks were not read
 
 
 def test_toxicity_held_out_and_edges(spark):
@@ -416,10 +482,74 @@ def test_toxicity_held_out_and_edges(spark):
     assert sum(r.predicted for r in got if not r.toxic) / sum(1 - r.toxic for r in got) < 0.02
     odd = toxicity.score_toxicity(frame(spark, [None, "", "you stupid idiot", "you stupid idiot", "x " * 200_000], score=1, evidence=2), index).select("doc_id", "toxicity.*").orderBy("doc_id").collect()
     assert odd[0].score == odd[1].score < 0.5 and odd[2].score == odd[3].score > 0.5 and odd[2].evidence[0].label == 1 and odd[4].score < 0.5
+    assert toxicity.score_toxicity(frame(spark, []), index).count() == 0
     none = toxicity.fit(docs.limit(0), labels.limit(0), F.lit(True))
     assert [r[0] for r in toxicity.score_toxicity(frame(spark, ["x"]), none).select("toxicity.score").collect()] == [0.0]
 
 
+def test_toxicity_by_brute_force(spark, tmp_path):
+    """The query against plain counts: terms by chi-squared, document frequencies, all cosines, votes and the curve."""
+    rng = random.Random(12)
+    bad, good = [f"bad{k}word" for k in range(12)], [f"fine{k}thing" for k in range(12)]
+    texts, toxic = [], []
+    for k in range(420):
+        toxic.append(int(k % 3 == 0))
+        own = rng.sample(bad if toxic[-1] else good, 4) * rng.randint(1, 3)
+        texts.append(" ".join([*own, *words(rng, 12, 60).split()]))
+    texts += [None, "", texts[0], texts[1]]
+    shape = "doc_id long, toxic int, label string, text int"
+    labels = spark.createDataFrame([*((i, y, "x", 1) for i, y in enumerate(toxic)), (None, 1, "x", 1), (421, None, "x", 1)], shape)
+    docs = frame(spark, texts, label=1, toxicity=2).unionByName(frame(spark, ["some words"], [None], label=1, toxicity=2))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, *range(424)} and got[None].held_out
+    train = [i for i in range(420) if zlib.crc32(str(i).encode()) % 5]
+    each = {i: toxicity.all_terms(texts[i]) for i in train}
+    n1 = sum(toxic[i] for i in train)
+    n0 = len(train) - n1
+    df1, df0 = collections.Counter(t for i in train if toxic[i] for t in each[i]), collections.Counter(t for i in train if not toxic[i] for t in each[i])
+    tried = [t for t in {*df1, *df0} if df1[t] + df0[t] >= 4]
+
+    def chi(t):
+        a, b = df1[t], df0[t]
+        gap = max(abs(a * (n0 - b) - b * (n1 - a)) - (n1 + n0) / 2, 0.0)
+        return gap * gap * (n1 + n0) / ((a + b) * (n1 + n0 - a - b) * n1 * n0)
+
+    terms = {t for t in tried if chi(t) >= 2 * math.log(len(tried) / 0.01)}
+    counted = {i: {t: n for t, n in toxicity.all_terms(t).items() if t in terms} for i, t in [*enumerate(texts), (None, "some words")]}
+    df = collections.Counter(t for c in counted.values() for t in c)
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * math.log(1 + len(counted) / (1 + df[t])) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    unit_of = {i: unit(c) for i, c in counted.items()}
+
+    def nearest(i, leave=None):
+        sims = [(-round(sum(x * unit_of[e].get(t, 0.0) for t, x in unit_of[i].items()), 12), e) for e in train if e != leave]
+        return [(e, -s) for s, e in sorted(sims) if s < 0][:9]
+
+    vote = lambda near: sum(s * s * toxic[e] for e, s in near) / sum(s * s for _, s in near)
+    a, b = 0.0, 1.0
+    votes = [(vote(near), toxic[e]) for e in train if (near := nearest(e, e))]
+    for _ in range(60):  # the same likelihood and ridge, by Newton's method on the two numbers
+        p = [1 / (1 + math.exp(-(a + b * x))) for x, _ in votes]
+        g0, g1 = sum(q - y for q, (_, y) in zip(p, votes)) + 0.05 * a, sum((q - y) * x for q, (x, y) in zip(p, votes)) + 0.05 * b
+        h = [q * (1 - q) for q in p]
+        m00, m01, m11 = sum(h) + 0.05, sum(w * x for w, (x, _) in zip(h, votes)), sum(w * x * x for w, (x, _) in zip(h, votes)) + 0.05
+        det = m00 * m11 - m01 * m01
+        a, b = a - (m11 * g0 - m01 * g1) / det, b - (m00 * g1 - m01 * g0) / det
+    for i, r in got.items():
+        near = nearest(i)
+        assert r.evidence == ",".join(str(e) for e, _ in near[:3])
+        assert not near or abs(r.score - 1 / (1 + math.exp(-(a + b * vote(near))))) < 1e-6
+        assert r.predicted == int(r.score >= 0.5)
+    assert got[421].score == got[420].score and got[422].score == got[0].score
+    assert all(got[i].predicted == toxic[i] for i in range(420))
+
+
 # ---- 10 secrets -------------------------------------------------------------------------------
 def brute_base(text):
     """The contract's base patterns, as it states them."""
