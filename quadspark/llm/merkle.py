@@ -7,20 +7,26 @@ runs of leaves that end at a blank line or after a leaf whose hash is a multiple
 of ``SECTION``. Leaf hashes make section hashes, section hashes make the root.
 
 The printed fingerprint is ``root:section,section,...`` with each section as
-``hash[leaf.words leaf.words ...]``: equal roots mean equal texts, and a
-comparison goes down only into sections that differ.
+``hash[leaf.words leaf.words ...]``: equal roots mean equal texts. A comparison
+puts the sections of two trees side by side in their order, goes down only into
+those that differ, and gives the word ranges of the leaves that differ: where
+either text was edited. Likeness is the share of words outside those ranges, so
+moved paragraphs count as edits.
 
 Defined results: a null text is an empty one, whose tree has no section; the
-root is taken over the whole text, so white space alone also tells texts apart;
-two fingerprints without leaves are alike (1.0), one against a text with leaves
-is not (0.0).
+root is taken over the whole text, so white space alone also tells texts apart
+(such texts are alike by 1.0 and differ in no word); two fingerprints without
+leaves are alike (1.0), one against a text with leaves is not (0.0); rows of
+equal doc_id are ordered by text, equal rows one after the other, and null ids
+come last; other columns change nothing, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -58,7 +64,7 @@ def leaves(text: str) -> list[list[tuple[str, int]]]:
             pieces = [words[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         for p in pieces:
             value = xxhash.xxh3_64_intdigest(b" ".join(p))
-            now.append((f"{value >> 32:08x}", len(p)))
+            now.append((f"{value:016x}", len(p)))
             if value % SECTION == 0:
                 close()
     close()
@@ -85,35 +91,89 @@ def parse(printed: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
     return root, sections
 
 
-def differing(a: str, b: str) -> tuple[Counter, Counter]:
-    """Leaves (with multiplicity) of either fingerprint that the other lacks; equal sections are not opened."""
+def in_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places at which two lists agree, ascending on both sides.
+
+    The equal ends of the lists, and between them the longest ascending run of
+    the k-th occurrence here against the k-th occurrence there: n log n steps.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    where: dict[str, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        where.setdefault(b[j], []).append(j)  # the earliest is taken first
+    least: list[int] = []  # least[k]: the least place there that ends an ascending run of k + 1 pairs
+    ends: list[int] = []
+    pairs: list[tuple[int, int, int]] = []  # here, there, the pair before it in its run
+    for i in range(head, len(a) - tail):
+        if left := where.get(a[i]):
+            j = left.pop()
+            k = bisect_left(least, j)
+            pairs.append((i, j, ends[k - 1] if k else -1))
+            least[k : k + 1], ends[k : k + 1] = [j], [len(pairs) - 1]
+    middle, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        i, j, at = pairs[at]
+        middle.append((i, j))
+    return [*((i, i) for i in range(head)), *reversed(middle), *((len(a) - t, len(b) - t) for t in range(tail, 0, -1))]
+
+
+def _gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """The stretches (from, to, from, to) between pairs of places."""
+    i = j = 0
+    for x, y in [*pairs, (n, m)]:
+        if x > i or y > j:
+            yield i, x, j, y
+        i, j = x + 1, y + 1
+
+
+def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Word ranges (from, to) of the first text and (from, to) of the second that differ, in order; equal branches are not opened."""
     (root_a, left), (root_b, right) = parse(a), parse(b)
     if root_a == root_b:
-        return Counter(), Counter()
-    shared = Counter(h for h, _ in left) & Counter(h for h, _ in right)
-    out = []
+        return []
+    starts = []
     for side in (left, right):
-        skip, rest = shared.copy(), Counter()
-        for h, own in side:
-            if skip[h]:
-                skip[h] -= 1
-            else:
-                rest.update(own)
-        out.append(rest)
-    both = out[0] & out[1]
-    return out[0] - both, out[1] - both
+        at = [0]
+        for _, own in side:
+            at.append(at[-1] + sum(n for _, n in own))
+        starts.append(at)
+    out: list[tuple[int, int, int, int]] = []
+    for i, x, j, y in _gaps(in_order([h for h, _ in left], [h for h, _ in right]), len(left), len(right)):
+        one, two = [leaf for _, own in left[i:x] for leaf in own], [leaf for _, own in right[j:y] for leaf in own]
+        ends = [list(accumulate((n for _, n in leaves), initial=start)) for leaves, start in ((one, starts[0][i]), (two, starts[1][j]))]
+        for k, z, m, w in _gaps(in_order([h for h, _ in one], [h for h, _ in two]), len(one), len(two)):
+            out.append((ends[0][k], ends[0][z], ends[1][m], ends[1][w]))
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of words in leaves that both have: 2 * common / (words of a + words of b)."""
+    """Share of words outside the edits, of both texts together; 1 for equal roots."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return 1.0
     words = lambda p: sum(n for _, own in parse(p)[1] for _, n in own)
     total = words(a) + words(b)
     if not total:
         return 1.0
-    only = sum(n * c for side in differing(a, b) for (_, n), c in side.items())
-    return (total - only) / total
+    return 1.0 - sum(x - i + y - j for i, x, j, y in edits(a, b)) / total
+
+
+EDITS = "array<struct<start:int,end:int,other_start:int,other_end:int>>"
+
+
+def locate_edits(df: DataFrame, left: str = "fingerprint", right: str = "edited_fingerprint", output: str = "edits") -> DataFrame:
+    """``df`` with the word ranges in which the texts of two fingerprint columns differ."""
+
+    @F.pandas_udf(EDITS)
+    def find(one: pd.Series, two: pd.Series) -> pd.Series:
+        names = ("start", "end", "other_start", "other_end")
+        return pd.Series([[dict(zip(names, e, strict=True)) for e in edits(a or fingerprint(None), b or fingerprint(None))] for a, b in zip(one, two, strict=True)], dtype=object)
+
+    return df.withColumn(output, find(F.col(left), F.col(right)))
 
 
 def fingerprints(df: DataFrame, text: str = "text", output: str = "fingerprint") -> DataFrame:
@@ -161,14 +221,14 @@ def compare_with_next(df: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFr
     """For each document: its fingerprint, that of its text with the last third from the next document, and likenesses.
 
     Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited,
-    near_next. Rows of equal doc_id are ordered by text.
+    near_next, edits. Rows of equal doc_id are ordered by text.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = with_next(docs, rows_a_block)
     sorted_blocks = blocks.repartition("block").sortWithinPartitions("block", "last", F.desc("key"), "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits"]
         held = None  # (block, doc_id, text, fingerprint) that waits for its next document
         for rows in batches:
             out = []
@@ -179,15 +239,16 @@ def compare_with_next(df: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFr
                     cut = len(own) // 3
                     edited = own[: len(own) - cut] + text[:cut]
                     edited_print = fingerprint(edited)
-                    out.append((held[1], len(own), edited, held[3], edited_print, likeness(held[3], edited_print), likeness(held[3], printed)))
+                    out.append((held[1], len(own), edited, held[3], edited_print, likeness(held[3], edited_print), likeness(held[3], printed), [list(e) for e in edits(held[3], edited_print)]))
                 held = None if last else (block, None if pd.isna(doc_id) else int(doc_id), text, printed)
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     return sorted_blocks.mapInPandas(
-        walk, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        walk, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<array<int>>"
     )
 
 
 def op7_merkle_fingerprint(spark, sf_dir: str) -> DataFrame:
     out = compare_with_next(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    ranges = F.array_join(F.transform("edits", lambda e: F.array_join(e.cast("array<string>"), ":")), ",")  # word ranges of either text
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", ranges.alias("edits"))

@@ -389,7 +389,36 @@ def test_bradley_terry_orders_by_strength():
 
 
 # ---- 7 fingerprints ------------------------------------------------------------------------
+def pieces(text):
+    """Leaves (words) with the number of their section, by the definition of the tree and not through its printed form."""
+    import xxhash
+
+    out, section = [], 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        w = line.split()
+        if not w:
+            section += 1
+            continue
+        cut = [k + 1 for k in range(len(w)) if xxhash.xxh3_64_intdigest(w[k], k and xxhash.xxh32_intdigest(w[k - 1])) % 12 == 0] if len(w) > 12 else []
+        for x, y in zip([0, *cut], [*cut, len(w)]):
+            if y > x:
+                out.append((tuple(w[x:y]), section))
+                section += xxhash.xxh3_64_intdigest(b" ".join(w[x:y])) % 8 == 0
+    return out
+
+
+def common_words(a, b):
+    """The most words in leaves that two lists have in the same order: a plain dynamic programme."""
+    one, two = [p for p, _ in a], [p for p, _ in b]
+    best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+    for i, x in enumerate(one):
+        for j, y in enumerate(two):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(x) * (x == y))
+    return best[-1][-1]
+
+
 def test_fingerprints_with_next(spark, texts):
+    texts = [t if t is None or len(t) < 20_000 else t[:20_000] for t in texts]
     for size, ids in ((3, None), (1000, None), (2, [k // 2 if k % 7 else None for k in range(len(texts))])):
         rows = [(i if ids is None else ids[i], t or "") for i, t in enumerate(texts)]
         order = sorted(rows, key=lambda r: (math.inf if r[0] is None else -r[0], r[1]))
@@ -398,21 +427,47 @@ def test_fingerprints_with_next(spark, texts):
             nxt = order[(k + 1) % len(order)][1]
             cut = len(t) // 3
             changed = t[: len(t) - cut] + nxt[:cut]
-            want.append((i, len(t), changed, merkle.fingerprint(t), merkle.fingerprint(changed)))
-        got = [tuple(r)[:5] for r in merkle.compare_with_next(frame(spark, texts, ids, block=1, last=2, key=3), size).collect()]
-        assert sorted(got, key=str) == sorted(want, key=str)
+            want.append((i, len(t), changed, merkle.fingerprint(t), merkle.fingerprint(changed), t, nxt))
+        got = merkle.compare_with_next(frame(spark, texts, ids, block=1, last=2, key=3, edits=4), size).collect()
+        assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((w[:5] for w in want), key=str)
+        near = {(r.doc_id, r.edited, r.fingerprint): r for r in got}
+        for i, _, changed, printed, _, t, nxt in want if size == 3 else ():
+            r, own = near[i, changed, printed], pieces(t)
+            for other, value in ((changed, r.near_edited), (nxt, r.near_next)):
+                both = pieces(other)
+                total = sum(len(p) for p, _ in own + both)
+                most = 1.0 if t == other or not total else 2 * common_words(own, both) / total
+                assert most - 0.02 <= value <= most + 1e-9, (i, value, most)  # the comparison keeps order, and comes near the best
+            w, x = split_words(t), split_words(changed)
+            kept = [w[k] for k in range(len(w)) if not any(e[0] <= k < e[1] for e in r.edits)]
+            assert kept == [x[k] for k in range(len(x)) if not any(e[2] <= k < e[3] for e in r.edits)]
     assert merkle.compare_with_next(frame(spark, [])).count() == 0
     assert [tuple(r)[1:3] for r in merkle.compare_with_next(frame(spark, ["abcdef"])).collect()] == [(6, "abcdab")]
 
 
-def test_merkle_tree(texts):
+def test_merkle_tree(spark, texts):
     assert len({merkle.fingerprint(t) for t in texts}) == len({t or "" for t in texts})
     text = "\n".join(f"line {i} has words of its own {i * i}" for i in range(200))
-    changed = text.replace("line 100 ", "line hundred ")
+    changed = text.replace("line 100 ", "line hundred ").replace("line 150 has", "line 150 now has")
     a, b = merkle.fingerprint(text), merkle.fingerprint(changed)
-    gone, come = merkle.differing(a, b)
-    assert sum(gone.values()) == sum(come.values()) == 1 and 0.98 < merkle.likeness(a, b) < 1
+    assert merkle.edits(a, b) == [(800, 808, 800, 808), (1200, 1208, 1200, 1209)] and 0.97 < merkle.likeness(a, b) < 1
     assert merkle.likeness(a, a) == 1 and merkle.likeness(a, merkle.fingerprint("other words")) == 0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint(None)) == 1
+    turned = merkle.fingerprint("\n".join(reversed(text.split("\n"))))
+    assert merkle.likeness(a, turned) < 0.1 and merkle.edits(a, turned)
+    moved = merkle.fingerprint("\n".join([*text.split("\n")[100:], *text.split("\n")[:100]]))
+    assert 0.4 < merkle.likeness(a, moved) < 0.6
+    spaces = merkle.fingerprint(text.replace(" ", "  "))
+    assert spaces != a and merkle.likeness(a, spaces) == 1 and merkle.edits(a, spaces) == []
+    rows = spark.createDataFrame([(a, b, 1), (a, a, 1), (None, None, 1)], "fingerprint string, edited_fingerprint string, edits int")
+    assert [len(r.edits) for r in merkle.locate_edits(rows).collect()] == [2, 0, 0]
+
+
+def test_agreement_in_order():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randrange(12))) for _ in range(2))
+        pairs = merkle.in_order(list(a), list(b))
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
 # ---- 8 packing -----------------------------------------------------------------------------
