@@ -6,8 +6,9 @@ nothing is dropped. The global histogram of piece lengths (at most
 programming picks the ``buckets`` upper lengths with the least padding. Inside a
 bucket of padded length L a batch holds floor(token_budget / L) pieces. Pieces
 are numbered without gathering a bucket in one task: each (bucket, shard) is
-numbered by itself, and running totals over the small table of shard counts give
-the offsets, so that only the last batch of a bucket can be short.
+numbered by itself, and running totals over the table of shard counts, in two
+levels of SHARDS_A_GROUP, give the offsets, so that only the last batch of a
+bucket can be short. Texts are read once: their counts are kept for both passes.
 
 Defined results: length is the count of words ``[^\\x20\\x09-\\x0D]+``, or what
 ``count`` gives; texts that are null or without a word have no piece; ties in
@@ -23,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, load
+from .common import blocks_for, checkpointed, load
 
-ROWS_A_SHARD = 10_000
+ROWS_A_SHARD, SHARDS_A_GROUP = 10_000, 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +70,7 @@ def pack(
     """
     if token_budget < max_tokens:
         raise ValueError("token_budget must hold a piece of max_tokens")
-    lengths = df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n"))
+    lengths = checkpointed(df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n")))
     full = F.floor((F.col("n") - 1) / max_tokens).cast("int")
     pieces = lengths.where("n > 0").select(
         "doc_id", F.explode(F.sequence(F.lit(0), full)).alias("piece"), "n"
@@ -82,9 +83,11 @@ def pack(
     # Shards follow the hash of the piece, rows in a shard its order, so a lost task is made again alike.
     shards = blocks_for(sum(histogram.values()), ROWS_A_SHARD)
     placed = pieces.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(shards)))
-    counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
-    running = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("before"))
+    counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("rows")).withColumn("group", F.floor(F.col("shard") / SHARDS_A_GROUP))
+    running = lambda *by: F.coalesce(F.sum("rows").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("bucket", "group").agg(F.sum("rows").alias("rows")).select("bucket", "group", running("bucket", "group").alias("earlier"))
+    inside = counts.select("bucket", "shard", "group", running("bucket", "group", "shard").alias("inside"))
+    offsets = inside.join(groups, ["bucket", "group"]).select("bucket", "shard", (F.col("earlier") + F.col("inside")).alias("before"))
     within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")
     numbered = placed.withColumn("rank", F.row_number().over(within)).join(offsets, ["bucket", "shard"])
     place = F.col("before") + F.col("rank") - 1
