@@ -17,8 +17,9 @@ Defined results: a null text is an empty one, whose tree has no section; the
 root is taken over the whole text, so white space alone also tells texts apart
 (such texts are alike by 1.0 and differ in no word); two fingerprints without
 leaves are alike (1.0), one against a text with leaves is not (0.0); rows of
-equal doc_id are ordered by text, equal rows one after the other, and null ids
-come last; other columns change nothing, whatever their names.
+equal doc_id are ordered by text, equal rows one after the other; a row without a
+doc_id has no place in the order, and its next document is an empty one; other
+columns change nothing, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from .common import blocks_for, load
 
 PIECE, SECTION = 12, 8
 ROWS_A_BLOCK, MOST_BLOCKS = 2_000, 50_000
-NO_ID = -(1 << 63)
 
 
 def leaves(text: str) -> list[list[tuple[str, int]]]:
@@ -193,10 +193,10 @@ def with_next(df: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     document on a bound is also sent to the block before its own, and the first
     of all to the last block. Only those few rows are sent twice.
     """
-    keyed = df.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
+    keyed = df.select("doc_id", "text", F.col("doc_id").alias("key"))
     blocks = min(blocks_for(df.count(), rows_a_block), MOST_BLOCKS)
     shares = [i / blocks for i in range(1, blocks + 1)]
-    bounds = sorted(set(keyed.agg(F.percentile_approx("key", shares, max(10_000, 20 * blocks))).first()[0] or [])) or [NO_ID]
+    bounds = sorted(set(keyed.agg(F.percentile_approx("key", shares, max(10_000, 20 * blocks))).first()[0] or [])) or [0]
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
@@ -224,28 +224,38 @@ def compare_with_next(df: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFr
     near_next, edits. Rows of equal doc_id are ordered by text.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = with_next(docs, rows_a_block)
+    blocks = with_next(docs.where("doc_id IS NOT NULL"), rows_a_block)
     sorted_blocks = blocks.repartition("block").sortWithinPartitions("block", "last", F.desc("key"), "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits"]
         held = None  # (block, doc_id, text, fingerprint) that waits for its next document
         for rows in batches:
             out = []
             for block, last, doc_id, text in zip(rows["block"], rows["last"], rows["doc_id"], rows["text"], strict=True):
                 printed = fingerprint(text)
                 if held is not None and held[0] == block:
-                    own = held[2]
-                    cut = len(own) // 3
-                    edited = own[: len(own) - cut] + text[:cut]
-                    edited_print = fingerprint(edited)
-                    out.append((held[1], len(own), edited, held[3], edited_print, likeness(held[3], edited_print), likeness(held[3], printed), [list(e) for e in edits(held[3], edited_print)]))
-                held = None if last else (block, None if pd.isna(doc_id) else int(doc_id), text, printed)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    return sorted_blocks.mapInPandas(
-        walk, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<array<int>>"
-    )
+                    out.append(_compared(held[1], held[2], held[3], text, printed))
+                held = None if last else (block, int(doc_id), text, printed)
+            yield pd.DataFrame(out, columns=_NAMES).astype({"doc_id": "Int64"})
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [_compared(None, text, fingerprint(text), "", fingerprint("")) for text in rows["text"]]
+            yield pd.DataFrame(out, columns=_NAMES).astype({"doc_id": "Int64"})
+
+    return sorted_blocks.mapInPandas(walk, _SHAPE).unionByName(docs.where("doc_id IS NULL").mapInPandas(alone, _SHAPE))
+
+
+_SHAPE = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<array<int>>"
+_NAMES = [x.split()[0] for x in _SHAPE.split(", ")]
+
+
+def _compared(doc_id: int | None, own: str, printed: str, following: str, next_printed: str) -> tuple:
+    cut = len(own) // 3
+    edited = own[: len(own) - cut] + following[:cut]
+    edited_print = fingerprint(edited)
+    found = [list(e) for e in edits(printed, edited_print)]
+    return doc_id, len(own), edited, printed, edited_print, likeness(printed, edited_print), likeness(printed, next_printed), found
 
 
 def op7_merkle_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -9,31 +9,36 @@ so they share an aligned anchor. Anchors that occur once anywhere rule their
 windows out; the windows around the others are extended to full length, hashed
 with 128 bits and matched exactly.
 
-Documents are dealt into blocks by a hash of doc_id. A block sends each distinct
-anchor (later: window) once to the bucket of its hash range, whatever the number
-of copies it holds, and gets back one bit for each. So a passage that a third of
-all rows share costs one entry for each block, no pairs are made, and no group
-grows with the number of copies.
+Documents are dealt into blocks of about ``chars_a_block`` characters by doc_id and
+a hash of the text, so that neither copies nor rows of one id meet in one block. A
+block sends each distinct anchor (later: window) once to the bucket of its hash
+range, whatever the number of copies it holds, and gets back one bit for each. So
+a passage that a third of all rows share costs one entry for each block, no pairs
+are made, and no group grows with the number of copies. The rows sent are blocks x
+buckets, at most one for each anchor; larger blocks and buckets make fewer.
 
 Defined results: a null or empty text has no words and nothing removed; windows
 are judged on the input; a null doc_id is the smallest; rows of equal doc_id are
-ordered by text, and equal rows one after the other; other columns are ignored.
+ordered by the unsigned hash of their text, and equal rows one after the other;
+other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks_for, load, odd_constants, pack_sorted, rolling, split_words, unpack_sorted
+from .common import blocks_for, load, odd_constants, pack_sorted, rolling, split_words, unpack_sorted
 
 #: Perfect difference sets: modulo the period, every shift is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 LEAST_ANCHOR = 5
 NO_ID = -(1 << 63)
-CHARS_A_BLOCK, CHARS_A_BUCKET = 6_000_000, 24_000_000
 _PART = "bucket int, block int, data binary, more binary, ids binary"
 _BITS = "block int, bucket int, kind int, bits binary"
 ANCHOR, WINDOW = 0, 1
@@ -57,20 +62,42 @@ class Plan:
         return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]]).astype(np.int64)
 
 
+class WordNumbers(dict):
+    """word -> its number; two 64-bit hashes of different seeds for each number."""
+
+    def __init__(self):
+        self.one, self.two = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.one)
+        self.one.append(xxhash.xxh3_64_intdigest(word))
+        self.two.append(xxhash.xxh3_64_intdigest(word, 1))
+        return number
+
+
 class Block:
-    """The words of a block's documents, one after the other in (doc_id, text) order."""
+    """The word hashes of a block's documents, one after the other in the order of documents; the words only where they are asked for."""
 
-    def __init__(self, rows: pd.DataFrame, plan: Plan):
+    def __init__(self, rows: pd.DataFrame, plan: Plan, keep_words: bool = False):
         self.plan = plan
         ids, texts = rows["doc_id"].tolist(), rows["text"].tolist()
         keys = [NO_ID if pd.isna(i) else int(i) for i in ids]
-        order = sorted(range(len(ids)), key=lambda i: (keys[i], texts[i] or ""))
+        spread = (rows["spread"].to_numpy(np.int64).view(np.uint64)).tolist()
+        order = sorted(range(len(ids)), key=lambda i: (keys[i], spread[i], texts[i] or ""))
         self.keys = np.array([keys[i] for i in order], np.int64)
-        self.words = [split_words(texts[i]) for i in order]
-        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.ids = [None if pd.isna(ids[i]) else keys[i] for i in order]
+        self.words: list[list[bytes]] = []
+        numbers, each = WordNumbers(), [np.empty(0, np.int32)]
+        for i in order:
+            words = split_words(texts[i])
+            each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            if keep_words:
+                self.words.append(words)
+        lengths = np.array([len(x) for x in each[1:]], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        seen = WordHashes()
-        self.hashes = np.concatenate([np.empty(0, np.uint64), *(seen.of(w) for w in self.words)])
+        number = np.concatenate(each)
+        self.hashes = np.frombuffer(numbers.one, np.uint64)[number] if len(number) else np.empty(0, np.uint64)
+        self.others = np.frombuffer(numbers.two, np.uint64)[number] if len(number) else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
         self.pos = np.arange(len(self.hashes)) - self.starts[self.doc]
         self.left = lengths[self.doc] - self.pos  # words from here to the document's end
@@ -95,9 +122,8 @@ class Block:
         places = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (self.left >= p.window))
         one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
         for k in range(p.window):
-            h = self.hashes[places + k]
-            one += h * p.full[0][k]
-            two += h * p.full[1][k]
+            one += self.hashes[places + k] * p.full[0][k]
+            two += self.others[places + k] * p.full[1][k]
         order = np.lexsort((two, one))  # stable: places stay in order
         a, b = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -144,12 +170,14 @@ def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     return _answer(rows, [len(e) for e in each], twice | (counts[index] > 1), ANCHOR)
 
 
-def _later_windows(rows: pd.DataFrame) -> pd.DataFrame:
+def _later_windows(rows: pd.DataFrame, blocks: int) -> pd.DataFrame:
     """Bits for the windows whose first document is not the first of all."""
     each = [unpack_sorted(d) for d in rows["data"]]
     one, two = np.concatenate(each), np.concatenate([unpack_sorted(d) for d in rows["more"]])
     ids = np.concatenate([unpack_sorted(d) for d in rows["ids"]]).view(np.int64)
-    order = np.lexsort((ids, two, one))
+    block = np.repeat(rows["block"].to_numpy(np.int64), [len(e) for e in each])
+    # Rows of one id lie in blocks by the hash of their texts, counted on from the id's own place.
+    order = np.lexsort(((block - ids % blocks) % blocks, ids, two, one))
     a, b = one[order], two[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -158,15 +186,21 @@ def _later_windows(rows: pd.DataFrame) -> pd.DataFrame:
     return _answer(rows, [len(e) for e in each], later, WINDOW)
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20) -> DataFrame:
+def dedup_substrings(
+    df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, chars_a_block: int = 6_000_000, chars_a_bucket: int = 24_000_000
+) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_words, n_removed, kept (words joined by one space), removed.
 
     ``removed`` lists the (start, end) word ranges that went, end exclusive.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, plan = blocks_for(chars, CHARS_A_BLOCK), Plan(window, blocks_for(chars, CHARS_A_BUCKET))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocks, plan = blocks_for(chars, chars_a_block), Plan(window, blocks_for(chars, chars_a_bucket))
+    spread = F.xxhash64(F.coalesce("text", F.lit("")))
+    # The hash's place among the blocks, in its unsigned order, counted on from the id's own place.
+    share = F.shiftright(F.shiftrightunsigned(spread, 33) * F.lit(blocks).cast("long"), 31)
+    own = F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(blocks).cast("long"))
+    dealt = docs.withColumns({"spread": spread, "block": F.pmod(own + share, F.lit(blocks)).cast("int")})
 
     def send_anchors(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, distinct, _, counts = Block(rows, plan).anchors()
@@ -180,7 +214,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", key: str = "doc_id", win
         return _parts(int(key[0]), plan.cuts(one), one, two, b.keys[b.doc[first]].view(np.uint64))
 
     def cut(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows, plan)
+        b = Block(rows, plan, keep_words=True)
         places, one, _, group, first = b.windows(_bits_of(bits, ANCHOR))
         later = flags(_bits_of(bits, WINDOW), plan.cuts(one))
         gone = places[later[group] | (first[group] != places)]
@@ -198,15 +232,14 @@ def dedup_substrings(df: DataFrame, text: str = "text", key: str = "doc_id", win
                 kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
             else:
                 kept = words
-            doc_id = int(b.keys[i])
-            out.append((None if doc_id == NO_ID else doc_id, len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass"), ranges))
+            out.append((b.ids[i], len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass"), ranges))
         frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"])
         return frame.astype({"doc_id": "Int64"})
 
     by_block = dealt.groupBy("block")
     anchor_bits = by_block.applyInPandas(send_anchors, _PART).groupBy("bucket").applyInPandas(_repeated_anchors, _BITS)
     windows = by_block.cogroup(anchor_bits.groupBy("block")).applyInPandas(send_windows, _PART)
-    window_bits = windows.groupBy("bucket").applyInPandas(_later_windows, _BITS)
+    window_bits = windows.groupBy("bucket").applyInPandas(lambda rows: _later_windows(rows, blocks), _BITS)
     all_bits = anchor_bits.unionByName(window_bits)
     return by_block.cogroup(all_bits.groupBy("block")).applyInPandas(
         cut, "doc_id long, n_words long, n_removed long, kept string, removed array<array<long>>"

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quadspark.llm import chat_format, decontaminate, jaccard_join, language_id, merkle, packing, quality, secret_scan, substring_dedup, toxicity
@@ -51,7 +52,7 @@ def shingles(text, n=5):
 # ---- 1 substring dedup ---------------------------------------------------------
 def brute_dedup(rows, size=20):
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (-math.inf if r[0] is None else r[0], r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (-math.inf if r[0] is None else r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42), r[1] or "")):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = [False] * len(w)
         for k in range(len(w) - size + 1):
@@ -64,11 +65,9 @@ def brute_dedup(rows, size=20):
 
 
 @pytest.mark.parametrize("size", [20, 9, 4])
-def test_substring_dedup(spark, texts, monkeypatch, size):
-    monkeypatch.setattr(substring_dedup, "CHARS_A_BLOCK", 4_000)
-    monkeypatch.setattr(substring_dedup, "CHARS_A_BUCKET", 9_000)
-    docs = frame(spark, texts, block=7, bucket=1, kept="x")
-    got = substring_dedup.dedup_substrings(docs, window=size).collect()
+def test_substring_dedup(spark, texts, size):
+    docs = frame(spark, texts, block=7, bucket=1, kept="x", spread=3)
+    got = substring_dedup.dedup_substrings(docs, window=size, chars_a_block=4_000, chars_a_bucket=9_000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_dedup(list(enumerate(texts)), size)
     by_id = {r.doc_id: r for r in got}
     for i, t in enumerate(texts):
@@ -79,9 +78,14 @@ def test_substring_dedup(spark, texts, monkeypatch, size):
 
 def test_substring_dedup_of_odd_ids_and_nothing(spark, texts):
     few = texts[:14]
-    ids = [None, 3, 3, 5, 8, None, 2, 2, 2, 1, 0, 9, 9, 4]
-    got = substring_dedup.dedup_substrings(frame(spark, few, ids)).collect()
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_dedup(list(zip(ids, few)))
+    ids = [None, 3, 3, 5, 8, None, 2, 2, 2, 1, 0, 9, 9, -(2**63)]
+    for block in (6_000_000, 100):
+        got = substring_dedup.dedup_substrings(frame(spark, few, ids), chars_a_block=block, chars_a_bucket=300).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_dedup(list(zip(ids, few)))
+    near = texts[8:20]  # rows of one id, and of none, are spread over the blocks and keep one order
+    for one in (5, None):
+        got = substring_dedup.dedup_substrings(frame(spark, near * 2, [one] * 24), chars_a_block=300, chars_a_bucket=900).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_dedup([(one, t) for t in near * 2])
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
@@ -422,8 +426,6 @@ def test_bradley_terry_orders_by_strength():
 # ---- 7 fingerprints ------------------------------------------------------------------------
 def pieces(text):
     """Leaves (words) with the number of their section, by the definition of the tree and not through its printed form."""
-    import xxhash
-
     out, section = [], 0
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         w = line.split()
@@ -452,10 +454,10 @@ def test_fingerprints_with_next(spark, texts):
     texts = [t if t is None or len(t) < 20_000 else t[:20_000] for t in texts]
     for size, ids in ((3, None), (1000, None), (2, [k // 2 if k % 7 else None for k in range(len(texts))])):
         rows = [(i if ids is None else ids[i], t or "") for i, t in enumerate(texts)]
-        order = sorted(rows, key=lambda r: (math.inf if r[0] is None else -r[0], r[1]))
+        order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1]))
+        follows = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)] + [(i, t, "") for i, t in rows if i is None]
         want = []
-        for k, (i, t) in enumerate(order):
-            nxt = order[(k + 1) % len(order)][1]
+        for i, t, nxt in follows:
             cut = len(t) // 3
             changed = t[: len(t) - cut] + nxt[:cut]
             want.append((i, len(t), changed, merkle.fingerprint(t), merkle.fingerprint(changed), t, nxt))
