@@ -6,7 +6,7 @@ sixths or more of it) and of about half of it, or of the shortest run that holds
 half of its weight where that is shorter. An edit that is spread over a copy
 moves few bits of the whole window; one that is in one place leaves a half as it
 was. A document gives, for each length in use, the SimHashes of its windows at a
-stride of an eighth of it (at every word up to 15), from running sums of bits;
+stride of a sixth of it (at every word up to 11), from running sums of bits;
 an item gives as many windows next to each other, so no alignment is left out.
 
 Two fingerprints that differ in at most ``radius`` bits differ in at most
@@ -73,11 +73,16 @@ class PlainHashes(WordHashes):
         return value
 
 
-def window_length(words: int) -> int:
-    """The longest length of the scale 1, 2, ... 8, 9, 10, 12, 14, ... within ``words``; each is at most 6/5 of the one before, and one more."""
-    best = 1
-    while (size := max(best + 1, best * 6 // 5)) <= words:
-        best = size
+def window_length(words: int, every: int = 1) -> int:
+    """The longest length within ``words`` of the scale 1, 2, ... 8, 9, 10, 12, 14, 16, 19, ..., or of each second one from 1 on.
+
+    Each is at most 6/5 of the one before, and one more.
+    """
+    size = best = 1
+    n = 0
+    while (size := max(size + 1, size * 6 // 5)) <= words:
+        n += 1
+        best = size if n % every == 0 else best
     return best
 
 
@@ -94,7 +99,7 @@ def running_bits(hashes: np.ndarray) -> np.ndarray:
 
 def stride(length: int) -> int:
     """Documents take a window at every so many words; items, at that many places in a row, so that all alignments occur."""
-    return max(1, length // 8)
+    return max(1, length // 6)
 
 
 def simhashes(sums: np.ndarray, length: int, step: int = 1) -> np.ndarray:
@@ -190,7 +195,7 @@ def build_items(rows: list[tuple[int | None, str | None]], radius: int, shared:
         n = len(h)
         half = min(n // 2, shingles[i].core + WIDTH - 1)
         sums = running_bits(h)
-        for w in {window_length(n), window_length(half) if half >= WIDTH else window_length(n)}:
+        for w in {window_length(n), window_length(half, 2) if half >= WIDTH else window_length(n)}:
             offsets = np.unique(np.append(np.arange(0, n - w + 1, max(1, w // 4)), n - w)[:, None] + np.arange(stride(w)))
             offsets = offsets[offsets <= n - w]
             by_length.setdefault(w, []).append((simhashes(sums, w)[offsets], i))
