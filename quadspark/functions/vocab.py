@@ -28,7 +28,15 @@ CARDINALITIES = {
     OWL + "qualifiedCardinality": "exactly", OWL + "minQualifiedCardinality": "min", OWL + "maxQualifiedCardinality": "max",
 }
 COMPLEMENT, UNION, INTERSECTION, ONE_OF, CHAIN = OWL + "complementOf", OWL + "unionOf", OWL + "intersectionOf", OWL + "oneOf", OWL + "propertyChainAxiom"
-ONTOLOGY, IMPORTS = OWL + "Ontology", OWL + "imports"
+ONTOLOGY, IMPORTS, DISJOINT_UNION = OWL + "Ontology", OWL + "imports", OWL + "disjointUnionOf"
+DATATYPE, ON_DATATYPE, WITH_RESTRICTIONS, ON_DATA_RANGE = RDFS + "Datatype", OWL + "onDatatype", OWL + "withRestrictions", OWL + "onDataRange"
+#: Constraining facets: the field of an expression and the IRI's last part.
+FACETS = {
+    "length": XSD + "length", "min_length": XSD + "minLength", "max_length": XSD + "maxLength", "pattern": XSD + "pattern",
+    "min_inclusive": XSD + "minInclusive", "max_inclusive": XSD + "maxInclusive", "min_exclusive": XSD + "minExclusive",
+    "max_exclusive": XSD + "maxExclusive", "total_digits": XSD + "totalDigits", "fraction_digits": XSD + "fractionDigits", "white_space": XSD + "whiteSpace",
+}
+IMP, BODY, HEAD, VARIABLE, ATOMS = SWRL + "Imp", SWRL + "body", SWRL + "head", SWRL + "Variable", SWRL + "AtomList"
 #: Predicates through which a blank node belongs to the construct that refers to it.
 CONSTRUCT = (SUBCLASS, EQUIVALENT_CLASS, COMPLEMENT, UNION, INTERSECTION, ONE_OF, SOME, ONLY, VALUE, ON_CLASS, FIRST, REST, MEMBERS, DISTINCT_MEMBERS, CHAIN)
 

@@ -13,12 +13,22 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import literal_lex
+from ..functions import vocab as v
+from ..functions.terms import literal_lex, number
 from ..sources.store import QuadStore
-from .closure import closure_pairs
+from .closure import closure_pairs, reachable
 from .rules import is_var
 
 
+@dataclass(frozen=True)
+class Literal:
+    """A literal in an update's template: a value or a ``?column``."""
+
+    value: object
+    datatype: str = v.STRING
+    lang: str | None = None
+
+
 @dataclass(frozen=True)
 class Pattern:
     store: QuadStore
@@ -61,8 +71,16 @@ class Pattern:
         return self._join(self._bind(rows, [("s", s), ("num" if as_number else "lex", value)]))
 
     def path(self, s: str, p: str, o: str) -> Pattern:
-        """One or more steps of p."""
-        return self._join(self._bind(closure_pairs(self.store.pairs(p)), [("s", s), ("o", o)]))
+        """One or more steps of p; from or to a constant, only what it reaches is walked."""
+        pairs, spark = self.store.pairs(p), self.store.objs.sparkSession
+        if not is_var(o):
+            rows = reachable(pairs, spark.createDataFrame([(o,)], "s string")).select("s", F.lit(o).alias("o"))
+        elif not is_var(s):
+            back = pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
+            rows = reachable(back, spark.createDataFrame([(s,)], "s string")).select(F.lit(s).alias("s"), F.col("s").alias("o"))
+        else:
+            rows = closure_pairs(pairs)
+        return self._join(self._bind(rows, [("s", s), ("o", o)]))
 
     def filter(self, condition: Column) -> Pattern:
         return replace(self, rows=self.rows.where(condition))
@@ -74,6 +92,9 @@ class Pattern:
         return self._join(other.rows, "left")
 
     def minus(self, other: Pattern) -> Pattern:
+        """Without the solutions that agree with one of the other; one that shares no variable takes nothing away."""
+        if not set(self.rows.columns) & set(other.rows.columns):
+            return self
         return self._join(other.rows, "left_anti")
 
     def exists(self, other: Pattern) -> Pattern:
@@ -91,11 +112,27 @@ class Pattern:
 
 
 def update(store: QuadStore, where: DataFrame, delete: list[tuple] = (), insert: list[tuple] = (), graph: str = "default") -> QuadStore:
-    """Delete and insert (s, p, o) templates, whose terms may be ``?column`` of ``where``."""
-    term = lambda x: F.col(x[1:]) if is_var(x) else F.lit(x)
+    """Delete and insert (s, p, o) templates, whose terms may be ``?column`` of ``where``.
+
+    A template whose object is ``Literal`` writes or removes a literal. A term
+    ``_:name`` in an insertion is a new blank node for each solution.
+    """
+    term = lambda x: F.col(x[1:]) if is_var(x) else F.concat(F.lit("_:"), F.hex(F.xxhash64(F.lit(x), *where.columns))) if str(x).startswith("_:") else F.lit(x)
     rows = lambda t: where.select(term(t[0]).alias("s"), term(t[1]).alias("p"), term(t[2]).alias("o")).distinct()
+
+    def texts(t: tuple) -> DataFrame:
+        lex, d = term(t[2].value).cast("string"), t[2].datatype
+        return where.select(term(t[0]).alias("s"), term(t[1]).alias("p"), lex.alias("lex"), number(lex, F.lit(d)).alias("num"), F.lit(d).alias("d"), F.lit(t[2].lang).cast("string").alias("lang")).distinct()
+
     for t in delete:
-        store = replace(store, objs=store.objs.join(rows(t), ["s", "p", "o"], "left_anti").select("c", "s", "p", "o"))
+        if isinstance(t[2], Literal):
+            same = store.datas.join(texts(t).select("s", "p", "lex"), ["s", "p", "lex"], "left_anti")
+            store = replace(store, datas=same.select(*store.datas.columns))
+        else:
+            store = replace(store, objs=store.objs.join(rows(t), ["s", "p", "o"], "left_anti").select("c", "s", "p", "o"))
     for t in insert:
-        store = store.with_objs(rows(t).select(F.lit(graph).alias("c"), "s", "p", "o"))
+        if isinstance(t[2], Literal):
+            store = store.with_datas(texts(t).select(F.lit(graph).alias("c"), "*"))
+        else:
+            store = store.with_objs(rows(t).select(F.lit(graph).alias("c"), "s", "p", "o"))
     return store

@@ -6,21 +6,29 @@ folder and ends when a round finds nothing new, so cycles are safe.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 
-#: A hierarchy of no more edges than this is metadata and is closed on the driver.
-SCHEMA_EDGES = 50_000
+#: A hierarchy of no more edges than this is metadata and is walked on the driver; no more pairs than this are listed there.
+SCHEMA_EDGES, SCHEMA_PAIRS = 50_000, 500_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir; a folder is chosen here only where none is set."""
+    """``df`` written to spark.checkpoint.dir.
+
+    Where that is unset, a session in one process may use a folder of its own; on
+    a cluster it is an error, as no folder that all machines share is known.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -28,42 +36,86 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False) -> DataFrame:
     """(s, depth): nodes that reach a seed along edges (s, o), with the least number of steps.
 
-    Semi-naive: each round joins the last round's new nodes with the edges. A
-    seed appears with depth 0 when asked for, else only if it lies on a cycle.
+    Semi-naive: each round joins the last round's new nodes with the edges, and
+    is written once. A seed appears with depth 0 when asked for, else only if it
+    lies on a cycle.
     """
     links = checkpointed(edges.select("s", "o").distinct())
-    start = seeds.select(F.col(seeds.columns[0]).alias("s")).distinct()
-    frontier = checkpointed(start)
-    found = checkpointed(start.select("s", F.lit(0).alias("depth"))) if include_seeds else None
+    frontier = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("s")).distinct())
+    found = [frontier.select("s", F.lit(0).alias("depth"))] if include_seeds else []
     depth = 0
     while True:
         depth += 1
         step = links.join(frontier.select(F.col("s").alias("o")), "o", "left_semi").select("s").distinct()
-        if found is not None:
-            step = step.join(found, "s", "left_anti")
-        step = checkpointed(step)
-        if step.isEmpty():
+        if found:
+            step = step.join(union_all(found).select("s"), "s", "left_anti")
+        frontier = checkpointed(step)
+        if frontier.isEmpty():
             break
-        new = step.select("s", F.lit(depth).alias("depth"))
-        found = checkpointed(new if found is None else found.unionByName(new))
-        frontier = step
-    return found if found is not None else links.limit(0).select("s", F.lit(0).alias("depth"))
+        found.append(frontier.select("s", F.lit(depth).alias("depth")))
+    return union_all(found) if found else links.limit(0).select("s", F.lit(0).alias("depth"))
 
 
 def closure_pairs(edges: DataFrame) -> DataFrame:
-    """All (s, o) with a path from s to o, by doubling the path length in each round."""
-    pairs = checkpointed(edges.select("s", "o").distinct())
-    count = pairs.count()
+    """All (s, o) with a path from s to o, by doubling the path length in each round.
+
+    A pair whose shortest path has more than half of the length reached begins
+    with one that the round before has found, so only that round's pairs are joined.
+    """
+    new = checkpointed(edges.select("s", "o").distinct())
+    found = [new]
+    while not new.isEmpty():
+        onward = union_all([f.select(F.col("s").alias("mid"), F.col("o").alias("to")) for f in found])
+        more = new.select(F.col("s").alias("from"), F.col("o").alias("mid")).join(onward, "mid").select(F.col("from").alias("s"), F.col("to").alias("o")).distinct()
+        new = checkpointed(more.join(union_all(found), ["s", "o"], "left_anti"))
+        found.append(new)
+    return union_all(found)
+
+
+def cyclic_parts(edges: DataFrame) -> DataFrame:
+    """(node, part): nodes on cycles of (s, o), and the least node of their strongly connected part.
+
+    Nodes without a way in or out are trimmed. Each node then learns the least
+    node that reaches it; of the nodes with one such root, those that reach the
+    root are its part. What is left goes through the same again. The work is a
+    few joins of the edges a round, not all pairs of a closure.
+    """
+    left = checkpointed(edges.select("s", "o").where("s <> o").distinct())
+    parts: list[DataFrame] = []
     while True:
-        more = pairs.alias("a").join(pairs.alias("b"), F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("s"), F.col("b.o").alias("o"))
-        pairs = checkpointed(pairs.unionByName(more).distinct())
-        after = pairs.count()
-        if after == count:
-            return pairs
-        count = after
+        while True:  # trim
+            before = left.count()
+            inner = left.join(left.select(F.col("o").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("o")).distinct(), "o", "left_semi").select("s", "o")
+            left = checkpointed(inner)
+            if left.count() == before:
+                break
+        if not before:
+            break
+        root = checkpointed(left.select(F.col("s").alias("n")).unionByName(left.select(F.col("o").alias("n"))).distinct().select("n", F.col("n").alias("r")))
+        while True:  # the least node that reaches each
+            from_before = left.join(root.select(F.col("n").alias("s"), "r"), "s").groupBy(F.col("o").alias("n")).agg(F.min("r").alias("m"))
+            next_root = checkpointed(root.join(from_before, "n", "left").select("n", F.least("r", F.coalesce("m", "r")).alias("r"), (F.col("m") < F.col("r")).alias("moved")))
+            root = next_root.select("n", "r")
+            if next_root.where("moved").isEmpty():
+                break
+        same = left.join(root.select(F.col("n").alias("s"), "r"), "s").join(root.select(F.col("n").alias("o"), F.col("r").alias("ro")), "o").where("r = ro").select("s", "o")
+        part = reachable(same, root.where("n = r").select("n"), True).select(F.col("s").alias("n")).join(root, "n").select(F.col("n").alias("node"), F.col("r").alias("part"))
+        part = checkpointed(part)
+        parts.append(part.join(part.groupBy("part").count().where("count > 1").select("part"), "part", "left_semi").select("node", "part"))
+        gone = part.select(F.col("node").alias("s"))
+        left = checkpointed(left.join(gone, "s", "left_anti").join(gone.select(F.col("s").alias("o")), "o", "left_anti").select("s", "o"))
+    loops = edges.where("s = o").select(F.col("s").alias("node"), F.col("s").alias("part")).distinct()
+    if not parts:
+        return loops
+    found = union_all(parts)
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,9 +199,13 @@ class Hierarchy:
 
     def pairs(self, spark: SparkSession) -> DataFrame:
         """(s, o): s is strictly below o."""
-        if self.down is None:
+        rows: list[tuple[str, str]] = []
+        for s in self.up if self.down is not None else ():
+            rows += [(s, o) for o in self._walk(self.up, self.up[s])]
+            if len(rows) > SCHEMA_PAIRS:
+                break
+        if self.down is None or len(rows) > SCHEMA_PAIRS:
             return closure_pairs(self.edges)
-        rows = [(s, o) for s in self.up for o in self._walk(self.up, self.up[s])]
         return spark.createDataFrame(rows, "s string, o string")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.terms import literal_lex
+from ..functions.terms import Loc, literal_lex
 from ..sources.store import QuadStore
 from .closure import Hierarchy, list_items
 
@@ -51,11 +51,15 @@ class Or(Expression):
 
 @dataclass(frozen=True)
 class OneOf(Expression):
-    """Individuals (IRIs) listed by name."""
+    """Individuals (IRIs) listed by name, or literals as Python values."""
 
     members: tuple
 
 
+def is_iri(x: object) -> bool:
+    return isinstance(x, str) and ("://" in x or x.startswith(("urn:", "_:")))
+
+
 @dataclass(frozen=True)
 class Property:
     """A property, read backwards where ``inverse`` is set, or a chain of properties."""
@@ -124,6 +128,7 @@ class Facets:
     max_exclusive: float | None = None
     total_digits: int | None = None
     fraction_digits: int | None = None
+    white_space: str | None = None
 
     def column(self) -> Column:
         lex, num = F.col("lex"), F.col("num")
@@ -140,6 +145,7 @@ class Facets:
             "max_exclusive": lambda x: num < x,
             "total_digits": lambda x: digits(lex) <= x,
             "fraction_digits": lambda x: F.length(F.regexp_extract(lex, r"\.(\d+)$", 1)) <= x,
+            "white_space": lambda x: F.lit(True) if x == "preserve" else ~lex.rlike(r"[\t\n\r]" if x == "replace" else r"[\t\n\r]|^ | $|  "),
         }
         chosen = [tests[k](x) for k in tests if (x := getattr(self, k)) is not None]
         return reduce(lambda a, b: a & b, chosen, F.lit(True))
@@ -186,6 +192,9 @@ class Evaluator:
         """(s, o) of the restriction's property whose value is in its filler."""
         if isinstance(r.filler, Facets):
             return self.store.values(r.prop.iri).where(r.filler.column()).select("s", F.col("lex").alias("o"))
+        if isinstance(r.filler, OneOf) and not all(map(is_iri, r.filler.members)):
+            texts = [literal_lex(x)[0] for x in r.filler.members]
+            return self.store.values(r.prop.iri).where(F.col("lex").isin(*texts)).select("s", F.col("lex").alias("o"))
         pairs = edges(self.store, r.prop)
         if r.filler is None or r.filler == Named(v.THING):
             return pairs
@@ -217,9 +226,14 @@ class Evaluator:
 def restrictions(store: QuadStore) -> DataFrame:
     """(cls, source, property, inverse, kind, cardinality, filler, filler_lex) of restrictions on named classes.
 
+    Members of an intersection hold for the class as the intersection does.
     Blank nodes are pivoted on the few construct predicates by one grouping.
     """
-    links = store.scan("objs", p=[v.SUBCLASS, v.EQUIVALENT_CLASS]).where(F.col("o").startswith("_:"))
+    links = store.scan("objs", p=[v.SUBCLASS, v.EQUIVALENT_CLASS]).where(F.col("o").startswith("_:")).select("s", "p", "o")
+    if store.has("objs", p=v.INTERSECTION):
+        inner = store.scan("objs", p=v.INTERSECTION).select(F.col("s").alias("o"), F.col("o").alias("lst"))
+        parts = inner.join(lists(store), "lst").where(F.startswith("item", F.lit("_:"))).select("o", "item")
+        links = links.unionByName(links.join(parts, "o").select("s", "p", F.col("item").alias("o")))
     picked = [v.ON_PROPERTY, v.SOME, v.ONLY, v.VALUE, v.ON_CLASS]
     pick = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
     objs = store.scan("objs", p=picked).groupBy("s").agg(
@@ -265,11 +279,34 @@ class Writer:
             self.objs += [(self.graph, node, v.FIRST, item), (self.graph, node, v.REST, after)]
         return nodes[0]
 
+    def _data(self, s: str, p: str, value: object) -> None:
+        lex, d, lang = literal_lex(value)
+        self.datas.append((self.graph, s, p, lex, float(lex) if d in v.INTEGERS or d in v.DECIMALS else None, d, lang))
+
+    def _literals(self, values: tuple) -> str:
+        cells = [self.blank() for _ in values]
+        for cell, value, after in zip(cells, values, [*cells[1:], v.NIL], strict=True):
+            self._data(cell, v.FIRST, value)
+            self.objs.append((self.graph, cell, v.REST, after))
+        return cells[0]
+
+    def _facets(self, x: Facets) -> str:
+        node, cells = self.blank(), []
+        self.objs += [(self.graph, node, v.TYPE, v.DATATYPE), (self.graph, node, v.ON_DATATYPE, x.base or v.STRING)]
+        for name, p in v.FACETS.items():
+            if getattr(x, name) is not None:
+                cells.append(self.blank())
+                self._data(cells[-1], p, getattr(x, name))
+        self.objs.append((self.graph, node, v.WITH_RESTRICTIONS, self.list_of(cells)))
+        return node
+
     def encode(self, x: object) -> str:
         if isinstance(x, str):
             return x
         if isinstance(x, Named):
             return x.iri
+        if isinstance(x, Facets):
+            return self._facets(x)
         node = self.blank()
         add = lambda p, o: self.objs.append((self.graph, node, p, o))
         if isinstance(x, Not):
@@ -280,7 +317,7 @@ class Writer:
             add(v.INTERSECTION if isinstance(x, And) else v.UNION, self.list_of([self.encode(y) for y in x.of]))
         elif isinstance(x, OneOf):
             add(v.TYPE, v.CLASS)
-            add(v.ONE_OF, self.list_of(list(x.members)))
+            add(v.ONE_OF, self.list_of(list(x.members)) if all(map(is_iri, x.members)) else self._literals(x.members))
         elif isinstance(x, Restriction):
             add(v.TYPE, v.RESTRICTION)
             on = x.prop.iri
@@ -300,7 +337,7 @@ class Writer:
                 kind = f"{name}{'Q' if name else 'q'}ualifiedCardinality" if x.filler is not None else f"{name}{'C' if name else 'c'}ardinality"
                 self.datas.append((self.graph, node, v.OWL + kind, str(x.n), float(x.n), v.XSD + "nonNegativeInteger", None))
                 if x.filler is not None:
-                    add(v.ON_CLASS, self.encode(x.filler))
+                    add(v.ON_DATA_RANGE if isinstance(x.filler, Facets) else v.ON_CLASS, self.encode(x.filler))
         else:
             raise TypeError(f"cannot encode {x!r}")
         return node
@@ -311,3 +348,102 @@ def lists(store: QuadStore) -> DataFrame:
     first, rest = store.scan("objs", p=v.FIRST).select("s", "o"), store.scan("objs", p=v.REST).select("s", "o")
     heads = rest.select("s").join(rest.select(F.col("o").alias("s")), "s", "left_anti").select(F.col("s").alias("lst"), F.col("s").alias("node"))
     return list_items(first, rest, heads)
+
+
+class Reader:
+    """Stored constructs as expressions again: the inverse of ``Writer``.
+
+    Axioms are metadata, so their rows are read to the driver once, and there may
+    be ``most`` of them; a larger number is an error.
+    """
+
+    def __init__(self, store: QuadStore, most: int = 200_000):
+        picked = [v.COMPLEMENT, v.UNION, v.INTERSECTION, v.ONE_OF, v.SOME, v.ONLY, v.VALUE, v.ON_CLASS, v.ON_DATA_RANGE, v.ON_PROPERTY, v.INVERSE_OF, v.FIRST, v.REST, v.ON_DATATYPE, v.WITH_RESTRICTIONS]
+        objs = store.scan("objs", p=picked).where("startswith(s, '_:')").select("s", "p", "o").limit(most + 1).collect()
+        datas = store.scan("datas", p=[v.FIRST, v.VALUE, v.HAS_SELF, *v.CARDINALITIES, *v.FACETS.values()]).where("startswith(s, '_:')").select("s", "p", "lex", "d", "lang").limit(most + 1).collect()
+        if len(objs) > most or len(datas) > most:
+            raise ValueError(f"more than {most} rows of constructs")
+        self.objs: dict[str, dict[str, str]] = {}
+        self.datas: dict[str, dict[str, object]] = {}
+        for s, p, o in objs:
+            self.objs.setdefault(s, {})[p] = o
+        for s, p, lex, d, lang in datas:
+            self.datas.setdefault(s, {})[p] = _value(lex, d, lang)
+        self.store = store
+
+    def items(self, cell: str) -> list:
+        out, seen = [], set()
+        while cell != v.NIL and cell not in seen:
+            seen.add(cell)
+            own = self.objs.get(cell, {})
+            out.append(own[v.FIRST] if v.FIRST in own else self.datas[cell][v.FIRST])
+            cell = own.get(v.REST, v.NIL)
+        return out
+
+    def prop(self, node: str) -> Property:
+        back = self.objs.get(node, {}).get(v.INVERSE_OF) if node.startswith("_:") else None
+        return Property(back, True) if back else Property(node)
+
+    def read(self, node: str) -> Expression | Facets:
+        """The expression of a node; an IRI is a named class."""
+        if not node.startswith("_:"):
+            return Named(node)
+        own, values = self.objs.get(node, {}), self.datas.get(node, {})
+        if v.COMPLEMENT in own:
+            return Not(self.read(own[v.COMPLEMENT]))
+        if v.INTERSECTION in own:
+            return And(tuple(self.read(x) for x in self.items(own[v.INTERSECTION])))
+        if v.UNION in own:
+            return Or(tuple(self.read(x) for x in self.items(own[v.UNION])))
+        if v.ONE_OF in own:
+            return OneOf(tuple(self.items(own[v.ONE_OF])))
+        if v.ON_DATATYPE in own:
+            cells = [c for c in self._cells(own.get(v.WITH_RESTRICTIONS, v.NIL))]
+            given = {name: self.datas[c][p] for c in cells for name, p in v.FACETS.items() if p in self.datas.get(c, {})}
+            return Facets(base=own[v.ON_DATATYPE], **given)
+        if v.ON_PROPERTY not in own:
+            raise ValueError(f"{node} is no construct")
+        p = self.prop(own[v.ON_PROPERTY])
+        for kind, iri in (("some", v.SOME), ("only", v.ONLY)):
+            if iri in own:
+                return Restriction(p, kind, self.read(own[iri]))
+        if v.VALUE in own or v.VALUE in values:
+            return p.value(own.get(v.VALUE, values.get(v.VALUE)))
+        if v.HAS_SELF in values:
+            return p.has_self()
+        counted = next(x for x in values if x in v.CARDINALITIES)
+        filler = own.get(v.ON_CLASS) or own.get(v.ON_DATA_RANGE)
+        return Restriction(p, v.CARDINALITIES[counted], self.read(filler) if filler else None, int(values[counted]))
+
+    def _cells(self, cell: str) -> list[str]:
+        return [x for x in self.items(cell) if isinstance(x, str)]
+
+    def definitions(self) -> list[tuple[str, str, Expression]]:
+        """(class, is_a or equivalent_to, expression) of the anonymous classes that named ones have."""
+        rows = self.store.scan("objs", p=[v.SUBCLASS, v.EQUIVALENT_CLASS]).where("startswith(o, '_:') AND NOT startswith(s, '_:')").select("s", "p", "o").collect()
+        return sorted(((s, "is_a" if p == v.SUBCLASS else "equivalent_to", self.read(o)) for s, p, o in rows), key=str)
+
+    def subclasses(self, x: Expression) -> list[str]:
+        """Named classes that are beneath, or equivalent to, a construct equal to ``x``."""
+        return sorted({s for s, _, e in self.definitions() if e == x})
+
+
+def _value(lex: str, d: str | None, lang: str | None) -> object:
+    if d in v.INTEGERS:
+        return int(lex)
+    if d in v.DECIMALS:
+        return float(lex)
+    if d == v.BOOLEAN:
+        return lex in ("true", "1")
+    return Loc(lex, lang) if lang else lex
+
+
+def list_cells(store: QuadStore) -> DataFrame:
+    """(cell, lst, pos, length, owner): each list cell with its list, its place in it, and what refers to the list."""
+    first, rest = store.scan("objs", p=v.FIRST).select("s", "o").unionByName(store.scan("datas", p=v.FIRST).select("s", F.col("lex").alias("o"))), store.scan("objs", p=v.REST).select("s", "o")
+    heads = rest.select("s").join(rest.select(F.col("o").alias("s")), "s", "left_anti").select(F.col("s").alias("lst"), F.col("s").alias("node"))
+    cells = list_items(first.select("s", F.col("s").alias("o")), rest, heads).withColumnRenamed("item", "cell")
+    size = cells.groupBy("lst").agg(F.max("pos").alias("length"))
+    owner = store.objs.where(~F.col("p").isin(v.FIRST, v.REST)).select(F.col("o").alias("lst"), F.col("s").alias("owner"))
+    owner = owner.join(heads.select("lst"), "lst", "left_semi").groupBy("lst").agg(F.min("owner").alias("owner"))
+    return cells.join(size, "lst").join(owner, "lst", "left").select("cell", "lst", "pos", "length", "owner")

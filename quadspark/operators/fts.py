@@ -1,76 +1,173 @@
-"""Full-text index over the literals of a property: tokens, match and BM25.
+"""Full-text search over the literals of a property: match, BM25, and a stored index.
 
-The index is a table (s, row_id, pos, token, lang); a query reads it with
-equality or prefix filters on ``token``. Bare words must all occur in one
-literal; ``word*`` is a prefix; ``"a b"`` a phrase; ``-word`` must not occur;
-``a OR b`` either side.
+Without a stored index, a query is one condition on the token array of each
+literal, so a search is one scan without a shuffle. A stored index is a table
+(s, row_id, lang, token, n, pos) in folders by the tokens' beginnings, which a
+query reads for its own words only; ``refresh`` adds and takes away literals.
+
+Bare words must all occur in one literal; ``word*`` is a prefix; ``"a b"`` a
+phrase; ``-word`` must not occur; ``NEAR(a b, 5)`` has its words with at most so
+many others between the first and the last; ``a OR b`` either side.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import tokens
+from .closure import checkpointed
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def index(values: DataFrame) -> DataFrame:
-    """Tokens of ``values`` (s, lex, lang); a row is known by a hash of what it holds."""
-    rows = values.select("s", "lex", "lang", F.xxhash64("s", "lex", "lang").alias("row_id"))
-    return rows.select("s", "row_id", "lang", F.posexplode(tokens(F.col("lex"))).alias("pos", "token"))
+_TERM = r'-?NEAR\([^)]*\)|-?"[^"]*"|\S+'
 
 
-def _one(idx: DataFrame, term: str) -> DataFrame:
-    """(row_id, s) of the literals that satisfy a term."""
-    if term.startswith('"'):
-        words = re.findall(r"\w+", term.lower())
-        hits = [idx.where(F.col("token") == w).select("row_id", "s", (F.col("pos") - i).alias("at")) for i, w in enumerate(words)]
-        return reduce(lambda a, b: a.join(b, ["row_id", "s", "at"], "left_semi"), hits).select("row_id", "s").distinct()
-    word = term.lower().rstrip("*")
-    cond = F.col("token").startswith(word) if term.endswith("*") else F.col("token") == word
-    return idx.where(cond).select("row_id", "s").distinct()
-
-
-def match(idx: DataFrame, query: str, lang: str | None = None) -> DataFrame:
-    """(row_id, s) of the literals that match."""
-    if re.search(r"\bNEAR\b|\w:", query):
-        raise ValueError("NEAR and column filters are not supported")
-    if lang is not None:
-        idx = idx.where(F.col("lang") == lang)
-    out = None
-    for side in re.split(r"\s+OR\s+", query):
-        terms = re.findall(r'-?"[^"]*"|\S+', side)
+def _sides(query: str) -> list[tuple[list[str], list[str]]]:
+    """For each side of OR, the terms that must and those that must not occur."""
+    if re.search(r"\w:|[()]", re.sub(r"NEAR\([^)]*\)", "", query)):
+        raise ValueError("column filters and parentheses are not supported")
+    out = []
+    for side in re.split(r"\s+OR\s+", query.strip()):
+        terms = re.findall(_TERM, side)
         want, avoid = [t for t in terms if t[0] != "-"], [t[1:] for t in terms if t[0] == "-"]
         if not want:
             raise ValueError("a query needs a word that must occur")
-        got = reduce(lambda a, b: a.join(b, ["row_id", "s"], "left_semi"), [_one(idx, t) for t in want])
-        for t in avoid:
-            got = got.join(_one(idx, t), ["row_id", "s"], "left_anti")
-        out = got if out is None else out.unionByName(got).distinct()
+        out.append((want, avoid))
     return out
 
 
-def bm25(idx: DataFrame, query: str, n_rows: DataFrame | None = None) -> DataFrame:
-    """(s, bm25): for each subject its best literal's score, lower is better.
+def _words(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower())
+
+
+def _holds(own: Column, term: str) -> Column:
+    """Whether a token array has the term."""
+    if term.startswith("NEAR("):
+        names, _, most = term[5:-1].partition(",")
+        span = int(most or 10) + 2
+        places = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)))
+        return F.exists(places, lambda i: reduce(lambda a, b: a & b, [F.array_contains(F.slice(own, i, span), w) for w in _words(names)]))
+    if term.startswith('"'):
+        return F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")).contains(f" {' '.join(_words(term))} ")
+    if term.endswith("*"):
+        return F.exists(own, lambda t: t.startswith(term.lower().rstrip("*")))
+    return F.array_contains(own, term.lower())
+
+
+def matches(text: Column, query: str) -> Column:
+    """Whether a literal's text satisfies the query."""
+    own = tokens(text)
+    both = lambda xs: reduce(lambda a, b: a & b, xs)
+    sides = [both([_holds(own, t) for t in want] + [~_holds(own, t) for t in avoid]) for want, avoid in _sides(query)]
+    return F.coalesce(reduce(lambda a, b: a | b, sides), F.lit(False))
+
+
+def row_id() -> Column:
+    """What a literal (s, lex, lang) is known by in an index."""
+    return F.xxhash64("s", "lex", "lang")
+
+
+def find(values: DataFrame, query: str, lang: str | None = None) -> DataFrame:
+    """Rows of ``values`` (s, lex, lang) that match: one scan."""
+    rows = values if lang is None else values.where(F.col("lang") == lang)
+    return rows.where(matches(F.col("lex"), query))
+
+
+def index(values: DataFrame) -> DataFrame:
+    """(s, row_id, lang, token, n, pos): a row for each distinct token of a literal, with its places and the literal's length."""
+    rows = values.select("s", "lang", row_id().alias("row_id"), tokens(F.col("lex")).alias("t")).withColumn("n", F.size("t"))
+    each = rows.select("s", "row_id", "lang", "n", "t", F.explode(F.array_distinct("t")).alias("token"))
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("t"), i) == F.col("token"))
+    return each.select("s", "row_id", "lang", "token", "n", places.alias("pos"))
+
+
+class Stored:
+    """An index kept in files: folder ``k`` holds the tokens that begin alike, sorted, so that a word reads little of it."""
+
+    SHAPE = "s string, row_id bigint, lang string, token string, n int, pos array<int>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, values: DataFrame, path: str) -> Stored:
+        """Index ``values`` (s, lex, lang) under ``path``, in place of what is there."""
+        cls._write(index(values), f"{path}/tokens", "overwrite")
+        out = cls(values.sparkSession, path)
+        out._gone(values.sparkSession.createDataFrame([], "row_id bigint"), "overwrite")
+        return out
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str, mode: str) -> None:
+        keyed = rows.withColumn("k", F.substring("token", 1, 2))
+        keyed.repartition("k", F.pmod(F.xxhash64("row_id"), F.lit(8))).sortWithinPartitions("k", "token").write.mode(mode).partitionBy("k").parquet(path)
+
+    def _gone(self, rows: DataFrame, mode: str) -> None:
+        rows.write.mode(mode).parquet(f"{self.path}/gone")
+
+    def refresh(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Keep in step with changed literals (s, lex, lang): removed ones are marked, added ones get tokens; ``build`` cleans up."""
+        if removed is not None:
+            self._gone(removed.select(row_id().alias("row_id")).distinct(), "append")
+        if added is not None:
+            back = added.select(row_id().alias("row_id")).distinct()
+            left = checkpointed(self.spark.read.schema("row_id bigint").parquet(f"{self.path}/gone").join(back, "row_id", "left_anti"))
+            known = self.rows(every=True).select("row_id").distinct()
+            self._write(index(added.withColumn("row_id", row_id()).join(known, "row_id", "left_anti").drop("row_id")), f"{self.path}/tokens", "append")
+            self._gone(left, "overwrite")
+
+    def rows(self, *words: str, every: bool = False) -> DataFrame:
+        """Index rows of the words (``word*`` for a prefix), or all; without removed literals unless ``every``."""
+        out = self.spark.read.schema(self.SHAPE + ", k string").parquet(f"{self.path}/tokens")
+        if words:
+            one = lambda w: F.startswith("token", F.lit(w[:-1])) & F.startswith("k", F.lit(w[:-1][:2])) if w.endswith("*") else (F.col("token") == w) & (F.col("k") == w[:2])
+            out = out.where(reduce(lambda a, b: a | b, map(one, words)))
+        if not every:
+            out = out.join(self.spark.read.schema("row_id bigint").parquet(f"{self.path}/gone"), "row_id", "left_anti")
+        return out.select("s", "row_id", "lang", "token", "n", "pos")
+
+    def match(self, query: str, lang: str | None = None) -> DataFrame:
+        """(row_id, s) of the literals that match; only the query's words are read, and met by literal in one grouping."""
+        sides = _sides(query)
+        names = lambda t: [w.rstrip("*") for w in _words(t.partition(",")[0][5:])] if t.startswith("NEAR(") else _words(t) if t.startswith('"') else [t.lower()]
+        words = list(dict.fromkeys(w for want, avoid in sides for t in (*want, *avoid) for w in names(t)))
+        rows = self.rows(*words)
+        rows = rows if lang is None else rows.where(F.col("lang") == lang)
+        # The words of a literal with their places are its token array again, where it matters to the query.
+        met = rows.groupBy("row_id", "s").agg(F.collect_list(F.struct("token", "pos")).alias("w"))
+        placed = F.array_sort(F.flatten(F.transform("w", lambda w: F.transform(w["pos"], lambda p: F.struct(p.alias("p"), w["token"].alias("t"))))))
+        own = F.aggregate(
+            placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t")),
+            lambda acc, x: F.struct((x["p"] + 1).alias("at"), F.concat(acc["t"], F.array_repeat(F.lit(""), x["p"] - acc["at"]), F.array(x["t"])).alias("t")),
+            lambda acc: acc["t"],
+        )
+        both = lambda xs: reduce(lambda a, b: a & b, xs)
+        test = reduce(lambda a, b: a | b, [both([_holds(F.col("t"), t) for t in want] + [~_holds(F.col("t"), t) for t in avoid]) for want, avoid in sides])
+        return met.select("row_id", "s", own.alias("t")).where(test).select("row_id", "s")
+
+
+def bm25(values: DataFrame, query: str, distinct_rows: bool = False) -> DataFrame:
+    """(s, bm25): for each subject its best literal's score, lower is better; literals must have all words.
 
-    ``n_rows`` (one row, column n) counts the literals where some have no token.
+    ``values`` (s, lex, lang) are read in two scans: one for the number of
+    literals, their mean length and each word's document frequency, one for the
+    scores, which are a row-wise expression.
     """
     words = [w.lower() for w in re.findall(r"\w+\*?", query)]
-    length = idx.groupBy("row_id").agg(F.count("*").alias("l"))
-    rows = n_rows if n_rows is not None else length.agg(F.count("*").alias("n"))
-    stats = F.broadcast(length.agg(F.sum("l").alias("total")).crossJoin(rows).select("n", (F.col("total") / F.col("n")).alias("avg")))  # one row
-    parts = []
-    for w in words:
-        cond = F.col("token").startswith(w[:-1]) if w.endswith("*") else F.col("token") == w
-        tf = idx.where(cond).groupBy("row_id", "s").agg(F.count("*").alias("f"))
-        df = F.broadcast(tf.agg(F.count("*").alias("df")))  # one row
-        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-        score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("l") / F.col("avg")))
-        parts.append(tf.join(length, "row_id").crossJoin(stats).crossJoin(df).select("row_id", "s", score.alias("score")))
-    each = reduce(lambda a, b: a.unionByName(b), parts).groupBy("row_id", "s").agg(F.sum("score").alias("score"), F.count("*").alias("k"))
-    return each.where(F.col("k") == len(words)).groupBy("s").agg(F.min("score").alias("bm25"))
+    rows = (values.select("s", "lex", "lang").distinct() if distinct_rows else values).select("s", tokens(F.col("lex")).alias("t"))
+    count = lambda w: F.size(F.filter("t", lambda t: t.startswith(w[:-1]) if w.endswith("*") else t == w))
+    own = rows.select("s", F.size("t").alias("l"), *(count(w).alias(f"f{i}") for i, w in enumerate(words)))
+    stats = own.agg(F.count("*").alias("n"), F.sum("l").alias("total"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        idf = max(math.log((stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)), LEAST_IDF)
+        mean = (stats["total"] or 0) / max(1, stats["n"])
+        score = score - F.lit(idf) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("l") / F.lit(mean or 1.0)))
+    found = own.where(" AND ".join(f"f{i} > 0" for i in range(len(words))))
+    return found.groupBy("s").agg(F.min(score).alias("bm25"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 from ..sources.store import QuadStore
 from .closure import checkpointed
-from .constructs import Writer
+from .constructs import Expression, Named, Or, Property, Writer
 
 
 def add(store: QuadStore, objs: DataFrame | None = None, datas: DataFrame | None = None) -> QuadStore:
@@ -128,6 +129,58 @@ def list_rows(items: DataFrame, graph: str) -> DataFrame:
     return first.unionByName(placed.select(F.lit(graph).alias("c"), F.col("cell").alias("s"), F.lit(v.REST).alias("p"), F.coalesce("next", F.lit(v.NIL)).alias("o")))
 
 
+def declare(spark: SparkSession, graph: str, kind: str, names: list[str], above: str | None = None) -> DataFrame:
+    """objs that create classes or properties (``class``, ``object``, ``data``, ``annotation``), beneath ``above`` if given."""
+    kinds = {"class": v.CLASS, "object": v.OBJECT_PROPERTY, "data": v.DATA_PROPERTY, "annotation": v.ANNOTATION_PROPERTY}
+    rows = [(graph, n, v.TYPE, kinds[kind]) for n in names]
+    rows += [(graph, n, v.SUBCLASS if kind == "class" else v.SUBPROPERTY, above) for n in names] if above else []
+    return spark.createDataFrame(rows, "c string, s string, p string, o string")
+
+
+def disjoint_union_rows(graph: str, cls: str, members: list[str], prefix: str = "du") -> list[tuple]:
+    """objs that make a class the disjoint union of others: its members beneath it, and apart from each other."""
+    w = Writer(graph, prefix)
+    w.objs.append((graph, cls, v.DISJOINT_UNION, w.list_of(members)))
+    return [*w.objs, *((graph, m, v.SUBCLASS, cls) for m in members), *disjoint_rows(graph, members, prefix=prefix + "x")]
+
+
+def set_class_values(store: QuadStore, cls: str, p: str, values: list, kind: str = "some", graph: str = "default", defined: bool = False, prefix: str = "cv") -> QuadStore:
+    """A class's values of a property, as restrictions in place of those of that kind that it has.
+
+    ``some`` writes one for each value, ``only`` one over their union; individuals
+    and literals are ``value`` restrictions. ``defined`` makes them definitions.
+    """
+    spark, link = store.objs.sparkSession, v.EQUIVALENT_CLASS if defined else v.SUBCLASS
+    picked = {"some": v.SOME, "only": v.ONLY, "value": v.VALUE}[kind]
+    mine = store.scan("objs", s=cls, p=link).where("startswith(o, '_:')").select(F.col("o").alias("s"))
+    on = store.scan("objs", p=v.ON_PROPERTY, o=p).select("s")
+    old = mine.join(on, "s", "left_semi").join(store.scan("quads", p=picked).select("s"), "s", "left_semi")
+    store, _ = destroy(store, checkpointed(old))
+    w, named = Writer(graph, f"{prefix}{zlib.crc32(f'{cls} {p} {kind}'.encode())}n"), Property(p)
+    of = lambda x: x if isinstance(x, Expression) else Named(x)
+    if kind == "only":
+        made = [named.only(of(values[0]) if len(values) == 1 else Or(tuple(map(of, values))))] if values else []
+    else:
+        made = [named.some(of(x)) if kind == "some" else named.value(x) for x in values]
+    w.objs += [(graph, cls, link, w.encode(x)) for x in made]
+    new = QuadStore.of_rows(spark, w.objs, w.datas)
+    return store.with_objs(new.objs).with_datas(new.datas)
+
+
+def set_imports(store: QuadStore, ontology: str, imports: list[str]) -> QuadStore:
+    """The ontologies that one imports, in place of those it did."""
+    kept = store.without((F.col("s") == ontology) & (F.col("p") == v.IMPORTS))
+    if not imports:
+        return kept
+    rows = store.objs.sparkSession.createDataFrame([(ontology, ontology, v.IMPORTS, x) for x in imports], "c string, s string, p string, o string")
+    return kept.with_objs(rows)
+
+
+def longest_iri(iris: DataFrame, column: str) -> DataFrame:
+    """(iri): the longest IRI, of equals the last: what numbering goes on from."""
+    return iris.agg(F.max_by(column, F.struct(F.length(column), F.col(column))).alias("iri"))
+
+
 def next_number(iris: DataFrame, column: str) -> DataFrame:
     """(n): one more than the greatest number that ends an IRI; 1 where there is none."""
     n = F.regexp_extract(column, "([0-9]+)$", 1).try_cast("long")

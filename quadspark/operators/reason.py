@@ -15,6 +15,7 @@ from ..functions import vocab as v
 from ..sources.store import QuadStore
 from .closure import checkpointed
 from .constructs import lists, restrictions
+from .schema import disjoints
 from .values import _ancestors, most_specific, same_classes
 
 INFERRED = "http://inferred/"
@@ -63,6 +64,10 @@ def _round(store: QuadStore) -> DataFrame:
         has.join(types.select(F.col("s").alias("o"), F.col("o").alias("filler")), ["o", "filler"], "left_semi").unionByName(has.where(F.col("filler") == v.THING).select("o", "filler", *[c for c in has.columns if c not in ("o", "filler")]))
         .select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o"))
     )
+    # At most one value: all the values of an individual are the same.
+    one = view.where("kind = 'max' AND cardinality = 1 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("q"))
+    held = types.join(one, "o").select("s", F.col("q").alias("p")).distinct().join(facts, ["s", "p"])
+    out.append(same(held.join(held.groupBy("s", "p").agg(F.min("o").alias("y")), ["s", "p"]).select(F.col("o").alias("x"), "y")))
     value = view.where("kind = 'value' AND filler IS NOT NULL")
     out.append(types.join(value, types["o"] == value["cls"]).select("s", F.col("property").alias("p"), F.col("filler").alias("o")))
     out.append(facts.join(value.where("source = 'equivalent_to'"), (facts["p"] == F.col("property")) & (facts["o"] == F.col("filler"))).select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o")))
@@ -101,27 +106,38 @@ def _lists_rules(store: QuadStore) -> DataFrame | None:
 
 
 def infer(store: QuadStore, graph: str = INFERRED, most_rounds: int = 50) -> QuadStore:
-    """The store with inferred types, relations, subsumptions and sameAs, in graph ``graph``."""
+    """The store with inferred types, relations, subsumptions and sameAs, in graph ``graph``.
+
+    Of individuals that are the same, the least in name has the facts of all, on
+    either end, and the others a sameAs to it and from it: a row for the class,
+    not one for every pair of names. ``for_members`` spells out the others'.
+    """
     for _ in range(most_rounds):
         new = _round(store)
         more = _lists_rules(store)
         new = new if more is None else new.unionByName(more)
         if store.has("objs", p=v.SAME_AS):
-            same = same_classes(store)
-            facts = store.objs.where(~F.col("p").isin(v.SAME_AS, v.FIRST, v.REST)).select("s", "p", "o")
-            left = facts.join(same.withColumnRenamed("node", "s"), "s").select("component", "p", "o")
-            spread = left.join(same, "component").select(F.col("node").alias("s"), "p", "o")
-            right = facts.join(same.withColumnRenamed("node", "o"), "o").select("s", "p", "component").join(same, "component").select("s", "p", F.col("node").alias("o"))
+            same = checkpointed(same_classes(store))
             star = same.where("node <> component").select(F.col("node").alias("s"), F.lit(v.SAME_AS).alias("p"), F.col("component").alias("o"))
-            closed = star.unionByName(star.select(F.col("o").alias("s"), "p", F.col("s").alias("o")))  # a star, not all pairs
-            new = new.unionByName(spread).unionByName(right).unionByName(closed)
+            facts = store.objs.where(~F.col("p").isin(v.SAME_AS, v.FIRST, v.REST)).select("s", "p", "o").unionByName(new)
+            named = facts.join(same.withColumnRenamed("node", "s").withColumnRenamed("component", "sc"), "s", "left").join(same.withColumnRenamed("node", "o").withColumnRenamed("component", "oc"), "o", "left")
+            least = named.select(F.coalesce("sc", "s").alias("s"), "p", F.when(F.col("p") == v.TYPE, F.col("o")).otherwise(F.coalesce("oc", "o")).alias("o"))
+            new = least.unionByName(star).unionByName(_swap(star).select("s", F.lit(v.SAME_AS).alias("p"), "o"))
         fresh = checkpointed(new.distinct().join(store.objs, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
             return store
-        store = store.with_objs(fresh.select(F.lit(graph).alias("c"), "s", "p", "o"))
+        store = store.plus("objs", fresh.select(F.lit(graph).alias("c"), "s", "p", "o"))
     raise RuntimeError("inference did not come to an end")
 
 
+def for_members(store: QuadStore, p: str | None = None) -> DataFrame:
+    """(s, p, o) of an inferred store with the facts of each sameAs class spelled out for all its names as subjects."""
+    facts = store.scan("objs", p=p).where(F.col("p") != v.SAME_AS).select("s", "p", "o")
+    same = same_classes(store)
+    more = facts.join(same.select(F.col("component").alias("s"), "node"), "s").select(F.col("node").alias("s"), "p", "o")
+    return facts.unionByName(more).distinct()
+
+
 def new_relations(derived: DataFrame, asserted: DataFrame, both_ways: bool = True) -> DataFrame:
     """(s, o) derived but not asserted, in either direction if asked."""
     known = asserted.select("s", "o")
@@ -130,19 +146,27 @@ def new_relations(derived: DataFrame, asserted: DataFrame, both_ways: bool = Tru
 
 
 def violations(store: QuadStore) -> DataFrame:
-    """(s, kind): disjoint types, asymmetric or irreflexive relations, members of Nothing, same and different."""
+    """(s, kind): disjoint types or properties, asymmetric or irreflexive relations, members of Nothing, same and different, too many values.
+
+    Disjointness is stated in pairs or for a list: a subject that has two members
+    of one group clashes, so a group is one row for each member, not for each pair.
+    """
     types = store.scan("objs", p=v.TYPE).select("s", "o").distinct()
-    pairs = store.scan("objs", p=v.DISJOINT_WITH).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    disjoint = types.join(pairs, types["o"] == pairs["a"]).select("s", F.col("b").alias("o")).join(types, ["s", "o"], "left_semi").select("s", F.lit("disjoint").alias("kind"))
+    groups = disjoints(store).withColumnRenamed("member", "o")
+    disjoint = types.join(groups, "o").groupBy("s", "grp").agg(F.count_distinct("o").alias("n")).where("n > 1").select("s", F.lit("disjoint").alias("kind"))
+    apart = disjoints(store, "properties").withColumnRenamed("member", "p")
+    both = store.objs.select("s", "p", "o").join(apart, "p").groupBy("s", "o", "grp").agg(F.count_distinct("p").alias("n")).where("n > 1").select("s", F.lit("disjoint properties").alias("kind"))
+    differ_all = disjoints(store, "individuals").withColumnRenamed("member", "node")
+    merged = same_classes(store).join(differ_all, "node").groupBy("component", "grp").agg(F.min("node").alias("s"), F.count_distinct("node").alias("n")).where("n > 1").select("s", F.lit("same and different").alias("kind"))
+    none = restrictions(store).where("NOT inverse AND kind IN ('max', 'exactly') AND cardinality = 0 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("p"))
+    many = types.join(none, "o").select("s", "p").join(store.objs.select("s", "p"), ["s", "p"], "left_semi").select("s", F.lit("too many values").alias("kind"))
     facts = store.objs.select("s", "p", "o")
     kinds = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
     loops = facts.join(kinds(v.IRREFLEXIVE), "p", "left_semi").where("s = o").select("s", F.lit("irreflexive").alias("kind"))
     one = facts.join(kinds(v.ASYMMETRIC), "p", "left_semi")
     ways = one.join(one.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), ["s", "p", "o"], "left_semi").select("s", F.lit("asymmetric").alias("kind"))
     nothing = types.where(F.col("o") == v.NOTHING).select("s", F.lit("nothing").alias("kind"))
-    differ = store.scan("objs", p=v.DIFFERENT_FROM).select("s", "o")
-    clash = store.scan("objs", p=v.SAME_AS).select("s", "o").join(differ.unionByName(_swap(differ)), ["s", "o"], "left_semi").select("s", F.lit("same and different").alias("kind"))
-    return disjoint.unionByName(loops).unionByName(ways).unionByName(nothing).unionByName(clash).distinct()
+    return reduce(lambda a, b: a.unionByName(b), [disjoint, both, loops, ways, nothing, merged, many]).distinct()
 
 
 def realised_types(store: QuadStore) -> DataFrame:
@@ -150,3 +174,16 @@ def realised_types(store: QuadStore) -> DataFrame:
     types = store.scan("objs", p=v.TYPE).select("s", F.col("o").alias("cls")).where("NOT startswith(cls, '_:')").distinct()
     return most_specific(types, _ancestors(store))
 
+
+
+def fusion_types(store: QuadStore) -> DataFrame:
+    """(s, classes, fusion): individuals with several most specific classes, and the name of the class that joins them."""
+    each = realised_types(store).where(~F.col("cls").isin(v.INDIVIDUAL, v.THING)).groupBy("s").agg(F.array_sort(F.collect_set("cls")).alias("classes"))
+    return each.where(F.size("classes") > 1).withColumn("fusion", F.array_join(F.transform("classes", lambda c: F.regexp_extract(c, "([^/#]+)$", 1)), "_"))
+
+
+def inferred_equivalents(store: QuadStore) -> DataFrame:
+    """(s, o): named classes that are each beneath the other, with the least of them."""
+    links = _ancestors(store).where("s <> o AND NOT startswith(s, '_:') AND NOT startswith(o, '_:')")
+    both = links.join(_swap(links), ["s", "o"], "left_semi")
+    return both.groupBy("s").agg(F.least(F.min("o"), F.col("s")).alias("o")).where("s <> o")

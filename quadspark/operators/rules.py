@@ -9,7 +9,8 @@ its lineage with checkpoint().
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ from ..functions import vocab as v
 from ..functions.builtins import BUILTINS, TESTS
 from ..functions.terms import literal_lex
 from ..sources.store import QuadStore
-from .closure import checkpointed
+from .closure import checkpointed, reachable
+from .constructs import Writer, _value, is_iri
 
 
 @dataclass(frozen=True)
@@ -231,7 +233,150 @@ def run(store: QuadStore, rules: list[Rule], graph: str = "inferred", most_round
             new = checkpointed(new.dropDuplicates(keys))
             if not new.isEmpty():
                 grew = True
-                store = store.with_objs(new) if kind == "objs" else store.with_datas(new)
+                store = store.plus(kind, new)
         if not grew:
             return store
     raise RuntimeError("the rules did not come to an end")
+
+
+# ---- text and storage -----------------------------------------------------------------
+_ATOM = re.compile(r"""([^\s(),]+)\s*\(([^()]*)\)""")
+_ARGUMENT = re.compile(r"""\s*("(?:[^"\\\\]|\\\\.)*"|'[^']*'|[^,\s]+)\s*(?:,|$)""")
+
+
+def _argument_of(text: str, names: dict[str, str]) -> object:
+    if text[0] in "\"'":
+        return text[1:-1]
+    if text.startswith("?"):
+        return text
+    if text in ("true", "false"):
+        return text == "true"
+    try:
+        return float(text) if any(c in text for c in ".eE") and "/" not in text else int(text)
+    except ValueError:
+        return names.get(text, text)
+
+
+def from_text(text: str, names: dict[str, str], kinds: dict[str, str]) -> Rule:
+    """A rule as it is printed: ``A(?x), p(?x, ?y) -> B(?x)``.
+
+    ``names`` gives the IRIs of short names, ``kinds`` says of an IRI whether it
+    is a ``class``, an ``object`` or a ``data`` property, or a ``datatype``.
+    """
+
+    def atoms(side: str) -> list:
+        out = []
+        for name, inner in _ATOM.findall(side):
+            args = [_argument_of(m, names) for m in _ARGUMENT.findall(inner)]
+            iri = names.get(name, name)
+            kind = kinds.get(iri)
+            if name in ("SameAs", "DifferentFrom"):
+                out.append((Same if name == "SameAs" else Different)(*args))
+            elif kind in ("class", "datatype"):
+                out.append((Cls if kind == "class" else Range)(iri, *args))
+            elif kind in ("object", "data"):
+                out.append((Obj if kind == "object" else Data)(iri, *args))
+            elif name in BUILTINS:
+                out.append(Builtin(name, *args))
+            else:
+                raise ValueError(f"unknown name {name}")
+        return out
+
+    body, arrow, head = text.partition("->")
+    if not arrow:
+        raise ValueError("a rule needs ->")
+    return Rule(atoms(body), atoms(head))
+
+
+# The classes of atoms and what they name.
+_STORED = {Cls: ("ClassAtom", "classPredicate"), Obj: ("IndividualPropertyAtom", "propertyPredicate"), Data: ("DatavaluedPropertyAtom", "propertyPredicate"), Same: ("SameIndividualAtom", None), Different: ("DifferentIndividualsAtom", None), Range: ("DataRangeAtom", "dataRange"), Builtin: ("BuiltinAtom", "builtin")}
+_VARIABLES = "urn:swrl#"
+_BUILTIN_NS = "http://www.w3.org/2003/11/swrlb#"
+
+
+def encode(rule: Rule, graph: str, prefix: str) -> Writer:
+    """The rule as quads (a ``Writer``'s objs and datas): an Imp with two lists of atoms; variables are ``urn:swrl#name``."""
+    w = Writer(graph, prefix)
+    add = lambda s, p, o: w.objs.append((graph, s, p, o))
+
+    def argument(node: str, p: str, x: object) -> None:
+        if is_var(x):
+            add(_VARIABLES + x[1:], v.TYPE, v.VARIABLE)
+            add(node, p, _VARIABLES + x[1:])
+        elif is_iri(x):
+            add(node, p, x)
+        else:
+            w._data(node, p, x)
+
+    def atom(a: object) -> str:
+        node = w.blank()
+        kind, names = _STORED[type(a)]
+        add(node, v.TYPE, v.SWRL + kind)
+        if isinstance(a, Builtin):
+            add(node, v.SWRL + names, _BUILTIN_NS + a.name)
+            cells = [w.blank() for _ in a.args]
+            add(node, v.SWRL + "arguments", cells[0] if cells else v.NIL)
+            for cell, x, after in zip(cells, a.args, [*cells[1:], v.NIL], strict=True):
+                argument(cell, v.FIRST, x)
+                add(cell, v.REST, after)
+            return node
+        if names:
+            add(node, v.SWRL + names, a.iri if isinstance(a, Cls) else a.datatype if isinstance(a, Range) else a.p)
+        argument(node, v.SWRL + "argument1", a.x)
+        if hasattr(a, "y"):
+            argument(node, v.SWRL + "argument2", a.y)
+        return node
+
+    node = w.blank()
+    add(node, v.TYPE, v.IMP)
+    for p, side in ((v.BODY, rule.body), (v.HEAD, rule.head)):
+        add(node, p, w.list_of([atom(a) for a in side]))
+    w.objs = list(dict.fromkeys(w.objs))
+    return w
+
+
+def variables(store: QuadStore) -> DataFrame:
+    """(s): the variables that stored rules use."""
+    return store.scan("objs", p=v.TYPE, o=v.VARIABLE).select("s").distinct()
+
+
+def stored_rules(store: QuadStore, most: int = 200_000) -> dict[str, Rule]:
+    """Rules by their nodes, from the quads of all graphs; rules are metadata, of at most ``most`` rows."""
+    about = store.scan("objs", p=[v.BODY, v.HEAD, v.FIRST, v.REST, *(v.SWRL + x for x in ("classPredicate", "propertyPredicate", "dataRange", "builtin", "arguments", "argument1", "argument2"))])
+    rows = about.unionByName(store.scan("objs", p=v.TYPE).where(F.startswith("o", F.lit(v.SWRL)))).select("s", "p", "o").limit(most + 1).collect()
+    texts = store.scan("datas", p=[v.FIRST, v.SWRL + "argument1", v.SWRL + "argument2"]).select("s", "p", "lex", "d", "lang").limit(most + 1).collect()
+    if max(len(rows), len(texts)) > most:
+        raise ValueError(f"more than {most} rows of rules")
+    own: dict[str, dict[str, object]] = {}
+    for s, p, o in rows:
+        own.setdefault(s, {})[p] = "?" + o.removeprefix(_VARIABLES) if o.startswith(_VARIABLES) else o
+    for s, p, lex, d, lang in texts:
+        own.setdefault(s, {})[p] = _value(lex, d, lang)
+
+    def items(cell: object) -> list:
+        out = []
+        while cell != v.NIL:
+            out.append(own[cell][v.FIRST])
+            cell = own[cell][v.REST]
+        return out
+
+    def atom(node: str) -> object:
+        a = own[node]
+        kind = next(k for k, (name, _) in _STORED.items() if a[v.TYPE] == v.SWRL + name)
+        if kind is Builtin:
+            return Builtin(a[v.SWRL + "builtin"].removeprefix(_BUILTIN_NS), *items(a[v.SWRL + "arguments"]))
+        args = [a[p] for p in (v.SWRL + "argument1", v.SWRL + "argument2") if p in a]
+        named = _STORED[kind][1]
+        return kind(a[v.SWRL + named], *args) if named else kind(*args)
+
+    return {s: Rule([atom(x) for x in items(a[v.BODY])], [atom(x) for x in items(a[v.HEAD])]) for s, a in own.items() if a.get(v.TYPE) == v.IMP}
+
+
+def destroy_rule(store: QuadStore, node: str) -> QuadStore:
+    """The store without a rule's node, lists and atoms, and without variables that no other rule uses."""
+    links = store.scan("objs", p=[v.BODY, v.HEAD, v.FIRST, v.REST, v.SWRL + "arguments"]).where("startswith(o, '_:')").select(F.col("o").alias("s"), F.col("s").alias("o"))
+    gone = checkpointed(reachable(links, store.objs.sparkSession.createDataFrame([(node,)], "s string"), True).select("s"))
+    objs, datas = (f.join(gone, "s", "left_anti").select(*f.columns) for f in (store.objs, store.datas))
+    used = objs.where(F.col("p") != v.TYPE).select(F.col("o").alias("s"))
+    idle = objs.where((F.col("p") == v.TYPE) & (F.col("o") == v.VARIABLE)).select("s").join(used, "s", "left_anti")
+    return replace(store, objs=objs.join(idle, "s", "left_anti").select(*objs.columns), datas=datas)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,19 +103,52 @@ def inverse_restrictions(store: QuadStore, p: str) -> DataFrame:
 
 
 def possible_relations(store: QuadStore) -> DataFrame:
-    """(s, p): properties whose domain a subject's types meet; a property without domain suits everyone."""
-    declared = properties(store).withColumnRenamed("s", "p")
+    """(s, p): properties whose domains a subject's types all meet; ``free_properties`` has those that suit everyone."""
     domains = store.scan("objs", p=v.DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("cls"))
     up = Hierarchy(store.scan("objs", p=v.SUBCLASS)).pairs(store.objs.sparkSession)
     types = store.scan("objs", p=v.TYPE).select("s", F.col("o").alias("cls"))
     wide = types.unionByName(types.join(up.select(F.col("s").alias("cls"), F.col("o").alias("up")), "cls").select("s", F.col("up").alias("cls"))).distinct()
     met = wide.join(domains, "cls").groupBy("s", "p").agg(F.count_distinct("cls").alias("n"))
     asked = domains.groupBy("p").agg(F.count_distinct("cls").alias("k"))
-    fitting = met.join(asked, "p").where("n = k").select("s", "p")
-    free = [r[0] for r in declared.join(domains, "p", "left_anti").collect()]  # metadata
-    people = types.select("s").distinct()
-    extra = [people.withColumn("p", F.lit(p)) for p in free]
-    return reduce(lambda a, b: a.unionByName(b), extra, fitting)
+    return met.join(asked, "p").where("n = k").select("s", "p")
+
+
+def free_properties(store: QuadStore) -> DataFrame:
+    """(p): properties without a domain."""
+    return properties(store).withColumnRenamed("s", "p").join(store.scan("objs", p=v.DOMAIN).select(F.col("s").alias("p")), "p", "left_anti")
+
+
+def ranges(store: QuadStore, p: str) -> DataFrame:
+    """(s): the ranges of p and of the properties above it, classes and datatypes alike."""
+    above = Hierarchy(store.scan("objs", p=v.SUBPROPERTY)).above(store.objs.sparkSession, [p])
+    return store.scan("objs", p=v.RANGE).join(above.select(F.col("cls").alias("s")), "s", "left_semi").select(F.col("o").alias("s")).distinct()
+
+
+def indirect_properties(store: QuadStore) -> DataFrame:
+    """(s, p): properties in use for a subject, with those above them, and those that its classes are restricted on."""
+    from .values import _ancestors
+
+    own = used_properties(store)
+    up = Hierarchy(store.scan("objs", p=v.SUBPROPERTY)).pairs(store.objs.sparkSession).select(F.col("s").alias("p"), F.col("o").alias("up"))
+    types = store.scan("objs", p=v.TYPE).select("s", F.col("o").alias("cls"))
+    wide = types.unionByName(types.join(_ancestors(store).select(F.col("s").alias("cls"), F.col("o").alias("up")), "cls").select("s", F.col("up").alias("cls")))
+    by_class = wide.join(class_properties(store), "cls").select("s", F.col("property").alias("p"))
+    return own.unionByName(own.join(up, "p").select("s", F.col("up").alias("p"))).unionByName(by_class).distinct()
+
+
+def indirect_class_properties(store: QuadStore) -> DataFrame:
+    """(cls, property) with what the classes above have."""
+    from .values import _inherited
+
+    return _inherited(store, class_properties(store), "property")
+
+
+def imported(store: QuadStore, ontology: str) -> DataFrame:
+    """(s): the ontologies that one imports, over any number of steps."""
+    from .closure import reachable
+
+    back = store.scan("objs", p=v.IMPORTS).select(F.col("o").alias("s"), F.col("s").alias("o"))
+    return reachable(back, store.objs.sparkSession.createDataFrame([(ontology,)], "s string")).select("s")
 
 
 def domains(store: QuadStore, p: str) -> DataFrame:

@@ -88,7 +88,7 @@ def _value_criterion(store: QuadStore, p: str, value: object, case_sensitive: bo
     if isinstance(value, NumS):
         return datas.where(value.column(F.col("num"))).select("s")
     if isinstance(value, FTS):
-        return fts.match(fts.index(datas), value.query, value.lang).select("s")
+        return fts.find(datas, value.query, value.lang).select("s")
     if isinstance(value, str) and value == "*":
         return store.pairs(p).select("s").unionByName(datas.select("s"))
     if isinstance(value, str) and "*" in value or isinstance(value, str) and not case_sensitive:
@@ -137,7 +137,7 @@ def search(store: QuadStore, criteria: dict | None = None, *, case_sensitive: bo
 
 def search_bm25(store: QuadStore, p: str, query: str, **criteria: object) -> DataFrame:
     """(s, bm25) of the subjects that also meet the criteria, to be ordered by bm25."""
-    scored = fts.bm25(fts.index(store.values(p)), query)
+    scored = fts.bm25(store.values(p), query)
     return scored.join(search(store, **criteria), "s", "left_semi") if criteria else scored
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .closure import checkpointed, closure_pairs, reachable
+from . import fts
+from .closure import checkpointed, cyclic_parts, reachable, union_all
 
 # Hierarchies are (s, o): s has parent o. Sets are (s). ``below`` is the strict closure (s, o).
 
@@ -46,6 +47,10 @@ def is_semantic_subset(below: DataFrame, codes: DataFrame, others: DataFrame) ->
     return subtract(below, codes, others).isEmpty()
 
 
+def is_semantic_superset(below: DataFrame, codes: DataFrame, others: DataFrame) -> bool:
+    return is_semantic_subset(below, others, codes)
+
+
 def is_semantic_disjoint(below: DataFrame, codes: DataFrame, others: DataFrame) -> bool:
     return implied_by(below, codes, others).isEmpty() and implied_by(below, others, codes).isEmpty()
 
@@ -105,15 +110,17 @@ def map_through(links: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def map_concepts(codes: DataFrame, edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(s, dst): each code's mapping, or else that of its nearest ancestors that have one."""
+    """(s, dst): each code's mapping, or else that of its nearest ancestors that have one; cycles are climbed once."""
     at = checkpointed(codes.select("s", F.col("s").alias("at")))
-    out = None
+    seen, out = [at], []
     while not at.isEmpty():
-        hit = at.join(mapping.select(F.col("src").alias("at"), "dst"), "at").select("s", "dst").distinct()
-        out = hit if out is None else out.unionByName(hit)
+        hit = checkpointed(at.join(mapping.select(F.col("src").alias("at"), "dst"), "at").select("s", "dst").distinct())
+        out.append(hit)
         rest = at.join(hit.select("s"), "s", "left_anti")
-        at = checkpointed(rest.join(edges.select(F.col("s").alias("at"), "o"), "at").select("s", F.col("o").alias("at")).distinct())
-    return out if out is not None else codes.select("s", F.col("s").alias("dst")).limit(0)
+        up = rest.join(edges.select(F.col("s").alias("at"), "o"), "at").select("s", F.col("o").alias("at")).distinct()
+        at = checkpointed(up.join(union_all(seen), ["s", "at"], "left_anti"))
+        seen.append(at)
+    return union_all(out) if out else codes.select("s", F.col("s").alias("dst")).limit(0)
 
 
 def plain_code(code, exceptions: dict[str, str] | None = None):
@@ -135,16 +142,56 @@ def break_cycles(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     next; cycles that remain are merged: their members become equivalent to the
     least and share the parents outside.
     """
-    edges = votes.select("s", "o")
-    on_cycle = lambda e: closure_pairs(e).join(e.select(F.col("s").alias("o"), F.col("o").alias("s")), ["s", "o"], "left_semi").select(F.col("o").alias("s"), F.col("s").alias("o"))
-    cyclic = checkpointed(on_cycle(edges))
+    edges = votes.select("s", "o").distinct()
+    parts = lambda e: checkpointed(cyclic_parts(e))
+    inside = lambda e, part: e.join(part.select(F.col("node").alias("s"), F.col("part").alias("ps")), "s").join(part.select(F.col("node").alias("o"), F.col("part").alias("po")), "o").where("ps = po")
+    cyclic = inside(edges, parts(edges)).select("s", "o")
     ranked = votes.join(cyclic, ["s", "o"], "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("votes"), "o")))
     top = ranked.groupBy("s").agg(F.max(F.when(F.col("r") == 1, F.col("o"))).alias("best"), F.max(F.when(F.col("r") == 1, F.col("votes"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("votes"))).alias("b"))
     lost = ranked.join(top.where("b IS NOT NULL AND a >= 2 * b"), "s").where("o <> best").select("s", "o")
     kept = checkpointed(edges.join(lost, ["s", "o"], "left_anti"))
-    left = checkpointed(on_cycle(kept))
-    both = closure_pairs(left)
-    group = both.join(both.select(F.col("s").alias("o"), F.col("o").alias("s")), ["s", "o"], "left_semi").groupBy("s").agg(F.least(F.min("o"), F.col("s")).alias("rep"))
+    group = parts(kept).select(F.col("node").alias("s"), F.col("part").alias("rep"))
     same = group.where("s <> rep").select("s", F.col("rep").alias("o"))
     merged = kept.join(group, "s", "left").select(F.coalesce("rep", "s").alias("s"), "o").join(group.select(F.col("s").alias("o"), F.col("rep").alias("orep")), "o", "left")
     return merged.select("s", F.coalesce("orep", "o").alias("o")).where("s <> o").distinct(), same
+
+
+def concept(labels: DataFrame, terminology: str, code: str) -> DataFrame:
+    """Rows of (terminology, code, label, synonyms) for one code."""
+    return labels.where((F.col("terminology") == terminology) & (F.col("code") == code))
+
+
+def full_code(terminology: str | Column, code: str | Column) -> Column:
+    """The name of a concept over all terminologies: ``terminology/code``."""
+    return F.concat_ws("/", terminology, code)
+
+
+def terminology_roots(edges: DataFrame, terminology: str) -> DataFrame:
+    """(s): full codes of a terminology that have no parent in it."""
+    own = lambda c: F.startswith(F.col(c), F.lit(terminology + "/"))
+    return edges.where(own("o")).select(F.col("o").alias("s")).distinct().join(edges.where(own("s") & own("o")).select("s"), "s", "left_anti")
+
+
+def search_labels(labels: DataFrame, query: str, terminology: str | None = None) -> DataFrame:
+    """(terminology, code, label) whose label or a synonym matches the full-text query."""
+    rows = labels if terminology is None else labels.where(F.col("terminology") == terminology)
+    texts = F.concat(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))
+    return rows.where(F.exists(texts, lambda x: fts.matches(x, query))).select("terminology", "code", "label")
+
+
+def ordered_by_code(codes: DataFrame) -> DataFrame:
+    """(s, pos): codes in order, numbered from 1 for each first part of the code, so that no single task holds all."""
+    group = F.substring_index("s", "/", 1)
+    return codes.select("s", F.row_number().over(Window.partitionBy(group).orderBy("s")).alias("pos"))
+
+
+def by_generality(below: DataFrame, codes: DataFrame) -> DataFrame:
+    """(s, n): codes with the number of concepts beneath them, the most general first when sorted by n."""
+    counts = below.groupBy(F.col("o").alias("s")).agg(F.count("*").alias("n"))
+    return codes.join(counts, "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def relation_groups(relations: DataFrame) -> DataFrame:
+    """(s, grp, relations): a concept's relations (s, grp, kind, o) by group, as sorted (kind, o); group 0 is each relation by itself."""
+    own = F.when(F.col("grp") == 0, F.concat_ws(" ", F.lit("0"), "kind", "o")).otherwise(F.col("grp").cast("string"))
+    return relations.groupBy("s", own.alias("grp")).agg(F.array_sort(F.collect_set(F.struct("kind", "o"))).alias("relations"))

@@ -52,18 +52,26 @@ def is_kind(store: QuadStore, p: str, kind: str) -> bool:
     return store.has("objs", s=p, p=v.TYPE, o=kind)
 
 
-def _through_same(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """The pairs shared by all individuals that are the same, on either end."""
+def of_classes(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """(s, o) with each end named by the least of the individuals that are the same: a row for all of them."""
+    ends = pairs.join(same.withColumnRenamed("node", "s").withColumnRenamed("component", "sc"), "s", "left").join(same.withColumnRenamed("node", "o").withColumnRenamed("component", "oc"), "o", "left")
+    return ends.select(F.coalesce("sc", "s").alias("s"), F.coalesce("oc", "o").alias("o")).distinct()
+
+
+def for_members(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """The pairs spelled out for all individuals that are the same, on either end: members times members rows."""
     left, right = same.select(F.col("node").alias("s"), F.col("component").alias("sc")), same.select(F.col("node").alias("o"), F.col("component").alias("oc"))
     by_class = pairs.join(left, "s", "left").join(right, "o", "left").select(F.coalesce("sc", "s").alias("sc"), F.coalesce("oc", "o").alias("oc")).distinct()
     out = by_class.join(left.withColumnRenamed("s", "ns"), "sc", "left").select(F.coalesce("ns", "sc").alias("s"), "oc")
     return out.join(right.withColumnRenamed("o", "no"), "oc", "left").select("s", F.coalesce("no", "oc").alias("o")).distinct()
 
 
-def indirect(store: QuadStore, p: str) -> DataFrame:
+def indirect(store: QuadStore, p: str, members: bool = False) -> DataFrame:
     """(s, o) of an object property with subproperties, inverses, sameAs, transitivity, reflexivity and class values.
 
-    Set-at-a-time for all subjects. Chains are not applied.
+    Set-at-a-time for all subjects. Individuals that are the same have one row,
+    under the least name (``same_classes`` has the membership); with ``members``
+    every name gets its own rows. Chains are not applied.
     """
     names = subproperties(store, p)
     back = [i for n in names if (i := store.inverses.get(n))]
@@ -74,15 +82,61 @@ def indirect(store: QuadStore, p: str) -> DataFrame:
         pairs = pairs.unionByName(_class_members(store).join(per_class, "cls").select("s", "o"))
         pairs = pairs.unionByName(per_class.select(F.col("cls").alias("s"), "o"))
     same = same_classes(store)
-    pairs = _through_same(pairs.distinct(), same)
+    pairs = of_classes(pairs, same)
     if is_kind(store, p, v.TRANSITIVE):
         if is_kind(store, p, v.SYMMETRIC):
             pairs = pairs.unionByName(pairs.select(F.col("o").alias("s"), F.col("s").alias("o")))
         pairs = closure_pairs(pairs)
     if is_kind(store, p, v.REFLEXIVE):
         nodes = store.scan("objs", p=v.TYPE, o=v.INDIVIDUAL).select("s")
-        pairs = pairs.unionByName(nodes.select("s", F.col("s").alias("o")))
-    return pairs.distinct()
+        pairs = pairs.unionByName(of_classes(nodes.select("s", F.col("s").alias("o")), same))
+    return for_members(pairs, same) if members else pairs.distinct()
+
+
+def functional_value(store: QuadStore, p: str) -> DataFrame:
+    """(s, o): one value of a functional property for each subject, the most specific.
+
+    A subject's own value comes before those of its classes, and a class's before
+    those of the classes above it; of equals the least.
+    """
+    own = first_value(store, p)
+    view = restrictions(store).where((F.col("property") == p) & F.col("kind").isin("some", "value") & F.col("filler").isNotNull())
+    per_class = view.groupBy("cls").agg(F.min("filler").alias("o"))
+    above = _ancestors(store)
+    reach = above.unionByName(per_class.select(F.col("cls").alias("s"), F.col("cls").alias("o"))).distinct()
+    types = _class_members(store).join(reach.select(F.col("s").alias("cls"), F.col("o").alias("up")), "cls").select("s", F.col("up").alias("cls")).distinct()
+    met = types.join(per_class.select("cls"), "cls", "left_semi")
+    best = most_specific(met, above).join(per_class, "cls").groupBy("s").agg(F.min("o").alias("o"))
+    return own.unionByName(best.join(own.select("s"), "s", "left_anti"))
+
+
+def class_ancestors(store: QuadStore, include_self: bool = True, constructs: bool = False) -> DataFrame:
+    """(s, o): every class with those above it, through equivalents; ``constructs`` brings the anonymous ones directly above these."""
+    pairs = _ancestors(store)
+    names = pairs.select("s").unionByName(pairs.select(F.col("o").alias("s"))).unionByName(store.scan("objs", p=v.TYPE, o=v.CLASS).select("s")).distinct()
+    own = names.select("s", F.col("s").alias("o"))
+    full = pairs.unionByName(own).distinct()
+    out = full if include_self else full.where("s <> o")
+    if constructs:
+        anonymous = store.scan("objs", p=[v.SUBCLASS, v.EQUIVALENT_CLASS]).where("startswith(o, '_:')").select(F.col("s").alias("m"), F.col("o").alias("node"))
+        out = out.unionByName(full.withColumnRenamed("o", "m").join(anonymous, "m").select("s", F.col("node").alias("o")).distinct())
+    return out
+
+
+def is_subclass(store: QuadStore, cls: str, of: str) -> bool:
+    """Whether a class is another, beneath it or equivalent to it."""
+    return cls == of or not _ancestors(store).where((F.col("s") == cls) & (F.col("o") == of)).isEmpty()
+
+
+def class_only(store: QuadStore, names: list[str]) -> DataFrame:
+    """(cls, fillers): what all values must be, the intersection of the inherited ``only`` fillers, sorted."""
+    return class_values(store, names, "only").groupBy("cls").agg(F.array_sort(F.collect_set("filler")).alias("fillers"))
+
+
+def transitive_class_values(store: QuadStore, names: list[str]) -> DataFrame:
+    """(cls, filler) of a transitive property: from class to filler, the filler's own fillers, and so on."""
+    steps = class_values(store, names).select(F.col("cls").alias("s"), F.col("filler").alias("o"))
+    return closure_pairs(steps).select(F.col("s").alias("cls"), F.col("o").alias("filler"))
 
 
 def indirect_literals(store: QuadStore, p: str, annotation: bool = False) -> DataFrame:

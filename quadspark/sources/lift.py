@@ -119,4 +119,4 @@ def lift(spark: SparkSession, sf_dir: str) -> QuadStore:
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     all_objs, all_datas = union([f for _, f in objs]), union([f for _, f in datas])
     group = lambda frames: {p: [f for q, f in frames if q == p] for p, _ in frames}
-    return QuadStore(all_objs, all_datas, INVERSES, {"objs": (all_objs, group(objs)), "datas": (all_datas, group(datas))})
+    return QuadStore(all_objs, all_datas, INVERSES, {"objs": (all_objs, group(objs), ()), "datas": (all_datas, group(datas), ())})

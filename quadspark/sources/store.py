@@ -26,9 +26,10 @@ class QuadStore:
     datas: DataFrame
     #: Property metadata, which is small: property -> its inverse, both ways.
     inverses: dict[str, str] = field(default_factory=dict)
-    #: For a frame that is a union of single-predicate branches: kind -> (that frame, predicate -> branches). A pattern
-    #: with bound predicates is then built from their branches alone; it holds only while the frame is the same.
-    parts: dict[str, tuple[DataFrame, dict[str, list[DataFrame]]]] = field(default_factory=dict)
+    #: For a frame that is a union of single-predicate branches: kind -> (that frame, predicate -> branches, rows added of
+    #: any predicate). A pattern with bound predicates is then built from their branches alone; it holds only while the
+    #: frame is the same.
+    parts: dict[str, tuple] = field(default_factory=dict)
 
     # ---- sources -------------------------------------------------------------
     @classmethod
@@ -46,11 +47,12 @@ class QuadStore:
         store = cls(read("objs", QUAD_OBJ), read("datas", QUAD_DATA))
         return replace(store, inverses=store.declared_inverses())
 
-    def save(self, path: str) -> None:
-        """A snapshot: one folder for each predicate, rows sorted by subject within files."""
+    def save(self, path: str, rows_a_file: int = 2_000_000) -> None:
+        """A snapshot: one folder for each predicate, in as many files as its rows ask for, sorted by subject within files."""
         for kind, frame in (("objs", self.objs), ("datas", self.datas)):
-            dealt = frame.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16)))
-            dealt.sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(f"{path}/{kind}")
+            sizes = frame.groupBy("p").agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("files"))
+            dealt = frame.join(F.broadcast(sizes), "p").repartition("p", F.pmod(F.xxhash64("s"), F.col("files")))  # a row for each predicate
+            dealt.drop("files").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(f"{path}/{kind}")
 
     def declared_inverses(self) -> dict[str, str]:
         rows = self.scan("objs", p=v.INVERSE_OF).where("NOT startswith(s, '_:') AND NOT startswith(o, '_:')").select("s", "o").collect()
@@ -72,7 +74,8 @@ class QuadStore:
         if p is not None and kind == "quads":
             return replace(self, objs=self.scan("objs", p=p), datas=self.scan("datas", p=p)).scan("quads", **{k: x for k, x in bound.items() if k != "p"})
         if p is not None and kind in self.parts and self.parts[kind][0] is frame:
-            chosen = [f for x in ([p] if isinstance(p, str) else p) for f in self.parts[kind][1].get(x, ())]
+            _, branches, added = self.parts[kind]
+            chosen = [f for x in dict.fromkeys([p] if isinstance(p, str) else p) for f in branches.get(x, ())] + list(added)
             frame = reduce(lambda a, b: a.unionByName(b), chosen) if chosen else frame.where("false")
         for name, value in bound.items():
             if value is not None:
@@ -100,8 +103,16 @@ class QuadStore:
     def values(self, p: str | list[str]) -> DataFrame:
         return self.scan("datas", p=p)
 
-    def predicates(self, s: str) -> DataFrame:
-        return self.scan("quads", s=s).select("p").distinct()
+    def predicates(self, s: str | None = None, o: str | None = None) -> DataFrame:
+        """(p): the predicates of a subject, or of an object."""
+        return (self.scan("objs", s=s, o=o) if o is not None else self.scan("quads", s=s)).select("p").distinct()
+
+    def pattern(self, s: str | None = None, p: str | None = None, o: object = None) -> DataFrame:
+        """Triples whose object is an IRI, or a literal written as (text, datatype or None, language or None)."""
+        if isinstance(o, tuple):
+            text, d, lang = (*o, None, None)[:3]
+            return self.scan("datas", s=s, p=p, lex=text, d=d, lang=lang)
+        return self.scan("objs", s=s, p=p, o=o) if o is not None else self.scan("quads", s=s, p=p)
 
     def predicate_counts(self) -> DataFrame:
         return self.quads.groupBy("p").agg(F.count("*").alias("n"))
@@ -118,16 +129,44 @@ class QuadStore:
     def graph(self, c: str) -> QuadStore:
         return replace(self, objs=self.scan("objs", c=c), datas=self.scan("datas", c=c))
 
+    def entity(self, iri: str, default: str | None = None) -> str | None:
+        """The IRI if any triple mentions it, else the default."""
+        return iri if self.has(s=iri) or self.has("objs", o=iri) else default
+
+    def replace_graph(self, c: str, new: QuadStore) -> QuadStore:
+        """With one graph's content put in place of what it had."""
+        old = self.without(F.col("c") == c).without(F.col("c") == c, "datas")
+        named = lambda f: f.withColumn("c", F.lit(c)).select(*f.columns)
+        return old.plus("objs", named(new.objs).distinct()).plus("datas", named(new.datas).distinct())
+
     def resources(self) -> DataFrame:
         """All IRIs in use, as ``iri``."""
         each = [self.quads.select(F.col(x).alias("iri")) for x in ("s", "p")] + [self.objs.select(F.col("o").alias("iri"))]
         return each[0].unionByName(each[1]).unionByName(each[2]).distinct()
 
+    def plus(self, kind: str, rows: DataFrame) -> QuadStore:
+        """With rows that are known to be new: nothing is compared, and patterns go on reading the branches of their predicates."""
+        old = getattr(self, kind)
+        frame = old.unionByName(rows)
+        parts = dict(self.parts)
+        if kind in parts and parts[kind][0] is old:
+            parts[kind] = (frame, parts[kind][1], (*parts[kind][2], rows))
+        return replace(self, **{kind: frame}, parts=parts)
+
+    def _add(self, kind: str, rows: DataFrame) -> QuadStore:
+        """Only the new rows are made distinct; of the old ones, those that equal a new one are looked for."""
+        old, new = getattr(self, kind), rows.distinct()
+        names = old.columns
+        new = new.select(*names)
+        same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+        known = old.alias("k").join(new.alias("n"), same("k", "n"), "left_semi")
+        return self.plus(kind, new.alias("n").join(known.alias("k"), same("n", "k"), "left_anti").select(*names))
+
     def with_objs(self, rows: DataFrame) -> QuadStore:
-        return replace(self, objs=self.objs.unionByName(rows).dropDuplicates())
+        return self._add("objs", rows)
 
     def with_datas(self, rows: DataFrame) -> QuadStore:
-        return replace(self, datas=self.datas.unionByName(rows).dropDuplicates())
+        return self._add("datas", rows)
 
     def without(self, condition: Column, kind: str = "objs") -> QuadStore:
         return replace(self, **{kind: getattr(self, kind).where(~F.coalesce(condition, F.lit(False)))})

@@ -2,6 +2,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quadspark.functions import vocab as v
+from quadspark.operators import closure
 from quadspark.operators.closure import Hierarchy, closure_pairs, components, list_items, reachable, roots
 
 EDGES = st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=12)
@@ -55,3 +56,21 @@ def test_list_items(spark):
     want = {(k, i + 1, f"of {c}") for k, x in lists.items() for i, c in enumerate(x)}
     assert run(pair(rest + broken + cyclic)) == want | {("b", 1, "of b0"), ("b", 2, "of b1")}
     assert run(pair([])) == set()
+
+
+def test_cyclic_parts_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    for n, m in ((8, 10), (12, 16), (20, 24), (6, 0)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {(a, b) for a, b in edges}
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in reach if b == c}
+            if more == reach:
+                break
+            reach = more
+        want = {(a, min(b for b in range(n) if (a, b) in reach and (b, a) in reach)) for a in range(n) if (a, a) in reach}
+        frame = spark.createDataFrame(sorted(edges), "s bigint, o bigint")
+        assert {tuple(r) for r in closure.cyclic_parts(frame).collect()} == want
+        assert {tuple(r) for r in closure.closure_pairs(frame).collect()} == reach

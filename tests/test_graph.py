@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadspark.functions import vocab as v
-from quadspark.operators import closing, constructs, diff, mutate, reason, rules, schema, terminology, values
+from quadspark.operators import closing, constructs, diff, mutate, reason, render, rules, schema, terminology, values
 from quadspark.operators.bgp import Pattern, update
 from quadspark.operators.constructs import Evaluator, Facets, Named, Property, Writer
 from quadspark.operators.search import FTS, Iri, NumS, Or, both, either, search, search_bm25
@@ -120,7 +120,8 @@ def test_lists_round_trip(spark):
 
 def test_indirect_values(spark):
     s = QuadStore.of_rows(spark, [obj("p", v.TYPE, v.TRANSITIVE), obj("q", v.SUBPROPERTY, "p"), obj("a", "p", "b"), obj("b", "q", "c"), obj("c", v.SAME_AS, "d"), obj("d", "p", "x")])
-    got = {(r.s.removeprefix(E), r.o.removeprefix(E)) for r in values.indirect(s, e("p")).collect()}
+    got = {(r.s.removeprefix(E), r.o.removeprefix(E)) for r in values.indirect(s, e("p"), members=True).collect()}
+    assert {(r.s[-1], r.o[-1]) for r in values.indirect(s, e("p")).collect()} == {x for x in got if "d" not in x}
     assert got >= {("a", "b"), ("a", "c"), ("a", "d"), ("a", "x"), ("b", "x"), ("c", "x")} and ("x", "a") not in got
 
 
@@ -159,8 +160,9 @@ def test_inference(spark):
         obj("pizza1", v.SAME_AS, "pizza2"), obj("pizza1", "has_topping", "t"), obj("t", v.TYPE, "Top"),
         ("g", e("Topped"), v.EQUIVALENT_CLASS, w.encode(Property(e("has_topping")).some(Named(e("Top"))))),
     ]
-    out = reason.infer(QuadStore.of_rows(spark, objs + w.objs, w.datas)).objs
-    got = {(r.s.removeprefix(E), r.p.removeprefix(E), r.o.removeprefix(E)) for r in out.collect()}
+    out = reason.infer(QuadStore.of_rows(spark, objs + w.objs, w.datas))
+    got = {(r.s.removeprefix(E), r.p.removeprefix(E), r.o.removeprefix(E)) for r in reason.for_members(out).collect()}
+    assert not out.scan("objs", s=e("pizza2"), p=e("has_topping")).count()  # the class has one row
     assert {("x", v.TYPE, "C"), ("x", v.TYPE, "Dom"), ("y", "ip", "x"), ("pizza2", "has_topping", "t"), ("pizza1", v.TYPE, "Topped"), ("pizza2", v.TYPE, "Topped")} <= got
 
 
@@ -240,3 +242,166 @@ def test_terminology(spark):
     votes = spark.createDataFrame([("x", "y", 5), ("x", "z", 1), ("y", "x", 1), ("z", "x", 9)], "s string, o string, votes int")
     kept, _ = terminology.break_cycles(votes)
     assert ("x", "z") not in {tuple(r) for r in kept.collect()}
+
+
+def test_constructs_are_read_back(spark):
+    p, q = Property(e("p")), Property(e("q"))
+    made = [
+        p.some(Named(e("A")) & ~Named(e("B"))), p.only(Named(e("A")) | Named(e("B"))), (~p).min(2, Named(e("A"))), p.max(1), p.exactly(0), p.has_self(),
+        p.value(e("i")), q.value(5), constructs.OneOf((e("i"), e("j"))), q.some(Facets(base=v.INTEGER, min_inclusive=2, max_exclusive=9)), q.some(Facets(base=v.STRING, pattern="a.*", white_space="collapse")),
+        q.some(constructs.OneOf((1, 2, 3))),
+    ]
+    w = Writer("g", "k")
+    links = [("g", e(f"C{i:02}"), v.SUBCLASS if i % 2 else v.EQUIVALENT_CLASS, w.encode(x)) for i, x in enumerate(made)]
+    reader = constructs.Reader(QuadStore.of_rows(spark, links + w.objs, w.datas))
+    assert reader.definitions() == [(e(f"C{i:02}"), "is_a" if i % 2 else "equivalent_to", x) for i, x in enumerate(made)]
+    assert reader.subclasses(p.has_self()) == [e("C05")]
+    got = [render.expression(x) for _, _, x in reader.definitions()]
+    assert got[:10] == ["∃ p.(A ⊓ ¬B)", "∀ p.(A ⊔ B)", "≥ 2 p⁻.A", "≤ 1 p", "= 0 p", "∃ p.Self", "∃ p.{i}", "∃ q.{5}", "{i, j}", "∃ q.integer[≥ 2, < 9]"]
+
+
+def test_axioms_as_text(spark):
+    s = QuadStore.of_rows(spark, [obj("A", v.SUBCLASS, "B"), obj("A", v.DISJOINT_WITH, "C"), obj("p", v.INVERSE_OF, "q"), obj("p", v.DOMAIN, "A"), obj("p", v.RANGE, "B"), obj("p", v.TYPE, v.TRANSITIVE), obj("q", v.TYPE, v.FUNCTIONAL)])
+    assert render.axioms(s) == sorted(["A ⊑ B", "A ⊓ C ⊑ ⊥", "p ≡ q⁻", "∃ p.⊤ ⊑ A", "⊤ ⊑ ∀ p.B", "p ∘ p ⊑ p", "⊤ ⊑ ≤ 1 q"])
+
+
+def test_restrictions_inside_an_intersection(spark):
+    w = Writer("g", "x")
+    objs = [("g", e("C"), v.EQUIVALENT_CLASS, w.encode(Named(e("D")) & Property(e("p")).some(Named(e("F")))))]
+    got = constructs.restrictions(QuadStore.of_rows(spark, objs + w.objs, w.datas)).collect()
+    assert [(r.cls, r.source, r.kind, r.filler) for r in got] == [(e("C"), "equivalent_to", "some", e("F"))]
+
+
+def test_rules_are_read_printed_and_stored(spark):
+    names = {x: e(x) for x in ("Person", "weight", "fat", "knows", "bob")}
+    kinds = {e("Person"): "class", e("fat"): "class", e("weight"): "data", e("knows"): "object", v.INTEGER: "datatype"}
+    text = 'Person(?x), weight(?x, ?w), greaterThan(?w, 90), knows(bob, ?x), stringConcat(?t, "a, b", "c") -> fat(?x)'
+    rule = rules.from_text(text, names, kinds)
+    assert rule == rules.Rule([rules.Cls(e("Person"), "?x"), rules.Data(e("weight"), "?x", "?w"), rules.Builtin("greaterThan", "?w", 90), rules.Obj(e("knows"), e("bob"), "?x"), rules.Builtin("stringConcat", "?t", "a, b", "c")], [rules.Cls(e("fat"), "?x")])
+    assert rules.from_text(str(rule), {}, kinds) == rule
+    other = rules.from_text("Person(?x), knows(?x, ?z) -> knows(?z, ?x)", names, kinds)
+    one, two = rules.encode(rule, "g", "r1"), rules.encode(other, "g", "r2")
+    store = QuadStore.of_rows(spark, list(dict.fromkeys(one.objs + two.objs)), one.datas + two.datas)
+    assert sorted(map(str, rules.stored_rules(store).values())) == sorted([str(rule), str(other)])
+    node = next(n for n, r in rules.stored_rules(store).items() if r == rule)
+    left = rules.destroy_rule(store, node)
+    assert list(rules.stored_rules(left).values()) == [other] and {r[0].rpartition("#")[2] for r in rules.variables(left).collect()} == {"x", "z"}
+    with pytest.raises(ValueError, match="unknown name"):
+        rules.from_text("Nope(?x) -> fat(?x)", names, kinds)
+
+
+def test_functional_and_class_level_values(spark):
+    w, p = Writer("g", "f"), Property(e("p"))
+    links = [(c, w.encode(x)) for c, x in (("Animal", p.value(e("low"))), ("Dog", p.value(e("high"))), ("Dog", p.some(Named(e("F")))), ("F", p.some(Named(e("G")))), ("Animal", p.only(Named(e("A")))), ("Dog", p.only(Named(e("B")))))]
+    objs = [obj("Dog", v.SUBCLASS, "Animal"), obj("rex", v.TYPE, "Dog"), obj("cat", v.TYPE, "Animal"), obj("own", v.TYPE, "Dog"), obj("own", "p", "mine")] + [("g", e(c), v.SUBCLASS, n) for c, n in links]
+    s = QuadStore.of_rows(spark, objs + w.objs, w.datas)
+    assert {(r.s[-3:], r.o.removeprefix(E)) for r in values.functional_value(s, e("p")).collect()} == {("rex", "F"), ("cat", "low"), ("own", "mine")}
+    assert {(r.cls.removeprefix(E), r.filler.removeprefix(E)) for r in values.transitive_class_values(s, [e("p")]).collect()} >= {("Dog", "G"), ("Dog", "low"), ("F", "G")}
+    assert {r.cls.removeprefix(E): [x[-1] for x in r.fillers] for r in values.class_only(s, [e("p")]).collect()} == {"Animal": ["A"], "Dog": ["A", "B"]}
+    assert values.is_subclass(s, e("Dog"), e("Animal")) and not values.is_subclass(s, e("Animal"), e("Dog"))
+    new = mutate.set_class_values(s, e("Dog"), e("p"), [e("X"), e("Y")])
+    got = constructs.restrictions(new).where(F.col("cls") == e("Dog")).collect()
+    assert {(r.kind, r.filler.removeprefix(E)) for r in got} == {("value", "high"), ("some", "X"), ("some", "Y"), ("only", "B")}
+
+
+def test_clashes_of_groups_properties_and_counts(spark):
+    w = Writer("g", "v")
+    objs = mutate.disjoint_rows("g", [e("A"), e("B"), e("C")]) + mutate.disjoint_rows("g", [e("p"), e("q")], "properties", "pp") + mutate.disjoint_rows("g", [e("i"), e("j"), e("k")], "individuals", "ii")
+    objs += [obj("x", v.TYPE, "A"), obj("x", v.TYPE, "C"), obj("y", v.TYPE, "A"), obj("a", "p", "b"), obj("a", "q", "b"), obj("i", v.SAME_AS, "m"), obj("m", v.SAME_AS, "k"), obj("y", "r", "z"), ("g", e("A"), v.SUBCLASS, w.encode(Property(e("r")).max(0)))]
+    got = {(r.s.removeprefix(E), r.kind) for r in reason.violations(QuadStore.of_rows(spark, objs + w.objs, w.datas)).collect()}
+    assert got == {("x", "disjoint"), ("a", "disjoint properties"), ("i", "same and different"), ("y", "too many values")}
+
+
+def test_at_most_one_makes_values_the_same(spark):
+    w = Writer("g", "m")
+    objs = [obj("x", v.TYPE, "C"), obj("x", "p", "y1"), obj("x", "p", "y2"), obj("y2", "q", "z"), ("g", e("C"), v.SUBCLASS, w.encode(Property(e("p")).max(1)))]
+    out = reason.infer(QuadStore.of_rows(spark, objs + w.objs, w.datas))
+    assert out.has("objs", s=e("y1"), p=e("q"), o=e("z")) and out.has("objs", s=e("y2"), p=v.SAME_AS, o=e("y1"))
+
+
+def test_fusion_types_and_equivalents(spark):
+    s = QuadStore.of_rows(spark, [obj("B", v.SUBCLASS, "A"), obj("x", v.TYPE, "B"), obj("x", v.TYPE, "A"), obj("x", v.TYPE, "C"), obj("y", v.TYPE, "B"), obj("P", v.SUBCLASS, "Q"), obj("Q", v.SUBCLASS, "P")])
+    assert [(r.s, r.fusion) for r in reason.fusion_types(s).collect()] == [(e("x"), "B_C")]
+    assert [(r.s, r.o) for r in reason.inferred_equivalents(s).collect()] == [(e("Q"), e("P"))]
+
+
+def test_mapping_and_cycles_end(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("a", "d")], "s string, o string")
+    codes = spark.createDataFrame([("a",), ("c",)], "s string")
+    assert terminology.map_concepts(codes, edges.where("o <> 'd'"), spark.createDataFrame([], "src string, dst string")).count() == 0
+    got = terminology.map_concepts(codes, edges, spark.createDataFrame([("d", "X")], "src string, dst string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "X"), ("c", "X")}
+
+
+def test_relations_and_labels_of_a_terminology(spark):
+    labels = spark.createDataFrame([("T", "1", "Renal failure", ["Kidney failure"]), ("T", "2", "Cough", None), ("U", "1", "Kidney", [])], "terminology string, code string, label string, synonyms array<string>")
+    assert {tuple(r) for r in terminology.search_labels(labels, "kidney*").collect()} == {("T", "1", "Renal failure"), ("U", "1", "Kidney")}
+    assert terminology.search_labels(labels, "fail* -renal -kidney", "T").count() == 0 and terminology.concept(labels, "T", "2").first().label == "Cough"
+    edges = spark.createDataFrame([("T/2", "T/1"), ("T/3", "T/2"), ("U/1", "T/1")], "s string, o string")
+    assert [r[0] for r in terminology.terminology_roots(edges, "T").collect()] == ["T/1"]
+    rel = spark.createDataFrame([("T/1", 0, "site", "a"), ("T/1", 0, "site", "b"), ("T/1", 1, "site", "c"), ("T/1", 1, "form", "d")], "s string, grp int, kind string, o string")
+    assert sorted([tuple(map(tuple, r.relations)) for r in terminology.relation_groups(rel).collect()]) == [(("form", "d"), ("site", "c")), (("site", "a"),), (("site", "b"),)]
+    both = spark.createDataFrame([("T/2", "T/1"), ("T/3", "T/1"), ("T/3", "T/2")], "s string, o string")
+    assert {tuple(r) for r in terminology.by_generality(both, edges.select("s")).collect()} == {("T/2", 1), ("T/3", 0), ("U/1", 0)}
+
+
+def test_stored_index_is_kept_in_step(spark, tmp_path):
+    from quadspark.operators import fts
+
+    shape = "s string, lex string, lang string"
+    texts = [("a", "the quick brown fox", "en"), ("b", "Quick, the lazy dog", "en"), ("c", "le renard brun", "fr"), ("d", None, None), ("e", "", "en"), ("a", "fox and quick dog", "en")]
+    rows = spark.createDataFrame(texts, shape)
+    idx = fts.Stored.build(rows, str(tmp_path / "fts"))
+    queries = ["quick", "quick the", "qui* -fox", '"quick brown"', "renard OR lazy", "NEAR(the fox, 2)", "NEAR(the fox, 1)", "brun*", '"the quick"', "zzz"]
+    by_scan = lambda f, q, lang=None: sorted(r.s for r in fts.find(f, q, lang).collect())
+    for q in queries:
+        assert sorted(r.s for r in idx.match(q).collect()) == by_scan(rows, q), q
+    assert by_scan(rows, "NEAR(the fox, 2)") == ["a"] and by_scan(rows, "NEAR(the fox, 1)") == [] and by_scan(rows, "le", "en") == []
+    gone, come = rows.where("s = 'b'"), spark.createDataFrame([("f", "a quick one", "en")], shape)
+    idx.refresh(come, gone)
+    now = rows.where("s <> 'b'").unionByName(come)
+    for q in queries:
+        assert sorted(r.s for r in idx.match(q).collect()) == by_scan(now, q), q
+    idx.refresh(gone)
+    assert sorted(r.s for r in idx.match("quick").collect()) == ["a", "a", "b", "f"]
+    with pytest.raises(ValueError):
+        fts.find(rows, "(a b)")
+
+
+def test_updates_of_literals_and_blank_nodes(pizza):
+    from quadspark.operators.bgp import Literal
+
+    where = Pattern(pizza).data("?p", e("price"), "?x").rows
+    out = update(pizza, where, delete=[("?p", e("price"), Literal("?x"))], insert=[("?p", e("cost"), Literal("?x", v.DOUBLE)), ("?p", e("bill"), "_:b"), ("_:b", v.TYPE, e("Bill"))], graph="g")
+    assert [(r.lex, r.num) for r in out.values(e("cost")).collect()] == [("9.9", 9.9)] and not out.has("datas", p=e("price"))
+    assert Pattern(out).triple("?p", e("bill"), "?b").triple("?b", v.TYPE, e("Bill")).rows.count() == 1
+    assert Pattern(pizza).data("?p", e("price"), "?x").minus(Pattern(pizza).triple("?a", v.SUBCLASS, "?b")).rows.count() == 1
+    below = Pattern(pizza).path(e("Olive"), v.SUBCLASS, "?c").rows
+    assert names(below, "c") == {"Vegetable", "Topping"}
+
+
+def test_adding_keeps_branches_and_drops_repeats(pizza, spark):
+    rows = spark.createDataFrame([("g", e("ma_pizza"), e("has_topping"), e("ma_tomate")), ("g", e("new"), e("has_topping"), e("ma_tomate")), ("g", e("new"), e("has_topping"), e("ma_tomate"))], "c string, s string, p string, o string")
+    out = mutate.add(pizza, rows)
+    assert out.objs.count() == pizza.objs.count() + 1
+    note = pizza.datas.where(F.col("p") == v.COMMENT)
+    assert mutate.add(pizza, None, note).datas.count() == pizza.datas.count()
+    swapped = out.replace_graph("g", QuadStore(rows, pizza.datas.limit(0)))
+    assert swapped.objs.count() == 2 and swapped.datas.count() == 0
+
+
+def test_list_cells(spark):
+    w = Writer("g", "l")
+    head = w.list_of([e("a"), e("b"), e("a")])
+    s = QuadStore.of_rows(spark, [("g", e("C"), v.ONE_OF, head), *w.objs], [])
+    got = sorted((r.pos, r.length, r.owner, r.lst == head) for r in constructs.list_cells(s).collect())
+    assert got == [(1, 3, e("C"), True), (2, 3, e("C"), True), (3, 3, e("C"), True)]
+
+
+def test_closing_below_and_of_an_ontology(spark):
+    objs = [obj("C", v.TYPE, v.CLASS), obj("D", v.TYPE, v.CLASS), obj("D", v.SUBCLASS, "C"), obj("x", v.TYPE, "D"), obj("x", v.TYPE, v.INDIVIDUAL), obj("p", v.TYPE, v.OBJECT_PROPERTY), obj("x", "p", "y")]
+    s = QuadStore.of_rows(spark, objs)
+    people, extents, closed = closing.close_ontology(s, "g")
+    assert [(r.s, r.members) for r in people.collect()] == [(e("x"), [e("y")])]
+    assert {(r.cls[-1], tuple(r.members)) for r in extents.collect()} == {("C", (e("x"),)), ("D", (e("x"),))}
+    assert {(r.cls[-1], tuple(r.members)) for r in closed.collect()} == {("C", (e("y"),)), ("D", (e("y"),))}
