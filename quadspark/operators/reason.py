@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 from ..sources.store import QuadStore
 from .closure import checkpointed
-from .constructs import lists, restrictions
+from .constructs import Evaluator, Reader, lists, restrictions
 from .schema import disjoints
 from .values import _ancestors, most_specific, same_classes
 
@@ -187,3 +187,24 @@ def inferred_equivalents(store: QuadStore) -> DataFrame:
     links = _ancestors(store).where("s <> o AND NOT startswith(s, '_:') AND NOT startswith(o, '_:')")
     both = links.join(_swap(links), ["s", "o"], "left_semi")
     return both.groupBy("s").agg(F.least(F.min("o"), F.col("s")).alias("o")).where("s <> o")
+
+
+def realise_defined(store: QuadStore, graph: str = INFERRED, most_rounds: int = 20) -> QuadStore:
+    """The store with the members of defined classes, after closing: whoever meets a definition belongs to its class.
+
+    Definitions are evaluated on what the store states, absence counting as
+    falsehood, again and again until no individual is new: a definition may use
+    another one's class.
+    """
+    defined = [(c, x) for c, source, x in Reader(store).definitions() if source == "equivalent_to"]
+    people = checkpointed(store.scan("objs", p=v.TYPE, o=v.INDIVIDUAL).select("s").distinct())
+    for _ in range(most_rounds):
+        found = [Evaluator(store, people).satisfied_by(x).join(people, "s", "left_semi").select("s", F.lit(c).alias("o")) for c, x in defined]
+        if not found:
+            return store
+        types = store.scan("objs", p=v.TYPE).select("s", "o")
+        fresh = checkpointed(reduce(lambda a, b: a.unionByName(b), found).distinct().join(types, ["s", "o"], "left_anti"))
+        if fresh.isEmpty():
+            return store
+        store = store.plus("objs", fresh.select(F.lit(graph).alias("c"), "s", F.lit(v.TYPE).alias("p"), "o"))
+    raise RuntimeError("the definitions did not come to an end")

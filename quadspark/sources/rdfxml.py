@@ -245,6 +245,15 @@ class _Owl(_Rdf):
             self.add(self.base, v.IMPORTS, (e.text or "").strip())
         elif name == "Annotation":
             self.put(self.base, self.term(kids[0]), kids[1])
+        elif name == "HasKey":
+            self.add(self.term(kids[0]), v.OWL + "hasKey", self.collection([self.term(k) for k in kids[1:]]))
+        elif name == "DatatypeDefinition":
+            self.add(self.term(kids[0]), v.EQUIVALENT_CLASS, self.term(kids[1]))
+        elif name in ("NegativeObjectPropertyAssertion", "NegativeDataPropertyAssertion"):
+            node = self.add(self.blank(), v.TYPE, v.OWL + "NegativePropertyAssertion")
+            self.add(node, v.OWL + "assertionProperty", self.term(kids[0]))
+            self.add(node, v.OWL + "sourceIndividual", self.term(kids[1]))
+            self.put(node, v.OWL + ("targetIndividual" if "Object" in name else "targetValue"), kids[2])
         elif name != "Prefix":
             raise ValueError(f"unknown axiom {name}")
 
@@ -286,7 +295,7 @@ def sniff(head: str) -> str:
 
 def read(spark: SparkSession, path: str, graph: str, base: str = "http://base/") -> QuadStore:
     """A store from RDF/XML or OWL/XML files; the format is told from each file's beginning."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -328,3 +337,13 @@ def description_rows(store: QuadStore) -> DataFrame:
 
 HEAD = f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{v.RDF}">'
 TAIL = "</rdf:RDF>"
+
+
+def write(store: QuadStore, path: str, subjects_a_file: int = 100_000) -> None:
+    """RDF/XML documents, one a file, of about ``subjects_a_file`` subjects each in the order of their names."""
+    rows = description_rows(store)
+    files = max(1, -(-rows.count() // subjects_a_file))
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("s"), F.lit(files)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("s", "xml"))), lambda x: x["xml"])
+    whole = dealt.groupBy("file").agg(F.concat(F.lit(HEAD), F.array_join(parts, "\n"), F.lit(TAIL)).alias("value"))
+    whole.repartition(files, "file").write.mode("overwrite").partitionBy("file").text(path)

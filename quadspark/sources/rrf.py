@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab as v
+from .store import QuadStore
+
+U = "http://umls/"
+
 # The column orders of the file formats.
 COLUMNS = {
     "MRRANK": "rank terminology tty suppress",
@@ -17,8 +25,20 @@ COLUMNS = {
 SUPPRESSED = "OEY"
 
 
-def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A file, folder or compressed part as a frame with the kind's columns, and ``line`` in reading order."""
+#: Columns that are left empty where they repeat the row before, in files that are written that way.
+FILLED = {"MRREL": "cui1 aui1 stype1 rel", "MRSAT": "cui lui sui metaui"}
+
+
+def read(spark: SparkSession, path: str, kind: str, filled: bool = False) -> DataFrame:
+    """A file, folder or compressed part as a frame with the kind's columns, and ``line`` in reading order.
+
+    ``filled`` gives empty columns of FILLED the value of the row before, file by file.
+    """
+    rows = _read(spark, path, kind)
+    return fill_down(rows, FILLED[kind].split(), ["file"], ["line"]) if filled else rows
+
+
+def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     names = COLUMNS[kind].split()
     parts = F.split("value", r"\|")
     rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("value <> ''")
@@ -76,3 +96,55 @@ def interval_parents(codes: DataFrame, groups: DataFrame, width: int) -> DataFra
     hit = codes.withColumn("bin", F.expr(f"s div {width}")).join(bins, "bin").where("s BETWEEN low AND high")
     best = hit.groupBy("s").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("w"), (-F.col("parent")).alias("k"))).alias("m"))
     return best.select("s", (-F.col("m.k")).alias("parent"))
+
+
+def load(spark: SparkSession, folder: str, terminologies: list[str] | None = None, langs: list[str] | None = None, graph: str = "umls", filled: bool = False) -> QuadStore:
+    """A folder of the files as a store: a class for each code, with label, synonyms, parents, relations, attributes and definitions.
+
+    Concepts are ``terminology/code`` under ``http://umls/``; a shared concept id
+    becomes ``mapped_to``. MRCONSO and MRRANK must be there; the others may be missing.
+    """
+
+    def part(kind: str) -> DataFrame | None:
+        try:
+            return read(spark, f"{folder}/{kind}.RRF*", kind, filled and kind in FILLED)
+        except AnalysisException:
+            return None
+
+    conso = part("MRCONSO")
+    kept = conso.where(~F.coalesce("suppress", F.lit("N")).isin(*SUPPRESSED))
+    kept = kept.where(F.col("terminology").isin(*terminologies)) if terminologies else kept
+    iri = lambda *c: F.concat(F.lit(U), F.concat_ws("/", *c))
+    known = concepts(conso, part("MRRANK"), terminologies, langs).withColumn("s", iri("terminology", "code"))
+    g = F.lit(graph).alias("c")
+    obj = lambda f, p, o: f.select(g, "s", F.lit(p).alias("p"), o.alias("o"))
+    data = lambda f, p, x: f.select(g, "s", p.alias("p"), x.alias("lex"), F.lit(None).cast("double").alias("num"), F.lit(v.STRING).alias("d"), F.lit(None).cast("string").alias("lang"))
+    codes = kept.select("aui", "cui", iri("terminology", "code").alias("s"))
+    objs = [obj(known, v.TYPE, F.lit(v.CLASS)), known.join(kept.select(iri("terminology", "code").alias("s"), "cui").distinct(), "s").select(g, "s", F.lit(U + "mapped_to").alias("p"), F.concat(F.lit(U + "CUI/"), "cui").alias("o"))]
+    datas = [data(known, F.lit(v.LABEL), F.col("label")), data(known.select("s", F.explode("synonyms").alias("x")), F.lit(U + "synonyms"), F.col("x"))]
+    if (rel := part("MRREL")) is not None:
+        up, other = relations(rel, kept)
+        objs.append(up.select(g, F.concat(F.lit(U), "s").alias("s"), F.lit(v.SUBCLASS).alias("p"), F.concat(F.lit(U), "o").alias("o")))
+        objs.append(other.select(g, F.concat(F.lit(U), "s").alias("s"), F.concat(F.lit(U), "kind").alias("p"), F.concat(F.lit(U), "o").alias("o")))
+    own = lambda f, key: f.where(~F.coalesce("suppress", F.lit("N")).isin(*SUPPRESSED)).join(codes.select(F.col("aui").alias(key), "s"), key)
+    if (sat := part("MRSAT")) is not None:
+        datas.append(data(own(sat, "metaui"), F.concat(F.lit(U), "atn"), F.col("atv")))
+    if (defs := part("MRDEF")) is not None:
+        datas.append(data(own(defs, "aui"), F.lit(U + "definition"), F.col("def")))
+    union = lambda frames: reduce(DataFrame.unionByName, frames).distinct()
+    return QuadStore(union(objs), union(datas))
+
+
+def interval_of_text(codes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(s, parent) of codes such as ``A05`` in groups (parent, low, high) such as A00 to A09, by the order of text.
+
+    A group is listed under every first letter it touches, so the join is on equal
+    letters; a code's end is compared in the group's own length, so that A09.3 lies
+    within A00 to A09. The narrowest group wins, and the last in name of equals.
+    """
+    letters = F.transform(F.sequence(F.ascii("low"), F.ascii("high")), lambda x: F.char(x))
+    spread = groups.select("parent", "low", "high", F.explode(letters).alias("letter"))
+    hit = codes.withColumn("letter", F.substring("s", 1, 1)).join(spread, "letter").where("s >= low AND substring(s, 1, length(high)) <= high AND s <> parent")
+    inner = hit.groupBy("s").agg(F.max("low").alias("best"))  # groups nest or stand apart: the innermost begins last, and of those ends first
+    best = hit.join(inner, "s").where("low = best").groupBy("s").agg(F.min(F.struct("high", "parent")).alias("m"))
+    return best.select("s", F.col("m.parent").alias("parent"))

@@ -405,3 +405,12 @@ def test_closing_below_and_of_an_ontology(spark):
     assert [(r.s, r.members) for r in people.collect()] == [(e("x"), [e("y")])]
     assert {(r.cls[-1], tuple(r.members)) for r in extents.collect()} == {("C", (e("x"),)), ("D", (e("x"),))}
     assert {(r.cls[-1], tuple(r.members)) for r in closed.collect()} == {("C", (e("y"),)), ("D", (e("y"),))}
+
+
+def test_defined_classes_after_closing(spark):
+    p, w = Property(e("p")), Writer("g", "d")
+    links = [(e("None"), w.encode(~p.some(Named(e("D"))))), (e("One"), w.encode(Named(e("P")) & p.exactly(1, Named(e("D"))))), (e("Both"), w.encode(Named(e("One")) & p.min(2)))]
+    objs = [("g", c, v.EQUIVALENT_CLASS, n) for c, n in links] + [obj(x, v.TYPE, v.INDIVIDUAL) for x in "abcde"] + [obj("a", "p", "d"), obj("b", "p", "d"), obj("b", "p", "e"), obj("d", v.TYPE, "D"), obj("a", v.TYPE, "P"), obj("b", v.TYPE, "P")]
+    out = reason.realise_defined(QuadStore.of_rows(spark, objs + w.objs, w.datas))
+    got = {(r.s[-1], r.o.removeprefix(E)) for r in out.graph(reason.INFERRED).objs.collect()}
+    assert got == {("c", "None"), ("d", "None"), ("e", "None"), ("a", "One"), ("b", "One"), ("b", "Both")}

@@ -134,3 +134,84 @@ def test_change_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [1, 2]
+
+
+def test_library_reads_imports_and_newer_files(spark, tmp_path):
+    import os
+
+    from quadspark.functions import vocab as v
+    from quadspark.sources.library import Library, base_iri
+
+    def put(name, *rows):
+        (tmp_path / name).write_text("".join(f"<{s}> <{p}> <{o}> .\n" for s, p, o in rows))
+
+    o = lambda x: f"http://x/{x}"
+    put("a.nt", (o("a"), v.IMPORTS, o("b")), (o("a") + "#k", v.TYPE, v.CLASS))
+    put("b.ntriples", (o("b"), v.IMPORTS, o("a")), (o("b") + "#m", v.TYPE, v.CLASS))
+    library = Library(spark, str(tmp_path / "kept"), [str(tmp_path)])
+    both = library.load(o("a"))
+    assert {r[0] for r in both.scan("objs", p=v.TYPE).select("c").collect()} == {o("a"), o("b")}
+    assert library.load(o("a"), imports=False).objs.count() == 2 and base_iri(both, o("a")) == o("a") + "#"
+    put("b.ntriples", (o("b") + "#new", v.TYPE, v.CLASS))
+    os.utime(tmp_path / "b.ntriples", (2_000_000_000, 2_000_000_000))
+    assert library.load(o("a")).has(s=o("b") + "#m") and library.load(o("a"), reload_if_newer=True).has(s=o("b") + "#new")
+    assert not library.load(o("b")).has(s=o("b") + "#m")
+    with pytest.raises(FileNotFoundError):
+        library.load(o("none"))
+
+
+def test_rrf_folder(spark, tmp_path):
+    from quadspark.functions import vocab as v
+    from quadspark.sources import rrf
+
+    def put(kind, *rows):
+        n = len(rrf.COLUMNS[kind].split())
+        (tmp_path / f"{kind}.RRF").write_text("".join("|".join([*(row.get(c, "") for c in rrf.COLUMNS[kind].split())]) + "|\n" for row in rows))
+        return n
+
+    put("MRRANK", {"rank": "9", "terminology": "T", "tty": "PT"}, {"rank": "3", "terminology": "T", "tty": "SY"})
+    conso = lambda aui, cui, tty, code, term, suppress="N", t="T": {"aui": aui, "cui": cui, "terminology": t, "tty": tty, "code": code, "term": term, "lang": "ENG", "suppress": suppress}
+    put("MRCONSO", conso("A1", "C1", "SY", "1", "kidney trouble"), conso("A2", "C1", "PT", "1", "renal failure"), conso("A3", "C2", "PT", "2", "acute one"), conso("A4", "C3", "PT", "3", "gone", "O"), conso("A5", "C1", "PT", "9", "nier", t="U"))
+    put("MRREL", {"cui1": "C2", "aui1": "A3", "rel": "PAR", "cui2": "C1", "aui2": "A2", "suppress": "N"}, {"rel": "RO", "rela": "site_of", "cui2": "C1", "aui2": "A2", "direct": "Y", "suppress": "N"})
+    put("MRSAT", {"metaui": "A2", "atn": "STATUS", "atv": "x", "suppress": "N"})
+    put("MRDEF", {"aui": "A2", "def": "what it is", "suppress": "N"})
+    store = rrf.load(spark, str(tmp_path), filled=True)
+    u = rrf.U
+    assert {(r.s.removeprefix(u), r.lex) for r in store.values(v.LABEL).collect()} == {("T/1", "renal failure"), ("T/2", "acute one"), ("U/9", "nier")}
+    assert [(r.s.removeprefix(u), r.lex) for r in store.values(u + "synonyms").collect()] == [("T/1", "kidney trouble")]
+    assert [(r.s.removeprefix(u), r.o.removeprefix(u)) for r in store.scan("objs", p=v.SUBCLASS).collect()] == [("T/2", "T/1")]
+    assert [(r.s.removeprefix(u), r.o.removeprefix(u)) for r in store.scan("objs", p=u + "site_of").collect()] == [("T/1", "T/2")]
+    assert store.has("datas", s=u + "T/1", p=u + "STATUS", lex="x") and store.has("datas", s=u + "T/1", p=u + "definition")
+    assert {r[0] for r in store.scan("objs", p=u + "mapped_to", o=u + "CUI/C1").select("s").collect()} == {u + "T/1", u + "U/9"}
+
+
+def test_intervals_of_text_codes(spark):
+    from quadspark.sources import rrf
+
+    codes = spark.createDataFrame([(x,) for x in ("A00", "A09.3", "A15", "B99", "C00", "B05-B09")], "s string")
+    groups = spark.createDataFrame([("A00-B99", "A00", "B99"), ("A00-A09", "A00", "A09"), ("B05-B09", "B05", "B09")], "parent string, low string, high string")
+    got = {r.s: r.parent for r in rrf.interval_of_text(codes, groups).collect()}
+    assert got == {"A00": "A00-A09", "A09.3": "A00-A09", "A15": "A00-B99", "B99": "A00-B99", "B05-B09": "A00-B99"}
+
+
+def test_owlxml_keys_and_negative_assertions(spark, tmp_path):
+    from quadspark.functions import vocab as v
+    from quadspark.sources import rdfxml
+
+    text = '''<?xml version="1.0"?><Ontology xmlns="http://www.w3.org/2002/07/owl#" ontologyIRI="http://o">
+    <HasKey><Class IRI="http://o/C"/><ObjectProperty IRI="http://o/p"/></HasKey>
+    <NegativeDataPropertyAssertion><DataProperty IRI="http://o/d"/><NamedIndividual IRI="http://o/i"/><Literal>5</Literal></NegativeDataPropertyAssertion></Ontology>'''
+    (tmp_path / "o.owl").write_text(text)
+    s = rdfxml.read(spark, str(tmp_path / "o.owl"), "g")
+    assert s.has("objs", s="http://o/C", p=v.OWL + "hasKey") and s.has("datas", p=v.OWL + "targetValue", lex="5")
+
+
+def test_rdfxml_files_round_trip(spark, tmp_path):
+    from quadspark.sources import rdfxml
+    from quadspark.sources.store import QuadStore
+
+    store = QuadStore.of_rows(spark, [("g", f"http://x/s{i}", "http://x/p", f"http://x/o{i % 3}") for i in range(30)], [("g", "http://x/s1", "http://x/d", 'a <b> & "c"', None, "http://www.w3.org/2001/XMLSchema#string", None)])
+    rdfxml.write(store, str(tmp_path / "out"), subjects_a_file=10)
+    back = rdfxml.read(spark, str(tmp_path / "out"), "g")
+    assert {tuple(r) for r in back.objs.collect()} == {tuple(r) for r in store.objs.collect()}
+    assert {tuple(r) for r in back.datas.collect()} == {tuple(r) for r in store.datas.collect()}
