@@ -13,26 +13,15 @@ from ..operators.bgp import Pattern
 from ..operators.constructs import Evaluator, Facets, Named, Property
 from ..operators.search import FTS, Iri, NumS, Or, both, either, search
 from ..sources import ntriples, rrf
-from ..sources.lift import P, T, _objs, iri, key, lift
+from ..sources.lift import P, T, _objs, iri, key, lifted
 from ..sources.store import QuadStore
 from ..streaming import changes
+from . import views
 from .oracles import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-_held: dict[tuple[str, str], QuadStore] = {}
-
-
-def lifted(spark: SparkSession, sf_dir: str) -> QuadStore:
-    """The tables as a store: a plan of some forty branches, kept for the session's last folder as its analysis takes seconds."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _held:
-        _held.clear()
-        _held[at] = lift(spark, sf_dir)
-    return _held[at]
-
-
 def query(f: Callable) -> Callable:
     """Registers f(store), f(store, spark, sf_dir) under its name."""
     n = f.__code__.co_argcount
@@ -324,13 +313,6 @@ def reified_annotation(store, spark, sf_dir):
     return values.annotations(QuadStore(objs, datas), P["quantity"]).select(key("s").alias("s"), key("o").alias("o"), F.col("num").alias("qty"))
 
 
-@query
-def indirect_values(store):
-    """Parts that a customer has bought: what his orders contain, through either direction of the order relation."""
-    chain = Property(chain=(Property(P["has_order"]), Property(P["contains"])))
-    return key_pairs(constructs.edges(store, chain))
-
-
 @query
 def property_chain(store):
     chain = Property(chain=(~Property(P["supplied_by"]), Property(P["placed_by"])))
@@ -432,17 +414,6 @@ def swrl_matches(store):
     return _parts(objs)
 
 
-@query
-def swrl_dates(store):
-    body = [rules.Data(P["orderdate"], "?x", "?d")]
-    from ..functions.builtins import BUILTINS
-
-    rows = rules.bindings(store, body).withColumn("s", key("x")).withColumn("d", F.col("d").cast("timestamp_ntz"))
-    day = F.col("d").cast("date")
-    due = BUILTINS["addYearMonthDurationToDate"](day, F.lit(1))
-    return rows.select("s", BUILTINS["subtractDates"](F.to_date(F.lit("2000-01-01")), day).alias("days"), due.alias("due"))
-
-
 # ---- graph patterns ----------------------------------------------------------------
 @query
 def sparql_bgp(store):
@@ -470,18 +441,6 @@ def sparql_minus(store):
 
 
 # ---- changes -----------------------------------------------------------------------
-@query
-def mut_add_dedupe(store, spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.select(F.col("user_id").alias("s"), F.col("event_type").alias("p"), F.col("value").alias("o")).dropDuplicates()
-
-
-@query
-def mut_set_latest(store, spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("s"), F.col("event_type").alias("p"), F.col("value").alias("o"), "event_id")
-    return mutate.latest(events, ["s", "p"], "event_id", "o")
-
-
 @query
 def mut_delete(store, spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
@@ -490,13 +449,6 @@ def mut_delete(store, spark, sf_dir):
     return left.select(key("s").alias("s"), key("o").alias("o"), F.col("c").cast("bigint").alias("c"))
 
 
-@query
-def mut_destroy(store):
-    gone = search(store, type=cls("Customer"), **{P["in_nation"]: Iri(f"{T}nation/3")})
-    left, _ = mutate.destroy(QuadStore(store.scan("objs", p=[P["placed_by"], P["has_order"]]), store.datas.limit(0), store.inverses), gone)
-    return key_pairs(left.pairs(P["placed_by"]))
-
-
 @query
 def mut_refactor(store):
     names = store.scan("datas", p=P["name"]).where(F.col("s").startswith(f"{T}nation/"))
@@ -509,11 +461,6 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("s"), F.col("event_type").alias("p"), F.col("value").alias("o"))
 
 
-@query
-def observe_immediate(store, spark, sf_dir):
-    return changes.immediate(_log(spark, sf_dir))
-
-
 @query
 def observe_collapsed(store, spark, sf_dir):
     return changes.collapsed(_log(spark, sf_dir)).withColumn("scan", F.col("scan").cast("timestamp_ntz"))
@@ -536,19 +483,6 @@ def export_ntriples(store):
     return ntriples.lines(QuadStore(store.scan("objs", p=P["in_region"]), store.datas.where("false")))
 
 
-@query
-def import_ntriples(store):
-    parts = QuadStore(store.objs.where("false"), store.values(P["name"]).where(F.col("s").startswith(f"{T}part/")))
-    back = ntriples.parse_lines(ntriples.lines(parts), "copy", "line")
-    return back.datas.select(key("s").alias("s"), "lex")
-
-
-@query
-def graph_diff(store):
-    docs = store.scan("objs", p=v.TYPE, o=cls("Document")).select(key("s").alias("s"))
-    return diff.diff_rows(docs, keys(store.values(P["quality"])))
-
-
 @query
 def rrf_fill_down(store, spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("s"), "turn", F.when(F.col("role") == "user", F.col("turn")).alias("prev"))
@@ -574,4 +508,8 @@ def parent_votes(store, spark, sf_dir):
     return terminology.parent_votes(events, "s", "p")
 
 
+for _name, _query in views.QUERIES.items():
+    QUERIES[_name] = _query
+ORACLE_SQL = ORACLE_SQL | views.ORACLE_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -122,9 +122,6 @@ SELECT DISTINCT a.doc_id AS src, b.source AS dst FROM documents a JOIN documents
 """,
     "reified_annotation": r"""
 SELECT l_orderkey AS s, l_partkey AS o, l_quantity AS qty FROM lineitem
-""",
-    "indirect_values": r"""
-SELECT DISTINCT o_custkey AS s, l_partkey AS o FROM orders JOIN lineitem ON o_orderkey=l_orderkey
 """,
     "property_chain": r"""
 SELECT DISTINCT l_suppkey AS s, o_custkey AS o FROM lineitem JOIN orders ON l_orderkey=o_orderkey
@@ -164,9 +161,6 @@ SELECT l_orderkey AS s, l_linenumber AS ln, round(l_extendedprice/l_quantity,4)
 """,
     "swrl_matches": r"""
 SELECT p_partkey AS s FROM part WHERE regexp_full_match(p_name,'re.*')
-""",
-    "swrl_dates": r"""
-SELECT o_orderkey AS s, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, (o_orderdate + INTERVAL 1 MONTH)::DATE AS due FROM orders
 """,
     "sparql_bgp": r"""
 SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal>9000
@@ -179,24 +173,12 @@ SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey=r_
 """,
     "sparql_minus": r"""
 SELECT DISTINCT source AS source, doc_id AS doc FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic=1)
-""",
-    "mut_add_dedupe": r"""
-SELECT DISTINCT user_id AS s, event_type AS p, value AS o FROM events
-""",
-    "mut_set_latest": r"""
-SELECT user_id AS s, event_type AS p, arg_max(value, event_id) AS o FROM events GROUP BY 1,2
 """,
     "mut_delete": r"""
 SELECT l_orderkey AS s, l_partkey AS o, l_suppkey AS c FROM lineitem WHERE NOT (l_returnflag='R')
-""",
-    "mut_destroy": r"""
-SELECT o_orderkey AS s, o_custkey AS o FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey=3)
 """,
     "mut_refactor": r"""
 SELECT n_nationkey AS s, replace(n_name,'NATION_','COUNTRY_') AS iri FROM nation
-""",
-    "observe_immediate": r"""
-SELECT event_id AS seq, user_id AS s, event_type AS p FROM events
 """,
     "observe_collapsed": r"""
 SELECT date_trunc('hour', ts) AS scan, user_id AS s, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS preds FROM events GROUP BY 1,2
@@ -209,12 +191,6 @@ SELECT max(regexp_extract(c_name,'([0-9]+)$',1)::BIGINT)+1 AS n FROM customer
 """,
     "export_ntriples": r"""
 SELECT '<http://t/nation/'||n_nationkey||'> <http://t/in_region> <http://t/region/'||n_regionkey||'> .' AS line FROM nation
-""",
-    "import_ntriples": r"""
-SELECT p_partkey AS s, p_name AS lex FROM part
-""",
-    "graph_diff": r"""
-SELECT 'removed' AS side, doc_id AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'added', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 """,
     "rrf_fill_down": r"""
 SELECT conv_id AS s, turn, last_value(CASE WHEN role='user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prev FROM conversations

@@ -120,3 +120,15 @@ def lift(spark: SparkSession, sf_dir: str) -> QuadStore:
     all_objs, all_datas = union([f for _, f in objs]), union([f for _, f in datas])
     group = lambda frames: {p: [f for q, f in frames if q == p] for p, _ in frames}
     return QuadStore(all_objs, all_datas, INVERSES, {"objs": (all_objs, group(objs), ()), "datas": (all_datas, group(datas), ())})
+
+
+_held: dict[tuple[str, str], QuadStore] = {}
+
+
+def lifted(spark: SparkSession, sf_dir: str) -> QuadStore:
+    """The tables as a store: a plan of some forty branches, kept for the session's last folder as its analysis takes seconds."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _held:
+        _held.clear()
+        _held[at] = lift(spark, sf_dir)
+    return _held[at]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.terms import escape, number, unescape
 from .store import QuadStore
 
-LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:\S+)|"([^"]*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+#: Stand-ins for an escaped quote and an escaped back slash, so that a literal ends at the first plain quote however long it is.
+QUOTE, SLASH = "\u0001", "\u0002"
 STRING = "http://www.w3.org/2001/XMLSchema#string"
 
 
@@ -21,9 +23,11 @@ def parse_lines(lines: DataFrame, graph: str, column: str = "value", scope: Colu
     """A store of the lines; blank lines and comments are skipped, a malformed line fails the read when it is reached."""
     scope = F.lit("") if scope is None else scope
     kept = lines.where(~F.col(column).rlike(r"^\s*(#.*)?$")).withColumn("_scope", scope)
-    part = lambda i: F.regexp_extract(column, LINE, i)
-    checked = F.when(F.col(column).rlike(LINE), part(1)).otherwise(F.raise_error(F.concat(F.lit("malformed triple: "), F.col(column))))
-    rows = kept.select("_scope", checked.alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("lex"), part(5).alias("lang"), part(6).alias("d"))
+    plain = F.replace(F.replace(F.col(column), F.lit("\\\\"), F.lit(SLASH)), F.lit('\\"'), F.lit(QUOTE))
+    kept = kept.withColumn("_plain", plain)
+    part = lambda i: F.regexp_extract("_plain", LINE, i)
+    checked = F.when(F.col("_plain").rlike(LINE), part(1)).otherwise(F.raise_error(F.concat(F.lit("malformed triple: "), F.col(column))))
+    rows = kept.select("_scope", checked.alias("s"), part(2).alias("p"), part(3).alias("o"), F.replace(F.replace(part(4), F.lit(QUOTE), F.lit('\\"')), F.lit(SLASH), F.lit("\\\\")).alias("lex"), part(5).alias("lang"), part(6).alias("d"))
     base = rows.select(F.lit(graph).alias("c"), _name(F.col("s"), F.col("_scope")).alias("s"), "p", "o", "lex", "lang", "d", "_scope")
     objs = base.where("o <> ''").select("c", "s", "p", _name(F.col("o"), F.col("_scope")).alias("o"))
     d = F.when(F.col("lang") != "", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#PlainLiteral")).when(F.col("d") == "", F.lit(STRING)).otherwise(F.col("d"))
@@ -32,8 +36,9 @@ def parse_lines(lines: DataFrame, graph: str, column: str = "value", scope: Colu
 
 
 def read(spark, path: str, graph: str) -> QuadStore:
-    lines = spark.read.text(path)
-    return parse_lines(lines, graph, scope=F.concat(F.hex(F.xxhash64(F.input_file_name())), F.lit("-")))
+    """Files of triples. Blank nodes are a file's own; the part files of one folder are one file."""
+    whole = F.regexp_replace(F.input_file_name(), "/part-[^/]*$", "")
+    return parse_lines(spark.read.text(path), graph, scope=F.concat(F.hex(F.xxhash64(whole)), F.lit("-")))
 
 
 def _show(x: Column) -> Column:
