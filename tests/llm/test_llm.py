@@ -317,6 +317,32 @@ def test_jaccard_join_of_one_large_group_in_small_units(spark, monkeypatch):
     assert sum(r[0] for r in rows) > 4_000 and max(r[0] for r in rows) < 2_000
 
 
+def test_jaccard_join_against_all_pairs_of_a_table(spark):
+    """Every pair at 0.8 or more of the documents is linked, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect() if split_words(r.text)}
+    by_shingle = collections.defaultdict(set)
+    for i, own in sets.items():
+        for g in own:
+            by_shingle[g].add(i)
+    met = {(i, j) for own in by_shingle.values() if len(own) > 1 for i, j in itertools.combinations(sorted(own), 2)}
+    linked = {(i, j) for i, j in met if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    n = collections.Counter(x for p in linked for x in p)
+    assert len(linked) > 50 and {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == {i: n[i] for i in sets}
+
+
+def test_jaccard_join_of_a_large_cluster_in_bounded_groups(spark, monkeypatch):
+    """A thousand different near copies in one bucket: all pairs are linked, and no task's group is large."""
+    rng, base = random.Random(19), words(random.Random(18), 120, 4000).split()
+    near = [" ".join([*base[: (at := rng.randrange(120))], f"edit{k}", *base[at + 1 :]]) for k in range(1_000)]
+    seen, keep = [], jaccard_join.checkpointed
+    monkeypatch.setattr(jaccard_join, "checkpointed", lambda df: seen.append(keep(df)) or seen[-1])
+    got = jaccard_join.jaccard_join(frame(spark, near)).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 999)}
+    (sizes,) = ([r[0] for r in df.groupBy("unit").count().select("count").collect()] for df in seen if "unit" in df.columns)
+    assert max(sizes) < 3 * jaccard_join.ROWS_A_UNIT
+
+
 def test_pruning_keeps_likely_pairs():
     fewest = jaccard_join.least_matches(0.8, 1e-6, [16, 32, 48, 64, 80])
     assert fewest == sorted(fewest) and 0 < fewest[0] < 0.8 * 16 and fewest[-1] < 0.8 * 80

@@ -36,11 +36,23 @@ def test_stages(spark, tmp_path):
 
 
 def test_pipeline_edges(spark):
-    shape = "doc_id long, text string, lang string, source string, n_chars long, bucket int, class string"
-    rows = [(1, None, "en", "s", 0, 1, "x"), (2, "", "en", "s", 0, 1, "x"), (3, "a b c d e f g", "en", "s", 13, 1, "x"), (3, "a b c d e f g", "en", "s", 13, 1, "x"), (4, "a b c d e f g", None, None, None, None, None), (None, "lone words here", "en", "s", 15, 1, "x")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, bucket int, class string, label int, _least int"
+    more = lambda *r: (*r, 1, "x", 2, 3)
+    (item,) = (r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect())
+    rows = [more(1, None, "en", "s", 0), more(2, "", "en", "s", 0), more(3, "a b c d e f g", "fr", "z", 13), more(3, "a b c d e f g", "en", "s", 13), more(4, "a b c d e f g", None, None, None), more(None, "lone words here", "en", "s", 15)]
+    rows += [more(5, f"before {item} after", "en", "s", 1), more(6, "password=hunter2hunter2 end", "en", "s", 1), more(6, "password=hunter2hunter2 end", "en", "s", 1)]
     docs = spark.createDataFrame(rows, shape)
-    near = corpus_pipeline.without_near_duplicates(spark, docs, SF)
-    assert sorted((r.doc_id or 0, r.text) for r in near.select("doc_id", "text").collect() if r.text) == [(0, "lone words here"), (3, "a b c d e f g")] and near.count() == 4
+    text = lambda f: sorted((r.doc_id or 0, r.text or "") for r in f.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs, SF)
+    assert near.columns == docs.columns and [x[0] for x in text(near)] == [0, 1, 2, 3, 5, 6]
+    assert [r.lang for r in near.where("doc_id = 3").collect()] == ["en"]  # the least of the repeated rows
+    assert text(stages["decontamination"](spark, docs, SF)) == [x for x in text(docs) if x[0] != 5]
+    safe = stages["secrets"](spark, docs, SF)
+    assert safe.columns == docs.columns and [r.text for r in safe.where("doc_id = 6").collect()] == ["<ASSIGN> end"] * 2 and safe.count() == docs.count()
+    kept = stages["toxicity"](spark, docs, SF)
+    assert kept.columns == docs.columns and text(kept) == text(docs)
+    assert stages["packing"](spark, docs, SF).where("doc_id = 6").count() == 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 0
