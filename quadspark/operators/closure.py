@@ -209,6 +209,19 @@ class Hierarchy:
         return spark.createDataFrame(rows, "s string, o string")
 
 
+_known: dict[tuple[int, str], tuple[DataFrame, Hierarchy]] = {}
+
+
+def hierarchy(store, p: str) -> Hierarchy:
+    """The hierarchy of a store's ``p``, read once for as long as the store's rows are the same frame."""
+    at = (id(store.objs), p)
+    if at not in _known or _known[at][0] is not store.objs:
+        while len(_known) >= 8:
+            _known.pop(next(iter(_known)))
+        _known[at] = store.objs, Hierarchy(store.scan("objs", p=p))
+    return _known[at][1]
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(s): parents that have no parent themselves."""
     return edges.select(F.col("o").alias("s")).distinct().join(edges.select("s").distinct(), "s", "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 from ..functions.terms import Loc, literal_lex
 from ..sources.store import QuadStore
-from .closure import Hierarchy, list_items
+from .closure import hierarchy, list_items
 
 
 class Expression:
@@ -167,7 +167,7 @@ class Evaluator:
         self.store = store
         self.spark = store.objs.sparkSession
         self.domain = domain if domain is not None else store.scan("objs", p=v.TYPE).select("s").distinct()
-        self.hierarchy = Hierarchy(store.scan("objs", p=v.SUBCLASS))
+        self.hierarchy = hierarchy(store, v.SUBCLASS)
 
     def satisfied_by(self, x: Expression) -> DataFrame:
         if isinstance(x, Named):

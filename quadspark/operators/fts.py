@@ -2,8 +2,8 @@
 
 Without a stored index, a query is one condition on the token array of each
 literal, so a search is one scan without a shuffle. A stored index is a table
-(s, row_id, lang, token, n, pos) in folders by the tokens' beginnings, which a
-query reads for its own words only; ``refresh`` adds and takes away literals.
+(s, row_id, lang, token, pos) in files sorted by token, of which a query reads
+those of its own words; ``refresh`` adds and takes away literals.
 
 Bare words must all occur in one literal; ``word*`` is a prefix; ``"a b"`` a
 phrase; ``-word`` must not occur; ``NEAR(a b, 5)`` has its words with at most so
@@ -80,17 +80,15 @@ def find(values: DataFrame, query: str, lang: str | None = None) -> DataFrame:
 
 
 def index(values: DataFrame) -> DataFrame:
-    """(s, row_id, lang, token, n, pos): a row for each distinct token of a literal, with its places and the literal's length."""
-    rows = values.select("s", "lang", row_id().alias("row_id"), tokens(F.col("lex")).alias("t")).withColumn("n", F.size("t"))
-    each = rows.select("s", "row_id", "lang", "n", "t", F.explode(F.array_distinct("t")).alias("token"))
-    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("t"), i) == F.col("token"))
-    return each.select("s", "row_id", "lang", "token", "n", places.alias("pos"))
+    """(s, row_id, lang, token, pos): a row for each token of each literal."""
+    rows = values.select("s", "lang", row_id().alias("row_id"), tokens(F.col("lex")).alias("t"))
+    return rows.select("s", "row_id", "lang", F.posexplode("t").alias("pos", "token"))
 
 
 class Stored:
-    """An index kept in files: folder ``k`` holds the tokens that begin alike, sorted, so that a word reads little of it."""
+    """An index kept in files sorted by token, so that a word reads little of it."""
 
-    SHAPE = "s string, row_id bigint, lang string, token string, n int, pos array<int>"
+    SHAPE = "s string, row_id bigint, lang string, token string, pos int"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -105,8 +103,8 @@ class Stored:
 
     @staticmethod
     def _write(rows: DataFrame, path: str, mode: str) -> None:
-        keyed = rows.withColumn("k", F.substring("token", 1, 2))
-        keyed.repartition("k", F.pmod(F.xxhash64("row_id"), F.lit(8))).sortWithinPartitions("k", "token").write.mode(mode).partitionBy("k").parquet(path)
+        """Files are ranges of tokens, a frequent one over several, so that the files' bounds leave few to read for a word."""
+        rows.repartitionByRange("token", "row_id").sortWithinPartitions("token", "row_id").write.mode(mode).parquet(path)
 
     def _gone(self, rows: DataFrame, mode: str) -> None:
         rows.write.mode(mode).parquet(f"{self.path}/gone")
@@ -124,32 +122,44 @@ class Stored:
 
     def rows(self, *words: str, every: bool = False) -> DataFrame:
         """Index rows of the words (``word*`` for a prefix), or all; without removed literals unless ``every``."""
-        out = self.spark.read.schema(self.SHAPE + ", k string").parquet(f"{self.path}/tokens")
+        out = self.spark.read.schema(self.SHAPE).parquet(f"{self.path}/tokens")
         if words:
-            one = lambda w: F.startswith("token", F.lit(w[:-1])) & F.startswith("k", F.lit(w[:-1][:2])) if w.endswith("*") else (F.col("token") == w) & (F.col("k") == w[:2])
-            out = out.where(reduce(lambda a, b: a | b, map(one, words)))
+            out = out.where(reduce(lambda a, b: a | b, [self._is(w) for w in words]))
         if not every:
             out = out.join(self.spark.read.schema("row_id bigint").parquet(f"{self.path}/gone"), "row_id", "left_anti")
-        return out.select("s", "row_id", "lang", "token", "n", "pos")
+        return out.select("s", "row_id", "lang", "token", "pos")
+
+    @staticmethod
+    def _is(word: str) -> Column:
+        return F.startswith("token", F.lit(word[:-1])) if word.endswith("*") else F.col("token") == word
 
     def match(self, query: str, lang: str | None = None) -> DataFrame:
         """(row_id, s) of the literals that match; only the query's words are read, and met by literal in one grouping."""
         sides = _sides(query)
-        names = lambda t: [w.rstrip("*") for w in _words(t.partition(",")[0][5:])] if t.startswith("NEAR(") else _words(t) if t.startswith('"') else [t.lower()]
-        words = list(dict.fromkeys(w for want, avoid in sides for t in (*want, *avoid) for w in names(t)))
+
+        def words_of(term: str) -> list[str]:
+            return _words(term[5:-1].partition(",")[0]) if term.startswith("NEAR(") else _words(term) if term.startswith('"') else [term.lower()]
+
+        words = list(dict.fromkeys(w for want, avoid in sides for t in (*want, *avoid) for w in words_of(t)))
         rows = self.rows(*words)
         rows = rows if lang is None else rows.where(F.col("lang") == lang)
-        # The words of a literal with their places are its token array again, where it matters to the query.
-        met = rows.groupBy("row_id", "s").agg(F.collect_list(F.struct("token", "pos")).alias("w"))
-        placed = F.array_sort(F.flatten(F.transform("w", lambda w: F.transform(w["pos"], lambda p: F.struct(p.alias("p"), w["token"].alias("t"))))))
-        own = F.aggregate(
-            placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t")),
-            lambda acc, x: F.struct((x["p"] + 1).alias("at"), F.concat(acc["t"], F.array_repeat(F.lit(""), x["p"] - acc["at"]), F.array(x["t"])).alias("t")),
-            lambda acc: acc["t"],
-        )
+        places = {w: F.col(f"w{i}") for i, w in enumerate(words)}
+        met = rows.groupBy("row_id", "s").agg(*(F.collect_list(F.when(self._is(w), F.col("pos"))).alias(f"w{i}") for i, w in enumerate(words)))
+
+        def holds(term: str) -> Column:
+            own = [places[w] for w in words_of(term)]
+            if term.startswith("NEAR("):
+                span = int(term[5:-1].partition(",")[2] or 10) + 1
+                near = lambda x: reduce(lambda a, b: a & b, [F.exists(p, lambda y: (y >= x) & (y <= x + span)) for p in own])
+                return F.exists(reduce(F.array_union, own), near)
+            # Of a phrase, the places of each word less its place in the phrase have one in common.
+            back = lambda p, i: F.transform(p, lambda x: x - F.lit(i))
+            starts = [back(p, i) for i, p in enumerate(own)]
+            return F.size(reduce(F.array_intersect, starts)) > 0
+
         both = lambda xs: reduce(lambda a, b: a & b, xs)
-        test = reduce(lambda a, b: a | b, [both([_holds(F.col("t"), t) for t in want] + [~_holds(F.col("t"), t) for t in avoid]) for want, avoid in sides])
-        return met.select("row_id", "s", own.alias("t")).where(test).select("row_id", "s")
+        test = reduce(lambda a, b: a | b, [both([holds(t) for t in want] + [~holds(t) for t in avoid]) for want, avoid in sides])
+        return met.where(test).select("row_id", "s")
 
 
 def bm25(values: DataFrame, query: str, distinct_rows: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ a round joins all facts at once, and rounds go on until nothing is new.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,30 +34,57 @@ def domain_range_types(store: QuadStore) -> DataFrame:
     return subjects.join(axioms(v.DOMAIN), "p").select("s", "cls").unionByName(facts.join(axioms(v.RANGE), "p").select(F.col("o").alias("s"), "cls")).distinct()
 
 
-def _round(store: QuadStore) -> DataFrame:
-    """(s, p, o) that one application of the rules gives."""
+_AXIOMS = (v.SUBCLASS, v.EQUIVALENT_CLASS, v.SUBPROPERTY, v.EQUIVALENT_PROPERTY, v.DOMAIN, v.RANGE, v.INVERSE_OF, v.ON_PROPERTY)
+_KINDS = (v.SYMMETRIC, v.TRANSITIVE, v.FUNCTIONAL, v.INVERSE_FUNCTIONAL)
+
+
+def _present(store: QuadStore) -> set[str]:
+    """Which kinds of axioms there are: rules without axioms take no part in the plan."""
+    links = store.scan("objs", p=list(_AXIOMS)).select("p").distinct()
+    return {r[0] for r in links.unionByName(store.scan("objs", p=v.TYPE, o=list(_KINDS)).select(F.col("o").alias("p")).distinct()).collect()}
+
+
+def _round(store: QuadStore) -> DataFrame | None:
+    """(s, p, o) that one application of the rules gives; None where no rule has an axiom."""
+    has = _present(store)
     facts = store.objs.select("s", "p", "o")
-    types = facts.where(F.col("p") == v.TYPE)
+    types = store.scan("objs", p=v.TYPE).select("s", "p", "o")
     axiom = lambda p: store.scan("objs", p=p).select("s", "o")
     kinds = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
-    out = []
-    below = _ancestors(store).withColumnRenamed("s", "low").withColumnRenamed("o", "high")
-    out.append(types.join(below, F.col("o") == F.col("low")).select("s", "p", F.col("high").alias("o")))
-    out.append(below.select(F.col("low").alias("s"), F.lit(v.SUBCLASS).alias("p"), F.col("high").alias("o")))
-    sub = axiom(v.SUBPROPERTY).unionByName(axiom(v.EQUIVALENT_PROPERTY)).unionByName(_swap(axiom(v.EQUIVALENT_PROPERTY)))
-    out.append(facts.join(sub.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").select("s", F.col("q").alias("p"), "o"))
-    out.append(domain_range_types(store).select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o")))
-    inverse = axiom(v.INVERSE_OF).where("NOT startswith(s, '_:') AND NOT startswith(o, '_:')")
-    both = inverse.unionByName(_swap(inverse)).select(F.col("s").alias("p"), F.col("o").alias("q"))
-    out.append(facts.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
-    out.append(facts.join(kinds(v.SYMMETRIC), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
-    moving = facts.join(kinds(v.TRANSITIVE), "p", "left_semi")
-    out.append(moving.alias("a").join(moving.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.o") == F.col("b.s"))).select("a.s", "a.p", "b.o"))
     same = lambda a: a.where("x <> y").select(F.col("x").alias("s"), F.lit(v.SAME_AS).alias("p"), F.col("y").alias("o"))
-    one = facts.join(kinds(v.FUNCTIONAL), "p", "left_semi")
-    out.append(same(one.alias("a").join(one.groupBy("s", "p").agg(F.min("o").alias("y")).alias("b"), ["s", "p"]).select(F.col("o").alias("x"), "y")))
-    one = facts.join(kinds(v.INVERSE_FUNCTIONAL), "p", "left_semi")
-    out.append(same(one.join(one.groupBy("o", "p").agg(F.min("s").alias("y")), ["o", "p"]).select(F.col("s").alias("x"), "y")))
+    out: list[DataFrame] = []
+    if has & {v.SUBCLASS, v.EQUIVALENT_CLASS}:
+        below = _ancestors(store).withColumnRenamed("s", "low").withColumnRenamed("o", "high")
+        out.append(types.join(below, F.col("o") == F.col("low")).select("s", "p", F.col("high").alias("o")))
+        out.append(below.select(F.col("low").alias("s"), F.lit(v.SUBCLASS).alias("p"), F.col("high").alias("o")))
+    if has & {v.SUBPROPERTY, v.EQUIVALENT_PROPERTY}:
+        sub = axiom(v.SUBPROPERTY).unionByName(axiom(v.EQUIVALENT_PROPERTY)).unionByName(_swap(axiom(v.EQUIVALENT_PROPERTY)))
+        out.append(facts.join(sub.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").select("s", F.col("q").alias("p"), "o"))
+    if has & {v.DOMAIN, v.RANGE}:
+        out.append(domain_range_types(store).select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o")))
+    if v.INVERSE_OF in has:
+        inverse = axiom(v.INVERSE_OF).where("NOT startswith(s, '_:') AND NOT startswith(o, '_:')")
+        both = inverse.unionByName(_swap(inverse)).select(F.col("s").alias("p"), F.col("o").alias("q"))
+        out.append(facts.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
+    if v.SYMMETRIC in has:
+        out.append(facts.join(kinds(v.SYMMETRIC), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
+    if v.TRANSITIVE in has:
+        moving = facts.join(kinds(v.TRANSITIVE), "p", "left_semi")
+        out.append(moving.alias("a").join(moving.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.o") == F.col("b.s"))).select("a.s", "a.p", "b.o"))
+    if v.FUNCTIONAL in has:
+        one = facts.join(kinds(v.FUNCTIONAL), "p", "left_semi")
+        out.append(same(one.alias("a").join(one.groupBy("s", "p").agg(F.min("o").alias("y")).alias("b"), ["s", "p"]).select(F.col("o").alias("x"), "y")))
+    if v.INVERSE_FUNCTIONAL in has:
+        one = facts.join(kinds(v.INVERSE_FUNCTIONAL), "p", "left_semi")
+        out.append(same(one.join(one.groupBy("o", "p").agg(F.min("s").alias("y")), ["o", "p"]).select(F.col("s").alias("x"), "y")))
+    if v.ON_PROPERTY in has:
+        out += _restriction_rules(store, facts, types, same)
+    return reduce(lambda a, b: a.unionByName(b), out).distinct() if out else None
+
+
+def _restriction_rules(store: QuadStore, facts: DataFrame, types: DataFrame, same: Callable) -> list[DataFrame]:
+    """What restrictions give: types of those that meet them, values and types of values for members."""
+    out = []
     view = checkpointed(restrictions(store).where("NOT inverse"))
     some = view.where("kind = 'some' AND filler IS NOT NULL AND source = 'equivalent_to'")
     has = facts.join(some, facts["p"] == some["property"])
@@ -74,7 +102,7 @@ def _round(store: QuadStore) -> DataFrame:
     only = view.where("kind = 'only' AND filler IS NOT NULL")
     inside = types.join(only, types["o"] == only["cls"]).select(F.col("s").alias("x"), F.col("property").alias("q"), "filler")
     out.append(facts.join(inside, (facts["s"] == F.col("x")) & (facts["p"] == F.col("q"))).select(F.col("o").alias("s"), F.lit(v.TYPE).alias("p"), F.col("filler").alias("o")).where("NOT startswith(o, '_:')"))
-    return reduce(lambda a, b: a.unionByName(b), out).distinct()
+    return out
 
 
 def _lists_rules(store: QuadStore) -> DataFrame | None:
@@ -113,9 +141,10 @@ def infer(store: QuadStore, graph: str = INFERRED, most_rounds: int = 50) -> Qua
     not one for every pair of names. ``for_members`` spells out the others'.
     """
     for _ in range(most_rounds):
-        new = _round(store)
-        more = _lists_rules(store)
-        new = new if more is None else new.unionByName(more)
+        each = [x for x in (_round(store), _lists_rules(store)) if x is not None]
+        if not each and not store.has("objs", p=v.SAME_AS):
+            return store
+        new = reduce(lambda a, b: a.unionByName(b), each) if each else store.objs.limit(0).select("s", "p", "o")
         if store.has("objs", p=v.SAME_AS):
             same = checkpointed(same_classes(store))
             star = same.where("node <> component").select(F.col("node").alias("s"), F.lit(v.SAME_AS).alias("p"), F.col("component").alias("o"))

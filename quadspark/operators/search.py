@@ -20,7 +20,7 @@ from ..functions import vocab as v
 from ..functions.terms import Loc, literal_lex, matches_glob
 from ..sources.store import QuadStore
 from . import fts
-from .closure import Hierarchy
+from .closure import hierarchy
 
 _TESTS = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "=": "__eq__", "!=": "__ne__"}
 _HIERARCHY = {"type": (v.SUBCLASS,), "subclass_of": (v.SUBCLASS,), "is_a": (v.SUBCLASS, v.TYPE), "subproperty_of": (v.SUBPROPERTY,)}
@@ -61,7 +61,7 @@ def _hierarchy_criterion(store: QuadStore, key: str, value: object, cache: dict)
     names = [x.iri if isinstance(x, Iri) else x for x in (value if isinstance(value, Or) else [value])]
     edge = v.SUBPROPERTY if key == "subproperty_of" else v.SUBCLASS
     if edge not in cache:
-        cache[edge] = Hierarchy(store.scan("objs", p=edge))
+        cache[edge] = hierarchy(store, edge)
     few = cache[edge].names_below(names)
     below = cache[edge].below(spark, names)
     if few is not None:  # a filter on constants prunes the branches and files that cannot hold them
