@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
-from .closure import checkpointed
+from .closure import checkpointed, closure_pairs
 from .constructs import Evaluator, Reader, lists, restrictions
 from .schema import disjoints
 from .values import _ancestors, most_specific, same_classes
@@ -237,3 +237,13 @@ def realise_defined(store: QuadStore, graph: str = INFERRED, most_rounds: int =
             return store
         store = store.plus("objs", fresh.select(F.lit(graph).alias("c"), "s", F.lit(v.TYPE).alias("p"), "o"))
     raise RuntimeError("the definitions did not come to an end")
+
+
+def infer_literals(store: QuadStore, graph: str = INFERRED) -> QuadStore:
+    """The store with literals also under the properties above their own, in graph ``graph``."""
+    above = closure_pairs(store.scan("objs", p=v.SUBPROPERTY).select("s", "o")).select(F.col("s").alias("p"), F.col("o").alias("q"))
+    known = store.datas.columns
+    new = store.datas.join(above, "p").withColumn("p", F.col("q")).withColumn("c", F.lit(graph)).select(*known).distinct()
+    stated = store.datas.join(above.select(F.col("q").alias("p")).distinct(), "p", "left_semi").select("s", "p", "lex", "d", "lang")
+    keys = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("s", "p", "lex", "d", "lang")]
+    return store.plus("datas", new.alias("n").join(stated.alias("k"), reduce(lambda a, b: a & b, keys), "left_anti").select(*known))

@@ -653,6 +653,28 @@ def infer_facts(store, spark):
     )
 
 
+@answers("""
+SELECT 'customers' AS c, 'customer/'||c_custkey AS s, 'Person' AS o FROM customer UNION ALL SELECT 'customers', 'customer/'||c_custkey, 'Customer' FROM customer
+""")
+def infer_scope(store, spark):
+    """Inference within one of two graphs: what the other states is not seen."""
+    people = store.scan("objs", p=v.TYPE, o=[C + "Customer", C + "Supplier"]).withColumn("c", F.when(F.col("o") == C + "Customer", "customers").otherwise("suppliers"))
+    links = spark.createDataFrame([("customers", C + "Customer", v.SUBCLASS, C + "Person"), ("suppliers", C + "Supplier", v.SUBCLASS, C + "Firm")], QUAD_OBJ)
+    s = QuadStore(people.select("c", "s", "p", "o").unionByName(links), nothing(spark))
+    out = reason.infer(s.graph("customers"), graph="customers").scan("objs", p=v.TYPE)
+    return out.select("c", short("s").alias("s"), short("o").alias("o"))
+
+
+@answers("""
+SELECT 'has_date' AS p, 'order/'||o_orderkey AS s, o_orderdate AS d FROM orders UNION ALL SELECT 'orderdate', 'order/'||o_orderkey, o_orderdate FROM orders
+""")
+def infer_literals(store, spark):
+    """Dates of orders under the property above their own."""
+    s = QuadStore(store.scan("objs", p=v.SUBPROPERTY), store.values(P["orderdate"]))
+    out = reason.infer_literals(s).datas
+    return out.select(short("p").alias("p"), short("s").alias("s"), F.col("lex").cast("timestamp_ntz").alias("d"))
+
+
 @answers("""
 SELECT 'most specific' AS op, 'part/'||p_partkey AS a, p_type||'/'||p_brand AS b FROM part UNION ALL SELECT 'most specific', 'part/'||p_partkey, 'Small' FROM part WHERE p_size<5
 UNION ALL SELECT 'fusion', 'part/'||p_partkey, replace(p_brand,'Brand#','')||'_Small' FROM part WHERE p_size<5

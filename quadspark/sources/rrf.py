@@ -35,14 +35,15 @@ def read(spark: SparkSession, path: str, kind: str, filled: bool = False) -> Dat
     ``filled`` gives empty columns of FILLED the value of the row before, file by file.
     """
     rows = _read(spark, path, kind)
-    return fill_down(rows, FILLED[kind].split(), ["file"], ["line"]) if filled else rows
+    return fill_down_files(rows, FILLED[kind].split()) if filled else rows
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     names = COLUMNS[kind].split()
     parts = F.split("value", r"\|")
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("value <> ''")
-    return rows.select(*(F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)), "line", F.input_file_name().alias("file"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = text.withColumn("line", F.monotonically_increasing_id()).where("value <> ''")
+    return rows.select(*(F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)), "line", "file", "block")
 
 
 def fill_down(rows: DataFrame, columns: list[str], group: list[str], order: list[str]) -> DataFrame:
@@ -51,6 +52,21 @@ def fill_down(rows: DataFrame, columns: list[str], group: list[str], order: list
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def fill_down_files(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls take the last value before them in the file; (file, block, line) say where a row stands.
+
+    A block of a file is filled by itself; what the blocks before it end with is
+    carried over through a row for each block, so a large file is many tasks.
+    """
+    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumns({f"_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns})
+    ends = rows.groupBy("file", "block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c) for c in columns))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", *(F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in columns))
+    out = filled.join(carried, ["file", "block"])
+    return out.select(*(F.coalesce(f"_{c}", f"__{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
 def preferred(rows: DataFrame, concept: str, label: str, *priority: Column) -> DataFrame:
     """(concept, label, preferred): the label of highest priority, by a grouped minimum rather than a window."""
     best = rows.groupBy(concept).agg(F.min(F.struct(*(p.alias(f"k{i}") for i, p in enumerate(priority)), F.col(label).alias("label"))).alias("m"))

@@ -215,3 +215,16 @@ def test_rdfxml_files_round_trip(spark, tmp_path):
     back = rdfxml.read(spark, str(tmp_path / "out"), "g")
     assert {tuple(r) for r in back.objs.collect()} == {tuple(r) for r in store.objs.collect()}
     assert {tuple(r) for r in back.datas.collect()} == {tuple(r) for r in store.datas.collect()}
+
+
+def test_fill_down_over_the_blocks_of_a_file(spark, tmp_path):
+    rows = [(f"C{i // 7}" if i % 7 == 0 else "", "A1" if i == 0 else "", str(i)) for i in range(200)]
+    n = len(rrf.COLUMNS["MRREL"].split())
+    (tmp_path / "MRREL.RRF").write_text("".join("|".join([a, b, c, *[""] * (n - 3), ""]) + "\n" for a, b, c in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = rrf.read(spark, str(tmp_path / "MRREL.RRF"), "MRREL", filled=True)
+        assert read.select("block").distinct().count() > 3
+        assert sorted((int(r.stype1), r.cui1, r.aui1) for r in read.collect()) == [(i, f"C{i // 7}", "A1") for i in range(200)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
