@@ -227,8 +227,8 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("o").alias("s")).distinct().join(edges.select("s").distinct(), "s", "left_anti")
 
 
-def list_items(first: DataFrame, rest: DataFrame, heads: DataFrame) -> DataFrame:
-    """(lst, pos, item) of RDF lists: ``first`` (s, o), ``rest`` (s, o), ``heads`` (lst, node).
+def list_items(first: DataFrame, rest: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(lst, pos, item) of RDF lists: ``first`` (s, o), ``rest`` (s, o), ``heads`` (lst, node), by default all cells that no other goes on with.
 
     Cells learn their list's last cell and the distance to it by pointer
     doubling, so a list of n cells takes log2(n) rounds rather than n, and only
@@ -238,11 +238,12 @@ def list_items(first: DataFrame, rest: DataFrame, heads: DataFrame) -> DataFrame
     and are left out. Different lists share no cell.
     """
     at_end = F.col("o") == v.NIL
-    hop = checkpointed(
-        rest.select(
-            F.col("s").alias("node"), F.when(at_end, F.col("s")).otherwise(F.col("o")).alias("last"),
-            F.when(at_end, 0).otherwise(1).cast("long").alias("far"), at_end.alias("done"),
-        )
+    rest = checkpointed(rest.select("s", "o"))
+    if heads is None:
+        heads = rest.select("s").join(rest.where(~at_end).select(F.col("o").alias("s")), "s", "left_anti").select(F.col("s").alias("lst"), F.col("s").alias("node"))
+    hop = rest.select(
+        F.col("s").alias("node"), F.when(at_end, F.col("s")).otherwise(F.col("o")).alias("last"),
+        F.when(at_end, 0).otherwise(1).cast("long").alias("far"), at_end.alias("done"),
     )
     closed, going = hop.where("done"), hop.where("NOT done")
     left, before = going.count(), -1

@@ -346,8 +346,7 @@ class Writer:
 def lists(store: QuadStore) -> DataFrame:
     """(lst, pos, item) of every list that is not itself the rest of another."""
     first, rest = store.scan("objs", p=v.FIRST).select("s", "o"), store.scan("objs", p=v.REST).select("s", "o")
-    heads = rest.select("s").join(rest.select(F.col("o").alias("s")), "s", "left_anti").select(F.col("s").alias("lst"), F.col("s").alias("node"))
-    return list_items(first, rest, heads)
+    return list_items(first, rest)
 
 
 class Reader:
@@ -441,9 +440,8 @@ def _value(lex: str, d: str | None, lang: str | None) -> object:
 def list_cells(store: QuadStore) -> DataFrame:
     """(cell, lst, pos, length, owner): each list cell with its list, its place in it, and what refers to the list."""
     first, rest = store.scan("objs", p=v.FIRST).select("s", "o").unionByName(store.scan("datas", p=v.FIRST).select("s", F.col("lex").alias("o"))), store.scan("objs", p=v.REST).select("s", "o")
-    heads = rest.select("s").join(rest.select(F.col("o").alias("s")), "s", "left_anti").select(F.col("s").alias("lst"), F.col("s").alias("node"))
-    cells = list_items(first.select("s", F.col("s").alias("o")), rest, heads).withColumnRenamed("item", "cell")
+    cells = list_items(first.select("s", F.col("s").alias("o")), rest).withColumnRenamed("item", "cell")
     size = cells.groupBy("lst").agg(F.max("pos").alias("length"))
     owner = store.objs.where(~F.col("p").isin(v.FIRST, v.REST)).select(F.col("o").alias("lst"), F.col("s").alias("owner"))
-    owner = owner.join(heads.select("lst"), "lst", "left_semi").groupBy("lst").agg(F.min("owner").alias("owner"))
+    owner = owner.join(size.select("lst"), "lst", "left_semi").groupBy("lst").agg(F.min("owner").alias("owner"))
     return cells.join(size, "lst").join(owner, "lst", "left").select("cell", "lst", "pos", "length", "owner")

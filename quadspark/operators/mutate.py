@@ -125,8 +125,8 @@ def list_rows(items: DataFrame, graph: str) -> DataFrame:
     w = Window.partitionBy("lst").orderBy("pos")
     cell = F.when(F.col("pos") == F.min("pos").over(Window.partitionBy("lst")), F.col("lst")).otherwise(F.concat(F.lit("_:"), F.hex(F.xxhash64("lst", "pos"))))
     placed = items.withColumn("cell", cell).withColumn("next", F.lead("cell").over(w))
-    first = placed.select(F.lit(graph).alias("c"), F.col("cell").alias("s"), F.lit(v.FIRST).alias("p"), F.col("item").alias("o"))
-    return first.unionByName(placed.select(F.lit(graph).alias("c"), F.col("cell").alias("s"), F.lit(v.REST).alias("p"), F.coalesce("next", F.lit(v.NIL)).alias("o")))
+    both = F.array(F.struct(F.lit(v.FIRST).alias("p"), F.col("item").alias("o")), F.struct(F.lit(v.REST).alias("p"), F.coalesce("next", F.lit(v.NIL)).alias("o")))
+    return placed.select(F.lit(graph).alias("c"), F.col("cell").alias("s"), F.explode(both).alias("t")).select("c", "s", "t.p", "t.o")
 
 
 def declare(spark: SparkSession, graph: str, kind: str, names: list[str], above: str | None = None) -> DataFrame:
