@@ -180,22 +180,33 @@ def violations(store: QuadStore) -> DataFrame:
     Disjointness is stated in pairs or for a list: a subject that has two members
     of one group clashes, so a group is one row for each member, not for each pair.
     """
-    types = store.scan("objs", p=v.TYPE).select("s", "o").distinct()
-    groups = disjoints(store).withColumnRenamed("member", "o")
-    disjoint = types.join(groups, "o").groupBy("s", "grp").agg(F.count_distinct("o").alias("n")).where("n > 1").select("s", F.lit("disjoint").alias("kind"))
-    apart = disjoints(store, "properties").withColumnRenamed("member", "p")
-    both = store.objs.select("s", "p", "o").join(apart, "p").groupBy("s", "o", "grp").agg(F.count_distinct("p").alias("n")).where("n > 1").select("s", F.lit("disjoint properties").alias("kind"))
-    differ_all = disjoints(store, "individuals").withColumnRenamed("member", "node")
-    merged = same_classes(store).join(differ_all, "node").groupBy("component", "grp").agg(F.min("node").alias("s"), F.count_distinct("node").alias("n")).where("n > 1").select("s", F.lit("same and different").alias("kind"))
-    none = restrictions(store).where("NOT inverse AND kind IN ('max', 'exactly') AND cardinality = 0 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("p"))
-    many = types.join(none, "o").select("s", "p").join(store.objs.select("s", "p"), ["s", "p"], "left_semi").select("s", F.lit("too many values").alias("kind"))
-    facts = store.objs.select("s", "p", "o")
-    kinds = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
-    loops = facts.join(kinds(v.IRREFLEXIVE), "p", "left_semi").where("s = o").select("s", F.lit("irreflexive").alias("kind"))
-    one = facts.join(kinds(v.ASYMMETRIC), "p", "left_semi")
-    ways = one.join(one.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), ["s", "p", "o"], "left_semi").select("s", F.lit("asymmetric").alias("kind"))
-    nothing = types.where(F.col("o") == v.NOTHING).select("s", F.lit("nothing").alias("kind"))
-    return reduce(lambda a, b: a.unionByName(b), [disjoint, both, loops, ways, nothing, merged, many]).distinct()
+    clashing = [v.DISJOINT_WITH, v.PROPERTY_DISJOINT, v.DIFFERENT_FROM, v.MEMBERS, v.DISTINCT_MEMBERS, v.ON_PROPERTY]
+    kinds = store.scan("objs", p=v.TYPE, o=[v.IRREFLEXIVE, v.ASYMMETRIC, v.NOTHING]).select(F.col("o").alias("p"))
+    has = {r[0] for r in store.scan("objs", p=clashing).select("p").unionByName(kinds).distinct().collect()}
+    types, facts = store.scan("objs", p=v.TYPE).select("s", "o").distinct(), store.objs.select("s", "p", "o")
+    of_kind = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
+    found = [types.limit(0).select("s", F.lit("").alias("kind"))]
+    add = lambda rows, kind: found.append(rows.select("s", F.lit(kind).alias("kind")))
+    if has & {v.DISJOINT_WITH, v.MEMBERS}:
+        groups = disjoints(store).withColumnRenamed("member", "o")
+        add(types.join(groups, "o").groupBy("s", "grp").agg(F.count_distinct("o").alias("n")).where("n > 1"), "disjoint")
+    if has & {v.PROPERTY_DISJOINT, v.MEMBERS}:
+        apart = disjoints(store, "properties").withColumnRenamed("member", "p")
+        add(facts.join(apart, "p").groupBy("s", "o", "grp").agg(F.count_distinct("p").alias("n")).where("n > 1"), "disjoint properties")
+    if has & {v.DIFFERENT_FROM, v.DISTINCT_MEMBERS, v.MEMBERS}:
+        differ = disjoints(store, "individuals").withColumnRenamed("member", "node")
+        add(same_classes(store).join(differ, "node").groupBy("component", "grp").agg(F.min("node").alias("s"), F.count_distinct("node").alias("n")).where("n > 1"), "same and different")
+    if v.ON_PROPERTY in has:
+        none = restrictions(store).where("NOT inverse AND kind IN ('max', 'exactly') AND cardinality = 0 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("p"))
+        add(types.join(none, "o").select("s", "p").join(facts.select("s", "p"), ["s", "p"], "left_semi"), "too many values")
+    if v.IRREFLEXIVE in has:
+        add(facts.join(of_kind(v.IRREFLEXIVE), "p", "left_semi").where("s = o"), "irreflexive")
+    if v.ASYMMETRIC in has:
+        one = facts.join(of_kind(v.ASYMMETRIC), "p", "left_semi")
+        add(one.join(one.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), ["s", "p", "o"], "left_semi"), "asymmetric")
+    if v.NOTHING in has:
+        add(types.where(F.col("o") == v.NOTHING), "nothing")
+    return reduce(lambda a, b: a.unionByName(b), found).distinct()
 
 
 def realised_types(store: QuadStore) -> DataFrame:

@@ -43,6 +43,8 @@ def disjoints(store: QuadStore, kind: str = "classes") -> DataFrame:
     pairs = store.scan("objs", p=pair)
     out = pairs.select(grp.alias("grp"), F.col("s").alias("member")).unionByName(pairs.select(grp.alias("grp"), F.col("o").alias("member")))
     heads = store.scan("objs", p=[v.MEMBERS, v.DISTINCT_MEMBERS]).select(F.col("s").alias("grp"), F.col("o").alias("lst"))
+    if heads.isEmpty():
+        return out
     node_kind = {"classes": v.ALL_DISJOINT_CLASSES, "properties": v.ALL_DISJOINT_PROPERTIES, "individuals": v.ALL_DIFFERENT}[kind]
     nodes = store.scan("objs", p=v.TYPE, o=node_kind).select(F.col("s").alias("grp"))
     return out.unionByName(heads.join(nodes, "grp", "left_semi").join(lists(store), "lst").select("grp", F.col("item").alias("member")))
