@@ -38,7 +38,7 @@ from .common import blocks_for, load, odd_constants, pack_sorted, rolling, split
 #: Perfect difference sets: modulo the period, every shift is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 LEAST_ANCHOR = 5
-NO_ID = -(1 << 63)
+NO_ID, MOST_TASKS = -(1 << 63), 20_000
 _PART = "bucket int, block int, data binary, more binary, ids binary"
 _BITS = "block int, bucket int, kind int, bits binary"
 ANCHOR, WINDOW = 0, 1
@@ -236,12 +236,15 @@ def dedup_substrings(
         frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"])
         return frame.astype({"doc_id": "Int64"})
 
-    by_block = dealt.groupBy("block")
-    anchor_bits = by_block.applyInPandas(send_anchors, _PART).groupBy("bucket").applyInPandas(_repeated_anchors, _BITS)
-    windows = by_block.cogroup(anchor_bits.groupBy("block")).applyInPandas(send_windows, _PART)
-    window_bits = windows.groupBy("bucket").applyInPandas(lambda rows: _later_windows(rows, blocks), _BITS)
-    all_bits = anchor_bits.unionByName(window_bits)
-    return by_block.cogroup(all_bits.groupBy("block")).applyInPandas(
+    # As many partitions as blocks and buckets, so that a task's part does not grow with the corpus.
+    tasks, ranges = min(blocks, MOST_TASKS), min(plan.buckets, MOST_TASKS)
+    at_block = lambda rows: rows.repartition(tasks, "block").groupBy("block")
+    at_bucket = lambda rows: rows.repartition(ranges, "bucket").groupBy("bucket")
+    by_block = at_block(dealt)
+    anchor_bits = at_bucket(by_block.applyInPandas(send_anchors, _PART)).applyInPandas(_repeated_anchors, _BITS)
+    windows = by_block.cogroup(at_block(anchor_bits)).applyInPandas(send_windows, _PART)
+    window_bits = at_bucket(windows).applyInPandas(lambda rows: _later_windows(rows, blocks), _BITS)
+    return by_block.cogroup(at_block(anchor_bits.unionByName(window_bits))).applyInPandas(
         cut, "doc_id long, n_words long, n_removed long, kept string, removed array<array<long>>"
     )
 
