@@ -119,9 +119,14 @@ def fit_weights(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: st
     chosen = F.broadcast(known.where(share(F.col("doc_id"), 43) < rate))  # about 2 * sample_rows rows
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     sample = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = sorted(tuple(r) for r in sample.collect())
-    seen = WordHashes()
-    x = np.array([features(t, seen) for _, _, t in rows]) if rows else np.empty((0, len(features("", seen))))
+
+    @F.pandas_udf("array<double>")
+    def read(each: pd.Series) -> pd.Series:
+        seen = WordHashes()
+        return pd.Series([features(t, seen) for t in each], dtype=object)
+
+    rows = sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "label", read("text")).collect())  # numbers, not texts
+    x = np.array([r[2] for r in rows]) if rows else np.empty((0, len(features("", WordHashes()))))
     return rank(x, np.array([y for _, y, _ in rows], np.int64))
 
 
