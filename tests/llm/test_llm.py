@@ -135,7 +135,8 @@ def test_language_query_by_brute_force(spark, tmp_path):
             want.append((i, held(i), "und"))
             continue
         size = {lang: sum(len(c.compress(b" " + t.encode()[k : k + 2000])) for k in range(0, len(t), 2000)) for lang, c in coders.items()}
-        assert size["aa"] != size["bb"]
+        if size["aa"] == size["bb"]:  # too short to tell by bytes: the words decide
+            size = {lang: -sum(w in own[lang] for w in t.split()) for lang in own}
         want.append((i, held(i), min(size, key=size.get)))
     assert sorted(map(str, ((r.doc_id, r.held_out, r.lang_pred) for r in got))) == sorted(map(str, want))
 
