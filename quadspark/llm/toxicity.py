@@ -233,7 +233,7 @@ def fit(
     if n1 and n0 and tried:
         c, d = F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
         gap = F.greatest(F.abs(F.col("a") * d - F.col("b") * c) - (n1 + n0) / 2, F.lit(0.0))
-        chi = gap * gap * (n1 + n0) / ((F.col("a") + F.col("b")) * (c + d) * n1 * n0)
+        chi = F.try_divide(gap * gap * (n1 + n0), (F.col("a") + F.col("b")) * (c + d) * n1 * n0)  # null for a term that all examples have
         kept = frequent.withColumn("chi", F.coalesce(chi, F.lit(0.0))).where(F.col("chi") >= 2 * math.log(tried / level))
         terms = sorted(r[0] for r in kept.select("term").collect())  # of the examples' terms, those that tell
 

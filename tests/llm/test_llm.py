@@ -635,6 +635,8 @@ def test_toxicity_by_brute_force(spark, tmp_path):
 
     def chi(t):
         a, b = df1[t], df0[t]
+        if a + b == n1 + n0:
+            return 0.0
         gap = max(abs(a * (n0 - b) - b * (n1 - a)) - (n1 + n0) / 2, 0.0)
         return gap * gap * (n1 + n0) / ((a + b) * (n1 + n0 - a - b) * n1 * n0)
 
