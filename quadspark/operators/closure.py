@@ -79,13 +79,48 @@ def closure_pairs(edges: DataFrame) -> DataFrame:
     return union_all(found)
 
 
-def cyclic_parts(edges: DataFrame) -> DataFrame:
+def _few_parts(edges: list[tuple]) -> list[tuple]:
+    """(node, part) of a few edges: nodes in the order in which walks end, then walks backwards from the last."""
+    down: dict = {}
+    up: dict = {}
+    for s, o in edges:
+        down.setdefault(s, []).append(o)
+        up.setdefault(o, []).append(s)
+    ended, seen = [], set()
+    for start in down:
+        todo = [] if start in seen else [(start, iter(down[start]))]
+        seen.add(start)
+        while todo:
+            node, onward = todo[-1]
+            after = next((x for x in onward if x not in seen), None)
+            if after is None:
+                ended.append(node)
+                todo.pop()
+            else:
+                seen.add(after)
+                todo.append((after, iter(down.get(after, ()))))
+    out, given = [], set()
+    for start in reversed(ended):
+        if start not in given:
+            given.add(start)
+            part, at = [start], 0
+            while at < len(part):
+                more = [x for x in dict.fromkeys(up.get(part[at], ())) if x not in given]
+                given.update(more)
+                part += more
+                at += 1
+            out += [(x, min(part)) for x in part] if len(part) > 1 else []
+    return out
+
+
+def cyclic_parts(edges: DataFrame, most: int = SCHEMA_EDGES) -> DataFrame:
     """(node, part): nodes on cycles of (s, o), and the least node of their strongly connected part.
 
-    Nodes without a way in or out are trimmed. Each node then learns the least
-    node that reaches it; of the nodes with one such root, those that reach the
-    root are its part. What is left goes through the same again. The work is a
-    few joins of the edges a round, not all pairs of a closure.
+    Nodes without a way in or out are trimmed. Where ``most`` edges or fewer are
+    left, they are metadata and are walked on the driver. Of more, each node
+    learns the least node that reaches it; of the nodes with one such root,
+    those that reach the root are its part. What is left goes through the same
+    again. The work is a few joins of the edges a round, not all pairs of a closure.
     """
     left = checkpointed(edges.select("s", "o").where("s <> o").distinct())
     parts: list[DataFrame] = []
@@ -96,7 +131,11 @@ def cyclic_parts(edges: DataFrame) -> DataFrame:
             left = checkpointed(inner)
             if left.count() == before:
                 break
-        if not before:
+        if before <= most:
+            if before:
+                kind = left.schema["s"].dataType.simpleString()
+                rows = _few_parts([tuple(r) for r in left.collect()])
+                parts.append(edges.sparkSession.createDataFrame(rows, f"node {kind}, part {kind}"))
             break
         root = checkpointed(left.select(F.col("s").alias("n")).unionByName(left.select(F.col("o").alias("n"))).distinct().select("n", F.col("n").alias("r")))
         while True:  # the least node that reaches each

@@ -73,4 +73,5 @@ def test_cyclic_parts_by_brute_force(spark):
         want = {(a, min(b for b in range(n) if (a, b) in reach and (b, a) in reach)) for a in range(n) if (a, a) in reach}
         frame = spark.createDataFrame(sorted(edges), "s bigint, o bigint")
         assert {tuple(r) for r in closure.cyclic_parts(frame).collect()} == want
+        assert {tuple(r) for r in closure.cyclic_parts(frame, most=0).collect()} == want
         assert {tuple(r) for r in closure.closure_pairs(frame).collect()} == reach
