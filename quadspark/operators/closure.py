@@ -6,6 +6,7 @@ folder and ends when a round finds nothing new, so cycles are safe.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,14 @@ from ..functions import vocab as v
 SCHEMA_EDGES, SCHEMA_PAIRS = 50_000, 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir.
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    Where that is unset, a session in one process may use a folder of its own; on
-    a cluster it is an error, as no folder that all machines share is known.
+    Where spark.checkpoint.dir is unset, a session in one process may use a folder
+    of its own; on a cluster it is an error, as no folder that all machines share
+    is known.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -33,9 +35,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder; partitions and the order in them stay."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder, for readers of a few of its columns."""
+    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
