@@ -1,6 +1,7 @@
 """Token files, prefix tries and ranked search against brute force, on fixtures with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -25,7 +26,7 @@ def words(rng, n, size=60):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
-    out = [None, "", " \t\n", "Hello, World's end... A.B é́ naïve ÀÉ,", "<|endoftext|>x <|ENDOFTEXT|>, <|startoftext|>", "x\u001cy\u0085z w İstanbul ΣΑΣ ǅ, 12a3 don't I'LL", words(rng, 40_000)]
+    out = [None, "", " \t\n", "Hello, World's end... A.B é́ naïve ÀÉ,", "<|endoftext|>x <|ENDOFTEXT|>, <|startoftext|>", "x\u001cy\u0085z w İstanbul ΣΑΣ ǅ, 12a3 don't I'LL", "J\u030c H\u0331, E\u0301. I\u0307; Où? OÙ. k.. m., n!? \u2026. »,", "End.", "(x). y.\tz!\n", words(rng, 40_000)]
     out += [words(rng, rng.randrange(1, 200)) for _ in range(40)] + ["same text"] * 30
     out += ["".join(rng.choice("aB,.'é́ ß 語<|>1") for _ in range(60)) for _ in range(200)]
     return out
@@ -37,13 +38,18 @@ def docs(spark, texts, ids=None):
 
 
 # ---- 11 token files ------------------------------------------------------------
+@functools.cache
+def vocabulary():
+    return tokenizers.Tokenizer.from_file(VOCABULARY)
+
+
 def brute_ids(text):
-    return [*tokenizers.Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*vocabulary().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_token_files_hold_the_ids_of_whole_texts(spark, texts, tmp_path):
     for by_word in (True, False):
-        store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / f"t{by_word}"), VOCABULARY, by_word=by_word, chars_a_shard=20_000)
+        store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / f"t{by_word}"), VOCABULARY, by_word=by_word, bytes_a_shard=20_000)
         start, want = 0, []
         for i, t in enumerate(texts):
             ids = brute_ids(t)
@@ -55,7 +61,7 @@ def test_token_files_hold_the_ids_of_whole_texts(spark, texts, tmp_path):
 
 
 def test_token_stream_in_parts(spark, texts, tmp_path):
-    store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / "t"), VOCABULARY, chars_a_shard=20_000)
+    store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / "t"), VOCABULARY, bytes_a_shard=20_000)
     whole = [x for t in texts for x in brute_ids(t)]
     assert store.shards().count() > 3
     for a, b in ((0, 5), (10, 10), (3, 90_000), (len(whole) - 7, len(whole) + 9)):
@@ -63,7 +69,7 @@ def test_token_stream_in_parts(spark, texts, tmp_path):
 
 
 def test_token_files_can_be_read_in_parts(spark, texts, tmp_path):
-    store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / "t"), VOCABULARY, chars_a_shard=30_000, page_bytes=4_096)
+    store = token_store.TokenStore.write(docs(spark, texts), str(tmp_path / "t"), VOCABULARY, bytes_a_shard=30_000, page_bytes=4_096)
     files = sorted((tmp_path / "t").glob("*.parquet"))
     last = None
     for f in files:
@@ -82,7 +88,7 @@ def test_token_files_can_be_read_in_parts(spark, texts, tmp_path):
 def test_token_files_with_one_id_none_and_no_rows(spark, tmp_path):
     rows = [f"a {i}" for i in range(300)] + ["again"] * 300
     for ids in ([None] * 600, [5] * 600):
-        store = token_store.TokenStore.write(docs(spark, rows, ids), str(tmp_path / f"t{ids[0]}"), VOCABULARY, chars_a_shard=500)
+        store = token_store.TokenStore.write(docs(spark, rows, ids), str(tmp_path / f"t{ids[0]}"), VOCABULARY, bytes_a_shard=500)
         sizes = [r["count"] for r in store.rows().groupBy("shard").count().collect()]
         assert len(sizes) >= 4 and max(sizes) < 400
         got = store.index().orderBy("start").collect()
