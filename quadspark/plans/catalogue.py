@@ -16,7 +16,7 @@ from ..sources import ntriples, rrf
 from ..sources.lift import P, T, _objs, iri, key, lifted
 from ..sources.store import QuadStore
 from ..streaming import changes
-from . import views
+from . import inference, views  # noqa: F401
 from .oracles import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
