@@ -75,3 +75,31 @@ def test_cyclic_parts_by_brute_force(spark):
         assert {tuple(r) for r in closure.cyclic_parts(frame).collect()} == want
         assert {tuple(r) for r in closure.cyclic_parts(frame, most=0).collect()} == want
         assert {tuple(r) for r in closure.closure_pairs(frame).collect()} == reach
+
+
+def _parts(edges):
+    """(node, least node of its part) of nodes on cycles, by all pairs."""
+    reach = set(edges)
+    while (more := reach | {(a, d) for a, b in reach for c, d in edges if b == c}) != reach:
+        reach = more
+    return {(a, min(b for b in {y for x, y in reach if x == a} if (b, a) in reach)) for a, b in reach if a == b}
+
+
+def test_cyclic_parts_by_contraction_against_brute_force(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(34)} | {(100 + i, 101 + i) for i in range(20)}
+        edges |= {(200 + i, 200 + (i + 1) % 9) for i in range(9)} | {(60 - i, 59 - i) for i in range(9)} | {(51, 1), (3, 60), (120, 300), (300, 100), (300, 300), (7, 401), (401, 402), (402, 7)}
+        got = closure.cyclic_parts(spark.createDataFrame(sorted(edges), "s long, o long"), most=0)
+        assert sorted(map(tuple, got.collect())) == sorted(_parts(edges))
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = closure.checkpointed
+    monkeypatch.setattr(closure, "checkpointed", lambda df: rounds.append(1) or real(df))
+    chain = spark.range(2_000).selectExpr("id AS s", "id + 1 AS o")
+    assert closure.cyclic_parts(chain, most=0).count() == 0
+    assert len(rounds) <= 30  # a round for each doubling
