@@ -29,9 +29,6 @@ class Path:
     def __or__(self, other: Path) -> Path:
         return Either(self, other)
 
-    def __invert__(self) -> Path:
-        raise NotImplementedError
-
     def plus(self) -> Path:
         return Many(self)
 
