@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of whole training
-texts. A text is cut into chunks, every chunk is encoded against every
+Each language has a zstandard raw-content dictionary made of training texts:
+whole ones, and stretches of longer ones where those leave room. A text is cut into chunks, every chunk is encoded against every
 dictionary, and the language with the fewest bytes in all wins; a narrow margin
 marks the row as rejected. The whole text is encoded, in one pass without any
 shuffle.
@@ -40,30 +40,45 @@ def letters(text: str) -> bytes:
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
+#: Stretches that stand for a text too long for a dictionary.
+PIECES = 8
+
+
+def _stretches(text: Column, most: int) -> Column:
+    """``PIECES`` stretches of a long text at even distances, of at most ``most`` characters together."""
+    size = max(1, most // PIECES)
+    step = F.floor(F.greatest(F.length(text) - size, F.lit(0)) / (PIECES - 1)).cast("int")
+    return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(text, i * step + 1, F.lit(size))))
+
+
 def fit_dictionaries(
     df: DataFrame, train: Column, text: str = "text", lang: str = "lang", dict_bytes: int = 112_000, sample_rows: int = 800, most_languages: int = 256
 ) -> dict[str, bytes]:
-    """A raw dictionary for each language, from whole texts of at most ``dict_bytes`` bytes in all.
+    """A raw dictionary for each language, of at most ``dict_bytes`` bytes of texts.
 
-    The fit is on a bounded sample: of about ``sample_rows`` rows of a language,
-    chosen by a hash of the text, those of at most an eighth of ``dict_bytes``
-    come in the order of that hash until the next does not fit.
+    The fit is on a bounded sample: about ``sample_rows`` distinct texts of a
+    language, chosen by a hash of the text. Whole texts of at most an eighth of
+    ``dict_bytes`` come first, in the order of that hash; where they leave room,
+    ``PIECES`` stretches of each longer text, at even distances over the whole of
+    it, until the next does not fit. So a language of long texts only is learned too.
     """
     known = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    small = known.where(F.octet_length("text") <= dict_bytes // 8)
-    counts = {r[0]: r[1] for r in small.groupBy("lang").count().limit(most_languages + 1).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return {}
     rates = sample_rates(counts.items(), sample_rows)
     rate = F.element_at(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)), F.col("lang"))
-    chosen = small.withColumn("at", share(F.col("text"), 17)).where(F.col("at") < rate).dropDuplicates(["lang", "text"])
-    running = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("at", "text"))
-    rows = chosen.withColumn("size", running).where(F.col("size") <= dict_bytes).select("lang", "at", "text").collect()
+    most = dict_bytes // 8
+    long = F.octet_length("text") > most
+    chosen = known.withColumn("at", share(F.col("text"), 17)).where(F.col("at") < rate)
+    chosen = chosen.select("lang", "at", long.alias("long"), F.when(long, _stretches(F.col("text"), most)).otherwise(F.col("text")).alias("text")).distinct()
+    running = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("long", "at", "text"))
+    rows = chosen.withColumn("size", running).where(F.col("size") <= dict_bytes).select("lang", "long", "at", "text").collect()
     out: dict[str, bytes] = {}
     for name in sorted(counts):
-        texts = [r[2] for r in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], r[2]))]
+        texts = [r[3] for r in sorted((r for r in rows if r[0] == name), key=lambda r: r[1:])]
         out[name] = b"\n".join(map(letters, texts)) or b" "
     return out
 
