@@ -9,6 +9,9 @@ are numbered without gathering a bucket in one task: each (bucket, shard) is
 numbered by itself, and running totals over the table of shard counts, in two
 levels of SHARDS_A_GROUP, give the offsets, so that only the last batch of a
 bucket can be short. Texts are read once: their counts are kept for both passes.
+Rows of one doc_id (or of none) and one length are counted before the shuffle and
+numbered again in runs of COPIES_A_TASK, and the number is part of what a shard is
+chosen by, so that no id fills a shard or a task of its own.
 
 Defined results: length is the count of words ``[^\\x20\\x09-\\x0D]+``, or what
 ``count`` gives; texts that are null or without a word have no piece; ties in
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_for, checkpointed, load
 
-ROWS_A_SHARD, SHARDS_A_GROUP = 10_000, 1_000
+ROWS_A_SHARD, SHARDS_A_GROUP, COPIES_A_TASK = 10_000, 1_000, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,6 +37,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
 
 
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "piece", "n", "copy"), F.lit(shards))
+
+
 def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     """Upper lengths, ascending, with the least total padding; fewer where lengths are fewer."""
     lengths = np.array(sorted(histogram), np.float64)
@@ -70,25 +77,28 @@ def pack(
     """
     if token_budget < max_tokens:
         raise ValueError("token_budget must hold a piece of max_tokens")
-    lengths = checkpointed(df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n")))
+    lengths = df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n")).where("n > 0")
+    counted = checkpointed(lengths.groupBy("doc_id", "n").agg(F.count("*").alias("rows")))
+    runs = counted.select("doc_id", "n", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(COPIES_A_TASK).cast("long"))).alias("start"))
+    last = F.least(F.col("rows"), F.col("start") + COPIES_A_TASK) - 1
+    copies = runs.repartition("doc_id", "n", "start").select("doc_id", "n", F.explode(F.sequence("start", last)).alias("copy"))
     full = F.floor((F.col("n") - 1) / max_tokens).cast("int")
-    pieces = lengths.where("n > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0), full)).alias("piece"), "n"
-    ).select("doc_id", "piece", (F.col("piece") * max_tokens).alias("first_token"), F.least(F.lit(max_tokens), F.col("n") - F.col("piece") * max_tokens).alias("n_tokens"))
-    histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}
+    part = [(F.col("piece") * max_tokens).alias("first_token"), F.least(F.lit(max_tokens), F.col("n") - F.col("piece") * max_tokens).alias("n_tokens")]
+    cut = lambda rows, *more: rows.select("doc_id", "n", *more, F.explode(F.sequence(F.lit(0), full)).alias("piece")).select("doc_id", "n", *more, "piece", *part)
+    histogram = {r[0]: r[1] for r in cut(counted, "rows").groupBy("n_tokens").agg(F.sum("rows")).collect()}
     bounds = bucket_bounds(histogram, buckets) or [max_tokens]
     bucket = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(bucket)
-    # Shards follow the hash of the piece, rows in a shard its order, so a lost task is made again alike.
+    # Shards follow the hash of the piece and its copy, rows in a shard its order, so a lost task is made again alike.
     shards = blocks_for(sum(histogram.values()), ROWS_A_SHARD)
-    placed = pieces.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(shards)))
+    placed = cut(copies, "copy").withColumn("bucket", bucket).withColumn("shard", shard_of(shards))
     counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("rows")).withColumn("group", F.floor(F.col("shard") / SHARDS_A_GROUP))
     running = lambda *by: F.coalesce(F.sum("rows").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = counts.groupBy("bucket", "group").agg(F.sum("rows").alias("rows")).select("bucket", "group", running("bucket", "group").alias("earlier"))
     inside = counts.select("bucket", "shard", "group", running("bucket", "group", "shard").alias("inside"))
     offsets = inside.join(groups, ["bucket", "group"]).select("bucket", "shard", (F.col("earlier") + F.col("inside")).alias("before"))
-    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")
+    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n", "copy")
     numbered = placed.withColumn("rank", F.row_number().over(within)).join(offsets, ["bucket", "shard"])
     place = F.col("before") + F.col("rank") - 1
     padded = F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1)
