@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
 1. Each document becomes a set of ``width``-word shingles. Documents of one set
-   form a class, whose least doc_id stands for it; copies go no further.
+   form a class, named by a hash of the set; copies go no further.
 2. MinHash values in bands: classes that share a band are candidates. Classes in
    a band's bucket are dealt into tiles of two chunks each, so that a bucket of
    any size is spread over tasks and no pair is ever a row. The rows dealt, and
@@ -13,11 +13,13 @@
 4. Classes with a surviving pair bring their shingle sets to the tile, where the
    pairs are verified exactly. A tile returns, for each class, how many documents
    it links to and one edge to the least class of its part: a spanning forest
-   instead of all pairs.
+   instead of all pairs. Classes get their least doc_id at the end.
 
 Defined results: a text of fewer words than ``width`` is one shingle; null texts
 and those without a word are in no group, and the query gives each a class of its own; repeated rows are copies; a repeated
-doc_id is one document for each row; other columns are ignored.
+doc_id is one document for each row; rows without a doc_id are linked and counted
+like others, and a class of such rows only has no exact_id, or no class_id; ids
+are whole numbers, and one of another type must cast to long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import components
@@ -122,32 +124,39 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class _Forest(dict):
-    def root(self, x: int) -> int:
+    def root(self, x: bytes) -> bytes:
         while self.setdefault(x, x) != x:
             self[x] = x = self[self[x]]
         return x
 
-    def union(self, x: int, y: int) -> None:
+    def union(self, x: bytes, y: bytes) -> None:
         x, y = self.root(x), self.root(y)
         if x != y:
             self[max(x, y)] = min(x, y)
 
 
+def _named(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(row, has_id, text): a row is found again by its doc_id, or by the hash of its text where it has none."""
+    own = F.col(key).cast("long")
+    rows = df.select(own.alias("own"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return rows.select(F.coalesce("own", F.xxhash64("text")).alias("row"), F.col("own").isNotNull().alias("has_id"), "text")
+
+
 def shingled(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """doc_id, hash of the shingle set, size of the set and its signature, for texts with words."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    """doc_id, row, has_id, hash of the shingle set, size of the set and its signature, for texts with words."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHashes()
         for batch in batches:
             out = []
-            for doc_id, value in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, has_id, value in zip(batch["row"], batch["has_id"], batch["text"], strict=True):
                 s = shingle_set(seen.of(split_words(value)), width)
                 if len(s):
-                    out.append((None if pd.isna(doc_id) else int(doc_id), xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "class", "n_shingles", "sig"]).astype({"doc_id": "Int64"})
+                    out.append((row, has_id, xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).tobytes()))
+            yield pd.DataFrame(out, columns=["row", "has_id", "class", "n_shingles", "sig"])
 
-    return rows.mapInPandas(make, "doc_id long, class binary, n_shingles int, sig binary")
+    made = _named(df, text, key).mapInPandas(make, "row long, has_id boolean, class binary, n_shingles int, sig binary")
+    return made.select(F.when(F.col("has_id"), F.col("row")).alias("doc_id"), "*")
 
 
 def jaccard_join(
@@ -160,9 +169,10 @@ def jaccard_join(
     documents with a similarity of ``threshold`` or more.
     """
     docs = checkpointed(shingled(df, text, key, width))
-    classes = docs.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    # A class needs a doc_id of its own to be named by; without one it has no links but its copies.
-    named = checkpointed(classes.where("rep IS NOT NULL").withColumn("id", F.xxhash64("class")))
+    # The row that a class's text is read from: of least doc_id, or of least hash where no row has one.
+    first = F.min(F.struct((~F.col("has_id")).alias("no_id"), "row")).alias("first")
+    classes = checkpointed(docs.groupBy("class").agg(first, F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    named = classes.withColumn("id", F.xxhash64("class"))
     fewest = least_matches(threshold, tolerance, [STEP * (i + 1) for i in range(BANDS * ROWS // STEP)])
 
     size = 4 * ROWS
@@ -184,7 +194,7 @@ def jaccard_join(
         .select("class", "id", "band", "bucket", "at.*")
         .withColumn("unit", unit(buckets.agg(F.sum(F.col("n") * chunks)).first()[0] or 0, ROWS_A_UNIT))
     )
-    with_sig = dealt.join(named.select("class", "sig", "rep", "copies", "n_shingles"), "class")
+    with_sig = dealt.join(named.select("class", "sig", "copies", "n_shingles"), "class")
 
     def candidates(rows: pd.DataFrame) -> pd.DataFrame:
         sig, keep = _signatures(rows), np.zeros(len(rows), bool)
@@ -192,14 +202,14 @@ def jaccard_join(
             alive = _surviving(sig, a, b, band, fewest)
             keep[a[alive]] = True
             keep[b[alive]] = True
-        return rows.loc[keep, ["class", "id", "band", "bucket", "tile", "side", "unit", "sig", "rep", "copies", "n_shingles"]]
+        return rows.loc[keep, ["class", "id", "band", "bucket", "tile", "side", "unit", "sig", "copies", "n_shingles"]]
 
-    shape = "class binary, id long, band int, bucket long, tile long, side int, unit int, sig binary, rep long, copies long, n_shingles int"
+    shape = "class binary, id long, band int, bucket long, tile long, side int, unit int, sig binary, copies long, n_shingles int"
     survivors = checkpointed(with_sig.groupBy("unit").applyInPandas(candidates, shape))
     size_of_sets = survivors.agg(F.sum(F.col("n_shingles").cast("long") * 8 + F.lit(BANDS * ROWS * 4))).first()[0] or 0
 
-    wanted = survivors.select("rep").distinct()
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
+    wanted = classes.join(survivors.select("class").distinct(), "class", "left_semi").select("first.row", (~F.col("first.no_id")).alias("has_id")).distinct()
+    texts = _named(df, text, key).join(wanted, ["row", "has_id"], "left_semi").select("text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHashes()
@@ -212,24 +222,27 @@ def jaccard_join(
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         sig = _signatures(rows)
         shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        reps, copies = rows["rep"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
-        forest, links = _Forest(), dict.fromkeys(reps.tolist(), 0)
+        names, copies = rows["class"].tolist(), rows["copies"].to_numpy(np.int64)
+        forest, links = _Forest(), dict.fromkeys(names, 0)
         for a, b, band in _tile_pairs(rows):
             alive = _surviving(sig, a, b, band, fewest)
             for i, j in zip(a[alive].tolist(), b[alive].tolist(), strict=True):
                 if similarity(shingles[i], shingles[j]) >= threshold:
-                    links[int(reps[i])] += int(copies[j])
-                    links[int(reps[j])] += int(copies[i])
-                    forest.union(int(reps[i]), int(reps[j]))
-        out = [(r, n, forest.root(r)) for r, n in links.items() if n]
-        return pd.DataFrame(out, columns=["rep", "links", "root"]).astype("int64")
-
-    linked = checkpointed(full.groupBy("unit").applyInPandas(verify, "rep long, links long, root long"))
-    parts = components(linked.select(F.col("rep").alias("s"), F.col("root").alias("o")))
-    links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = (
-        classes.select("class", "rep", "copies").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-        .select("class", F.col("rep").alias("exact_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+                    links[names[i]] += int(copies[j])
+                    links[names[j]] += int(copies[i])
+                    forest.union(names[i], names[j])
+        return pd.DataFrame([(c, n, forest.root(c)) for c, n in links.items() if n], columns=["class", "links", "root"])
+
+    linked = checkpointed(full.groupBy("unit").applyInPandas(verify, "class binary, links long, root binary"))
+    parts = checkpointed(components(linked.select(F.col("class").alias("s"), F.col("root").alias("o"))).select(F.col("node").alias("class"), "component"))
+    links = linked.groupBy("class").agg(F.sum("links").alias("links"))
+    own = F.when(~F.col("first.no_id"), F.col("first.row"))
+    ids = classes.select("class", own.alias("exact_id"), "copies")
+    least = ids.join(parts, "class").groupBy("component").agg(F.min("exact_id").alias("class_id"))
+    near = parts.join(least, "component").join(links, "class").select("class", F.lit(True).alias("near"), "class_id", "links")
+    by_class = ids.join(near, "class", "left").select(
+        "class", "exact_id", F.when(F.col("near"), F.col("class_id")).otherwise(F.col("exact_id")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     return docs.select("doc_id", "class").join(by_class, "class").select("doc_id", "exact_id", "class_id", "n_links")
 
