@@ -733,3 +733,46 @@ def test_secrets_of_nothing_and_of_a_very_long_text(spark):
 def test_fold_is_crc32_of_the_text(spark):
     assert {r.id: r.f for r in spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()} == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
     assert all(0 <= r[0] < 1 for r in spark.range(50).select(share(F.col("id"), 3)).collect())
+
+
+def test_jaccard_links_of_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    base, near, nearer = " ".join(words), " ".join(["x", *words[1:]]), " ".join([*words[:-1], "y"])
+    other = " ".join(f"o{i}" for i in range(50))
+    lone = " ".join(f"l{i}" for i in range(100))
+    rows = [(1, base), (None, near), (None, near), (2**60 + 1, other), (None, lone), (None, lone + " more"), (None, nearer)]
+    out = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r.doc_id, r.exact_id, r.class_id, r.n_links) for r in out)
+    assert got == {
+        (1, 1, 1, 3): 1, (None, None, 1, 3): 3, (2**60 + 1, 2**60 + 1, 2**60 + 1, 0): 1, (None, None, None, 1): 2,
+    }
+
+
+def test_language_of_long_texts_only_is_learned(spark):
+    english = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
+    german = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split()
+    draw = random.Random(4)
+    long = [(" ".join(draw.choices(words, k=6_000)), lang) for lang, words in (("en", english), ("de", german)) for _ in range(20)]
+    short = [(" ".join(draw.choices(english, k=40)), "en") for _ in range(5)]
+    for rows in (long, long + short):
+        docs = spark.createDataFrame(rows, "text string, lang string")
+        made = language_id.fit_dictionaries(docs, F.lit(True))
+        assert set(made) == {"de", "en"} and all(50_000 < len(d) <= 112_000 for d in made.values())
+        asked = [(" ".join(draw.choices(words, k=60)), lang) for lang, words in (("en", english), ("de", german)) for _ in range(20)]
+        out = language_id.identify_language(spark.createDataFrame(asked, "text string, lang string"), made)
+        assert out.where("language.lang_pred <> lang").count() == 0
+
+
+def test_packing_spreads_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_SHARD", 1_000)
+    monkeypatch.setattr(packing, "COPIES_A_TASK", 700)
+    shares = []
+    for ids in ("CAST(NULL AS LONG)", "7L"):
+        docs = spark.range(40_000).select(F.expr(f"{ids} AS doc_id"), F.lit("one two three").alias("text"))
+        out = packing.pack(docs, max_tokens=64, token_budget=256)
+        assert out.count() == 40_000 == out.select("bucket", "batch", "slot").distinct().count()
+        assert out.agg(F.max("batch")).first()[0] == math.ceil(40_000 / (256 // 3)) - 1
+        copies = spark.range(40_000).select(F.expr(ids).alias("doc_id"), F.lit(0).alias("piece"), F.lit(3).alias("n"), F.col("id").alias("copy"))
+        shards = copies.groupBy(packing.shard_of(40).alias("shard")).count()
+        shares.append(shards.agg(F.max("count")).first()[0])
+    assert max(shares) < 2_000
