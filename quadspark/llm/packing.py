@@ -77,8 +77,9 @@ def pack(
     """
     if token_budget < max_tokens:
         raise ValueError("token_budget must hold a piece of max_tokens")
-    lengths = df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n")).where("n > 0")
-    counted = checkpointed(lengths.groupBy("doc_id", "n").agg(F.count("*").alias("rows")))
+    lengths = df.select(F.col(key).alias("doc_id"), F.coalesce(count(F.col(text)), F.lit(0)).cast("int").alias("n"))
+    # The filter comes after the cut in the lineage: before it, it would count the words of each text once more.
+    counted = checkpointed(lengths.groupBy("doc_id", "n").agg(F.count("*").alias("rows"))).where("n > 0")
     runs = counted.select("doc_id", "n", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(COPIES_A_TASK).cast("long"))).alias("start"))
     last = F.least(F.col("rows"), F.col("start") + COPIES_A_TASK) - 1
     copies = runs.repartition("doc_id", "n", "start").select("doc_id", "n", F.explode(F.sequence("start", last)).alias("copy"))
