@@ -1,7 +1,12 @@
 """Difference of two graphs up to the names of blank nodes.
 
 Blank nodes get labels from their surroundings: rounds of hashing what a node
-says and what is said of it, so equal structures get equal labels. Rows are then
+says and what is said of it, so equal structures get equal labels. Hashing alone
+tells trees apart, but not regular rings: two triangles look like one hexagon. So
+in each connected part of blank nodes with a cycle, nodes of equal label are told
+apart by individualisation: every candidate of the part's least cell is marked in
+a copy of the part, all copies are refined together, and the copy of least
+certificate stays, until no two nodes of a cycle share a label. Rows are then
 compared with multiplicity, both ways.
 """
 
@@ -9,11 +14,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
+from .closure import checkpointed, components
 
 #: Predicates that read the same in both directions.
 SYMMETRIC = (v.EQUIVALENT_CLASS, v.EQUIVALENT_PROPERTY, v.DISJOINT_WITH, v.PROPERTY_DISJOINT, v.SAME_AS, v.DIFFERENT_FROM, v.INVERSE_OF)
@@ -27,30 +33,93 @@ def _rows(store: QuadStore) -> DataFrame:
     return rows.select(F.when(turn, F.col("o")).otherwise(F.col("s")).alias("s"), "p", F.when(turn, F.col("s")).otherwise(F.col("o")).alias("o"))
 
 
+def _blank(x: str) -> Column:
+    return F.startswith(x, F.lit("_:"))
+
+
+def _refined(rows: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """``labels`` (by, n, h) after rounds of hashing over ``rows`` (by, s, p, o), until no label splits any more."""
+    known, before = labels.select("h").distinct().count(), 0
+    zero = F.lit(0).cast("decimal(38,0)")
+    total = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)"))
+    while known > before:
+        a, b = labels.select(*by, F.col("n").alias("s"), F.col("h").alias("hs")), labels.select(*by, F.col("n").alias("o"), F.col("h").alias("ho"))
+        both = rows.join(a, [*by, "s"], "left").join(b, [*by, "o"], "left")
+        out = both.where("hs IS NOT NULL").groupBy(*by, F.col("s").alias("n")).agg(total(F.lit("out"), "p", F.coalesce(F.col("ho").cast("string"), F.col("o"))).alias("x"))
+        into = both.where("ho IS NOT NULL").groupBy(*by, F.col("o").alias("n")).agg(total(F.lit("in"), "p", F.coalesce(F.col("hs").cast("string"), F.col("s"))).alias("y"))
+        joined = labels.join(out, [*by, "n"], "left").join(into, [*by, "n"], "left")
+        labels = checkpointed(joined.select(*by, "n", F.xxhash64("h", F.coalesce("x", zero), F.coalesce("y", zero)).alias("h")))
+        known, before = labels.select("h").distinct().count(), known
+    return labels
+
+
+def _cyclic_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(g, n, part, core) of the parts with a cycle of blank nodes and two nodes of equal label; ``core`` leaves trees on the cycles out."""
+    ends = rows.where(_blank("s") & _blank("o") & (F.col("s") != F.col("o")))
+    edges = checkpointed(ends.select("g", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct())
+    full = lambda c: F.concat_ws(" ", "g", c)
+    parts = components(edges.select(full("a").alias("s"), full("b").alias("o"))).select(F.col("node").alias("full"), F.col("component").alias("part"))
+    nodes = checkpointed(labels.select("g", "n", "h", full("n").alias("full")).join(parts, "full").select("g", "n", "h", "part"))
+    counts = nodes.groupBy("part").agg(F.count("*").alias("nodes"), F.countDistinct("h").alias("labels"))
+    links = edges.join(nodes.select("g", F.col("n").alias("a"), "part"), ["g", "a"])
+    wanted = links.groupBy("part").agg(F.count("*").alias("edges")).join(counts, "part").where("edges >= nodes AND labels < nodes").select("part")
+    tied = checkpointed(nodes.join(wanted, "part", "left_semi").select("g", "n", "part"))
+    if tied.isEmpty():
+        return None
+    left, size, before = checkpointed(links.join(wanted, "part", "left_semi").select("g", "a", "b")), -1, -2
+    while size != before:  # ends of trees go, one from each branch a round
+        degree = left.select("g", F.explode(F.array("a", "b")).alias("n")).groupBy("g", "n").count()
+        inner = degree.where("count > 1").select("g", "n")
+        left = checkpointed(left.join(inner.withColumnRenamed("n", "a"), ["g", "a"], "left_semi").join(inner.withColumnRenamed("n", "b"), ["g", "b"], "left_semi"))
+        size, before = left.count(), size
+    core = left.select("g", F.explode(F.array("a", "b")).alias("n")).distinct().withColumn("core", F.lit(True))
+    return checkpointed(tied.join(core, ["g", "n"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+
+
+def _individualised(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (g, n, h) with the nodes on cycles told apart within their parts."""
+    nodes = _cyclic_nodes(rows, labels)
+    if nodes is None:
+        return labels
+    end = F.when(_blank("s"), F.col("s")).otherwise(F.col("o"))
+    inside = checkpointed(rows.withColumn("n", end).join(nodes.select("g", "n", "part"), ["g", "n"]).select("g", "part", "s", "p", "o"))
+    now = checkpointed(labels.join(nodes, ["g", "n"]).select("g", "n", "h", "part", "core"))
+    by = ["g", "part", "branch"]
+    while True:
+        cells = now.where("core").groupBy("g", "part", "h").count().where("count > 1")
+        least = checkpointed(cells.groupBy("g", "part").agg(F.min(F.struct("count", "h")).alias("cell")).select("g", "part", "cell.h"))
+        if least.isEmpty():
+            break
+        branches = checkpointed(now.where("core").join(least, ["g", "part", "h"]).select("g", "part", F.col("n").alias("branch")))
+        marked = now.join(branches, ["g", "part"]).select(*by, "n", F.when(F.col("n") == F.col("branch"), F.xxhash64("h", F.lit("picked"))).otherwise(F.col("h")).alias("h"))
+        tried = _refined(inside.join(branches, ["g", "part"]), checkpointed(marked), by)
+        certificate = tried.groupBy(*by).agg(F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("c"))
+        best = certificate.groupBy("g", "part").agg(F.min(F.struct("c", "branch")).alias("b")).select("g", "part", "b.branch")
+        chosen = tried.join(best, by, "left_semi").select("g", "n", F.col("h").alias("new"))
+        now = checkpointed(now.join(chosen, ["g", "n"], "left").select("g", "n", F.coalesce("new", "h").alias("h"), "part", "core"))
+    return labels.join(now.select("g", "n", F.col("h").alias("new")), ["g", "n"], "left").select("g", "n", F.coalesce("new", "h").alias("h"))
+
+
 def canonical(*stores: QuadStore) -> list[DataFrame]:
-    """(s, p, o) of each store with blank nodes named by hashing in rounds until no label of all the stores splits any more.
+    """(s, p, o) of each store with blank nodes named by their surroundings.
 
     The stores are labelled together, so that equal structures in them get equal
-    names. A chain of n blank nodes may take n rounds.
+    names. A chain of n blank nodes may take n rounds. Graphs that differ never
+    come out equal, but for a collision of 64-bit hashes. Equal graphs come out
+    equal where, of nodes that hashing cannot tell apart in a part, marking either
+    leads to copies that are alike or have different certificates: so for all but
+    contrived regular graphs. A part of m nodes whose least cell has k costs k x m
+    rows a round; trees, and trees that hang on cycles, are not copied for
+    themselves.
     """
-    from .closure import checkpointed
-
     tagged = [_rows(store).withColumn("g", F.lit(i)) for i, store in enumerate(stores)]
     rows = checkpointed(functools.reduce(DataFrame.unionByName, tagged))
-    blank = lambda x: F.startswith(x, F.lit("_:"))
     each = lambda frame: [frame.where(F.col("g") == i).select("s", "p", "o") for i in range(len(stores))]
-    nodes = rows.select("g", "s").unionByName(rows.select("g", F.col("o").alias("s"))).where(blank(F.col("s"))).distinct()
+    nodes = rows.select("g", "s").unionByName(rows.select("g", F.col("o").alias("s"))).where(_blank("s")).distinct()
     if nodes.isEmpty():
         return each(rows)
-    labels = nodes.select("g", F.col("s").alias("n"), F.lit(0).cast("long").alias("h"))
-    known, before = 1, 0
-    while known > before:
-        a, b = labels.select("g", F.col("n").alias("s"), F.col("h").alias("hs")), labels.select("g", F.col("n").alias("o"), F.col("h").alias("ho"))
-        both = rows.join(a, ["g", "s"], "left").join(b, ["g", "o"], "left")
-        out = both.where("hs IS NOT NULL").groupBy("g", F.col("s").alias("n")).agg(F.sum(F.xxhash64(F.lit("out"), "p", F.coalesce(F.col("ho").cast("string"), F.col("o"))).cast("decimal(38,0)")).alias("x"))
-        into = both.where("ho IS NOT NULL").groupBy("g", F.col("o").alias("n")).agg(F.sum(F.xxhash64(F.lit("in"), "p", F.coalesce(F.col("hs").cast("string"), F.col("s"))).cast("decimal(38,0)")).alias("y"))
-        labels = checkpointed(labels.join(out, ["g", "n"], "left").join(into, ["g", "n"], "left").select("g", "n", F.xxhash64("h", F.coalesce("x", F.lit(0).cast("decimal(38,0)")), F.coalesce("y", F.lit(0).cast("decimal(38,0)"))).alias("h")))
-        known, before = labels.select("h").distinct().count(), known
+    labels = _refined(rows, nodes.select("g", F.col("s").alias("n"), F.lit(0).cast("long").alias("h")), ["g"])
+    labels = _individualised(rows, labels)
     name = lambda c: F.coalesce(F.concat(F.lit("_:"), F.hex(F.col("h"))), F.col(c))
     out = rows.join(labels.withColumnRenamed("n", "s"), ["g", "s"], "left").select("g", name("s").alias("s"), "p", "o")
     return each(out.join(labels.withColumnRenamed("n", "o"), ["g", "o"], "left").select("g", "s", "p", name("o").alias("o")))

@@ -1047,6 +1047,23 @@ def graph_diff(store, spark, sf_dir):
     return place.join(rows.where(F.col("p") == P["in_region"]).select("side", F.col("s").alias("n"), "o"), ["side", "n"]).select("side", short("s").alias("s"), short("o").alias("x"))
 
 
+@answers("""
+SELECT side, 'customer/'||c_custkey AS s, 6 AS n FROM customer, (VALUES ('removed'),('added')) t(side) WHERE c_custkey%3=0
+""")
+def graph_diff_symmetric(store, spark, sf_dir):
+    """Two rings of three blank nodes for each customer against one ring of six for every third: hashing alone sees no difference."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+
+    def graph(prefix: str, following: Column) -> QuadStore:
+        node = lambda i: F.concat_ws("_", F.lit(f"_:{prefix}"), "c_custkey", i.cast("string"))
+        rings = quads(keys, node(F.col("i")), T + "next", node(following))
+        return QuadStore(rings.unionByName(quads(keys, iri("customer", "c_custkey"), T + "place", node(F.col("i")))), store.datas.limit(0))
+
+    triangles, hexagon = F.col("i") - F.col("i") % 3 + (F.col("i") + 1) % 3, (F.col("i") + 1) % 6
+    found = diff.diff(graph("a", triangles), graph("b", F.when(F.col("c_custkey") % 3 == 0, hexagon).otherwise(triangles)))
+    return found.where(F.col("p") == T + "place").groupBy("side", short("s").alias("s")).agg(F.count("*").cast("int").alias("n"))
+
+
 def _number_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("s"), F.expr("c_custkey div 2").alias("o"))
 

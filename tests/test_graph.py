@@ -227,6 +227,20 @@ def test_diff_of_long_lists_with_swapped_tails(spark):
     assert diff.diff(same, graph("r", one[:-2] + two[-2:], two[:-2] + one[-2:])).count() > 0
 
 
+def test_diff_of_symmetric_blank_nodes(spark):
+    def graph(prefix, edges):
+        both = edges + [(b, a) for a, b in edges]
+        return QuadStore.of_rows(spark, [("g", f"_:{prefix}{a}", e("p"), f"_:{prefix}{b}") for a, b in both], [])
+
+    ring = lambda *x: list(zip(x, [*x[1:], x[0]], strict=True))
+    triangles, hexagon = ring(0, 1, 2) + ring(3, 4, 5), ring(0, 1, 2, 3, 4, 5)
+    assert diff.diff(graph("a", triangles), graph("b", hexagon)).count() == 24
+    # Equal parts with other names, and twigs on a ring that need no marks.
+    parts = lambda f: [(f"{k}x{f(a)}", f"{k}x{f(b)}") for k, edges in enumerate((triangles, hexagon)) for a, b in edges]
+    twigs = [("0x0", f"t{i}") for i in range(9)]
+    assert diff.diff(graph("a", parts(lambda x: x) + twigs), graph("b", parts(lambda x: (x + 3) % 6) + [("0x3", t) for _, t in twigs])).isEmpty()
+
+
 def test_terminology(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("e", "b")], "s string, o string")
     codes = lambda *x: spark.createDataFrame([(y,) for y in x], "s string")
