@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
@@ -55,6 +55,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with ``pos``, their place from 1 in the order of columns.
+
+    Ranks come from range partitions and running totals over them, so the
+    global order takes no single task.
+    """
+    spread = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    fixed = checkpointed(spread)
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return fixed.withColumn("_rank", rank).join(before, "_part").select(*rows.columns, (F.col("_before") + F.col("_rank")).alias("pos"))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False) -> DataFrame:
     """(s, depth): nodes that reach a seed along edges (s, o), with the least number of steps.
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fts
-from .closure import checkpointed, cyclic_parts, reachable, union_all
+from .closure import checkpointed, cyclic_parts, numbered, reachable, union_all
+from .reach import Reach
 
-# Hierarchies are (s, o): s has parent o. Sets are (s). ``below`` is the strict closure (s, o).
+# Hierarchies are (s, o): s has parent o. Sets are (s). ``below`` is the strict closure (s, o); what
+# only asks which codes others imply takes an index of the hierarchy as well, which has no row for each pair.
 
 
 def parents(edges: DataFrame, codes: DataFrame) -> DataFrame:
@@ -31,31 +33,33 @@ def _reflexive(below: DataFrame, codes: DataFrame) -> DataFrame:
     return below.unionByName(codes.select("s", F.col("s").alias("o")))
 
 
-def implied_by(below: DataFrame, codes: DataFrame, others: DataFrame) -> DataFrame:
+def implied_by(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> DataFrame:
     """(s): the codes that are, or are below, one of the others."""
+    if isinstance(below, Reach):
+        return below.implied_by(codes, others)
     return codes.join(_reflexive(below, codes).join(others.select(F.col("s").alias("o")), "o", "left_semi"), "s", "left_semi")
 
 
 find = extract = implied_by
 
 
-def subtract(below: DataFrame, codes: DataFrame, others: DataFrame) -> DataFrame:
+def subtract(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> DataFrame:
     return codes.join(implied_by(below, codes, others), "s", "left_anti")
 
 
-def is_semantic_subset(below: DataFrame, codes: DataFrame, others: DataFrame) -> bool:
+def is_semantic_subset(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> bool:
     return subtract(below, codes, others).isEmpty()
 
 
-def is_semantic_superset(below: DataFrame, codes: DataFrame, others: DataFrame) -> bool:
+def is_semantic_superset(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> bool:
     return is_semantic_subset(below, others, codes)
 
 
-def is_semantic_disjoint(below: DataFrame, codes: DataFrame, others: DataFrame) -> bool:
+def is_semantic_disjoint(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> bool:
     return implied_by(below, codes, others).isEmpty() and implied_by(below, others, codes).isEmpty()
 
 
-def semantic_intersection(below: DataFrame, codes: DataFrame, others: DataFrame) -> DataFrame:
+def semantic_intersection(below: DataFrame | Reach, codes: DataFrame, others: DataFrame) -> DataFrame:
     """(s): members of either set that are, or are below, a member of the other."""
     return implied_by(below, codes, others).unionByName(implied_by(below, others, codes)).distinct()
 
@@ -180,9 +184,15 @@ def search_labels(labels: DataFrame, query: str, terminology: str | None = None)
 
 
 def ordered_by_code(codes: DataFrame) -> DataFrame:
-    """(s, pos): codes in order, numbered from 1 for each first part of the code, so that no single task holds all."""
-    group = F.substring_index("s", "/", 1)
-    return codes.select("s", F.row_number().over(Window.partitionBy(group).orderBy("s")).alias("pos"))
+    """(s, pos): codes in order, numbered from 1 within each terminology, what stands before the code's last ``/``.
+
+    One order over range partitions gives the places, and a terminology's least
+    place is taken from them, so neither a large terminology nor many fill one task.
+    """
+    group = F.regexp_replace("s", "/[^/]*$", "")
+    placed = checkpointed(numbered(codes.select("s", group.alias("group")), "group", "s"))
+    first = placed.groupBy("group").agg(F.min("pos").alias("first"))
+    return placed.join(first, "group").select("s", (F.col("pos") - F.col("first") + 1).alias("pos"))
 
 
 def by_generality(below: DataFrame, codes: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
-from .closure import Hierarchy, closure_pairs, components
+from .closure import Hierarchy, closure_pairs, components, numbered
 from .constructs import restrictions
+from .reach import Reach
 
 
 def direct(store: QuadStore, p: str) -> DataFrame:
@@ -123,6 +124,13 @@ def class_ancestors(store: QuadStore, include_self: bool = True, constructs: boo
     return out
 
 
+def are_subclasses(store: QuadStore, pairs: DataFrame) -> DataFrame:
+    """(s, o): those pairs of classes of which s is o, beneath it or equivalent to such a class; all tested at once."""
+    same = store.scan("objs", p=v.EQUIVALENT_CLASS).select("s", "o")
+    edges = store.scan("objs", p=v.SUBCLASS).select("s", "o").unionByName(same).unionByName(same.select(F.col("o").alias("s"), F.col("s").alias("o")))
+    return Reach.build(edges).holds(pairs)
+
+
 def is_subclass(store: QuadStore, cls: str, of: str) -> bool:
     """Whether a class is another, beneath it or equivalent to it."""
     return cls == of or not _ancestors(store).where((F.col("s") == cls) & (F.col("o") == of)).isEmpty()
@@ -206,17 +214,6 @@ def annotate(rows: DataFrame, annotation: str, graph: str) -> tuple[DataFrame, D
 
 
 def instances_ordered(instances: DataFrame, labels: DataFrame) -> DataFrame:
-    """(s, label, pos): instances by label, nulls first, then by name.
-
-    Ranks come from range partitions and running totals over them, so the
-    global order takes no single task.
-    """
-    joined = instances.join(labels.groupBy("s").agg(F.min("lex").alias("label")), "s", "left")
-    spread = joined.orderBy(F.asc_nulls_first("label"), "s").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    from .closure import checkpointed
-
-    fixed = checkpointed(spread)
-    sizes = fixed.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("at"))
-    return fixed.withColumn("rank", rank).join(before, "part").select("s", "label", (F.col("before") + F.col("rank")).alias("pos"))
+    """(s, label, pos): instances by label, nulls first, then by name."""
+    joined = instances.join(labels.groupBy("s").agg(F.min("lex").alias("label")), "s", "left").select("s", "label")
+    return numbered(joined, F.asc_nulls_first("label"), "s")
