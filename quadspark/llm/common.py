@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.closure import checkpointed  # noqa: F401
+from ..operators.closure import pinned as checkpointed  # noqa: F401
 
 _CACHE_LIMIT = 400_000
 

@@ -1,5 +1,6 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadspark.functions import vocab as v
 from quadspark.operators import closure
@@ -103,3 +104,11 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     chain = spark.range(2_000).selectExpr("id AS s", "id + 1 AS o")
     assert closure.cyclic_parts(chain, most=0).count() == 0
     assert len(rounds) <= 30  # a round for each doubling
+
+
+def test_the_estimated_size_of_a_loop_is_that_of_its_rows(spark):
+    rows = spark.range(20).toDF("a")
+    for _ in range(6):  # each estimate would be the product of two before it: 2**6 times the digits
+        rows = closure.checkpointed(rows.join(rows.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a"))
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+    assert rows.count() == 20

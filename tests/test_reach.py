@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quadspark.operators import terminology
+from quadspark.operators import reach, terminology
 from quadspark.operators.closure import numbered
 from quadspark.operators.reach import Reach
 
@@ -61,3 +61,19 @@ def test_codes_are_numbered_within_their_terminology(spark):
     rows = [(f"http://t/icd/{i:03d}",) for i in range(50)] + [(f"http://t/atc/{i}",) for i in range(9)] + [("plain",)]
     got = {r.s: r.pos for r in terminology.ordered_by_code(spark.createDataFrame(rows, "s string")).collect()}
     assert got["http://t/icd/049"] == 50 and got["http://t/atc/8"] == 9 and got["plain"] == 1 and len(got) == 60
+
+
+def test_a_test_of_sets_takes_no_rounds(spark, monkeypatch):
+    """A chain of 600 nodes: marks are carried along the walk, not hopped to."""
+    rows = [(i, i - 1) for i in range(1, 600)] + [(1000 + i, i) for i in range(0, 600, 7)]
+    index = Reach.build(spark.createDataFrame(rows, "s long, o long"))
+    written = []
+    monkeypatch.setattr("quadspark.operators.reach.checkpointed", lambda df, real=reach.checkpointed: written.append(1) or real(df))
+    of = lambda xs: spark.createDataFrame([(x,) for x in xs], "s long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.s for r in index.implied_by(of([*range(600), *range(1000, 1600, 7)]), of([250, 400, 1007])).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {*range(250, 600), *(1000 + i for i in range(0, 600, 7) if i >= 250), 1007}
+    assert len(written) == 2
