@@ -13,7 +13,10 @@ compared with multiplicity, both ways.
 from __future__ import annotations
 
 import functools
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ from .closure import checkpointed, components
 #: Predicates that read the same in both directions.
 SYMMETRIC = (v.EQUIVALENT_CLASS, v.EQUIVALENT_PROPERTY, v.DISJOINT_WITH, v.PROPERTY_DISJOINT, v.SAME_AS, v.DIFFERENT_FROM, v.INVERSE_OF)
 
+#: Parts of no more links between blank nodes than this are told apart each within a task, in one pass over all of them.
+FEW_LINKS = 64
+_TOLD = pa.schema([("g", pa.int32()), ("n", pa.string()), ("h", pa.int64())])
+
 
 def _rows(store: QuadStore) -> DataFrame:
     """(s, p, o): literals as text that holds datatype and language; symmetric triples with the lesser end first."""
@@ -76,15 +83,60 @@ def _cyclic_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
     return checkpointed(tied.join(core, ["g", "n"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
 
 
+def _told_apart(nodes: list[str], h: list[int], core: list[bool], ends: list[tuple[str, str, int]]) -> list[int]:
+    """Labels of a small part's nodes, those of its core told apart; ``ends`` has (s, o, hash of p)."""
+    at = {n: i for i, n in enumerate(nodes)}
+    links = [(at[s], at[o], k) for s, o, k in ends]
+
+    def refined(h: list[int]) -> list[int]:
+        known, before = len(set(h)), 0
+        while known > before:
+            around: list[list] = [[] for _ in h]
+            for s, o, k in links:
+                around[s].append((k, 0, h[o]))
+                around[o].append((k, 1, h[s]))
+            h = [hash((x, *sorted(y))) for x, y in zip(h, around, strict=True)]  # of whole numbers only, so the same in all processes
+            known, before = len(set(h)), known
+        return h
+
+    while tied := [(n, x) for x, n in Counter(x for x, c in zip(h, core, strict=True) if c).items() if n > 1]:
+        cell = min(tied)[1]
+        marked = ([hash((x, 1)) if i == j else x for j, x in enumerate(h)] for i, y in enumerate(h) if core[i] and y == cell)
+        h = min(map(refined, marked), key=sorted)
+    return h
+
+
+def _each_told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for r in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "h", "core", "s", "o", "k")), strict=True):
+            rows += [(r[0], n, x) for n, x in zip(r[1], _told_apart(*r[1:4], list(zip(*r[4:], strict=True))), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows, strict=True)) or ((), (), ()), _TOLD, strict=True)], schema=_TOLD)
+
+
+def _small_parts(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, n, h) of parts of a few ``links`` (g, part, s, o, k); ``nodes`` (g, n, h, part, core)."""
+    by = ["g", "part"]
+    ways = links.groupBy(*by).agg(F.collect_list(F.struct("s", "o", "k")).alias("e"))
+    cells = nodes.groupBy(*by).agg(F.collect_list(F.struct("n", "h", "core")).alias("c"))
+    parts = cells.join(ways, by).select("g", "c.n", "c.h", "c.core", "e.s", "e.o", "e.k")
+    return checkpointed(parts.mapInArrow(_each_told_apart, "g int, n string, h long"))
+
+
 def _individualised(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` (g, n, h) with the nodes on cycles told apart within their parts."""
     nodes = _cyclic_nodes(rows, labels)
     if nodes is None:
         return labels
-    end = F.when(_blank("s"), F.col("s")).otherwise(F.col("o"))
-    inside = checkpointed(rows.withColumn("n", end).join(nodes.select("g", "n", "part"), ["g", "n"]).select("g", "part", "s", "p", "o"))
+    # What is said with other nodes is in the labels already: nodes that share one agree in it.
+    inside = rows.where(_blank("s") & _blank("o")).join(nodes.select("g", F.col("n").alias("s"), "part"), ["g", "s"])
+    inside = checkpointed(inside.select("g", "part", "s", "p", "o", F.xxhash64("p").alias("k")))
     now = checkpointed(labels.join(nodes, ["g", "n"]).select("g", "n", "h", "part", "core"))
     by = ["g", "part", "branch"]
+    few = checkpointed(inside.groupBy("g", "part").agg(F.count("*").alias("k")).where(F.col("k") <= FEW_LINKS).select("g", "part"))
+    among = lambda f, how: f.join(few, ["g", "part"], how)
+    told = _small_parts(among(inside.drop("p"), "left_semi"), among(now, "left_semi"))
+    inside, now = checkpointed(among(inside.drop("k"), "left_anti")), checkpointed(among(now, "left_anti"))
     while True:
         cells = now.where("core").groupBy("g", "part", "h").count().where("count > 1")
         least = checkpointed(cells.groupBy("g", "part").agg(F.min(F.struct("count", "h")).alias("cell")).select("g", "part", "cell.h"))
@@ -97,6 +149,7 @@ def _individualised(rows: DataFrame, labels: DataFrame) -> DataFrame:
         best = certificate.groupBy("g", "part").agg(F.min(F.struct("c", "branch")).alias("b")).select("g", "part", "b.branch")
         chosen = tried.join(best, by, "left_semi").select("g", "n", F.col("h").alias("new"))
         now = checkpointed(now.join(chosen, ["g", "n"], "left").select("g", "n", F.coalesce("new", "h").alias("h"), "part", "core"))
+    now = now.select("g", "n", "h").unionByName(told)
     return labels.join(now.select("g", "n", F.col("h").alias("new")), ["g", "n"], "left").select("g", "n", F.coalesce("new", "h").alias("h"))
 
 
@@ -110,7 +163,8 @@ def canonical(*stores: QuadStore) -> list[DataFrame]:
     leads to copies that are alike or have different certificates: so for all but
     contrived regular graphs. A part of m nodes whose least cell has k costs k x m
     rows a round; trees, and trees that hang on cycles, are not copied for
-    themselves.
+    themselves. Parts of at most FEW_LINKS links take no rounds and no copies in
+    tables: each is told apart within a task.
     """
     tagged = [_rows(store).withColumn("g", F.lit(i)) for i, store in enumerate(stores)]
     rows = checkpointed(functools.reduce(DataFrame.unionByName, tagged))

@@ -428,3 +428,16 @@ def test_defined_classes_after_closing(spark):
     out = reason.realise_defined(QuadStore.of_rows(spark, objs + w.objs, w.datas))
     got = {(r.s[-1], r.o.removeprefix(E)) for r in out.graph(reason.INFERRED).objs.collect()}
     assert got == {("c", "None"), ("d", "None"), ("e", "None"), ("a", "One"), ("b", "One"), ("b", "Both")}
+
+
+def test_small_parts_are_told_apart_without_rounds(spark, monkeypatch):
+    """A prism and a Moebius ladder of eight nodes: all nodes alike, three links each."""
+    ladder = lambda name, twist: [(f"_:{name}{i}", f"_:{name}{j}") for i in range(4) for j in [(i + 1) % 4 + (4 if twist and i == 3 else 0), i + 4]] + [
+        (f"_:{name}{i + 4}", f"_:{name}{(i + 1) % 4 + (0 if twist and i == 3 else 4)}") for i in range(4)
+    ]
+    graph = lambda rows: QuadStore.of_rows(spark, [("g", a, "p", b) for a, b in rows])
+    refined, real = [], diff._refined
+    monkeypatch.setattr(diff, "_refined", lambda *x: refined.append(1) or real(*x))
+    assert diff.diff(graph(ladder("a", False)), graph(ladder("z", False)[::-1])).isEmpty()
+    assert diff.diff(graph(ladder("a", False)), graph(ladder("b", True))).count() == 24
+    assert len(refined) == 2
