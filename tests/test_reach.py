@@ -77,3 +77,17 @@ def test_a_test_of_sets_takes_no_rounds(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {*range(250, 600), *(1000 + i for i in range(0, 600, 7) if i >= 250), 1007}
     assert len(written) == 2
+
+
+def test_leaves_are_layers_beside_the_index(spark, monkeypatch):
+    """Leaves with two parents each, in two layers over a cycle: no walk of them is numbered by joins, and each is found."""
+    top = [("a", "b"), ("b", "a"), ("a", "r"), ("c", "r"), ("c", "c"), ("d", "r2")]
+    middle = [(f"m{i}", "abcd"[(i + k) % 4]) for i in range(12) for k in (0, 1)]
+    rows = top + middle + [(f"x{i}", f"m{(i * k) % 12}") for i in range(60) for k in (1, 5)] + [("x3", "x3"), ("x4", "e")]
+    monkeypatch.setattr(reach, "_tour", None)
+    index = Reach.build(spark.createDataFrame(rows, "s string, o string"), 10)
+    assert len(index.layers) == 2 and index.nodes.count() <= 8
+    want = closure(rows)
+    pairs = [(a, b) for a in want for b in want]
+    got = {tuple(r) for r in index.holds(spark.createDataFrame(pairs + [("none", "none"), ("x1", "none")], "s string, o string")).collect()}
+    assert got == {(a, b) for a in want for b in want[a]} | {("none", "none")}
