@@ -91,3 +91,7 @@ def test_leaves_are_layers_beside_the_index(spark, monkeypatch):
     pairs = [(a, b) for a in want for b in want]
     got = {tuple(r) for r in index.holds(spark.createDataFrame(pairs + [("none", "none"), ("x1", "none")], "s string, o string")).collect()}
     assert got == {(a, b) for a in want for b in want[a]} | {("none", "none")}
+    of = lambda xs: spark.createDataFrame([(x,) for x in xs], "s string")
+    for others in (["a"], ["e", "m7", "x2"], ["d"], ["r2", "none"]):
+        implied = {r.s for r in index.implied_by(of([*want, "none"]), of(others)).collect()}
+        assert implied == {c for c in want if want[c] & set(others)} | ({"none"} & set(others))
