@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
-from .closure import checkpointed, closure_pairs
+from .closure import checkpointed, closure_pairs, metadata
 from .constructs import Evaluator, Reader, lists, restrictions
 from .schema import disjoints
 from .values import _ancestors, most_specific, same_classes
@@ -28,7 +28,7 @@ def _swap(pairs: DataFrame) -> DataFrame:
 
 def domain_range_types(store: QuadStore) -> DataFrame:
     """(s, cls) from the domains and ranges of properties in use."""
-    axioms = lambda p: store.scan("objs", p=p).select(F.col("s").alias("p"), F.col("o").alias("cls")).where("NOT startswith(cls, '_:')")
+    axioms = lambda p: metadata(store.scan("objs", p=p).select(F.col("s").alias("p"), F.col("o").alias("cls")).where("NOT startswith(cls, '_:')"))
     facts = store.objs.select("s", "p", "o")
     subjects = facts.select("s", "p").unionByName(store.datas.select("s", "p"))
     return subjects.join(axioms(v.DOMAIN), "p").select("s", "cls").unionByName(facts.join(axioms(v.RANGE), "p").select(F.col("o").alias("s"), "cls")).distinct()
@@ -50,21 +50,21 @@ def _round(store: QuadStore) -> DataFrame | None:
     facts = store.objs.select("s", "p", "o")
     types = store.scan("objs", p=v.TYPE).select("s", "p", "o")
     axiom = lambda p: store.scan("objs", p=p).select("s", "o")
-    kinds = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
+    kinds = lambda k: metadata(store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p")))
     same = lambda a: a.where("x <> y").select(F.col("x").alias("s"), F.lit(v.SAME_AS).alias("p"), F.col("y").alias("o"))
     out: list[DataFrame] = []
     if has & {v.SUBCLASS, v.EQUIVALENT_CLASS}:
-        below = _ancestors(store).withColumnRenamed("s", "low").withColumnRenamed("o", "high")
+        below = metadata(_ancestors(store).withColumnRenamed("s", "low").withColumnRenamed("o", "high"))
         out.append(types.join(below, F.col("o") == F.col("low")).select("s", "p", F.col("high").alias("o")))
         out.append(below.select(F.col("low").alias("s"), F.lit(v.SUBCLASS).alias("p"), F.col("high").alias("o")))
     if has & {v.SUBPROPERTY, v.EQUIVALENT_PROPERTY}:
         sub = axiom(v.SUBPROPERTY).unionByName(axiom(v.EQUIVALENT_PROPERTY)).unionByName(_swap(axiom(v.EQUIVALENT_PROPERTY)))
-        out.append(facts.join(sub.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").select("s", F.col("q").alias("p"), "o"))
+        out.append(facts.join(metadata(sub.select(F.col("s").alias("p"), F.col("o").alias("q"))), "p").select("s", F.col("q").alias("p"), "o"))
     if has & {v.DOMAIN, v.RANGE}:
         out.append(domain_range_types(store).select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o")))
     if v.INVERSE_OF in has:
         inverse = axiom(v.INVERSE_OF).where("NOT startswith(s, '_:') AND NOT startswith(o, '_:')")
-        both = inverse.unionByName(_swap(inverse)).select(F.col("s").alias("p"), F.col("o").alias("q"))
+        both = metadata(inverse.unionByName(_swap(inverse)).select(F.col("s").alias("p"), F.col("o").alias("q")))
         out.append(facts.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
     if v.SYMMETRIC in has:
         out.append(facts.join(kinds(v.SYMMETRIC), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
@@ -86,20 +86,20 @@ def _restriction_rules(store: QuadStore, facts: DataFrame, types: DataFrame, sam
     """What restrictions give: types of those that meet them, values and types of values for members."""
     out = []
     view = checkpointed(restrictions(store).where("NOT inverse"))
-    some = view.where("kind = 'some' AND filler IS NOT NULL AND source = 'equivalent_to'")
+    some = metadata(view.where("kind = 'some' AND filler IS NOT NULL AND source = 'equivalent_to'"))
     has = facts.join(some, facts["p"] == some["property"])
     out.append(
         has.join(types.select(F.col("s").alias("o"), F.col("o").alias("filler")), ["o", "filler"], "left_semi").unionByName(has.where(F.col("filler") == v.THING).select("o", "filler", *[c for c in has.columns if c not in ("o", "filler")]))
         .select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o"))
     )
     # At most one value: all the values of an individual are the same.
-    one = view.where("kind = 'max' AND cardinality = 1 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("q"))
+    one = metadata(view.where("kind = 'max' AND cardinality = 1 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("q")))
     held = types.join(one, "o").select("s", F.col("q").alias("p")).distinct().join(facts, ["s", "p"])
     out.append(same(held.join(held.groupBy("s", "p").agg(F.min("o").alias("y")), ["s", "p"]).select(F.col("o").alias("x"), "y")))
-    value = view.where("kind = 'value' AND filler IS NOT NULL")
+    value = metadata(view.where("kind = 'value' AND filler IS NOT NULL"))
     out.append(types.join(value, types["o"] == value["cls"]).select("s", F.col("property").alias("p"), F.col("filler").alias("o")))
     out.append(facts.join(value.where("source = 'equivalent_to'"), (facts["p"] == F.col("property")) & (facts["o"] == F.col("filler"))).select("s", F.lit(v.TYPE).alias("p"), F.col("cls").alias("o")))
-    only = view.where("kind = 'only' AND filler IS NOT NULL")
+    only = metadata(view.where("kind = 'only' AND filler IS NOT NULL"))
     inside = types.join(only, types["o"] == only["cls"]).select(F.col("s").alias("x"), F.col("property").alias("q"), "filler")
     out.append(facts.join(inside, (facts["s"] == F.col("x")) & (facts["p"] == F.col("q"))).select(F.col("o").alias("s"), F.lit(v.TYPE).alias("p"), F.col("filler").alias("o")).where("NOT startswith(o, '_:')"))
     return out
@@ -114,7 +114,7 @@ def _lists_rules(store: QuadStore) -> DataFrame | None:
     types = facts.where(F.col("p") == v.TYPE).select("s", "o")
     same = store.scan("objs", p=v.EQUIVALENT_CLASS).select(F.col("s").alias("cls"), F.col("o").alias("node"))
     named = lambda p: same.join(store.scan("objs", p=p).select(F.col("s").alias("node"), F.col("o").alias("lst")), "node").join(members, "lst").select("cls", "item")
-    inter, union, one = named(v.INTERSECTION), named(v.UNION), named(v.ONE_OF)
+    inter, union, one = metadata(named(v.INTERSECTION)), metadata(named(v.UNION)), named(v.ONE_OF)
     size = inter.groupBy("cls").agg(F.count("*").alias("n"))
     full = types.join(inter, types["o"] == inter["item"]).groupBy("s", "cls").agg(F.count_distinct("item").alias("k")).join(size, "cls").where("k = n")
     parts = [
@@ -184,20 +184,20 @@ def violations(store: QuadStore) -> DataFrame:
     kinds = store.scan("objs", p=v.TYPE, o=[v.IRREFLEXIVE, v.ASYMMETRIC, v.NOTHING]).select(F.col("o").alias("p"))
     has = {r[0] for r in store.scan("objs", p=clashing).select("p").unionByName(kinds).distinct().collect()}
     types, facts = store.scan("objs", p=v.TYPE).select("s", "o").distinct(), store.objs.select("s", "p", "o")
-    of_kind = lambda k: store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p"))
+    of_kind = lambda k: metadata(store.scan("objs", p=v.TYPE, o=k).select(F.col("s").alias("p")))
     found = [types.limit(0).select("s", F.lit("").alias("kind"))]
     add = lambda rows, kind: found.append(rows.select("s", F.lit(kind).alias("kind")))
     if has & {v.DISJOINT_WITH, v.MEMBERS}:
-        groups = disjoints(store).withColumnRenamed("member", "o")
+        groups = metadata(disjoints(store).withColumnRenamed("member", "o"))
         add(types.join(groups, "o").groupBy("s", "grp").agg(F.count_distinct("o").alias("n")).where("n > 1"), "disjoint")
     if has & {v.PROPERTY_DISJOINT, v.MEMBERS}:
-        apart = disjoints(store, "properties").withColumnRenamed("member", "p")
+        apart = metadata(disjoints(store, "properties").withColumnRenamed("member", "p"))
         add(facts.join(apart, "p").groupBy("s", "o", "grp").agg(F.count_distinct("p").alias("n")).where("n > 1"), "disjoint properties")
     if has & {v.DIFFERENT_FROM, v.DISTINCT_MEMBERS, v.MEMBERS}:
         differ = disjoints(store, "individuals").withColumnRenamed("member", "node")
         add(same_classes(store).join(differ, "node").groupBy("component", "grp").agg(F.min("node").alias("s"), F.count_distinct("node").alias("n")).where("n > 1"), "same and different")
     if v.ON_PROPERTY in has:
-        none = restrictions(store).where("NOT inverse AND kind IN ('max', 'exactly') AND cardinality = 0 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("p"))
+        none = metadata(restrictions(store).where("NOT inverse AND kind IN ('max', 'exactly') AND cardinality = 0 AND filler IS NULL").select(F.col("cls").alias("o"), F.col("property").alias("p")))
         add(types.join(none, "o").select("s", "p").join(facts.select("s", "p"), ["s", "p"], "left_semi"), "too many values")
     if v.IRREFLEXIVE in has:
         add(facts.join(of_kind(v.IRREFLEXIVE), "p", "left_semi").where("s = o"), "irreflexive")

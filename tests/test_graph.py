@@ -441,3 +441,22 @@ def test_small_parts_are_told_apart_without_rounds(spark, monkeypatch):
     assert diff.diff(graph(ladder("a", False)), graph(ladder("z", False)[::-1])).isEmpty()
     assert diff.diff(graph(ladder("a", False)), graph(ladder("b", True))).count() == 24
     assert len(refined) == 2
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_are_not_sorted_by_class_to_find_clashes(spark, no_small_tables):
+    """All members of a class would come to one task."""
+    s = QuadStore.of_rows(spark, [("g", f"{E}{i}", v.TYPE, E + "A") for i in range(9)] + [("g", E + "1", v.TYPE, E + "B"), ("g", E + "A", v.DISJOINT_WITH, E + "B")])
+    found = reason.violations(s)
+    assert "SortMergeJoin" not in _plan(found)
+    assert [r.s for r in found.collect()] == [E + "1"]
