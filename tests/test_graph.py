@@ -460,3 +460,12 @@ def test_facts_are_not_sorted_by_class_to_find_clashes(spark, no_small_tables):
     found = reason.violations(s)
     assert "SortMergeJoin" not in _plan(found)
     assert [r.s for r in found.collect()] == [E + "1"]
+
+
+def test_facts_are_not_sorted_by_predicate_to_infer(spark, no_small_tables):
+    """All facts of a property would come to one task, and so would all members of a class."""
+    rows = [("g", f"{E}{i}", E + "p", E + "x") for i in range(9)] + [("g", E + "x", v.TYPE, E + "A"), ("g", E + "A", v.SUBCLASS, E + "B"), ("g", E + "p", v.INVERSE_OF, E + "q")]
+    made = reason._round(QuadStore.of_rows(spark, rows))
+    assert "SortMergeJoin" not in _plan(made)
+    got = {tuple(r) for r in made.where("NOT contains(p, 'subClassOf')").collect()}
+    assert got == {(E + "x", E + "q", f"{E}{i}") for i in range(9)} | {(E + "x", v.TYPE, E + "B")} | ({(E + "x", v.TYPE, E + "A")} & got)
