@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
-from .closure import checkpointed
+from .closure import checkpointed, metadata, union_all
 from .constructs import Expression, Named, Or, Property, Writer
 
 
@@ -78,27 +78,35 @@ def doomed(store: QuadStore, seeds: DataFrame) -> DataFrame:
     links = store.scan("objs", p=list(v.CONSTRUCT))
     owned = links.where(F.col("o").startswith("_:")).select(F.col("s").alias("a"), F.col("o").alias("b"))
     owner = links.where(F.col("s").startswith("_:")).select(F.col("o").alias("a"), F.col("s").alias("b"))
-    # Axioms fall with their source, property or target.
-    noted = store.scan("objs", p=[v.SOURCE, v.PROPERTY, v.TARGET]).select(F.col("o").alias("a"), F.col("s").alias("b"))
-    edges = checkpointed(owned.unionByName(owner).unionByName(noted).distinct())
-    found = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("s")).distinct())
-    frontier = found
+    # Axioms fall with their source, property or target; a property has many, so these are looked at where it falls itself.
+    noted = store.scan("objs", p=[v.SOURCE, v.TARGET]).select(F.col("o").alias("a"), F.col("s").alias("b"))
+    used = store.scan("objs", p=v.PROPERTY).select(F.col("o").alias("a"), F.col("s").alias("b"))
+    properties = checkpointed(used.select("a").distinct())
+    edges = checkpointed(owned.unionByName(owner).unionByName(noted))
+    frontier = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("s")).distinct())
+    found = [frontier]
     while True:
-        new = edges.join(frontier.select(F.col("s").alias("a")), "a", "left_semi").select(F.col("b").alias("s")).distinct()
-        frontier = checkpointed(new.join(found, "s", "left_anti"))
+        at = frontier.select(F.col("s").alias("a"))
+        new = edges.join(at, "a", "left_semi").select(F.col("b").alias("s"))
+        fallen = checkpointed(properties.join(at, "a", "left_semi"))
+        if not fallen.isEmpty():
+            new = new.unionByName(used.join(metadata(fallen), "a", "left_semi").select(F.col("b").alias("s")))
+        frontier = checkpointed(new.distinct().join(union_all(found), "s", "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = checkpointed(found.unionByName(frontier))
+            return union_all(found)
+        found.append(frontier)
 
 
 def destroy(store: QuadStore, seeds: DataFrame) -> tuple[QuadStore, Removed]:
     """The store without the seeds, every triple that mentions them and their blank nodes; and what went."""
     gone = doomed(store, seeds)
     side = lambda c: gone.select(F.col("s").alias(c))
-    objs = store.objs.join(side("s"), "s", "left_anti").join(side("p"), "p", "left_anti").join(side("o"), "o", "left_anti").select("c", "s", "p", "o")
-    datas = store.datas.join(side("s"), "s", "left_anti").join(side("p"), "p", "left_anti").select(*store.datas.columns)
-    lost = store.objs.join(side("s"), "s", "left_semi").unionByName(store.objs.join(side("o"), "o", "left_semi")).unionByName(store.objs.join(side("p"), "p", "left_semi"))
-    lost_datas = store.datas.join(side("s"), "s", "left_semi").unionByName(store.datas.join(side("p"), "p", "left_semi"))
+    # Triples are many for each predicate, so they are not joined by it with all that goes, but with what of that is a predicate.
+    as_p = metadata(store.objs.select("p").unionByName(store.datas.select("p")).distinct().join(side("p"), "p", "left_semi"))
+    objs = store.objs.join(as_p, "p", "left_anti").join(side("s"), "s", "left_anti").join(side("o"), "o", "left_anti").select("c", "s", "p", "o")
+    datas = store.datas.join(as_p, "p", "left_anti").join(side("s"), "s", "left_anti").select(*store.datas.columns)
+    lost = store.objs.join(side("s"), "s", "left_semi").unionByName(store.objs.join(side("o"), "o", "left_semi")).unionByName(store.objs.join(as_p, "p", "left_semi"))
+    lost_datas = store.datas.join(side("s"), "s", "left_semi").unionByName(store.datas.join(as_p, "p", "left_semi"))
     return replace(store, objs=objs, datas=datas), Removed(lost.select("c", "s", "p", "o").distinct(), lost_datas.select(*store.datas.columns).distinct())
 
 

@@ -469,3 +469,13 @@ def test_facts_are_not_sorted_by_predicate_to_infer(spark, no_small_tables):
     assert "SortMergeJoin" not in _plan(made)
     got = {tuple(r) for r in made.where("NOT contains(p, 'subClassOf')").collect()}
     assert got == {(E + "x", E + "q", f"{E}{i}") for i in range(9)} | {(E + "x", v.TYPE, E + "B")} | ({(E + "x", v.TYPE, E + "A")} & got)
+
+
+def test_a_destroy_sorts_no_triples_by_predicate(spark, no_small_tables):
+    """All triples of a property would come to one task; what notes a property still falls with it."""
+    axioms = [("g", f"_:a{i}", p, o) for i in range(4) for p, o in ((v.SOURCE, f"{E}s{i}"), (v.PROPERTY, E + ("p" if i < 3 else "q")), (v.TARGET, f"{E}t{i % 2}"))]
+    s = QuadStore.of_rows(spark, axioms + [("g", E + "x", E + "p", E + "y"), ("g", E + "x", E + "q", E + "y")])
+    left, removed = mutate.destroy(s, spark.createDataFrame([(E + "q",), (E + "t1",)], "s string"))
+    assert "hashpartitioning(p#" not in _plan(left.objs) and "hashpartitioning(p#" not in _plan(left.datas)
+    assert {(r.s, r.p) for r in left.objs.collect()} == {(f"_:a{i}", p) for i in (0, 2) for p in (v.SOURCE, v.PROPERTY, v.TARGET)} | {(E + "x", E + "p")}
+    assert removed.objs.count() == 7
