@@ -95,3 +95,18 @@ def test_leaves_are_layers_beside_the_index(spark, monkeypatch):
     for others in (["a"], ["e", "m7", "x2"], ["d"], ["r2", "none"]):
         implied = {r.s for r in index.implied_by(of([*want, "none"]), of(others)).collect()}
         assert implied == {c for c in want if want[c] & set(others)} | ({"none"} & set(others))
+
+
+def test_sets_are_compared_by_two_tests_that_broadcast_no_node(spark, monkeypatch):
+    rows = [(f"m{i}", f"r{i % 3}") for i in range(12)] + [(f"x{i}", f"m{i * k % 12}") for i in range(60) for k in (1, 5)]
+    index = Reach.build(spark.createDataFrame(rows, "s string, o string"), 10)
+    of = lambda xs: spark.createDataFrame([(x,) for x in xs], "s string")
+    codes, others, want = [f"x{i}" for i in range(0, 60, 2)] + ["r1", "none"], ["r0", "m4", "x2", "x5"], closure(rows) | {"none": {"none"}}
+    plan = index.implied_by(of(codes), of(others))._jdf.queryExecution().executedPlan().toString()
+    assert index.layers and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    tests = []
+    monkeypatch.setattr(terminology, "implied_by", lambda *a, real=terminology.implied_by: tests.append(1) or real(*a))
+    got = [tuple(r) for r in terminology.compared(index, of(codes), of(others)).collect()]
+    implied, back = {c for c in codes if want[c] & set(others)}, {c for c in others if want[c] & set(codes)}
+    each = {"implied": implied, "subtract": set(codes) - implied, "common": implied | back}
+    assert len(tests) == 2 and sorted(got) == sorted((op, s) for op, found in each.items() for s in found)
