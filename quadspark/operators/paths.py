@@ -140,39 +140,67 @@ class Automaton:
             self.before[state] |= last
         return first | (first2 if empty else set()), last2 | (last if empty2 else set()), empty and empty2
 
+    def after(self, at: set[int]) -> set[int]:
+        """The states that may follow one of ``at``."""
+        return {state for state, before in self.before.items() if before & at}
+
+    def again(self) -> set[int]:
+        """The states that a walk may come to in different rounds; rows of any other state are all found in one round."""
+        seen: set[int] = set()
+        out: set[int] = set()
+        at = {0}
+        for _ in range(2 * len(self.steps)):
+            at = self.after(at)
+            out |= at & seen
+            seen |= at
+        return out
+
 
 def follow(store: QuadStore, path: Path, start: str | DataFrame | None = None, end: str | None = None) -> DataFrame:
     """Distinct (s, o) such that the path leads from s to o.
 
     ``start``: one node, or a frame whose first column has the nodes; ``end``: one
-    node. Without either every node of a triple is a start. A path that may be
-    empty leads from each start to itself.
+    node. Without either every node of a triple is a start, and the path is walked
+    from that side which has fewer nodes, as a walk holds at most a row for each
+    of these with each node and state. A path that may be empty leads from each
+    start to itself.
     """
+    flipped = lambda rows: rows.select(F.col("o").alias("s"), F.col("s").alias("o"))
     if start is None and end is not None:
-        return follow(store, ~path, end).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        return flipped(follow(store, ~path, end))
     spark, made = store.objs.sparkSession, Automaton.of(path)
     kinds = list(dict.fromkeys(made.steps.values()))
-    edges = reduce(DataFrame.unionByName, [k.edges(store).select(F.lit(i).alias("kind"), "s", "o") for i, k in enumerate(kinds)]).distinct()
-    loops = any(state in made.before[state] or len(made.before[state]) > 1 for state in made.steps)
-    edges = stored(edges, "path-edges") if loops else edges
+    edges = reduce(DataFrame.unionByName, [k.edges(store).select(F.lit(i).alias("kind"), "s", "o") for i, k in enumerate(kinds)])
+    if start is None and not made.empty:
+        first, last = (F.col("kind").isin(*sorted({kinds.index(made.steps[i]) for i in at})) for at in ([i for i, b in made.before.items() if 0 in b], made.ends))
+        sizes = edges.where(first | last).agg(*(F.approx_count_distinct(F.when(at, F.col(c))) for at, c in ((first, "s"), (last, "o")))).first()
+        if sizes[1] < sizes[0]:
+            return flipped(follow(store, ~path, edges.where(last).select("o")))
+        start = edges.where(first).select("s")
+    again = made.again()
+    edges = stored(edges.distinct(), "path-edges") if again else edges
     if isinstance(start, str):
         seeds = spark.createDataFrame([(start,)], "s string")
     elif start is not None:
         seeds = start.select(F.col(start.columns[0]).alias("s")).distinct()
-    elif made.empty:
-        seeds = store.quads.select("s").unionByName(store.objs.select(F.col("o").alias("s"))).distinct()
     else:
-        opening = [kinds.index(made.steps[i]) for i, b in made.before.items() if 0 in b]
-        seeds = edges.where(F.col("kind").isin(*opening)).select("s").distinct()
+        seeds = store.quads.select("s").unionByName(store.objs.select(F.col("o").alias("s"))).distinct()
     frontier = checkpointed(seeds.select("s", F.col("s").alias("o"), F.lit(0).alias("state")))
-    found = [frontier]
-    while True:
+    found, at = [frontier], {0}
+    while at := made.after(at):
         steps = []
-        for state, step in made.steps.items():
+        for state in sorted(at):
             ready = frontier.where(F.col("state").isin(*made.before[state])).select(F.col("s").alias("from"), F.col("o").alias("s"))
-            steps.append(ready.join(edges.where(F.col("kind") == kinds.index(step)), "s").select(F.col("from").alias("s"), "o", F.lit(state).alias("state")))
-        new = reduce(DataFrame.unionByName, steps).distinct()
-        frontier = checkpointed(new.join(reduce(DataFrame.unionByName, found), ["s", "o", "state"], "left_anti"))
+            steps.append(ready.join(edges.where(F.col("kind") == kinds.index(made.steps[state])), "s").select(F.col("from").alias("s"), "o", F.lit(state).alias("state")))
+        new = reduce(DataFrame.unionByName, steps)
+        if not made.after(at):  # nothing goes on from here
+            found.append(new)
+            break
+        new = new.distinct()
+        if at & again:
+            known = reduce(DataFrame.unionByName, found).where(F.col("state").isin(*again))
+            new = new.join(known, ["s", "o", "state"], "left_anti")
+        frontier = checkpointed(new)
         if frontier.isEmpty():
             break
         found.append(frontier)

@@ -2,6 +2,7 @@
 
 import random
 
+from quadspark.operators.closure import checkpointed
 from quadspark.operators.paths import Automaton, But, Either, Many, Maybe, Prop, Seq, follow
 from quadspark.sources.store import QuadStore
 
@@ -40,3 +41,15 @@ def test_automaton_of_nested_repeats():
     made = Automaton.of(((Prop("a") / Prop("b").maybe()).plus() | Prop("c")).star())
     assert made.empty and made.ends == {1, 2, 3}
     assert made.before == {1: {0, 1, 2, 3}, 2: {1}, 3: {0, 1, 2, 3}}
+
+
+def test_walks_begin_at_the_side_with_fewer_nodes(spark, monkeypatch):
+    """40 nodes beneath one another and two ends: a row is held for each end, not for each node above; states of one round are compared with no other."""
+    rows = [("g", f"n{i}", "up", f"n{i // 2}") for i in range(1, 40)] + [("g", f"n{i}", "in", f"e{i % 2}") for i in range(40)]
+    held = []
+    monkeypatch.setattr("quadspark.operators.paths.checkpointed", lambda df, real=checkpointed: held.append(real(df)) or held[-1])
+    path = Prop("up").star() / Prop("in")
+    got = {tuple(x) for x in follow(QuadStore.of_rows(spark, rows), path).collect()}
+    assert got == relation(path, {r[1:] for r in rows}, {f"n{i}" for i in range(40)})
+    assert sum(h.count() for h in held) <= 2 + 40 + 2 * 40
+    assert Automaton.of(path).again() == {1, 2} and Automaton.of(~path).again() == {2} and not Automaton.of((Prop("a") | Prop("b")) / Prop("c")).again()
