@@ -259,7 +259,7 @@ def rdf_list_order(store, spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     items = line.select(F.concat(F.lit("_:list"), "l_orderkey").alias("lst"), F.row_number().over(w).alias("pos"), F.col("l_partkey").cast("string").alias("item"))
-    found = constructs.lists(QuadStore(mutate.list_rows(items, "lift"), store.datas))
+    found = constructs.lists(QuadStore(closure.stored(mutate.list_rows(items, "lift"), "lists"), store.datas))
     return found.select(F.substring("lst", 7, 30).cast("bigint").alias("lst"), "pos", F.col("item").cast("bigint").alias("item"))
 
 

@@ -112,3 +112,14 @@ def test_the_estimated_size_of_a_loop_is_that_of_its_rows(spark):
         rows = closure.checkpointed(rows.join(rows.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a"))
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
     assert rows.count() == 20
+
+
+def test_lists_are_ordered_by_numbers(spark, monkeypatch):
+    """Names of cells are met as they are numbered; what the rounds write is numbers alone."""
+    cells = [f"c{i}" for i in range(20)]
+    pair = lambda rows: spark.createDataFrame(rows, "s string, o string")
+    written = []
+    monkeypatch.setattr(closure, "checkpointed", lambda df, real=closure.checkpointed: written.append({t for _, t in df.dtypes}) or real(df))
+    got = {tuple(x) for x in list_items(pair([(c, c.upper()) for c in cells]), pair(list(zip(cells, [*cells[1:], v.NIL], strict=True)) + [("x", "gone")])).collect()}
+    assert got == {("c0", i + 1, c.upper(), 20) for i, c in enumerate(cells)}
+    assert len(written) > 5 and all(t <= {"bigint", "boolean"} for t in written[1:])
