@@ -110,3 +110,18 @@ def test_sets_are_compared_by_two_tests_that_broadcast_no_node(spark, monkeypatc
     implied, back = {c for c in codes if want[c] & set(others)}, {c for c in others if want[c] & set(codes)}
     each = {"implied": implied, "subtract": set(codes) - implied, "common": implied | back}
     assert len(tests) == 2 and sorted(got) == sorted((op, s) for op, found in each.items() for s in found)
+
+
+def test_what_is_asked_is_worked_out_once(spark):
+    """The frame of pairs may be a join of whole tables: a test of it reads it once."""
+    index = Reach.build(spark.createDataFrame([("b", "a"), ("c", "b")], "s string, o string"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        seen.add(1)
+        return rows
+
+    rows = spark.createDataFrame([("c", "a"), ("a", "c"), ("z", "z")], "s string, o string").coalesce(1)
+    pairs = rows.mapInPandas(lambda frames: map(counted, frames), "s string, o string")
+    assert {tuple(r) for r in index.holds(pairs).collect()} == {("c", "a"), ("z", "z")}
+    assert seen.value == 1
