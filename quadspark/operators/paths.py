@@ -5,7 +5,7 @@ the other, ``x | y`` either, ``x.star()``, ``x.plus()``, ``x.maybe()`` and
 ``But(p, q)``, any property but these. It becomes an automaton with a state for
 each property in it (positions and which may follow which), so that a round is
 one join of the frontier with the edges of each state; a frontier holds only what
-the round before has found. A constant start or end seeds the walk: from an end
+the round before has found. Of several rounds only the first and last meet names. A constant start or end seeds the walk: from an end
 the path is walked backwards.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import QuadStore
-from .closure import checkpointed, stored
+from .closure import checkpointed, code, coded, stored, with_names
 
 
 @dataclass(frozen=True)
@@ -178,13 +178,17 @@ def follow(store: QuadStore, path: Path, start: str | DataFrame | None = None, e
             return flipped(follow(store, ~path, edges.where(last).select("o")))
         start = edges.where(first).select("s")
     again = made.again()
-    edges = stored(edges.distinct(), "path-edges") if again else edges
     if isinstance(start, str):
         seeds = spark.createDataFrame([(start,)], "s string")
     elif start is not None:
         seeds = start.select(F.col(start.columns[0]).alias("s")).distinct()
     else:
         seeds = store.quads.select("s").unionByName(store.objs.select(F.col("o").alias("s"))).distinct()
+    if again:  # names are met once and rounds move their numbers
+        edges, seeds = stored(edges.distinct(), "path-edges"), stored(seeds, "path-seeds")
+        names, seed = coded(reduce(DataFrame.unionByName, [edges.select(F.col(c).alias("name")) for c in ("s", "o")] + [seeds.select(F.col("s").alias("name"))]))
+        starts = stored(names.join(seeds.select(F.col("s").alias("name")), "name", "left_semi").select("id", "name"), "path-seeds")
+        edges, seeds = stored(edges.select("kind", code("s", seed).alias("s"), code("o", seed).alias("o")), "path-edges"), starts.select(F.col("id").alias("s"))
     frontier = checkpointed(seeds.select("s", F.col("s").alias("o"), F.lit(0).alias("state")))
     found, at = [frontier], {0}
     while at := made.after(at):
@@ -206,4 +210,5 @@ def follow(store: QuadStore, path: Path, start: str | DataFrame | None = None, e
         found.append(frontier)
     good = [*made.ends, *([0] if made.empty else [])]
     out = reduce(DataFrame.unionByName, found).where(F.col("state").isin(*good)).select("s", "o").distinct()
+    out = with_names(out, starts, names) if again else out
     return out if end is None else out.where(F.col("o") == end)

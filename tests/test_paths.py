@@ -2,6 +2,7 @@
 
 import random
 
+from quadspark.operators import closure, paths
 from quadspark.operators.closure import checkpointed
 from quadspark.operators.paths import Automaton, But, Either, Many, Maybe, Prop, Seq, follow
 from quadspark.sources.store import QuadStore
@@ -53,3 +54,16 @@ def test_walks_begin_at_the_side_with_fewer_nodes(spark, monkeypatch):
     assert got == relation(path, {r[1:] for r in rows}, {f"n{i}" for i in range(40)})
     assert sum(h.count() for h in held) <= 2 + 40 + 2 * 40
     assert Automaton.of(path).again() == {1, 2} and Automaton.of(~path).again() == {2} and not Automaton.of((Prop("a") | Prop("b")) / Prop("c")).again()
+
+
+def test_rounds_of_a_walk_move_numbers(spark, monkeypatch):
+    """Also where two names share a number under the first seed."""
+    real = closure.code
+    for module in (closure, paths):
+        monkeypatch.setattr(module, "code", lambda name, seed: real(name, seed) % 2 if seed == 0 else real(name, seed))
+    held = []
+    monkeypatch.setattr(paths, "checkpointed", lambda df: held.append(checkpointed(df)) or held[-1])
+    rows = [("g", f"n{i}", "up", f"n{i // 2}") for i in range(1, 12)]
+    got = {tuple(x) for x in follow(QuadStore.of_rows(spark, rows), Prop("up").plus()).collect()}
+    assert got == relation(Prop("up").plus(), {r[1:] for r in rows}, {f"n{i}" for i in range(12)})
+    assert held and {dict(h.dtypes)[c] for h in held for c in ("s", "o")} == {"bigint"}
