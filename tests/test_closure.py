@@ -38,6 +38,13 @@ def test_components(spark, edges):
     assert got == {n: min({n} | {b for a, b in linked if a == n}) for n in nodes}
 
 
+def test_a_fingerprint_of_many_rows_does_not_overflow(spark):
+    """A sum of hashes below 2^40 as a whole number did, at some 17 million rows; components compare their rounds by it."""
+    rows = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert closure.fingerprint(rows)[0] == 20_000_000
+    assert closure.fingerprint(rows.where("a < 9")) == closure.fingerprint(rows.where("a < 9").repartition(3)) != closure.fingerprint(rows.where("a < 8"))
+
+
 def test_hierarchy(spark):
     h = Hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c")], "s string, o string"))
     assert {r[0] for r in h.below(spark, ["c"]).collect()} == {"a", "b", "c", "d"}
