@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..sources.store import QuadStore
-from .closure import checkpointed, metadata, union_all
+from .closure import checkpointed, metadata, sift, union_all
 from .constructs import Expression, Named, Or, Property, Writer
 
 
@@ -82,12 +82,17 @@ def doomed(store: QuadStore, seeds: DataFrame) -> DataFrame:
     noted = store.scan("objs", p=[v.SOURCE, v.TARGET]).select(F.col("o").alias("a"), F.col("s").alias("b"))
     used = store.scan("objs", p=v.PROPERTY).select(F.col("o").alias("a"), F.col("s").alias("b"))
     properties = checkpointed(used.select("a").distinct())
-    edges = checkpointed(owned.unionByName(owner).unionByName(noted))
+    edges = owned.unionByName(owner).unionByName(noted)
+    # Links of named things are many, and met where these fall only, so they are read again; those that go on from blank nodes are written once.
+    inner = checkpointed(edges.where(F.col("a").startswith("_:")))
     frontier = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("s")).distinct())
     found = [frontier]
     while True:
         at = frontier.select(F.col("s").alias("a"))
-        new = edges.join(at, "a", "left_semi").select(F.col("b").alias("s"))
+        onward = lambda f, at: sift(f, "a", at)[0].join(at, "a", "left_semi").select(F.col("b").alias("s"))
+        new = onward(inner, at.where(F.col("a").startswith("_:")))
+        if not (named := at.where(~F.col("a").startswith("_:"))).isEmpty():
+            new = new.unionByName(onward(edges, named))
         fallen = checkpointed(properties.join(at, "a", "left_semi"))
         if not fallen.isEmpty():
             new = new.unionByName(used.join(metadata(fallen), "a", "left_semi").select(F.col("b").alias("s")))
@@ -103,9 +108,11 @@ def destroy(store: QuadStore, seeds: DataFrame) -> tuple[QuadStore, Removed]:
     side = lambda c: gone.select(F.col("s").alias(c))
     # Triples are many for each predicate, so they are not joined by it with all that goes, but with what of that is a predicate.
     as_p = metadata(store.objs.select("p").unionByName(store.datas.select("p")).distinct().join(side("p"), "p", "left_semi"))
-    objs = store.objs.join(as_p, "p", "left_anti").join(side("s"), "s", "left_anti").join(side("o"), "o", "left_anti").select("c", "s", "p", "o")
+    # Few triples lead to what goes, so the others are not dealt by their objects; all are by their subjects, last, as joins on these go on from there.
+    led, free = sift(store.objs.join(as_p, "p", "left_anti"), "o", gone)
+    objs = free.unionByName(led.join(side("o"), "o", "left_anti").select(*free.columns)).join(side("s"), "s", "left_anti").select("c", "s", "p", "o")
     datas = store.datas.join(as_p, "p", "left_anti").join(side("s"), "s", "left_anti").select(*store.datas.columns)
-    lost = store.objs.join(side("s"), "s", "left_semi").unionByName(store.objs.join(side("o"), "o", "left_semi")).unionByName(store.objs.join(as_p, "p", "left_semi"))
+    lost = store.objs.join(side("s"), "s", "left_semi").unionByName(sift(store.objs, "o", gone)[0].join(side("o"), "o", "left_semi").select(*store.objs.columns)).unionByName(store.objs.join(as_p, "p", "left_semi"))
     lost_datas = store.datas.join(side("s"), "s", "left_semi").unionByName(store.datas.join(as_p, "p", "left_semi"))
     return replace(store, objs=objs, datas=datas), Removed(lost.select("c", "s", "p", "o").distinct(), lost_datas.select(*store.datas.columns).distinct())
 

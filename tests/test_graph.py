@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadspark.functions import vocab as v
-from quadspark.operators import closing, constructs, diff, mutate, reason, render, rules, schema, terminology, values
+from quadspark.operators import closing, closure, constructs, diff, mutate, reason, render, rules, schema, terminology, values
 from quadspark.operators.bgp import Pattern, update
 from quadspark.operators.constructs import Evaluator, Facets, Named, Property, Writer
 from quadspark.operators.search import FTS, Iri, NumS, Or, both, either, search, search_bm25
@@ -479,3 +479,24 @@ def test_a_destroy_sorts_no_triples_by_predicate(spark, no_small_tables):
     assert "hashpartitioning(p#" not in _plan(left.objs) and "hashpartitioning(p#" not in _plan(left.datas)
     assert {(r.s, r.p) for r in left.objs.collect()} == {(f"_:a{i}", p) for i in (0, 2) for p in (v.SOURCE, v.PROPERTY, v.TARGET)} | {(E + "x", E + "p")}
     assert removed.objs.count() == 7
+
+
+def test_a_destroy_writes_and_deals_only_what_falls(spark, no_small_tables, monkeypatch):
+    """Links of named things are not all written, and triples are not dealt by objects that stay."""
+    rows, real = [], mutate.checkpointed
+    monkeypatch.setattr(mutate, "checkpointed", lambda f: rows.append((f := real(f)).count()) or f)
+    axioms = [("g", f"_:a{i}", p, o) for i in range(300) for p, o in ((v.SOURCE, f"{E}s{i}"), (v.PROPERTY, E + "p"), (v.TARGET, f"{E}t{i % 50}"))]
+    chain = [("g", "_:a7", v.SUBCLASS, "_:b0"), ("g", "_:b0", v.SUBCLASS, "_:b1"), ("g", E + "named", v.SOURCE, "_:b1"), ("g", "_:n", v.TARGET, E + "named")]
+    s = QuadStore.of_rows(spark, axioms + chain)
+    left, removed = mutate.destroy(s, spark.createDataFrame([(E + "t7",)], "s string"))
+    assert sum(rows) < 60
+    gone = {f"_:a{i}" for i in range(7, 300, 50)} | {"_:b0", "_:b1", E + "named", "_:n"}
+    assert {r.s for r in left.objs.select("s").collect()} == {f"_:a{i}" for i in range(300)} - gone
+    assert {tuple(r) for r in removed.objs.collect()} == {r for r in axioms + chain if r[1] in gone}
+
+
+def test_a_sieve_lets_no_key_pass(spark):
+    rows, keys = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("x")), spark.range(0, 9000, 3).select(F.concat(F.lit("n"), "id").alias("k"))
+    maybe, sure = closure.sift(rows, "x", keys)
+    assert {int(r.x[1:]) for r in maybe.collect()} >= set(range(0, 3000, 3)) and maybe.count() < 1100
+    assert maybe.count() + sure.count() == 3000
