@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 from ..functions.terms import Loc, literal_lex
 from ..sources.store import QuadStore
-from .closure import checkpointed, hierarchy, list_items
+from .closure import checkpointed, fingerprint, hierarchy, list_items, sift
 
 
 class Expression:
@@ -440,7 +440,9 @@ def _value(lex: str, d: str | None, lang: str | None) -> object:
 def list_cells(store: QuadStore) -> DataFrame:
     """(cell, lst, pos, length, owner): each list cell with its list, its place in it, and what refers to the list."""
     first, rest = store.scan("objs", p=v.FIRST).select("s", "o").unionByName(store.scan("datas", p=v.FIRST).select("s", F.col("lex").alias("o"))), store.scan("objs", p=v.REST).select("s", "o")
-    cells = checkpointed(list_items(first.select("s", F.col("s").alias("o")), rest).withColumnRenamed("item", "cell"))
+    # Where cells with an item and cells that go on are the same, none is looked for.
+    whole = fingerprint(first.select("s")) == fingerprint(rest.select("s"))
+    cells = list_items(None if whole else first.select("s", F.col("s").alias("o")), rest).withColumnRenamed("item", "cell")
     owner = store.objs.where(~F.col("p").isin(v.FIRST, v.REST)).select(F.col("o").alias("lst"), F.col("s").alias("owner"))
-    owner = owner.join(cells.where("pos = 1").select("lst"), "lst", "left_semi").groupBy("lst").agg(F.min("owner").alias("owner"))
+    owner = sift(owner, "lst", cells.where("pos = 1").select("lst"))[0].groupBy("lst").agg(F.min("owner").alias("owner"))
     return cells.join(owner, "lst", "left").select("cell", "lst", "pos", "length", "owner")

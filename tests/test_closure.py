@@ -52,6 +52,21 @@ def test_hierarchy(spark):
     assert [r[0] for r in roots(spark.createDataFrame([("b", "a"), ("c", "b")], "s string, o string")).collect()] == ["a"]
 
 
+def test_lists_written_as_one_are_linked_where_they_lie(spark, monkeypatch):
+    """No cell takes part in a join by name; cells that are dealt apart are still joined."""
+    pair = lambda rows: spark.createDataFrame(rows, "s string, o string")
+    lists = [[f"l{n}.{i}" for i in range(n)] for n in range(1, 40)]
+    rest = [(a, b) for cells in lists for a, b in zip(cells, [*cells[1:], v.NIL], strict=True)]
+    want = {(x[0], i + 1, c, len(x)) for x in lists for i, c in enumerate(x)}
+    run = lambda frame: {tuple(r) for r in list_items(None, frame).collect()}
+    assert run(pair(rest).repartition(13)) == want
+    real = closure.checkpointed
+    written = []
+    monkeypatch.setattr(closure, "checkpointed", lambda f: written.append((f := real(f)).count()) or f)
+    assert run(pair(rest).coalesce(1)) == want
+    assert sum(written) == len(rest)
+
+
 def test_list_items(spark):
     lists = {f"l{n}": [f"l{n}.{i}" for i in range(n)] for n in (1, 2, 3, 4, 7, 8, 9)}
     rest = [(a, b) for cells in lists.values() for a, b in zip(cells, [*cells[1:], v.NIL], strict=True)]
