@@ -8,6 +8,7 @@ from quadspark.operators import closing, closure, constructs, diff, mutate, reas
 from quadspark.operators.bgp import Pattern, update
 from quadspark.operators.constructs import Evaluator, Facets, Named, Property, Writer
 from quadspark.operators.search import FTS, Iri, NumS, Or, both, either, search, search_bm25
+from quadspark.plans.views import QUERIES
 from quadspark.sources.store import QuadStore
 
 E = "http://ex/"
@@ -500,3 +501,14 @@ def test_a_sieve_lets_no_key_pass(spark):
     maybe, sure = closure.sift(rows, "x", keys)
     assert {int(r.x[1:]) for r in maybe.collect()} >= set(range(0, 3000, 3)) and maybe.count() < 1100
     assert maybe.count() + sure.count() == 3000
+
+
+def test_texts_of_classes_are_joined_in_pieces(spark, monkeypatch):
+    """No task gathers the members of a class one by one."""
+    monkeypatch.setattr(closing, "PIECE", 4)
+    rows = [(f"c{i % 3}", f"m{i}") for i in range(50)] * 2 + [("one", "x"), ("one", None), ("none", None)]
+    got = closing.texts_of(spark.createDataFrame(rows, "cls string, member string").repartition(5), "cls", "member")
+    want = {c: ",".join(sorted({m for k, m in rows if k == c and m})) for c in ("c0", "c1", "c2", "one")}
+    assert {r.cls: r.text for r in got.collect()} == want
+    plan = _plan(QUERIES["close_classes"](spark, "/root/testdata/sf0.001"))
+    assert "collect_set" not in plan and "_piece" in plan
